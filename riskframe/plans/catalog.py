@@ -114,3 +114,157 @@ def q_rank_models(spark, sf_dir):
 @register("melt_metrics")
 def q_melt_metrics(spark, sf_dir):
     return metrics.melt_metrics(_comparison(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- `obs`: targets, splits, profiling
+
+from riskframe.functions import scalar  # noqa: E402
+from riskframe.operators import features, prep, profile, split  # noqa: E402
+
+OBS_NUM = standins.OBS_NUMERIC
+OBS_CAT = standins.OBS_CATEGORICAL
+
+
+def _labelled(spark, sf_dir):
+    o = features.drop_null_target(standins.obs(spark, sf_dir), "num")
+    return features.binarize_target(o, "num", "y")
+
+
+def _split(spark, sf_dir):
+    return split.stratified_split(_labelled(spark, sf_dir), "id", "y", test=0.2, seed=42)
+
+
+def _train(spark, sf_dir):
+    return _split(spark, sf_dir).where(F.col("split") == "train")
+
+
+@register("value_counts_with_null")
+def q_value_counts_with_null(spark, sf_dir):
+    return profile.value_counts_with_null(standins.obs(spark, sf_dir), "num")
+
+
+@register("binarize_target")
+def q_binarize_target(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("id", "num", "y")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("id", "y", "split")
+
+
+@register("stratified_kfold")
+def q_stratified_kfold(spark, sf_dir):
+    return split.stratified_kfold(_labelled(spark, sf_dir), "id", "y", k=5, seed=42).select("id", "y", "fold")
+
+
+@register("shape_report")
+def q_shape_report(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    x, _ = features.split_features_target(s, "y", drop=["num", "split"], key="id")
+    return profile.shape_report(s.select("split", *[c for c in x.columns if c != "id"]), "split")
+
+
+@register("describe_numeric")
+def q_describe_numeric(spark, sf_dir):
+    return profile.describe_numeric(standins.obs(spark, sf_dir), OBS_NUM)
+
+
+@register("schema_profile")
+def q_schema_profile(spark, sf_dir):
+    return profile.schema_profile(standins.obs(spark, sf_dir))
+
+
+@register("select_numeric")
+def q_select_numeric(spark, sf_dir):
+    o = standins.obs(spark, sf_dir)
+    num = features.select_numeric(o, exclude=["id"])
+    return o.select("id", *num)
+
+
+@register("correlation_matrix")
+def q_correlation_matrix(spark, sf_dir):
+    return profile.correlation_matrix(standins.obs(spark, sf_dir), OBS_NUM)
+
+
+@register("prune_correlated")
+def q_prune_correlated(spark, sf_dir):
+    corr = profile.correlation_matrix(standins.obs(spark, sf_dir), OBS_NUM)
+    return profile.prune_correlated(corr, OBS_NUM, threshold=0.85)
+
+
+@register("heart_features")
+def q_heart_features(spark, sf_dir):
+    return features.heart_features(standins.heart_obs(spark, sf_dir)).select("id", *features.HEART_DERIVED)
+
+
+@register("risk_band")
+def q_risk_band(spark, sf_dir):
+    s = standins.scored(spark, sf_dir)
+    return (s.withColumn("risk_level", scalar.risk_band("p"))
+            .groupBy("m", "risk_level").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("label_names")
+def q_label_names(spark, sf_dir):
+    lab = _labelled(spark, sf_dir).withColumn("label", scalar.label_names("y", ("Healthy", "Disease")))
+    return lab.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fit_mode")
+def q_fit_mode(spark, sf_dir):
+    return prep.fit_mode(_train(spark, sf_dir), OBS_CAT)
+
+
+@register("fit_robust")
+def q_fit_robust(spark, sf_dir):
+    return prep.fit_robust(_train(spark, sf_dir), OBS_NUM)
+
+
+@register("fit_standard")
+def q_fit_standard(spark, sf_dir):
+    return prep.fit_standard(_train(spark, sf_dir), OBS_NUM)
+
+
+@register("robust_scale")
+def q_robust_scale(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    stats = prep.fit_robust(s.where(F.col("split") == "train"), OBS_NUM)
+    return prep.apply_robust(s, stats).select("id", *OBS_NUM)
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    stats = prep.fit_standard(s.where(F.col("split") == "train"), OBS_NUM)
+    return prep.apply_standard(s, stats).select("id", *OBS_NUM)
+
+
+@register("fit_one_hot")
+def q_fit_one_hot(spark, sf_dir):
+    return prep.fit_one_hot(_train(spark, sf_dir), OBS_CAT)
+
+
+@register("one_hot")
+def q_one_hot(spark, sf_dir):
+    """Sparse view of the encoded block: (id, feature) for every 1.0 cell."""
+    s = _split(spark, sf_dir)
+    stats = prep.fit_one_hot(s.where(F.col("split") == "train"), OBS_CAT)
+    names = [n for _, _, n in prep.one_hot_names(stats)]
+    wide = prep.apply_one_hot(s.select("id", *OBS_CAT), stats)
+    long = wide.unpivot(["id"], names, "feature", "value")
+    return long.where(F.col("value") == 1.0).select("id", "feature")
+
+
+@register("unseen_category_report")
+def q_unseen_category_report(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    stats = prep.fit_one_hot(s.where(F.col("split") == "train"), OBS_CAT)
+    return prep.unseen_category_report(s.where(F.col("split") == "test"), stats, OBS_CAT)
+
+
+@register("mode_impute")
+def q_mode_impute(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    stats = prep.fit_mode(s.where(F.col("split") == "train"), OBS_CAT)
+    return prep.apply_mode(s, stats).select("id", *OBS_CAT)

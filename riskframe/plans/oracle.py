@@ -174,3 +174,150 @@ select {B('s.m')} as m, {B('len(list_filter(e.q, lambda x: x < s.p))')} as bin,
        {R('avg(s.p)')} as mean_pred, {R('avg(cast(s.y as double))')} as frac_pos, {B('count(*)')} as n
 from scored s join e on s.m = e.m
 group by s.m, len(list_filter(e.q, lambda x: x < s.p))"""
+
+
+# --------------------------------------------------------------------------- `obs`: targets, splits, profiling
+
+LAB = "lab as (select *, cast(num > 0 as int) as y from obs where num is not null)"
+SPLIT = f"""
+sp as (select *, case when rk <= round(0.2E0 * cn) then 'test' else 'train' end as split
+       from (select *, row_number() over (partition by y order by {H("42", "id")}, id) as rk,
+                    count(*) over (partition by y) as cn from lab) z)"""
+TRAIN = "tr as (select * from sp where split = 'train')"
+OBS_NUM = ["o_totalprice", "c_acctbal", "n_lines", "qty", "max_price", "region_no"]
+OBS_CAT = ["o_orderstatus", "c_mktsegment", "n_name"]
+
+ORACLE["value_counts_with_null"] = _with(OBS) + f"""
+select {B('num')} as num, {B('count(*)')} as n from obs group by num"""
+
+ORACLE["binarize_target"] = _with(OBS, LAB) + f"""
+select {B('id')} as id, {B('num')} as num, {B('y')} as y from lab"""
+
+ORACLE["stratified_split"] = _with(OBS, LAB, SPLIT) + f"""
+select {B('id')} as id, {B('y')} as y, split from sp"""
+
+ORACLE["stratified_kfold"] = _with(OBS, LAB) + f"""
+select {B('id')} as id, {B('y')} as y,
+       {B(f"(row_number() over (partition by y order by {H('42', 'id')}, id) - 1) % 5")} as fold
+from lab"""
+
+ORACLE["shape_report"] = _with(OBS, LAB, SPLIT) + f"""
+select split, {B('count(*)')} as n_rows, {B(str(len(OBS_NUM) + len(OBS_CAT)))} as n_cols from sp group by split"""
+
+ORACLE["describe_numeric"] = _with(OBS) + f"""
+select feature, {B('count(v)')} as count, {R('avg(v)')} as mean, {R('stddev_samp(v)')} as std,
+       {R('min(v)')} as min, {R('quantile_cont(v, 0.25)')} as p25, {R('quantile_cont(v, 0.5)')} as p50,
+       {R('quantile_cont(v, 0.75)')} as p75, {R('max(v)')} as max
+from (select * from (select {', '.join(f'cast({c} as double) as {c}' for c in OBS_NUM)} from obs)
+      unpivot include nulls (v for feature in ({', '.join(OBS_NUM)}))) u
+group by feature"""
+
+_OBS_TYPES = [("id", "bigint"), ("o_totalprice", "double"), ("c_acctbal", "double"), ("n_lines", "double"),
+              ("qty", "double"), ("max_price", "double"), ("region_no", "double"), ("o_orderstatus", "string"),
+              ("c_mktsegment", "string"), ("n_name", "string"), ("num", "int")]
+_TYPE_MAP = ("case typeof({c}) when 'BIGINT' then 'bigint' when 'DOUBLE' then 'double' "
+             "when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(typeof({c})) end")
+
+ORACLE["schema_profile"] = _with(OBS) + "\n union all\n".join(
+    f"select {B(str(i))} as position, '{c}' as column, (select {_TYPE_MAP.format(c=c)} from obs limit 1) as dtype, "
+    f"{B(f'count({c})')} as non_null from obs" for i, (c, _) in enumerate(_OBS_TYPES))
+
+ORACLE["select_numeric"] = _with(OBS) + f"""
+select {B('id')} as id, {', '.join(f'{R(c)} as {c}' for c in OBS_NUM)} from obs"""
+
+
+def _corr_sql(a: str, b: str) -> str:
+    both = f"{a} is not null and {b} is not null"
+    xa, xb = f"case when {both} then {a} end", f"case when {both} then {b} end"
+    return f"covar_samp({xa}, {xb}) / nullif(stddev_samp({xa}) * stddev_samp({xb}), 0)"
+
+
+_PAIRS = [(OBS_NUM[i], OBS_NUM[j]) for i in range(len(OBS_NUM)) for j in range(i + 1, len(OBS_NUM))]
+_CORR = "corr as (" + "\n union all\n".join(
+    f"select '{a}' as feature_a, '{b}' as feature_b, {_corr_sql(a, b)} as r from obs" for a, b in _PAIRS) + ")"
+
+ORACLE["correlation_matrix"] = _with(OBS, _CORR) + f"""
+select feature_a, feature_b, {R('r')} as r from corr"""
+
+ORACLE["prune_correlated"] = _with(OBS, _CORR) + """
+select distinct feature_b as column from corr where abs(r) > 0.85"""
+
+HEART_OBS = f"""
+heart_obs as (
+  select o_orderkey as id, cast(29 + {H("'age'", 'o_orderkey')} % 49 as double) as age,
+         case when {H("'na1'", 'o_orderkey')} % 20 = 0 then null
+              else cast(90 + {H("'bp'", 'o_orderkey')} % 111 as double) end as trestbps,
+         case when {H("'na2'", 'o_orderkey')} % 25 = 0 then null
+              else cast(60 + {H("'hr'", 'o_orderkey')} % 143 as double) end as thalch,
+         ({H("'op'", 'o_orderkey')} % 63) / 10.0E0 as oldpeak
+  from orders)"""
+
+ORACLE["heart_features"] = _with(HEART_OBS) + f"""
+select {B('id')} as id, {R('thalch / ((220.0E0 - age) + 1e-5)')} as max_hr_ratio,
+       {R('trestbps / (thalch + 1e-5)')} as bp_hr_index, {R('age * oldpeak')} as age_st_interaction
+from heart_obs"""
+
+ORACLE["risk_band"] = _with(SCORED) + f"""
+select {B('m')} as m, case when p < 0.2 then 'Low Risk' when p < 0.5 then 'Medium Risk' else 'High Risk' end
+       as risk_level, {B('count(*)')} as n
+from scored group by all"""
+
+ORACLE["label_names"] = _with(OBS, LAB) + f"""
+select case when y = 0 then 'Healthy' when y = 1 then 'Disease' end as label, {B('count(*)')} as n
+from lab group by all"""
+
+_CAT_LONG = "cl as (" + "\n union all\n".join(
+    f"select id, split, '{c}' as column_name, cast({c} as varchar) as value from sp" for c in OBS_CAT) + ")"
+
+ORACLE["fit_mode"] = _with(OBS, LAB, SPLIT, _CAT_LONG) + f"""
+select column_name, value, {B('n')} as n from (
+  select column_name, value, count(*) as n,
+         row_number() over (partition by column_name order by count(*) desc, value) as rk
+  from cl where split = 'train' and value is not null group by column_name, value) z where rk = 1"""
+
+ORACLE["mode_impute"] = _with(OBS, LAB, SPLIT, _CAT_LONG) + f""",
+md as (select column_name, value from (
+  select column_name, value, row_number() over (partition by column_name order by count(*) desc, value) as rk
+  from cl where split = 'train' and value is not null group by column_name, value) z where rk = 1)
+select {B('id')} as id, {', '.join(f"coalesce({c}, (select value from md where column_name = '{c}')) as {c}" for c in OBS_CAT)}
+from sp"""
+
+_ROBUST = "rb as (" + "\n union all\n".join(
+    f"select '{c}' as column_name, quantile_cont({c}, 0.5) as median, "
+    f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) as iqr from tr" for c in OBS_NUM) + ")"
+_STD = "st as (" + "\n union all\n".join(
+    f"select '{c}' as column_name, avg({c}) as mean, stddev_pop({c}) as sd_pop from tr" for c in OBS_NUM) + ")"
+
+ORACLE["fit_robust"] = _with(OBS, LAB, SPLIT, TRAIN, _ROBUST) + f"""
+select column_name, {R('median')} as median, {R('iqr')} as iqr from rb"""
+
+ORACLE["fit_standard"] = _with(OBS, LAB, SPLIT, TRAIN, _STD) + f"""
+select column_name, {R('mean')} as mean, {R('sd_pop')} as sd_pop from st"""
+
+ORACLE["robust_scale"] = _with(OBS, LAB, SPLIT, TRAIN, _ROBUST) + f"""
+select {B('id')} as id, {', '.join(
+    R(f"({c} - (select median from rb where column_name = '{c}')) / "
+      f"coalesce(nullif((select iqr from rb where column_name = '{c}'), 0), 1)") + f' as {c}' for c in OBS_NUM)}
+from sp"""
+
+ORACLE["standard_scale"] = _with(OBS, LAB, SPLIT, TRAIN, _STD) + f"""
+select {B('id')} as id, {', '.join(
+    R(f"({c} - (select mean from st where column_name = '{c}')) / "
+      f"coalesce(nullif((select sd_pop from st where column_name = '{c}'), 0), 1)") + f' as {c}' for c in OBS_NUM)}
+from sp"""
+
+_CATS = "cats as (select distinct column_name, value from cl where split = 'train' and value is not null)"
+
+ORACLE["fit_one_hot"] = _with(OBS, LAB, SPLIT, _CAT_LONG, _CATS) + f"""
+select column_name, value, {B('row_number() over (partition by column_name order by value) - 1')} as pos from cats"""
+
+ORACLE["one_hot"] = _with(OBS, LAB, SPLIT, _CAT_LONG, _CATS) + f"""
+select {B('cl.id')} as id, cl.column_name || '_' || cl.value as feature
+from cl join cats on cl.column_name = cats.column_name and cl.value = cats.value"""
+
+ORACLE["unseen_category_report"] = _with(OBS, LAB, SPLIT, _CAT_LONG, _CATS) + f"""
+select c.column_name, {B('count(cl.value)')} as n_unseen
+from (select unnest({OBS_CAT}) as column_name) c
+left join (select * from cl where split = 'test' and value is not null
+           and (column_name, value) not in (select (column_name, value) from cats)) cl on cl.column_name = c.column_name
+group by c.column_name"""
