@@ -268,3 +268,91 @@ def q_mode_impute(spark, sf_dir):
     s = _split(spark, sf_dir)
     stats = prep.fit_mode(s.where(F.col("split") == "train"), OBS_CAT)
     return prep.apply_mode(s, stats).select("id", *OBS_CAT)
+
+
+# --------------------------------------------------------------------------- neighbours
+
+from riskframe.operators import neighbors  # noqa: E402
+
+HEART_NUM = standins.HEART_NUMERIC
+
+
+def _heart_split(spark, sf_dir):
+    h = features.binarize_target(features.drop_null_target(standins.heart_obs(spark, sf_dir), "num"), "num", "y")
+    return split.stratified_split(h, "id", "y", test=0.2, seed=42)
+
+
+@register("knn_impute")
+def q_knn_impute(spark, sf_dir):
+    s = _heart_split(spark, sf_dir)
+    train = s.where(F.col("split") == "train")
+    return neighbors.knn_impute(s, train, "id", HEART_NUM, k=5).select("id", *HEART_NUM)
+
+
+# --------------------------------------------------------------------------- anomaly detectors, clustering
+
+from riskframe.operators import anomaly, cluster  # noqa: E402
+
+PTS = standins.POINT_COLS
+
+
+def _scaled_points(spark, sf_dir):
+    p = standins.points(spark, sf_dir)
+    return prep.apply_standard(p, prep.fit_standard(p, PTS))
+
+
+@register("ecod_copod")
+def q_ecod_copod(spark, sf_dir):
+    return anomaly.tail_scores(standins.points(spark, sf_dir), "vec_id", PTS)
+
+
+@register("ecdf")
+def q_ecdf(spark, sf_dir):
+    return anomaly.ecdf_tails(standins.points(spark, sf_dir), "vec_id", PTS).select("vec_id", "feature", "left", "right")
+
+
+@register("contamination_cut")
+def q_contamination_cut(spark, sf_dir):
+    s = anomaly.tail_scores(standins.points(spark, sf_dir), "vec_id", PTS)
+    return anomaly.contamination_cut(s, "ecod").select("vec_id", "flag")
+
+
+def _votes(spark, sf_dir):
+    return anomaly.column_votes(standins.obs(spark, sf_dir), "id", OBS_NUM)
+
+
+@register("stack_detector_votes")
+def q_stack_detector_votes(spark, sf_dir):
+    return _votes(spark, sf_dir)
+
+
+@register("anomaly_counts")
+def q_anomaly_counts(spark, sf_dir):
+    return anomaly.anomaly_counts(_votes(spark, sf_dir))
+
+
+@register("anomaly_consensus")
+def q_anomaly_consensus(spark, sf_dir):
+    return anomaly.anomaly_consensus(_votes(spark, sf_dir), "id", n_detectors=len(OBS_NUM))
+
+
+@register("normalize_anomaly_flag")
+def q_normalize_anomaly_flag(spark, sf_dir):
+    v = _votes(spark, sf_dir).withColumn("raw", F.when(F.col("flag") == -1, 1).otherwise(0))
+    return v.select("id", "detector", scalar.normalize_anomaly_flag("raw").alias("flag"))
+
+
+@register("mahalanobis")
+def q_mahalanobis(spark, sf_dir):
+    return anomaly.mahalanobis(standins.points(spark, sf_dir), "vec_id", ["x1", "x2"])
+
+
+@register("dbscan")
+def q_dbscan(spark, sf_dir):
+    return cluster.dbscan(_scaled_points(spark, sf_dir), "vec_id", PTS, eps=2.0, min_samples=5)
+
+
+@register("eps_range_self_join")
+def q_eps_range_self_join(spark, sf_dir):
+    pairs = neighbors.eps_pairs(_scaled_points(spark, sf_dir), "vec_id", PTS, eps=2.0)
+    return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "vec_id")

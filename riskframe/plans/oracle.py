@@ -247,10 +247,22 @@ heart_obs as (
   select o_orderkey as id, cast(29 + {H("'age'", 'o_orderkey')} % 49 as double) as age,
          case when {H("'na1'", 'o_orderkey')} % 20 = 0 then null
               else cast(90 + {H("'bp'", 'o_orderkey')} % 111 as double) end as trestbps,
+         case when {H("'na3'", 'o_orderkey')} % 30 = 0 then null
+              else cast(120 + {H("'ch'", 'o_orderkey')} % 400 as double) end as chol,
          case when {H("'na2'", 'o_orderkey')} % 25 = 0 then null
               else cast(60 + {H("'hr'", 'o_orderkey')} % 143 as double) end as thalch,
-         ({H("'op'", 'o_orderkey')} % 63) / 10.0E0 as oldpeak
+         ({H("'op'", 'o_orderkey')} % 63) / 10.0E0 as oldpeak,
+         case when {H("'na4'", 'o_orderkey')} % 40 = 0 then null
+              else cast({H("'ca'", 'o_orderkey')} % 4 as double) end as ca,
+         case when {H("3", "o_orderkey")} % 50 = 0 then null
+              else cast(substr(o_orderpriority,1,1) as int) - 1 end as num
   from orders)"""
+HLAB = "hlab as (select *, cast(num > 0 as int) as y from heart_obs where num is not null)"
+HSPLIT = f"""
+hsp as (select *, case when rk <= round(0.2E0 * cn) then 'test' else 'train' end as split
+        from (select *, row_number() over (partition by y order by {H("42", "id")}, id) as rk,
+                     count(*) over (partition by y) as cn from hlab) z)"""
+HEART_NUM = ["age", "trestbps", "chol", "thalch", "oldpeak", "ca"]
 
 ORACLE["heart_features"] = _with(HEART_OBS) + f"""
 select {B('id')} as id, {R('thalch / ((220.0E0 - age) + 1e-5)')} as max_hr_ratio,
@@ -321,3 +333,98 @@ from (select unnest({OBS_CAT}) as column_name) c
 left join (select * from cl where split = 'test' and value is not null
            and (column_name, value) not in (select (column_name, value) from cats)) cl on cl.column_name = c.column_name
 group by c.column_name"""
+
+
+def _nan_dist(cols, a="q", b="t"):
+    d = len(cols)
+    pres = " + ".join(f"cast({a}.{c} is not null and {b}.{c} is not null as int)" for c in cols)
+    ss = " + ".join(f"coalesce(({a}.{c} - {b}.{c})*({a}.{c} - {b}.{c}), 0.0E0)" for c in cols)
+    return f"case when ({pres}) > 0 then sqrt({float(d)} / ({pres}) * ({ss})) end"
+
+
+ORACLE["knn_impute"] = _with(HEART_OBS, HLAB, HSPLIT) + f""",
+tr as (select * from hsp where split = 'train'),
+ql as (select id, f from hsp unpivot include nulls (v for f in ({', '.join(HEART_NUM)})) u where v is null),
+tl as (select id, f, v from tr unpivot (v for f in ({', '.join(HEART_NUM)})) u),
+pairs as (select ql.id as qid, ql.f, tl.v, {_nan_dist(HEART_NUM)} as dist, t.id as rid
+          from ql join hsp q on q.id = ql.id join tl on tl.f = ql.f join tr t on t.id = tl.id),
+top as (select qid, f, v from (select *, row_number() over (partition by qid, f order by dist, rid) as rk
+                                from pairs where dist is not null) z where rk <= 5),
+imp as (select qid, f, avg(v) as v from top group by qid, f)
+select {B('h.id')} as id, {', '.join(
+    R(f"coalesce(h.{c}, (select v from imp where imp.qid = h.id and imp.f = '{c}'), (select avg({c}) from tr))") + f" as {c}"
+    for c in HEART_NUM)}
+from hsp h"""
+
+
+# --------------------------------------------------------------------------- anomaly detectors, clustering
+
+PTS = [f"x{i}" for i in range(1, 9)]
+POINTS = "points as (select vec_id, " + ", ".join(
+    f"cast(embedding[{i}] as double) as x{i}" for i in range(1, 9)) + ", label from embeddings)"
+SPOINTS = "sp_pts as (select vec_id, " + ", ".join(
+    f"(x{i} - avg(x{i}) over ()) / coalesce(nullif(stddev_pop(x{i}) over (), 0), 1) as x{i}" for i in range(1, 9)) + \
+    " from points)"
+_TAILS = f"""
+pl as (select vec_id, feature, v from points unpivot (v for feature in ({', '.join(PTS)})) u),
+sk as (select feature, sign(coalesce(avg(power(v - mv, 3)), 0)) as s
+       from (select feature, v, avg(v) over (partition by feature) as mv from pl) z group by feature),
+tl as (select vec_id, pl.feature, cume_dist() over (partition by pl.feature order by v) as l,
+              cume_dist() over (partition by pl.feature order by v desc) as r, sk.s
+       from pl join sk on pl.feature = sk.feature),
+us as (select vec_id, feature, l, r, -ln(l) as ul, -ln(r) as ur,
+              -ln(l) * (-sign(s - 1)) + -ln(r) * sign(s + 1) as uskew from tl),
+tails as (select vec_id, sum(greatest(ul, ur, uskew)) as ecod, sum(greatest(uskew, (ul + ur) / 2)) as copod
+          from us group by vec_id)"""
+
+ORACLE["ecod_copod"] = _with(POINTS, _TAILS) + f"""
+select {B('vec_id')} as vec_id, {R('ecod')} as ecod, {R('copod')} as copod from tails"""
+
+ORACLE["ecdf"] = _with(POINTS, _TAILS) + f"""
+select {B('vec_id')} as vec_id, feature, {R('l')} as left, {R('r')} as right from tl"""
+
+ORACLE["contamination_cut"] = _with(POINTS, _TAILS) + f"""
+select {B('vec_id')} as vec_id,
+       {B("case when ecod > (select quantile_cont(ecod, 0.95) from tails) then -1 else 1 end")} as flag from tails"""
+
+_VOTES = "votes as (" + "\n union all\n".join(
+    f"select id, '{c}' as detector, case when {c} > (select quantile_cont({c}, 0.95) from obs) then -1 else 1 end as flag "
+    f"from obs" for c in OBS_NUM) + ")"
+
+ORACLE["stack_detector_votes"] = _with(OBS, _VOTES) + f"""
+select {B('id')} as id, detector, {B('flag')} as flag from votes"""
+
+ORACLE["normalize_anomaly_flag"] = ORACLE["stack_detector_votes"]
+
+ORACLE["anomaly_counts"] = _with(OBS, _VOTES) + f"""
+select detector, {B('count(*) filter (where flag = -1)')} as anomalies, {B('count(*) filter (where flag = 1)')} as normals,
+       printf('%.2f%%', count(*) filter (where flag = -1) * 100.0E0 / count(*)) as anomaly_pct
+from votes group by detector"""
+
+ORACLE["anomaly_consensus"] = _with(OBS, _VOTES) + f"""
+select {B('count(*) filter (where k >= 1)')} as any_detector, {B('count(*) filter (where k >= 3)')} as majority,
+       {B(f'count(*) filter (where k = {len(OBS_NUM)})')} as all_detectors
+from (select id, count(*) filter (where flag = -1) as k from votes group by id) z"""
+
+ORACLE["mahalanobis"] = _with(POINTS) + f""",
+m as (select avg(x1) as m1, avg(x2) as m2, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12 from points)
+select {B('vec_id')} as vec_id,
+       {R('(s22*(x1-m1)*(x1-m1) - 2*s12*(x1-m1)*(x2-m2) + s11*(x2-m2)*(x2-m2)) / (s11*s22 - s12*s12)')} as mahalanobis
+from points, m"""
+
+_EPS = "sqrt(" + " + ".join(f"(a.x{i} - b.x{i})*(a.x{i} - b.x{i})" for i in range(1, 9)) + ")"
+_PAIRS = f"pairs as (select a.vec_id as a, b.vec_id as b from sp_pts a join sp_pts b on {_EPS} <= 2.0)"
+
+ORACLE["eps_range_self_join"] = _with(POINTS, SPOINTS, _PAIRS) + f"""
+select {B('a')} as vec_id, {B('count(*)')} as degree from pairs group by a"""
+
+ORACLE["dbscan"] = "with recursive " + ",\n".join(c.strip() for c in (POINTS, SPOINTS, _PAIRS)) + f""",
+core as (select a as id from pairs group by a having count(*) >= 5),
+ce as (select p.a, p.b from pairs p join core c1 on p.a = c1.id join core c2 on p.b = c2.id),
+cc(id, lbl) as (select id, id from core union select ce.b, cc.lbl from cc join ce on ce.a = cc.id),
+comp as (select id, min(lbl) as lbl from cc group by id),
+border as (select p.a as id, min(comp.lbl) as lbl from pairs p join comp on p.b = comp.id
+           where p.a not in (select id from core) group by p.a),
+lab as (select * from comp union all select * from border)
+select {B('s.vec_id')} as vec_id, {B('coalesce(lab.lbl, -1)')} as cluster
+from sp_pts s left join lab on lab.id = s.vec_id"""

@@ -54,3 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative operators")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df, tag: str = "t"):
+    """Cut lineage by writing ``df`` as parquet into the shared checkpoint folder
+    and reading it back (one computation, unlike an un-persisted reliable
+    ``checkpoint()``, which computes its input twice)."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/riskframe-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
