@@ -46,7 +46,9 @@ def cumulative_desc(g: DataFrame, p: str, cols: Sequence[str], by: Sequence[str]
     by = list(by)
     bounds = _score_bounds(g, p, n_buckets)
     if bounds:
-        bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(p)))
+        # plain comparisons (stays in codegen): number of bounds ≤ score
+        bucket = sum(((F.col(p) >= F.lit(b)).cast("int") for b in bounds[1:]),
+                     (F.col(p) >= F.lit(bounds[0])).cast("int"))
     else:
         bucket = F.lit(0)
     g = g.withColumn("_bucket", bucket)
