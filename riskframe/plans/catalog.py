@@ -356,3 +356,49 @@ def q_dbscan(spark, sf_dir):
 def q_eps_range_self_join(spark, sf_dir):
     pairs = neighbors.eps_pairs(_scaled_points(spark, sf_dir), "vec_id", PTS, eps=2.0)
     return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "vec_id")
+
+
+# --------------------------------------------------------------------------- estimators
+
+from riskframe.operators import models, smote as smote_op  # noqa: E402
+
+
+def _labelled_points(spark, sf_dir):
+    p = standins.points(spark, sf_dir)
+    return p.withColumn("y", (F.col("label") >= 7).cast("int"))
+
+
+def _points_split(spark, sf_dir):
+    return split.stratified_split(_labelled_points(spark, sf_dir), "vec_id", "y", test=0.2, seed=42)
+
+
+@register("gaussian_nb")
+def q_gaussian_nb(spark, sf_dir):
+    p = _labelled_points(spark, sf_dir)
+    m = models.gaussian_nb_fit(p, "y", PTS, var_smoothing=1e-9)
+    proba = models.gaussian_nb_proba(m)
+    return p.select("vec_id", proba.alias("p")).withColumn("pred", (F.col("p") > 0.5).cast("int"))
+
+
+@register("knn_classifier")
+def q_knn_classifier(spark, sf_dir):
+    s = _points_split(spark, sf_dir)
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    return models.knn_classifier(train, test, "vec_id", "y", PTS, k=5)
+
+
+@register("knn_join")
+def q_knn_join(spark, sf_dir):
+    p = standins.points(spark, sf_dir)
+    return neighbors.knn_join(p, p, "vec_id", "vec_id", PTS, k=5, exclude_self=True).select(
+        F.col("q_id").alias("vec_id"), F.col("r_id").alias("neighbor_id"), "dist", "rank")
+
+
+@register("smote")
+def q_smote(spark, sf_dir):
+    return smote_op.smote(_labelled_points(spark, sf_dir).select("vec_id", "y", *PTS), "vec_id", "y", PTS, k=5, seed=42)
+
+
+@register("isotonic_fit")
+def q_isotonic_fit(spark, sf_dir):
+    return models.isotonic_fit(standins.scored(spark, sf_dir), "y", "p", by=["m"])

@@ -428,3 +428,69 @@ border as (select p.a as id, min(comp.lbl) as lbl from pairs p join comp on p.b
 lab as (select * from comp union all select * from border)
 select {B('s.vec_id')} as vec_id, {B('coalesce(lab.lbl, -1)')} as cluster
 from sp_pts s left join lab on lab.id = s.vec_id"""
+
+
+# --------------------------------------------------------------------------- estimators
+
+LPTS = "lpts as (select *, cast(label >= 7 as int) as y from points)"
+PSPLIT = f"""
+psp as (select *, case when rk <= round(0.2E0 * cn) then 'test' else 'train' end as split
+        from (select *, row_number() over (partition by y order by {H("42", "vec_id")}, vec_id) as rk,
+                     count(*) over (partition by y) as cn from lpts) z)"""
+
+
+def _nb_ll(cls: int) -> str:
+    terms = [f"ln(s{cls}.prior)"]
+    for c in PTS:
+        v = f"(s{cls}.v_{c} + e.eps)"
+        terms.append(f"- 0.5 * ln(2.0 * pi() * {v}) - (p.{c} - s{cls}.m_{c}) * (p.{c} - s{cls}.m_{c}) / (2.0 * {v})")
+    return " ".join(terms)
+
+
+ORACLE["gaussian_nb"] = _with(POINTS, LPTS) + f""",
+st as (select y, count(*) * 1.0E0 / (select count(*) from lpts) as prior,
+              {', '.join(f'avg({c}) as m_{c}, var_pop({c}) as v_{c}' for c in PTS)} from lpts group by y),
+e as (select 1e-9 * greatest({', '.join(f'var_pop({c})' for c in PTS)}) as eps from lpts),
+sc as (select p.vec_id, 1.0E0 / (1.0E0 + exp(({_nb_ll(0)}) - ({_nb_ll(1)}))) as prob
+       from lpts p, e, (select * from st where y = 0) s0, (select * from st where y = 1) s1)
+select {B('vec_id')} as vec_id, {R('prob')} as p, {B('prob > 0.5')} as pred from sc"""
+
+_PD = "sqrt(" + " + ".join(f"(a.{c} - b.{c})*(a.{c} - b.{c})" for c in PTS) + ")"
+
+ORACLE["knn_classifier"] = _with(POINTS, LPTS, PSPLIT) + f""",
+nb as (select a.vec_id as q, b.y, row_number() over (partition by a.vec_id order by {_PD}, b.vec_id) as rk
+       from (select * from psp where split = 'test') a, (select * from psp where split = 'train') b)
+select {B('q')} as vec_id, {R('avg(y)')} as proba, {B('avg(y) > 0.5')} as pred from nb where rk <= 5 group by q"""
+
+ORACLE["knn_join"] = _with(POINTS) + f"""
+select {B('vec_id')} as vec_id, {B('neighbor_id')} as neighbor_id, {R('dist')} as dist, {B('rank')} as rank from (
+  select a.vec_id, b.vec_id as neighbor_id, {_PD} as dist,
+         row_number() over (partition by a.vec_id order by {_PD}, b.vec_id) as rank
+  from points a join points b on a.vec_id <> b.vec_id) z where rank <= 5"""
+
+ORACLE["smote"] = _with(POINTS, LPTS) + f""",
+cnt as (select count(*) filter (where y = 1) as n_min, count(*) filter (where y = 0) as n_maj from lpts),
+mino as (select * from lpts where y = 1),
+rk as (select *, row_number() over (order by {H("42", "vec_id")}, vec_id) - 1 as r from mino),
+nb as (select q, rid, rank from (select a.vec_id as q, b.vec_id as rid,
+              row_number() over (partition by a.vec_id order by {_PD}, b.vec_id) as rank
+       from mino a join mino b on a.vec_id <> b.vec_id) z where rank <= 5),
+jobs as (select rk.*, cp * n_min + r as j from rk, cnt,
+         unnest(range(0, (n_maj - n_min) // n_min + case when r < (n_maj - n_min) % n_min then 1 else 0 end)) t(cp)),
+pick as (select jobs.*, {H("42", "concat('nn|', j)")} % least(5, n_min - 1) + 1 as nn,
+                {H("42", "concat('lam|', j)")} / 4294967296.0E0 as lam from jobs, cnt)
+select cast(vec_id as varchar) as vec_id, {B('y')} as y, {', '.join(f'{R(c)} as {c}' for c in PTS)}, false as synthetic
+from lpts
+union all
+select 'syn-' || cast(j as varchar), {B('pick.y')}, {', '.join(R(f'pick.{c} + lam * (o.{c} - pick.{c})') + f' as {c}' for c in PTS)}, true
+from pick join nb on nb.q = pick.vec_id and nb.rank = pick.nn join mino o on o.vec_id = nb.rid"""
+
+ORACLE["isotonic_fit"] = _with(SCORED) + f""",
+g as (select m, p, sum(y) as sy, count(*) as n, row_number() over (partition by m order by p) as i from scored group by m, p),
+c as (select *, sum(sy) over (partition by m order by i) as cs, sum(n) over (partition by m order by i) as cn from g),
+pr as (select a.m, a.i, b.i as j, (b.cs - a.cs + a.sy) * 1.0E0 / (b.cn - a.cn + a.n) as av
+       from c a join c b on a.m = b.m and a.i <= b.i),
+gk as (select m, i, j as k, min(av) over (partition by m, i order by j desc rows between unbounded preceding and current row) as g
+       from pr),
+fit as (select m, k, max(g) as fitted from gk group by m, k)
+select {B('c.m')} as m, {R('c.p')} as p, {R('fit.fitted')} as fitted from c join fit on c.m = fit.m and c.i = fit.k"""
