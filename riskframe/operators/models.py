@@ -36,21 +36,34 @@ def gaussian_nb_fit(df: DataFrame, y: str, cols: Sequence[str], var_smoothing: f
             "var": [[float(r[f"var_{c}"]) + eps for c in cols] for r in classes], "cols": list(cols)}
 
 
-def _nb_loglik(model: dict, i: int) -> Column:
+def _nb_term(model: dict, i: int, j: int, x: Column) -> Column:
+    var, mu = model["var"][i][j], model["mu"][i][j]
+    return F.lit(-0.5 * math.log(2.0 * math.pi * var)) - (x - F.lit(mu)) * (x - F.lit(mu)) / F.lit(2.0 * var)
+
+
+def _nb_loglik(model: dict, i: int, x: dict | None = None) -> Column:
     cols = model["cols"]
+    x = x or {c: F.col(c) for c in cols}
     e = F.lit(math.log(model["prior"][i]))
     for j, c in enumerate(cols):
-        var, mu = model["var"][i][j], model["mu"][i][j]
-        e = e - F.lit(0.5 * math.log(2.0 * math.pi * var)) - (F.col(c) - F.lit(mu)) * (F.col(c) - F.lit(mu)) / F.lit(2.0 * var)
+        e = e + _nb_term(model, i, j, x[c])
     return e
 
 
-def gaussian_nb_proba(model: dict) -> Column:
-    """P(class = last class) for a binary model: 1 / (1 + exp(ll0 − ll1))."""
-    l0, l1 = _nb_loglik(model, 0), _nb_loglik(model, 1)
+def gaussian_nb_proba(model: dict, x: dict | None = None) -> Column:
+    """P(class = last class) for a binary model: 1 / (1 + exp(ll0 − ll1)).
+    ``x`` optionally maps feature names to replacement columns."""
+    l0, l1 = _nb_loglik(model, 0, x), _nb_loglik(model, 1, x)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(l0 - l1))
 
 
+def gaussian_nb_logodds_terms(model: dict) -> dict[str, Column]:
+    """Per-feature additive terms of the log-odds log P(1|x) − log P(0|x)
+    (the prior ratio is the constant): exact inputs for ``additive_shap``."""
+    return {c: _nb_term(model, 1, j, F.col(c)) - _nb_term(model, 0, j, F.col(c))
+            for j, c in enumerate(model["cols"])}
+
+
 # ------------------------------------------------------------------ kNN classifier
 
 def knn_classifier(train: DataFrame, test: DataFrame, key: str, y: str, cols: Sequence[str], k: int = 5,

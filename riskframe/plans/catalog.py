@@ -402,3 +402,74 @@ def q_smote(spark, sf_dir):
 @register("isotonic_fit")
 def q_isotonic_fit(spark, sf_dir):
     return models.isotonic_fit(standins.scored(spark, sf_dir), "y", "p", by=["m"])
+
+
+# --------------------------------------------------------------------------- explanations and cascade
+
+from riskframe.operators import explain  # noqa: E402
+from riskframe.operators.curves import cost_optimal_threshold  # noqa: E402
+from riskframe.plans import cascade  # noqa: E402
+
+
+def _nb_points(spark, sf_dir):
+    p = _labelled_points(spark, sf_dir)
+    return p, models.gaussian_nb_fit(p, "y", PTS, var_smoothing=1e-9)
+
+
+def _phi(spark, sf_dir):
+    p, m = _nb_points(spark, sf_dir)
+    return explain.additive_shap(p, "vec_id", models.gaussian_nb_logodds_terms(m))
+
+
+@register("shap_additive")
+def q_shap_additive(spark, sf_dir):
+    return _phi(spark, sf_dir)[0]
+
+
+@register("mean_abs_shap")
+def q_mean_abs_shap(spark, sf_dir):
+    return explain.mean_abs_shap(_phi(spark, sf_dir)[0])
+
+
+@register("rank_factors")
+def q_rank_factors(spark, sf_dir):
+    return explain.rank_factors(_phi(spark, sf_dir)[0], "vec_id")
+
+
+@register("top_factors")
+def q_top_factors(spark, sf_dir):
+    return explain.top_factors(_phi(spark, sf_dir)[0], "vec_id", n=4, min_abs=0.001)
+
+
+@register("waterfall_table")
+def q_waterfall_table(spark, sf_dir):
+    phi, base = _phi(spark, sf_dir)
+    return explain.waterfall_table(phi, "vec_id", base, max_display=10)
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    p, m = _nb_points(spark, sf_dir)
+    pred = lambda x: (models.gaussian_nb_proba(m, x) > 0.5).cast("int")
+    return explain.permutation_importance(p, "vec_id", "y", PTS, pred, repeats=10, seed=42)
+
+
+def _cascade(spark, sf_dir):
+    p, m = _nb_points(spark, sf_dir)
+    gate_scores = anomaly.tail_scores(p, "vec_id", PTS)
+    flags = anomaly.contamination_cut(gate_scores, "ecod").select("vec_id", "flag")
+    scored = p.withColumn("p", models.gaussian_nb_proba(m))
+    t = cost_optimal_threshold(scored, "y", "p").first()["threshold"]
+    gated = p.join(flags, "vec_id")
+    return cascade.score_cascade(gated, "vec_id", PTS, models.gaussian_nb_proba(m), gate=F.col("flag"), threshold=t)
+
+
+@register("score_cascade")
+def q_score_cascade(spark, sf_dir):
+    return _cascade(spark, sf_dir)
+
+
+@register("explain_cascade")
+def q_explain_cascade(spark, sf_dir):
+    phi, _ = _phi(spark, sf_dir)
+    return cascade.explain_cascade(_cascade(spark, sf_dir), explain.factor_text(phi, "vec_id"), "vec_id")

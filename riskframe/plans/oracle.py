@@ -494,3 +494,99 @@ gk as (select m, i, j as k, min(av) over (partition by m, i order by j desc rows
        from pr),
 fit as (select m, k, max(g) as fitted from gk group by m, k)
 select {B('c.m')} as m, {R('c.p')} as p, {R('fit.fitted')} as fitted from c join fit on c.m = fit.m and c.i = fit.k"""
+
+
+# --------------------------------------------------------------------------- explanations and cascade
+
+_NB = """
+st as (select y, count(*) * 1.0E0 / (select count(*) from lpts) as prior,
+              {mv} from lpts group by y),
+e as (select 1e-9 * greatest({vp}) as eps from lpts),
+s0 as (select * from st where y = 0), s1 as (select * from st where y = 1)""".format(
+    mv=", ".join(f"avg({c}) as m_{c}, var_pop({c}) as v_{c}" for c in PTS),
+    vp=", ".join(f"var_pop({c})" for c in PTS))
+
+
+def _term(cls: int, c: str, x: str) -> str:
+    v = f"(s{cls}.v_{c} + e.eps)"
+    return f"(-0.5 * ln(2.0 * pi() * {v}) - ({x} - s{cls}.m_{c}) * ({x} - s{cls}.m_{c}) / (2.0 * {v}))"
+
+
+def _nb_prob(xs: dict) -> str:
+    l0 = " + ".join(["ln(s0.prior)"] + [_term(0, c, xs[c]) for c in PTS])
+    l1 = " + ".join(["ln(s1.prior)"] + [_term(1, c, xs[c]) for c in PTS])
+    return f"1.0E0 / (1.0E0 + exp(({l0}) - ({l1})))"
+
+
+_G = "gt as (select p.vec_id, " + ", ".join(
+    f"{_term(1, c, 'p.' + c)} - {_term(0, c, 'p.' + c)} as {c}" for c in PTS) + " from lpts p, e, s0, s1)"
+_PHI = f"""
+phi as (select vec_id, feature, g - avg(g) over (partition by feature) as phi
+        from gt unpivot (g for feature in ({', '.join(PTS)})) u)"""
+_RANKED = "rk as (select *, row_number() over (partition by vec_id order by abs(phi) desc, feature) as rank from phi)"
+
+ORACLE["shap_additive"] = _with(POINTS, LPTS, _NB, _G, _PHI) + f"""
+select {B('vec_id')} as vec_id, feature, {R('phi')} as phi from phi"""
+
+ORACLE["mean_abs_shap"] = _with(POINTS, LPTS, _NB, _G, _PHI) + f"""
+select feature, {R('avg(abs(phi))')} as mean_abs_shap from phi group by feature"""
+
+ORACLE["rank_factors"] = _with(POINTS, LPTS, _NB, _G, _PHI, _RANKED) + f"""
+select {B('vec_id')} as vec_id, feature, {R('phi')} as phi, {B('rank')} as rank from rk"""
+
+ORACLE["top_factors"] = _with(POINTS, LPTS, _NB, _G, _PHI) + f"""
+select {B('vec_id')} as vec_id, feature, {R('phi')} as phi, {B('rank')} as rank from (
+  select *, row_number() over (partition by vec_id order by abs(phi) desc, feature) as rank
+  from phi where abs(phi) > 0.001) z where rank <= 4"""
+
+ORACLE["waterfall_table"] = _with(POINTS, LPTS, _NB, _G, _PHI, _RANKED) + f""",
+base as (select sum(m) as b from (select avg(g) as m from gt unpivot (g for feature in ({', '.join(PTS)})) u group by feature) z),
+f as (select vec_id, case when rank < 10 then rank else 10 end as rank,
+             case when rank < 10 then feature else 'other features' end as feature, sum(phi) as phi
+      from rk group by all)
+select {B('vec_id')} as vec_id, {B('rank')} as rank, feature, {R('phi')} as phi,
+       {R('(select b from base) + sum(phi) over (partition by vec_id order by rank rows between unbounded preceding and current row)')} as cumulative
+from f"""
+
+_SWAP = {c: f"case when g.j = '{c}' then d.donor else rc.{c} end" for c in PTS}
+ORACLE["permutation_importance"] = _with(POINTS, LPTS, _NB) + f""",
+grid as (select j, r from (select unnest({PTS}) as j) a, (select unnest(range(10)) as r) b),
+rc as (select *, row_number() over (order by {H("'42|base'", 'vec_id')}, vec_id) as pos from lpts),
+d as (select g.j, g.r, case {' '.join(f"when g.j = '{c}' then l.{c}" for c in PTS)} end as donor,
+             row_number() over (partition by g.j, g.r order by {H('42', "g.j || '|' || g.r || '|' || l.vec_id")},
+                                g.j || '|' || g.r || '|' || l.vec_id) as pos
+      from lpts l, grid g),
+base as (select avg(cast(({_nb_prob({c: f'p.{c}' for c in PTS})} > 0.5) = (p.y = 1) as double)) as acc
+         from lpts p, e, s0, s1),
+acc as (select g.j, g.r, avg(cast(({_nb_prob(_SWAP)} > 0.5) = (rc.y = 1) as double)) as acc
+        from rc, grid g, e, s0, s1, d where d.j = g.j and d.r = g.r and d.pos = rc.pos group by g.j, g.r)
+select j as feature, {R('(select acc from base) - avg(acc)')} as importance_mean from acc group by j"""
+
+_NBSCORE = f"nbs as (select p.*, {_nb_prob({c: f'p.{c}' for c in PTS})} as prob from lpts p, e, s0, s1)"
+_NBCURVE = """
+ng as (select prob as p, sum(y) as pos, count(*) as cnt from nbs group by prob),
+nc as (select p as threshold, sum(pos) over (order by p desc rows between unbounded preceding and current row) as tp,
+              sum(cnt) over (order by p desc rows between unbounded preceding and current row) as n,
+              sum(pos) over () as tt from ng),
+opt as (select threshold as t from nc order by round(5*(1 - case when tt = 0 then 1.0E0 else tp*1.0E0/tt end)
+                                                   + 1*(1 - tp*1.0E0/n), 12), threshold limit 1)"""
+_CASC = f"""
+casc as (select nbs.vec_id, (tails.ecod > (select quantile_cont(ecod, 0.95) from tails)) as flagged, nbs.prob
+         from nbs join tails on tails.vec_id = nbs.vec_id),
+out as (select vec_id, flagged as anomaly_flagged, case when not flagged then prob end as probability,
+               case when not flagged then cast(prob >= (select t from opt) as int) end as prediction,
+               case when flagged then 'Anomaly - Manual Review' when prob < 0.2 then 'Low Risk'
+                    when prob < 0.5 then 'Medium Risk' else 'High Risk' end as risk_level from casc)"""
+
+ORACLE["score_cascade"] = _with(POINTS, LPTS, _NB, _NBSCORE, _NBCURVE, _TAILS, _CASC) + f"""
+select {B('vec_id')} as vec_id, anomaly_flagged, {R('probability')} as probability, {B('prediction')} as prediction,
+       risk_level from out"""
+
+ORACLE["explain_cascade"] = _with(POINTS, LPTS, _NB, _NBSCORE, _NBCURVE, _TAILS, _CASC, _G, _PHI) + f""",
+tf as (select * from (select *, row_number() over (partition by vec_id order by abs(phi) desc, feature) as rank
+                      from phi where abs(phi) > 0.001) z where rank <= 4),
+txt as (select vec_id, string_agg(printf('%d. %s (%+.2f)', rank, upper(substr(feature, 1, 1)) || substr(feature, 2), phi),
+                                  '; ' order by rank) as explanation from tf group by vec_id)
+select {B('out.vec_id')} as vec_id, anomaly_flagged, {R('probability')} as probability, {B('prediction')} as prediction,
+       risk_level, explanation
+from out left join txt on txt.vec_id = out.vec_id where not anomaly_flagged"""
