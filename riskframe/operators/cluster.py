@@ -72,15 +72,19 @@ def kmeans(df: DataFrame, key: str, cols: Sequence[str], k: int = 2, n_init: int
            max_iter: int = 300):
     """Best of ``n_init`` MLlib k-means runs (k-means|| init, seeds seed..seed+n_init−1)
     by training cost; returns (model, assignments(key, cluster))."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
     vec = _vectors(df.select(key, *cols), cols).cache()
-    best = None
-    for i in range(n_init):
+
+    def fit(i):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(vec)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    model = best[1]
+        return m.summary.trainingCost, i, m
+
+    # independent restarts are submitted concurrently from the driver
+    with ThreadPoolExecutor(max_workers=min(8, n_init)) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    model = min(fits, key=lambda t: (t[0], t[1]))[2]
     out = model.transform(vec).select(key, F.col("prediction").cast("long").alias("cluster"))
     return model, out
 

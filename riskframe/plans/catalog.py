@@ -473,3 +473,150 @@ def q_score_cascade(spark, sf_dir):
 def q_explain_cascade(spark, sf_dir):
     phi, _ = _phi(spark, sf_dir)
     return cascade.explain_cascade(_cascade(spark, sf_dir), explain.factor_text(phi, "vec_id"), "vec_id")
+
+
+# --------------------------------------------------------------------------- rows-only checks (no exact SQL form)
+
+from riskframe.operators import bootstrap, search  # noqa: E402
+
+
+@register("bootstrap_ci")
+def q_bootstrap_ci(spark, sf_dir):
+    """Poisson cell bootstrap, 1000 iterations, per model."""
+    return bootstrap.bootstrap_ci(_scored(spark, sf_dir), "y", "pred", "p", by=["m"], n_iterations=1000, seed=42)
+
+
+@register("iforest")
+def q_iforest(spark, sf_dir):
+    p = _scaled_points(spark, sf_dir)
+    nodes = anomaly.iforest_fit(p, "vec_id", PTS, trees=100, sample=256, seed=42)
+    s = anomaly.iforest_score(p, "vec_id", PTS, nodes, sample=256)
+    return anomaly.contamination_cut(s, "score")
+
+
+@register("elliptic_envelope")
+def q_elliptic_envelope(spark, sf_dir):
+    s = anomaly.elliptic_envelope(standins.points(spark, sf_dir), "vec_id", PTS)
+    return anomaly.contamination_cut(s, "score")
+
+
+@register("kmeans")
+def q_kmeans(spark, sf_dir):
+    _, assign = cluster.kmeans(_scaled_points(spark, sf_dir), "vec_id", PTS, k=2, n_init=10, seed=42)
+    return assign
+
+
+@register("cluster_profile")
+def q_cluster_profile(spark, sf_dir):
+    p = _scaled_points(spark, sf_dir)
+    _, assign = cluster.kmeans(p, "vec_id", PTS, k=2, n_init=10, seed=42)
+    raw = standins.points(spark, sf_dir)
+    return cluster.cluster_profile(raw.join(assign, "vec_id"), "cluster", PTS)
+
+
+@register("kmeans_k_sweep")
+def q_kmeans_k_sweep(spark, sf_dir):
+    sample = materialize(cluster.downsample(_scaled_points(spark, sf_dir), "vec_id", 20000, seed=42), "sweep")
+    rows = []
+    for k in range(2, 10):
+        _, a = cluster.kmeans(sample, "vec_id", PTS, k=k, n_init=20, seed=42)
+        rows.append((k, cluster.silhouette_exact(sample.join(a, "vec_id"), "vec_id", PTS, "cluster")))
+    return spark.createDataFrame(rows, "k int, silhouette double")
+
+
+@register("gmm")
+def q_gmm(spark, sf_dir):
+    return cluster.gmm(_scaled_points(spark, sf_dir), "vec_id", PTS, k=2, seed=42)
+
+
+@register("pca_2d")
+def q_pca_2d(spark, sf_dir):
+    proj, _ = cluster.pca_2d(_scaled_points(spark, sf_dir), "vec_id", PTS, k=2)
+    return proj
+
+
+@register("silhouette")
+def q_silhouette(spark, sf_dir):
+    p = _scaled_points(spark, sf_dir)
+    labels = cluster.dbscan(p, "vec_id", PTS, eps=2.0, min_samples=5)
+    j = p.join(labels, "vec_id")
+    return spark.createDataFrame([("dbscan", cluster.silhouette_sq(j, PTS, "cluster"))],
+                                 "method string, silhouette_sq double")
+
+
+def _classifiers(n_features: int, n_train: int):
+    return {
+        "logistic_regression": lambda: models.logistic(c=1.0, n=n_train),
+        "decision_tree": lambda: models.decision_tree(max_depth=5),
+        "random_forest": lambda: models.random_forest(n_estimators=50, max_depth=8),
+        "xgboost": lambda: models.boosted_trees("xgboost", n_estimators=30),
+        "lightgbm": lambda: models.boosted_trees("lightgbm", n_estimators=30),
+        "catboost": lambda: models.boosted_trees("catboost", n_estimators=30),
+        "neural_network": lambda: models.mlp(n_features, hidden=(16,), max_iter=200),
+    }
+
+
+def _fitted_scores(spark, sf_dir):
+    s = _points_split(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
+    train = search.assemble(s.where(F.col("split") == "train"), PTS)
+    test = search.assemble(s.where(F.col("split") == "test"), PTS)
+    n = train.count()
+    outs = []
+    for name, make in _classifiers(len(PTS), n).items():
+        m = make().setLabelCol("y").setFeaturesCol("features").fit(train)
+        outs.append(search.score_model(m, test, "vec_id", "y").withColumn("model", F.lit(name)))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out.withColumn("y", F.col("y").cast("int"))
+
+
+@register("compare_models_fitted")
+def q_compare_models_fitted(spark, sf_dir):
+    return metrics.compare_models(_fitted_scores(spark, sf_dir), "model", "y", "pred", "p")
+
+
+@register("clf_svm_rbf")
+def q_clf_svm_rbf(spark, sf_dir):
+    from pyspark.ml.classification import LinearSVC
+    s = _points_split(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
+    gamma = models.gamma_scale(s.where(F.col("split") == "train"), PTS)
+    z = models.random_fourier_features(s, PTS, gamma, n_components=64, seed=42)
+    zc = [f"rff{i}" for i in range(64)]
+    v = search.assemble(z, zc)
+    m = LinearSVC(regParam=0.01, maxIter=100).setLabelCol("y").fit(v.where(F.col("split") == "train"))
+    return search.score_model(m, v.where(F.col("split") == "test"), "vec_id", "y")
+
+
+@register("grid_search_recall")
+def q_grid_search_recall(spark, sf_dir):
+    p = _labelled_points(spark, sf_dir).select("vec_id", "y", *PTS)
+    folds = search.fold_tables(p, "vec_id", "y", PTS, k=5, seed=42,
+                               resample=lambda d: smote_op.smote(d, "vec_id", "y", PTS).drop("synthetic"))
+    grid = models.param_grid_expand({"max_depth": [2, 4, 6], "criterion": ["gini", "entropy"]})
+    res, _ = search.grid_search_recall(folds, "vec_id", "y",
+                                       lambda g: models.decision_tree(g["criterion"], g["max_depth"]), grid)
+    return search.grid_results_rank(res)
+
+
+@register("calibrate_isotonic")
+def q_calibrate_isotonic(spark, sf_dir):
+    s = _points_split(spark, sf_dir)
+    train = s.where(F.col("split") == "train").withColumn("y", F.col("y").cast("double"))
+    test = s.where(F.col("split") == "test")
+    cal = search.calibrate_isotonic(train, "vec_id", "y", PTS,
+                                    lambda: models.boosted_trees("lightgbm", n_estimators=20), test, cv=3)
+    return cal.join(test.select("vec_id", "y"), "vec_id")
+
+
+@register("calibration_comparison")
+def q_calibration_comparison(spark, sf_dir):
+    cal = q_calibrate_isotonic(spark, sf_dir)
+    long = (cal.select("vec_id", "y", F.lit("raw").alias("model"), F.col("p_raw").alias("p"))
+            .unionByName(cal.select("vec_id", "y", F.lit("calibrated").alias("model"), "p"))
+            .withColumn("pred", metrics.apply_threshold("p", 0.5)))
+    cm = metrics.compare_models(long, "model", "y", "pred", "p")
+    return cm.join(metrics.brier_score(long, "y", "p", by=["model"]), "model")
+
+
+from riskframe.session import materialize  # noqa: E402
