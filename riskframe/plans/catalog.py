@@ -620,3 +620,62 @@ def q_calibration_comparison(spark, sf_dir):
 
 
 from riskframe.session import materialize  # noqa: E402
+
+
+# --------------------------------------------------------------------------- sources, sinks, stream
+
+from pyspark.sql import types as T  # noqa: E402
+
+from riskframe.sources import patients, sinks  # noqa: E402
+from riskframe.streaming import score_stream as stream  # noqa: E402
+
+HEART_CSV_SCHEMA = T.StructType(
+    [T.StructField("id", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in HEART_NUM]
+    + [T.StructField(c, T.StringType()) for c in ("sex", "cp", "thal")]
+    + [T.StructField("fbs", T.BooleanType()), T.StructField("num", T.IntegerType())])
+
+
+def _scratch(spark, tag):
+    import uuid
+    from riskframe.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-{tag}-{uuid.uuid4().hex}"
+
+
+@register("scan_patients_csv")
+def q_scan_patients_csv(spark, sf_dir):
+    """Round trip: heart rows written as CSV with 'NA' for missing values, read
+    back with an explicit schema, NA → NULL, NULL target rows dropped."""
+    path = _scratch(spark, "csv")
+    h = standins.heart_obs(spark, sf_dir).select(*[f.name for f in HEART_CSV_SCHEMA.fields])
+    h.write.option("header", True).option("nullValue", "NA").csv(path)
+    return patients.scan_patients_csv(spark, path, HEART_CSV_SCHEMA, target="num")
+
+
+@register("metrics_document")
+def q_metrics_document(spark, sf_dir):
+    s = _scored(spark, sf_dir).where(F.col("m") == 0)
+    opt = curves.cost_optimal_threshold(s, "y", "p")
+    t = opt.first()["threshold"]
+    at_opt = s.withColumn("pred", metrics.apply_threshold("p", t))
+    doc = sinks.metrics_document(metrics.core_metrics(s), metrics.core_metrics(at_opt), opt,
+                                 metrics.brier_score(s, "y", "p"),
+                                 bootstrap.bootstrap_ci(s, "y", "pred", "p", n_iterations=1000))
+    return sinks.sink_metrics_json(spark, doc, _scratch(spark, "metrics"))
+
+
+@register("score_cascade_stream")
+def q_score_cascade_stream(spark, sf_dir):
+    """Points land as JSON files; a file stream scores them with the fitted
+    Naive Bayes model behind a Mahalanobis gate (both per-row expressions)."""
+    p, m = _nb_points(spark, sf_dir)
+    mu, cov = anomaly.mean_cov(p, PTS)
+    d2 = anomaly.mahalanobis_expr(PTS, mu, cov)
+    cut = p.select(d2.alias("d")).agg(F.percentile("d", F.lit(0.95))).first()[0]
+    src, out = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
+    p.select("vec_id", *PTS).write.json(src)
+    schema = T.StructType([T.StructField("vec_id", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in PTS])
+    gate = F.when(d2 > F.lit(cut), F.lit(-1)).otherwise(F.lit(1))
+    stream.score_stream(spark, src, schema,
+                        lambda df: cascade.score_cascade(df, "vec_id", PTS, models.gaussian_nb_proba(m), gate=gate),
+                        out)
+    return spark.read.parquet(out)

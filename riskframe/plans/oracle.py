@@ -255,7 +255,12 @@ heart_obs as (
          case when {H("'na4'", 'o_orderkey')} % 40 = 0 then null
               else cast({H("'ca'", 'o_orderkey')} % 4 as double) end as ca,
          case when {H("3", "o_orderkey")} % 50 = 0 then null
-              else cast(substr(o_orderpriority,1,1) as int) - 1 end as num
+              else cast(substr(o_orderpriority,1,1) as int) - 1 end as num,
+         ['female', 'male', 'male'][{H("'sx'", 'o_orderkey')} % 3 + 1] as sex,
+         ['asymptomatic', 'atypical angina', 'non-anginal', 'typical angina'][{H("'cp'", 'o_orderkey')} % 4 + 1] as cp,
+         case when {H("'na5'", 'o_orderkey')} % 15 = 0 then null
+              else ['fixed defect', 'normal', 'reversable defect'][{H("'th'", 'o_orderkey')} % 3 + 1] end as thal,
+         {H("'fb'", 'o_orderkey')} % 5 = 0 as fbs
   from orders)"""
 HLAB = "hlab as (select *, cast(num > 0 as int) as y from heart_obs where num is not null)"
 HSPLIT = f"""
@@ -590,3 +595,10 @@ txt as (select vec_id, string_agg(printf('%d. %s (%+.2f)', rank, upper(substr(fe
 select {B('out.vec_id')} as vec_id, anomaly_flagged, {R('probability')} as probability, {B('prediction')} as prediction,
        risk_level, explanation
 from out left join txt on txt.vec_id = out.vec_id where not anomaly_flagged"""
+
+
+# --------------------------------------------------------------------------- sources
+
+ORACLE["scan_patients_csv"] = _with(HEART_OBS) + f"""
+select {B('id')} as id, {', '.join(f'{R(c)} as {c}' for c in HEART_NUM)}, sex, cp, thal, fbs, {B('num')} as num
+from heart_obs where num is not null"""
