@@ -7,7 +7,8 @@ Poisson(c). Since the metrics depend on a row only through its cell
 (group, score, pred, y), one Poisson(count) draw per (iteration, cell) gives
 exactly the row-level Poisson bootstrap while the work is
 B × #cells — independent of the number of rows. Draws are inverse-CDF
-samples of a hashed uniform, so the answer does not depend on partitioning.
+samples of a uniform from a 64-bit hash of (seed, iteration, cell), so the
+answer does not depend on partitioning.
 Iterations where the resample has a single class are skipped, as in the
 reference; intervals are linear-interpolated 2.5 % / 97.5 % percentiles.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from riskframe.functions.rng import u01
+from riskframe.session import materialize
 from riskframe.operators.curves import cumulative_desc
 
 N_ITERATIONS = 1000
@@ -61,19 +62,18 @@ def poisson_quantile(lam: np.ndarray, u: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lam), dtype=np.int64)
     small = lam < EXACT_BELOW
     if small.any():
-        ls, us = lam[small], u[small]
-        pmf = np.exp(-ls)
-        cdf = pmf.copy()
-        k = np.zeros(len(ls), dtype=np.int64)
-        active = cdf < us
-        step = 0
-        while active.any() and step < 1000:
-            step += 1
-            pmf = np.where(active, pmf * ls / step, pmf)
-            cdf = np.where(active, cdf + pmf, cdf)
-            k = np.where(active, step, k)
-            active = active & (cdf < us)
-        out[small] = k
+        # one CDF table per distinct rate (cell counts repeat a lot), then a
+        # binary search per draw
+        idx = np.where(small)[0]
+        rates, inv = np.unique(lam[idx], return_inverse=True)
+        for j, rate in enumerate(rates):
+            kmax = int(rate + 12.0 * np.sqrt(rate) + 25)
+            ks = np.arange(kmax + 1)
+            logpmf = -rate + ks * np.log(rate) - np.cumsum(np.log(np.maximum(ks, 1))) if rate > 0 else \
+                np.where(ks == 0, 0.0, -np.inf)
+            cdf = np.cumsum(np.exp(logpmf))
+            sel = idx[inv == j]
+            out[sel] = np.minimum(np.searchsorted(cdf, u[sel], side="left"), kmax)
     big = ~small
     if big.any():
         lb = lam[big]
@@ -92,9 +92,13 @@ def bootstrap_weights(scored: DataFrame, y: str, pred: str, p: str, by: Sequence
     cells = scored.groupBy(*by, p, y, pred).agg(F.count(F.lit(1)).alias("_c"))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, p, y, pred]])
     it = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))).alias("b"))
-    u = u01(seed, F.concat(F.col("b").cast("string"), F.lit("|"), key))
-    return it.select(*by, "b", p, y, pred, _poisson_udf(F.col("_c").cast("double"), u).alias("w")) \
-             .where(F.col("w") > 0)
+    # JVM-side 64-bit hash → uniform in [0, 1): deterministic per (seed, b, cell)
+    hv = F.xxhash64(F.lit(int(seed)), F.col("b"), key)
+    u = (F.abs(hv % F.lit(1 << 53)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    w = it.select(*by, "b", p, y, pred, _poisson_udf(F.col("_c").cast("double"), u).alias("w")) \
+          .where(F.col("w") > 0)
+    # written once: every later job reads the weights instead of re-running the UDF
+    return materialize(w, "boot-weights")
 
 
 def bootstrap_iterations(scored: DataFrame, y: str = "y", pred: str = "pred", p: str = "p",

@@ -5,11 +5,12 @@ number of rows and positives scoring at least that threshold. Plan:
 
 1. ``groupBy(by, p)`` — map-side partial aggregation, so row skew (a third of
    all rows on one score) collapses into one row before the shuffle.
-2. Two-phase prefix sum over the distinct scores: range buckets from
-   approximate quantiles of the distinct scores, a cumulative window inside
-   each ``(by, bucket)``, and per-bucket offsets from a bucket-level table of
-   ``#groups × n_buckets`` rows (bounded by the parameter, so broadcasting it
-   is safe). No window ever holds all scores of a model in one task.
+2. Two-phase prefix sum over the distinct scores: when a group holds more
+   than ROWS_PER_WINDOW distinct scores, range buckets from a quantile sketch
+   split it; a cumulative window runs inside each ``(by, bucket)`` and
+   per-bucket offsets come from a bucket-level table of ``#groups × buckets``
+   rows (tiny next to the data; broadcast). No window task ever holds more
+   than ~ROWS_PER_WINDOW rows of one group.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = None  # automatic: bucket only groups larger than ROWS_PER_WINDOW
 
 
 def score_groups(scored: DataFrame, y: str, p: str, by: Sequence[str] = (),
@@ -30,27 +31,44 @@ def score_groups(scored: DataFrame, y: str, p: str, by: Sequence[str] = (),
     return scored.where(F.col(p).isNotNull()).groupBy(*by, p).agg(*aggs)
 
 
-def _score_bounds(g: DataFrame, p: str, n_buckets: int) -> list[float]:
-    if n_buckets <= 1:
+ROWS_PER_WINDOW = 200_000
+
+
+def _score_bounds(g: DataFrame, p: str, by: Sequence[str], n_buckets: int | None) -> list[float]:
+    """Bucket boundaries for the two-phase prefix sum.
+
+    A cheap aggregate gives the size of the distinct-score table and the number
+    of groups; only when a group would hold more than ROWS_PER_WINDOW rows in
+    one window task does a second pass take a quantile sketch for buckets."""
+    groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
+    r = g.agg(F.count(F.lit(1)).alias("n"), groups.alias("k")).first()
+    n, k = r["n"] or 0, max(r["k"] or 1, 1)
+    want = n_buckets if n_buckets is not None else -(-n // (k * ROWS_PER_WINDOW))
+    if want <= 1:
         return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    # distributed sketch over the distinct scores; returns n_buckets-1 numbers
-    bounds = g.approxQuantile(p, probs, 1.0 / (4 * n_buckets))
-    return sorted(set(float(b) for b in bounds))
+    # second pass only for big groups: a quantile sketch of the distinct scores
+    probs = [i / want for i in range(1, want)]
+    q = g.agg(F.percentile_approx(F.col(p), F.array(*[F.lit(x) for x in probs]),
+                                  max(10000, 20 * want)).alias("q")).first()["q"] or []
+    return sorted(set(float(b) for b in q if b is not None))
 
 
 def cumulative_desc(g: DataFrame, p: str, cols: Sequence[str], by: Sequence[str] = (),
-                    n_buckets: int = DEFAULT_BUCKETS, totals: bool = True) -> DataFrame:
+                    n_buckets: int | None = DEFAULT_BUCKETS, totals: bool = True) -> DataFrame:
     """Adds ``cum_<c>`` = Σ c over rows with score >= this score (per ``by``),
     and ``tot_<c>`` = Σ c over the whole group, by a two-phase prefix sum."""
     by = list(by)
-    bounds = _score_bounds(g, p, n_buckets)
-    if bounds:
-        # plain comparisons (stays in codegen): number of bounds ≤ score
-        bucket = sum(((F.col(p) >= F.lit(b)).cast("int") for b in bounds[1:]),
-                     (F.col(p) >= F.lit(bounds[0])).cast("int"))
-    else:
-        bucket = F.lit(0)
+    bounds = _score_bounds(g, p, by, n_buckets)
+    if not bounds:
+        # every group fits one window task: single-phase cumulative sums
+        run = (Window.partitionBy(*by).orderBy(F.col(p).desc())
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        whole = Window.partitionBy(*by)
+        return g.select("*", *[F.sum(c).over(run).alias(f"cum_{c}") for c in cols],
+                        *([F.sum(c).over(whole).alias(f"tot_{c}") for c in cols] if totals else []))
+    # plain comparisons (stays in codegen): number of bounds ≤ score
+    bucket = sum(((F.col(p) >= F.lit(b)).cast("int") for b in bounds[1:]),
+                 (F.col(p) >= F.lit(bounds[0])).cast("int"))
     g = g.withColumn("_bucket", bucket)
     inner = (Window.partitionBy(*by, "_bucket").orderBy(F.col(p).desc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -72,7 +90,7 @@ def cumulative_desc(g: DataFrame, p: str, cols: Sequence[str], by: Sequence[str]
 
 
 def curve_table(scored: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
-                extra: dict | None = None, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                extra: dict | None = None, n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """(by…, threshold, pos, cnt, tp, n, fp, tt, nn, extra…) per distinct score.
 
     ``tp``/``n`` count positives/rows with score >= threshold, ``tt``/``nn`` are
@@ -92,7 +110,7 @@ def _recall(c):
 
 
 def pr_curve(scored: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
-             n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+             n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """(by…, threshold, precision, recall, tp, fp): predicted positive iff score >= threshold."""
     c = curve_table(scored, y, p, by, n_buckets=n_buckets)
     return c.select(*by, "threshold", (F.col("tp") / F.col("n")).alias("precision"),
@@ -100,7 +118,7 @@ def pr_curve(scored: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] =
 
 
 def roc_curve(scored: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
-              n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              n_buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """(by…, threshold, fpr, tpr) at every distinct score, plus the (0, 0) origin
     (threshold NULL). Intermediate collinear points are kept."""
     c = curve_table(scored, y, p, by, n_buckets=n_buckets)

@@ -82,3 +82,13 @@ def test_partition_invariance(spark):
         b = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
                    for r in metrics.core_metrics(s.repartition(n), by=["m"]).collect())
         assert a == b
+
+
+def test_two_phase_prefix_equals_single_phase(spark):
+    from riskframe.sources import standins
+    s = standins.scored(spark, "/root/testdata/sf0.001")
+    one = {(r["m"], r["threshold"]): (r["tp"], r["n"], r["tt"]) for r in
+           curves.curve_table(s, "y", "p", by=["m"], n_buckets=1).collect()}
+    many = {(r["m"], r["threshold"]): (r["tp"], r["n"], r["tt"]) for r in
+            curves.curve_table(s, "y", "p", by=["m"], n_buckets=9).collect()}
+    assert one == many and len(one) > 100
