@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import materialize
+
 DEFAULT_BUCKETS = None  # automatic: bucket only groups larger than ROWS_PER_WINDOW
 
 
@@ -96,7 +98,9 @@ def curve_table(scored: DataFrame, y: str = "y", p: str = "p", by: Sequence[str]
     ``tp``/``n`` count positives/rows with score >= threshold, ``tt``/``nn`` are
     the group's positives/negatives.
     """
-    g = score_groups(scored, y, p, by, extra)
+    # the distinct-score table is written once: the sizing pass and the
+    # cumulative pass both read it instead of re-scanning the scored rows
+    g = materialize(score_groups(scored, y, p, by, extra), "curve")
     c = cumulative_desc(g, p, ["pos", "cnt"], by, n_buckets)
     return c.select(
         *by, F.col(p).alias("threshold"), "pos", "cnt", *list((extra or {}).keys()),

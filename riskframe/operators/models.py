@@ -92,7 +92,9 @@ def isotonic_fit(scored: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> D
     pooled. Scores are pre-aggregated to (p, mean y, count) so MLlib's parallel
     PAV sees one weighted row per distinct score."""
     from pyspark.ml.regression import IsotonicRegression
-    g = scored.groupBy(*by, p).agg(F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    from riskframe.session import materialize
+    g = materialize(scored.groupBy(*by, p).agg(F.avg(F.col(y).cast("double")).alias("_y"),
+                                               F.count(F.lit(1)).cast("double").alias("_w")), "iso")
     if not by:
         m = IsotonicRegression(featuresCol=p, labelCol="_y", weightCol="_w").fit(g)
         return m.transform(g).select(p, F.col("prediction").alias("fitted"))

@@ -59,15 +59,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
         (12 * F.col("l_quantity").cast("bigint")
          + 40 * F.round(F.col("l_discount") * 100).cast("bigint")).alias("pi0"))
+    # the label hash depends on the row only: computed once, before the fan-out
+    li = li.withColumn("y", F.when(h("y", F.col("id")) % 1000000 < F.col("pi0") * F.col("pi0"), 1).otherwise(0))
     # three models per row by a generator (no join)
     li = li.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    noise = (h("n", F.concat(F.col("id"), F.lit("|"), F.col("m"))) % 201) - 100
+    # model 0 carries no noise: CASE skips its hash
+    noise = F.when(F.col("m") == 0, F.lit(0)).otherwise(
+        (h("n", F.concat(F.col("id"), F.lit("|"), F.col("m"))) % 201) - 100)
     pi = F.greatest(F.lit(0), F.least(F.lit(1000), F.col("pi0") + F.col("m") * noise))
     return (li.withColumn("pi", pi)
             .select("id", "m", "pi",
-                    (F.col("pi").cast("double") * F.col("pi") / F.lit(1000000.0)).alias("p"),
-                    F.when(h("y", F.col("id")) % 1000000 < F.col("pi0") * F.col("pi0"), 1)
-                     .otherwise(0).alias("y")))
+                    (F.col("pi").cast("double") * F.col("pi") / F.lit(1000000.0)).alias("p"), "y"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
