@@ -63,9 +63,28 @@ def bool_to_label(b) -> Column:
     return F.initcap(_c(b).cast("string"))
 
 
+_FIXED = __import__("re").compile(r"^%(\+?)\.(\d+)f(%%)?$")
+
+
+def fixed(value, decimals: int, sign: bool = False, percent: bool = False) -> Column:
+    """Fixed-point text rounded like printf / Python: half-even on the exact
+    binary value (``format_number``; ``format_string`` would round the shortest
+    decimal text half-up and turn 0.75955 into 0.7596)."""
+    v = _c(value)
+    txt = F.regexp_replace(F.format_number(v, decimals), ",", "")
+    if sign:
+        txt = F.when(v >= 0, F.concat(F.lit("+"), txt)).otherwise(txt)
+    if percent:
+        txt = F.concat(txt, F.lit("%"))
+    return txt
+
+
 def fmt(value, pattern: str) -> Column:
-    """printf-style formatting: ``'%.4f'``, ``'%.2f%%'``, ``'%+.2f'`` …"""
-    return F.format_string(pattern, _c(value))
+    """printf-style formatting of one number: ``'%.4f'``, ``'%.2f%%'``, ``'%+.2f'``."""
+    m = _FIXED.match(pattern)
+    if not m:
+        return F.format_string(pattern, _c(value))
+    return fixed(value, int(m.group(2)), sign=bool(m.group(1)), percent=bool(m.group(3)))
 
 
 def log_grid(spark: SparkSession, n: int, low_exp: float, high_exp: float = 0.0) -> DataFrame:

@@ -98,8 +98,9 @@ def anomaly_counts(votes: DataFrame, detector: str = "detector", flag: str = "fl
     """(detector, anomalies, normals, anomaly_pct '%.2f%%')."""
     c = votes.groupBy(detector).agg(F.count_if(F.col(flag) == -1).alias("anomalies"),
                                     F.count_if(F.col(flag) == 1).alias("normals"))
-    return c.withColumn("anomaly_pct", F.format_string(
-        "%.2f%%", F.col("anomalies") * 100.0 / (F.col("anomalies") + F.col("normals"))))
+    from riskframe.functions.scalar import fixed
+    return c.withColumn("anomaly_pct", fixed(F.col("anomalies") * 100.0 / (F.col("anomalies") + F.col("normals")),
+                                             2, percent=True))
 
 
 def anomaly_consensus(votes: DataFrame, key: str, n_detectors: int, flag: str = "flag",

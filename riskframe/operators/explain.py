@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.scalar import humanize_feature
+from riskframe.functions.scalar import fixed, humanize_feature
 from riskframe.operators.split import stratified_rank
 
 
@@ -54,7 +54,8 @@ def top_factors(phi: DataFrame, key: str, n: int = 4, min_abs: float = 0.001) ->
 def factor_text(phi: DataFrame, key: str, n: int = 4, min_abs: float = 0.001) -> DataFrame:
     """(key, explanation): ``'1. Feature Name (+0.12); 2. …'`` ordered by rank."""
     t = top_factors(phi, key, n, min_abs).withColumn(
-        "_txt", F.format_string("%d. %s (%+.2f)", F.col("rank"), humanize_feature(F.col("feature")), F.col("phi")))
+        "_txt", F.concat(F.col("rank").cast("string"), F.lit(". "), humanize_feature(F.col("feature")),
+                         F.lit(" ("), fixed(F.col("phi"), 2, sign=True), F.lit(")")))
     return t.groupBy(key).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "_txt"))), lambda s: s["_txt"]), "; ").alias("explanation"))
 

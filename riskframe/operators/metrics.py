@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.scalar import fixed
 from riskframe.operators.curves import curve_table, summarize_curve, cost_optimal_threshold
 
 # Published fixed values of the reference's operational tables.
@@ -112,7 +113,7 @@ def threshold_simulation(scored: DataFrame, y: str = "y", p: str = "p", by: Sequ
                               F.col(f"tn{i}").alias("tn")) for i, t in enumerate(thresholds)])
     long = wide.select(*by, F.inline(rows))
     neg = F.col("tn") + F.col("fp")
-    rate = F.when(neg > 0, F.format_string("%.3f%%", F.col("fp") / neg * 100.0)).otherwise(F.lit("0.000%"))
+    rate = F.when(neg > 0, fixed(F.col("fp") / neg * 100.0, 3, percent=True)).otherwise(F.lit("0.000%"))
     return long.select(*by, "threshold", "tp", "fn", "fp", rate.alias("healthy_flagged_rate"))
 
 

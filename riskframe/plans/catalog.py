@@ -679,3 +679,104 @@ def q_score_cascade_stream(spark, sf_dir):
                         lambda df: cascade.score_cascade(df, "vec_id", PTS, models.gaussian_nb_proba(m), gate=gate),
                         out)
     return spark.read.parquet(out)
+
+
+# --------------------------------------------------------------------------- remaining projections, top-k, reshape
+
+@register("kidney_features")
+def q_kidney_features(spark, sf_dir):
+    k = standins.kidney_obs(spark, sf_dir)
+    k = features.cast_target_int(features.drop_null_target(k, "ckd_present"), "ckd_present")
+    return features.kidney_features(k).select("participant_id", *features.KIDNEY_DERIVED)
+
+
+@register("top_importances")
+def q_top_importances(spark, sf_dir):
+    return (explain.mean_abs_shap(_phi(spark, sf_dir)[0])
+            .orderBy(F.col("mean_abs_shap").desc(), F.col("feature")).limit(10))
+
+
+@register("preview_rows")
+def q_preview_rows(spark, sf_dir):
+    return standins.obs(spark, sf_dir).orderBy("id").limit(5)
+
+
+@register("explain_sample")
+def q_explain_sample(spark, sf_dir):
+    """The 200-row explanation sample: first rows in hash order (a sampling operator)."""
+    from riskframe.functions.rng import h
+    p = standins.points(spark, sf_dir)
+    return p.orderBy(h(42, "vec_id"), "vec_id").limit(200).select("vec_id", *PTS)
+
+
+@register("downsample")
+def q_downsample(spark, sf_dir):
+    return cluster.downsample(standins.points(spark, sf_dir), "vec_id", 20000, seed=42).select("vec_id")
+
+
+@register("transpose_table")
+def q_transpose_table(spark, sf_dir):
+    d = profile.describe_numeric(standins.obs(spark, sf_dir), OBS_NUM)
+    stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    long = d.select("feature", *[F.col(s_).cast("double").alias(s_) for s_ in stats]).unpivot(
+        ["feature"], stats, "stat", "value")
+    return long.groupBy("stat").pivot("feature", OBS_NUM).agg(F.first("value"))
+
+
+@register("format_metrics")
+def q_format_metrics(spark, sf_dir):
+    c = _comparison(spark, sf_dir)
+    return c.select("model", scalar.fmt("accuracy", "%.4f").alias("accuracy_txt"),
+                    scalar.fmt(F.col("recall") * 100.0, "%.2f%%").alias("recall_pct"),
+                    scalar.fmt(F.col("f1_score") - F.col("precision"), "%+.2f").alias("f1_minus_precision"))
+
+
+@register("feature_names")
+def q_feature_names(spark, sf_dir):
+    stats = prep.fit_one_hot(_train(spark, sf_dir), OBS_CAT)
+    raw = F.concat(F.lit("cat__"), F.col("column_name"), F.lit("_"), F.col("value"))
+    return stats.select(raw.alias("raw_name"), scalar.strip_feature_prefix(raw).alias("feature"),
+                        scalar.humanize_feature(scalar.strip_feature_prefix(raw)).alias("display_name"))
+
+
+@register("bool_to_label")
+def q_bool_to_label(spark, sf_dir):
+    h_ = standins.heart_obs(spark, sf_dir)
+    return h_.groupBy(scalar.bool_to_label("fbs").alias("fbs")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _obs_preprocessed(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    train = s.where(F.col("split") == "train")
+    imputed = neighbors.knn_impute(s, train, "id", OBS_NUM, k=5)
+    stats = prep.fit_robust(imputed.where(F.col("split") == "train"), OBS_NUM)
+    return prep.apply_robust(imputed, stats)
+
+
+@register("preprocess_pipeline")
+def q_preprocess_pipeline(spark, sf_dir):
+    """Numeric branch of the column transformer: kNN impute (fit on train) →
+    robust scale (fit on the imputed train rows)."""
+    return _obs_preprocessed(spark, sf_dir).select("id", *OBS_NUM)
+
+
+@register("unsupervised_matrix")
+def q_unsupervised_matrix(spark, sf_dir):
+    """Numeric columns minus key/target → kNN impute (all rows) → standard scale."""
+    o = standins.obs(spark, sf_dir)
+    imputed = neighbors.knn_impute(o, o, "id", OBS_NUM, k=5)
+    return prep.apply_standard(imputed, prep.fit_standard(imputed, OBS_NUM)).select("id", *OBS_NUM)
+
+
+@register("kmeans_assign")
+def q_kmeans_assign(spark, sf_dir):
+    p = _scaled_points(spark, sf_dir)
+    centers = [[r[c] for c in PTS] for r in
+               p.groupBy("label").agg(*[F.avg(c).alias(c) for c in PTS]).orderBy("label").collect()]
+    return cluster.kmeans_assign(p, "vec_id", PTS, centers)
+
+
+@register("score_direct")
+def q_score_direct(spark, sf_dir):
+    p, m = _nb_points(spark, sf_dir)
+    return cascade.score_direct(p, "vec_id", PTS, models.gaussian_nb_proba(m), threshold=None)

@@ -602,3 +602,118 @@ from out left join txt on txt.vec_id = out.vec_id where not anomaly_flagged"""
 ORACLE["scan_patients_csv"] = _with(HEART_OBS) + f"""
 select {B('id')} as id, {', '.join(f'{R(c)} as {c}' for c in HEART_NUM)}, sex, cp, thal, fbs, {B('num')} as num
 from heart_obs where num is not null"""
+
+
+# --------------------------------------------------------------------------- remaining projections, top-k, reshape
+
+_KSPEC = [("age", 18, 63, 1, 0), ("bmi", 160, 300, 10, 30), ("bp_systolic", 90, 110, 1, 25),
+          ("bp_diastolic", 50, 60, 1, 25), ("serum_creatinine", 3, 120, 10, 20), ("blood_urea_nitrogen", 5, 60, 1, 20),
+          ("calcium", 80, 30, 10, 35), ("phosphorus", 20, 40, 10, 35), ("egfr", 10, 120, 1, 0)]
+
+
+def _kcol(name, off, mod, div, na):
+    v = f"cast(({off} + {H(repr('k' + name), 'o_orderkey')} % {mod}) / {float(div)} as double)"
+    return (f"case when {H(repr('na' + name), 'o_orderkey')} % {na} = 0 then null else {v} end" if na else v) + f" as {name}"
+
+
+KIDNEY_OBS = "kidney_obs as (select o_orderkey as participant_id, " + ", ".join(_kcol(*s) for s in _KSPEC) + \
+    f", cast({H(repr('kckd'), 'o_orderkey')} % 7 = 0 as double) as ckd_present from orders)"
+
+ORACLE["kidney_features"] = _with(KIDNEY_OBS) + f"""
+select {B('participant_id')} as participant_id, {R('bp_systolic - bp_diastolic')} as pulse_pressure,
+       {R('(bp_systolic + 2 * bp_diastolic) / 3')} as map,
+       {R('blood_urea_nitrogen / (serum_creatinine + 1e-5)')} as bun_cr_ratio,
+       {R('calcium * phosphorus')} as ca_p_product, {R('bmi * bp_systolic')} as bmi_bp_interaction
+from kidney_obs where ckd_present is not null"""
+
+ORACLE["top_importances"] = _with(POINTS, LPTS, _NB, _G, _PHI) + f"""
+select feature, {R('avg(abs(phi))')} as mean_abs_shap from phi group by feature
+order by avg(abs(phi)) desc, feature limit 10"""
+
+ORACLE["preview_rows"] = _with(OBS) + f"""
+select {B('id')} as id, {', '.join(f'{R(c)} as {c}' for c in OBS_NUM)}, o_orderstatus, c_mktsegment, n_name,
+       {B('num')} as num from obs order by id limit 5"""
+
+ORACLE["explain_sample"] = _with(POINTS) + f"""
+select {B('vec_id')} as vec_id, {', '.join(f'{R(c)} as {c}' for c in PTS)} from points
+order by {H('42', 'vec_id')}, vec_id limit 200"""
+
+ORACLE["downsample"] = _with(POINTS) + f"""
+select {B('vec_id')} as vec_id from points order by {H('42', 'vec_id')}, vec_id limit 20000"""
+
+_DESC_LONG = f"""
+dl as (select feature, count(v) as count, avg(v) as mean, stddev_samp(v) as std, min(v) as min,
+              quantile_cont(v, 0.25) as p25, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.75) as p75, max(v) as max
+       from (select * from (select {', '.join(f'cast({c} as double) as {c}' for c in OBS_NUM)} from obs)
+             unpivot include nulls (v for feature in ({', '.join(OBS_NUM)}))) u group by feature),
+st as (select feature, stat, cast(value as double) as value from (select feature, cast(count as double) as count, mean,
+              std, min, p25, p50, p75, max from dl) unpivot (value for stat in (count, mean, std, min, p25, p50, p75, max)))"""
+
+ORACLE["transpose_table"] = _with(OBS, _DESC_LONG) + f"""
+select stat, {', '.join(R(f"max(value) filter (where feature = '{c}')") + f' as {c}' for c in OBS_NUM)}
+from st group by stat"""
+
+ORACLE["format_metrics"] = f"""
+select model, printf('%.4f', accuracy) as accuracy_txt, printf('%.2f%%', recall * 100.0) as recall_pct,
+       printf('%+.2f', f1_score - precision) as f1_minus_precision
+from ({ORACLE['compare_models']}) z"""
+
+
+def _initcap(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
+ORACLE["feature_names"] = _with(OBS, LAB, SPLIT, _CAT_LONG, _CATS) + f"""
+select 'cat__' || column_name || '_' || value as raw_name, column_name || '_' || value as feature,
+       {_initcap("replace(column_name || '_' || value, '_', ' ')")} as display_name
+from cats"""
+
+ORACLE["bool_to_label"] = _with(HEART_OBS) + f"""
+select case when fbs then 'True' else 'False' end as fbs, {B('count(*)')} as n from heart_obs group by all"""
+
+
+def _knn_impute_sql(src: str, train: str, cols: list, key: str = "id") -> str:
+    """CTEs 'imp' (key, f, v) for a brute-force kNN imputation of src from train."""
+    return f"""
+ql as (select {key} as qid, f from {src} unpivot include nulls (v for f in ({', '.join(cols)})) u where v is null),
+tl as (select {key} as tid, f, v from {train} unpivot (v for f in ({', '.join(cols)})) u),
+pairs as (select ql.qid, ql.f, tl.v, {_nan_dist(cols)} as dist, t.{key} as rid
+          from ql join {src} q on q.{key} = ql.qid join tl on tl.f = ql.f join {train} t on t.{key} = tl.tid),
+top as (select qid, f, v from (select *, row_number() over (partition by qid, f order by dist, rid) as rk
+                                from pairs where dist is not null) z where rk <= 5),
+imp as (select qid, f, avg(v) as v from top group by qid, f)"""
+
+
+def _imputed(src: str, train: str, cols: list, name: str, key: str = "id") -> str:
+    return f"""{name} as (select h.*, {', '.join(
+        f"coalesce(h.{c}, (select v from imp where imp.qid = h.{key} and imp.f = '{c}'), (select avg({c}) from {train})) as i_{c}"
+        for c in cols)} from {src} h)"""
+
+
+ORACLE["preprocess_pipeline"] = _with(OBS, LAB, SPLIT, TRAIN) + "," + _knn_impute_sql("sp", "tr", OBS_NUM) + ",\n" + \
+    _imputed("sp", "tr", OBS_NUM, "im") + f""",
+rs as (select {', '.join(f'quantile_cont(i_{c}, 0.5) as m_{c}, quantile_cont(i_{c}, 0.75) - quantile_cont(i_{c}, 0.25) as q_{c}'
+                          for c in OBS_NUM)} from im where split = 'train')
+select {B('id')} as id, {', '.join(R(f'(i_{c} - m_{c}) / coalesce(nullif(q_{c}, 0), 1)') + f' as {c}' for c in OBS_NUM)}
+from im, rs"""
+
+ORACLE["unsupervised_matrix"] = _with(OBS) + "," + _knn_impute_sql("obs", "obs", OBS_NUM) + ",\n" + \
+    _imputed("obs", "obs", OBS_NUM, "im") + f""",
+ss as (select {', '.join(f'avg(i_{c}) as m_{c}, stddev_pop(i_{c}) as s_{c}' for c in OBS_NUM)} from im)
+select {B('id')} as id, {', '.join(R(f'(i_{c} - m_{c}) / coalesce(nullif(s_{c}, 0), 1)') + f' as {c}' for c in OBS_NUM)}
+from im, ss"""
+
+ORACLE["kmeans_assign"] = _with(POINTS, SPOINTS) + f""",
+lab_pts as (select s.*, p.label from sp_pts s join points p on p.vec_id = s.vec_id),
+ctr as (select label, {', '.join(f'avg({c}) as c_{c}' for c in PTS)} from lab_pts group by label),
+ctr_i as (select *, row_number() over (order by label) - 1 as j from ctr),
+d as (select l.vec_id, c.j, {' + '.join(f'(l.{c} - c.c_{c})*(l.{c} - c.c_{c})' for c in PTS)} as d2
+      from lab_pts l, ctr_i c)
+select {B('vec_id')} as vec_id, {B('j')} as cluster from (
+  select *, row_number() over (partition by vec_id order by d2, j) as rk from d) z where rk = 1"""
+
+ORACLE["score_direct"] = _with(POINTS, LPTS, _NB, _NBSCORE) + f"""
+select {B('vec_id')} as vec_id, {R('prob')} as probability, {B('prob >= 0.5')} as prediction,
+       case when prob < 0.2 then 'Low Risk' when prob < 0.5 then 'Medium Risk' else 'High Risk' end as risk_level
+from nbs"""

@@ -117,3 +117,28 @@ def heart_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(_pick(HEART_THAL, "th", k)).alias("thal"),
         F.when(h(3, k) % 50 == 0, F.lit(None).cast("int"))
          .otherwise(F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("num"))
+
+
+# Hashed kidney stand-in: (column, offset, modulus, divisor, NULL every n-th or 0) — fixed values.
+KIDNEY_SPEC = [
+    ("age", 18, 63, 1, 0), ("bmi", 160, 300, 10, 30), ("bp_systolic", 90, 110, 1, 25),
+    ("bp_diastolic", 50, 60, 1, 25), ("serum_creatinine", 3, 120, 10, 20), ("blood_urea_nitrogen", 5, 60, 1, 20),
+    ("calcium", 80, 30, 10, 35), ("phosphorus", 20, 40, 10, 35), ("egfr", 10, 120, 1, 0)]
+KIDNEY_GENDER = ["Female", "Male"]
+KIDNEY_ETHNICITY = ["Mexican American", "Non-Hispanic Asian", "Non-Hispanic Black", "Non-Hispanic White",
+                    "Other Hispanic"]
+
+
+def kidney_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hashed kidney participant per order."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    cols = []
+    for name, off, mod, div, na in KIDNEY_SPEC:
+        v = ((F.lit(off) + h(f"k{name}", k) % mod) / F.lit(float(div))).cast("double")
+        if na:
+            v = F.when(h(f"na{name}", k) % na == 0, F.lit(None).cast("double")).otherwise(v)
+        cols.append(v.alias(name))
+    return o.select(k.alias("participant_id"), *cols,
+                    _pick(KIDNEY_GENDER, "kg", k).alias("gender"), _pick(KIDNEY_ETHNICITY, "ke", k).alias("ethnicity"),
+                    (h("kckd", k) % 7 == 0).cast("double").alias("ckd_present"))
