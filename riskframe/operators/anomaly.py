@@ -275,3 +275,75 @@ def iforest_score(df: DataFrame, key: str, cols: Sequence[str], nodes: DataFrame
 
     key_type = df.schema[key].dataType.simpleString()
     return df.select(key, *cols).mapInPandas(score, f"{key} {key_type}, score double")
+
+
+# ------------------------------------------------------------------ linear autoencoder / one-class SVM
+
+def autoencoder_recon(df: DataFrame, key: str, cols: Sequence[str], k: int = 2,
+                      fit: DataFrame | None = None) -> DataFrame:
+    """(key, score): squared reconstruction error of a linear autoencoder with a
+    k-unit bottleneck, whose optimum is the top-k principal subspace (Baldi &
+    Hornik 1989): ‖(x−μ) − V_k V_kᵀ (x−μ)‖². Covariance is one aggregate; the
+    projection and residual are column expressions."""
+    mu, cov = mean_cov(fit if fit is not None else df, cols)
+    vals, vecs = np.linalg.eigh(cov)
+    v = vecs[:, np.argsort(vals)[::-1][:k]]
+    proj = v @ v.T
+    resid = []
+    for i, c in enumerate(cols):
+        r = F.col(c) - F.lit(float(mu[i]))
+        for j, cj in enumerate(cols):
+            if proj[i, j] != 0.0:
+                r = r - F.lit(float(proj[i, j])) * (F.col(cj) - F.lit(float(mu[j])))
+        resid.append(r * r)
+    total = resid[0]
+    for r in resid[1:]:
+        total = total + r
+    return df.select(key, total.alias("score"))
+
+
+def one_class_svm(df: DataFrame, key: str, cols: Sequence[str], nu: float = 0.05, n_components: int = 64,
+                  gamma: float | None = None, iterations: int = 200, lr: float = 0.5, seed: int = 42,
+                  fit: DataFrame | None = None) -> DataFrame:
+    """(key, score): RBF one-class SVM approximated in a random Fourier feature
+    space (Rahimi & Recht 2007), trained on the primal objective
+    ½‖w‖² + 1/(νn)·Σ max(0, ρ − w·z) − ρ by full-batch subgradient steps. Each
+    step is one distributed aggregate (violator count and feature sums); w has
+    n_components numbers. score = ρ − w·z (> 0 ⇒ outside the support)."""
+    import pandas as pd
+
+    from riskframe.operators.models import gamma_scale, random_fourier_features
+    base = fit if fit is not None else df
+    g = gamma if gamma is not None else gamma_scale(base, cols)
+    zc = [f"_z{i}" for i in range(n_components)]
+    zfit = random_fourier_features(base.select(*cols), cols, g, n_components, seed, "_z") \
+        .select(F.array(*zc).alias("z")).cache()
+    n = zfit.count()
+    w = np.full(n_components, 1.0 / np.sqrt(n_components))
+    rho = 0.0
+    out_schema = "k long, s array<double>"
+    for t in range(iterations):
+        w_now, rho_now = w.copy(), rho
+
+        def partial(batches, w_now=w_now, rho_now=rho_now):
+            k, acc = 0, np.zeros(len(w_now))
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                z = np.stack(pdf["z"].to_numpy())
+                viol = z @ w_now < rho_now
+                k += int(viol.sum())
+                acc += z[viol].sum(axis=0)
+            yield pd.DataFrame({"k": [k], "s": [acc.tolist()]})
+
+        # one vectorised partial sum per partition, then a tiny final sum
+        parts = zfit.mapInPandas(partial, out_schema).collect()
+        kv = sum(r["k"] for r in parts)
+        sz = np.sum([np.array(r["s"]) for r in parts], axis=0)
+        step = lr / np.sqrt(t + 1.0)
+        w = w - step * (w - sz / (nu * n))
+        rho = rho - step * (-1.0 + kv / (nu * n))
+    zfit.unpersist()
+    z = random_fourier_features(df.select(key, *cols), cols, g, n_components, seed, "_z")
+    margin = sum((F.col(c) * F.lit(float(w[i])) for i, c in enumerate(zc[1:], 1)), F.col(zc[0]) * F.lit(float(w[0])))
+    return z.select(key, (F.lit(rho) - margin).alias("score"))

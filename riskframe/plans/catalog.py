@@ -780,3 +780,46 @@ def q_kmeans_assign(spark, sf_dir):
 def q_score_direct(spark, sf_dir):
     p, m = _nb_points(spark, sf_dir)
     return cascade.score_direct(p, "vec_id", PTS, models.gaussian_nb_proba(m), threshold=None)
+
+
+@register("autoencoder_recon")
+def q_autoencoder_recon(spark, sf_dir):
+    s = anomaly.autoencoder_recon(_scaled_points(spark, sf_dir), "vec_id", PTS, k=2)
+    return anomaly.contamination_cut(s, "score")
+
+
+@register("one_class_svm")
+def q_one_class_svm(spark, sf_dir):
+    s = anomaly.one_class_svm(_scaled_points(spark, sf_dir), "vec_id", PTS, nu=0.05, iterations=100)
+    return anomaly.contamination_cut(s, "score")
+
+
+@register("shap_sampling")
+def q_shap_sampling(spark, sf_dir):
+    from riskframe.functions.rng import h
+    p, m = _nb_points(spark, sf_dir)
+    sample = p.orderBy(h(42, "vec_id"), "vec_id").limit(200)
+    background = p.orderBy(h(7, "vec_id"), "vec_id").limit(50)
+    return explain.sampling_shap(sample, "vec_id", PTS, lambda x: models.gaussian_nb_proba(m, x), background,
+                                 n_permutations=20)
+
+
+@register("detector_ensemble")
+def q_detector_ensemble(spark, sf_dir):
+    """Six detectors on the scaled points, votes stacked: (vec_id, detector, flag)."""
+    p = _scaled_points(spark, sf_dir)
+    tails = anomaly.tail_scores(p, "vec_id", PTS)
+    nodes = anomaly.iforest_fit(p, "vec_id", PTS, trees=100, sample=256, seed=42)
+    dets = {
+        "isolation_forest": anomaly.iforest_score(p, "vec_id", PTS, nodes),
+        "elliptic_envelope": anomaly.elliptic_envelope(p, "vec_id", PTS),
+        "one_class_svm": anomaly.one_class_svm(p, "vec_id", PTS, iterations=60),
+        "ecod": tails.select("vec_id", F.col("ecod").alias("score")),
+        "copod": tails.select("vec_id", F.col("copod").alias("score")),
+        "autoencoder": anomaly.autoencoder_recon(p, "vec_id", PTS, k=2),
+    }
+    votes = None
+    for name, sc in dets.items():
+        v = anomaly.contamination_cut(sc, "score").select("vec_id", F.lit(name).alias("detector"), "flag")
+        votes = v if votes is None else votes.unionByName(v)
+    return votes

@@ -81,3 +81,24 @@ def test_iforest_scores_outliers_higher(spark, pts):
     pdf = pts.select("vec_id", *cols).toPandas().merge(sc, on="vec_id")
     dist = np.sqrt(((pdf[cols] - pdf[cols].mean()) ** 2).sum(1))
     assert np.corrcoef(dist, pdf["score"])[0, 1] > 0.3
+
+
+def test_sampling_shap_efficiency(spark, pts):
+    from pyspark.sql import functions as F
+    from riskframe.operators import explain
+    cols = ["x1", "x2", "x3"]
+    score = lambda x: x["x1"] * 2.0 + x["x2"] * x["x3"]  # noqa: E731  non-additive on purpose
+    rows = pts.orderBy("vec_id").limit(5)
+    bg = pts.orderBy(F.col("vec_id").desc()).limit(1)  # a single background row ⇒ exact efficiency
+    phi = explain.sampling_shap(rows, "vec_id", cols, score, bg, n_permutations=6)
+    tot = {r["vec_id"]: r["s"] for r in phi.groupBy("vec_id").agg(F.sum("phi").alias("s")).collect()}
+    b = bg.first()
+    f_b = b["x1"] * 2.0 + b["x2"] * b["x3"]
+    for r in rows.collect():
+        assert tot[r["vec_id"]] == pytest.approx(r["x1"] * 2.0 + r["x2"] * r["x3"] - f_b, abs=1e-9)
+
+
+def test_autoencoder_full_rank_is_zero(spark, pts):
+    cols = ["x1", "x2", "x3"]
+    s = anomaly.autoencoder_recon(pts, "vec_id", cols, k=3).agg({"score": "max"}).first()[0]
+    assert s == pytest.approx(0.0, abs=1e-9)
