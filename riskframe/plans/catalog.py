@@ -119,6 +119,7 @@ def q_melt_metrics(spark, sf_dir):
 # --------------------------------------------------------------------------- `obs`: targets, splits, profiling
 
 from riskframe.functions import scalar  # noqa: E402
+from riskframe.session import materialize  # noqa: E402
 from riskframe.operators import features, prep, profile, split  # noqa: E402
 
 OBS_NUM = standins.OBS_NUMERIC
@@ -131,7 +132,8 @@ def _labelled(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return split.stratified_split(_labelled(spark, sf_dir), "id", "y", test=0.2, seed=42)
+    # fit-then-apply queries read the split table twice: write it once
+    return materialize(split.stratified_split(_labelled(spark, sf_dir), "id", "y", test=0.2, seed=42), "obs-split")
 
 
 def _train(spark, sf_dir):
