@@ -825,3 +825,16 @@ def q_detector_ensemble(spark, sf_dir):
         v = anomaly.contamination_cut(sc, "score").select("vec_id", F.lit(name).alias("detector"), "flag")
         votes = v if votes is None else votes.unionByName(v)
     return votes
+
+
+@register("shap_tree")
+def q_shap_tree(spark, sf_dir):
+    """TreeSHAP of a boosted-tree model (catboost role) on the 200-row explanation
+    sample of the test split; (vec_id, feature, phi) in margin units."""
+    from riskframe.functions.rng import h
+    s = _points_split(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
+    train = search.assemble(s.where(F.col("split") == "train"), PTS)
+    m = models.boosted_trees("catboost", n_estimators=20).setLabelCol("y").fit(train)
+    sample = s.where(F.col("split") == "test").orderBy(h(42, "vec_id"), "vec_id").limit(200)
+    phi, _ = explain.tree_shap(m, sample, "vec_id", PTS)
+    return phi

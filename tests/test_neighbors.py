@@ -102,3 +102,22 @@ def test_autoencoder_full_rank_is_zero(spark, pts):
     cols = ["x1", "x2", "x3"]
     s = anomaly.autoencoder_recon(pts, "vec_id", cols, k=3).agg({"score": "max"}).first()[0]
     assert s == pytest.approx(0.0, abs=1e-9)
+
+
+def test_tree_shap_additivity(spark, pts):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+    from riskframe.operators import explain
+    from riskframe.operators.search import assemble
+    cols = ["x1", "x2", "x3", "x4"]
+    d = pts.withColumn("y", (F.col("label") >= 5).cast("double"))
+    v = assemble(d, cols)
+    for est, raw in ((GBTClassifier(maxIter=5, maxDepth=3, labelCol="y"), "rawPrediction"),
+                     (RandomForestClassifier(numTrees=5, maxDepth=3, labelCol="y", seed=1), "probability")):
+        m = est.fit(v)
+        phi, base = explain.tree_shap(m, d.orderBy("vec_id").limit(20), "vec_id", cols)
+        tot = {r["vec_id"]: r["s"] for r in phi.groupBy("vec_id").agg(F.sum("phi").alias("s")).collect()}
+        out = m.transform(v.orderBy("vec_id").limit(20)).select("vec_id", vector_to_array(raw)[1].alias("f")).collect()
+        for r in out:
+            assert tot[r["vec_id"]] + base == pytest.approx(r["f"], abs=1e-6)
