@@ -121,3 +121,23 @@ def test_tree_shap_additivity(spark, pts):
         out = m.transform(v.orderBy("vec_id").limit(20)).select("vec_id", vector_to_array(raw)[1].alias("f")).collect()
         for r in out:
             assert tot[r["vec_id"]] + base == pytest.approx(r["f"], abs=1e-6)
+
+
+def test_connected_components_long_chain(spark):
+    # a 300-node path plus a separate 5-cycle: labels = min id per component
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 5) for i in range(5)]
+    verts = spark.createDataFrame([(i,) for i in range(301)] + [(1000 + i,) for i in range(5)], "id long")
+    e = spark.createDataFrame(edges, "a long, b long")
+    lab = {r["id"]: r["label"] for r in cluster.connected_components(verts, e).collect()}
+    assert all(lab[i] == 0 for i in range(301))
+    assert all(lab[1000 + i] == 1000 for i in range(5))
+
+
+def test_eps_pairs_symmetric_and_complete(spark, pts):
+    cols = ["x1", "x2", "x3"]
+    pdf = pts.select("vec_id", *cols).toPandas()
+    x, ids = pdf[cols].to_numpy(), pdf["vec_id"].to_numpy()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {(int(ids[i]), int(ids[j])) for i, j in zip(*np.where(d <= 0.1))}
+    got = {(r["a"], r["b"]) for r in neighbors.eps_pairs(pts, "vec_id", cols, 0.1).collect()}
+    assert got == want
