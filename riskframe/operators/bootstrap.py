@@ -7,8 +7,8 @@ Poisson(c). Since the metrics depend on a row only through its cell
 (group, score, pred, y), one Poisson(count) draw per (iteration, cell) gives
 exactly the row-level Poisson bootstrap while the work is
 B × #cells — independent of the number of rows. Draws are inverse-CDF
-samples of a uniform from a 64-bit hash of (seed, iteration, cell), so the
-answer does not depend on partitioning.
+samples of uniforms from a SplitMix64 stream seeded by a 64-bit hash of
+(seed, cell), so the answer does not depend on partitioning.
 Iterations where the resample has a single class are skipped, as in the
 reference; intervals are linear-interpolated 2.5 % / 97.5 % percentiles.
 """
@@ -81,22 +81,47 @@ def poisson_quantile(lam: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
-@pandas_udf(T.LongType())
-def _poisson_udf(lam: pd.Series, u: pd.Series) -> pd.Series:
-    return pd.Series(poisson_quantile(lam.to_numpy(), u.to_numpy()))
+_MASK64 = (1 << 64) - 1
+
+
+def _splitmix64(x: np.ndarray) -> np.ndarray:
+    """SplitMix64 finaliser (Steele, Lea & Flood 2014) on uint64 arrays."""
+    with np.errstate(over="ignore"):
+        z = x + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def cell_weights(lam: np.ndarray, cell_hash: np.ndarray, n_iterations: int) -> list[np.ndarray]:
+    """Poisson(lam) draws for iterations 0..B−1 of each cell; the uniform for
+    (cell, b) is splitmix64(cell_hash + b), so draws depend only on the cell."""
+    b = np.arange(n_iterations, dtype=np.uint64)
+    out = []
+    for lam_i, h_i in zip(lam, cell_hash):
+        bits = _splitmix64(np.uint64(np.int64(h_i).astype(np.uint64)) + b)
+        u = ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+        out.append(poisson_quantile(np.full(n_iterations, lam_i), u))
+    return out
+
+
+def _weights_udf(n_iterations: int):
+    @pandas_udf(T.ArrayType(T.LongType()))
+    def draw(lam: pd.Series, cell_hash: pd.Series) -> pd.Series:
+        return pd.Series(cell_weights(lam.to_numpy(), cell_hash.to_numpy(), n_iterations))
+    return draw
 
 
 def bootstrap_weights(scored: DataFrame, y: str, pred: str, p: str, by: Sequence[str] = (),
                       n_iterations: int = N_ITERATIONS, seed: int = 42) -> DataFrame:
-    """(by…, b, p, y, pred, w): Poisson resample weight of every cell in every iteration."""
+    """(by…, b, p, y, pred, w): Poisson resample weight of every cell in every
+    iteration. One Python row per cell returns all B draws (vectorised), the
+    JVM explodes them."""
     cells = scored.groupBy(*by, p, y, pred).agg(F.count(F.lit(1)).alias("_c"))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, p, y, pred]])
-    it = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))).alias("b"))
-    # JVM-side 64-bit hash → uniform in [0, 1): deterministic per (seed, b, cell)
-    hv = F.xxhash64(F.lit(int(seed)), F.col("b"), key)
-    u = (F.abs(hv % F.lit(1 << 53)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    w = it.select(*by, "b", p, y, pred, _poisson_udf(F.col("_c").cast("double"), u).alias("w")) \
-          .where(F.col("w") > 0)
+    draws = cells.select(*by, p, y, pred, _weights_udf(n_iterations)(F.col("_c").cast("double"),
+                                                                      F.xxhash64(F.lit(int(seed)), key)).alias("_w"))
+    w = draws.select(*by, p, y, pred, F.posexplode("_w").alias("b", "w")).where(F.col("w") > 0)
     # written once: every later job reads the weights instead of re-running the UDF
     return materialize(w, "boot-weights")
 

@@ -92,3 +92,42 @@ def test_two_phase_prefix_equals_single_phase(spark):
     many = {(r["m"], r["threshold"]): (r["tp"], r["n"], r["tt"]) for r in
             curves.curve_table(s, "y", "p", by=["m"], n_buckets=9).collect()}
     assert one == many and len(one) > 100
+
+
+def test_bootstrap_iterations_match_weighted_brute_force(spark):
+    import numpy as np
+    from riskframe.operators import bootstrap
+    rows = [(i, round((i * 37 % 100) / 100.0, 2), int((i * 37 % 100) > 40 if i % 5 else (i % 3 == 0)))
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, p double, y int").withColumn("pred", metrics.apply_threshold("p", 0.5))
+    w = bootstrap.bootstrap_weights(df, "y", "pred", "p", n_iterations=25, seed=7)
+    it = {r["b"]: r for r in bootstrap.bootstrap_iterations(df, "y", "pred", "p", weights=w).collect()}
+    wt = w.toPandas()
+    for b, g in wt.groupby("b"):
+        p_ = np.repeat(g["p"].to_numpy(), g["w"].to_numpy())
+        y_ = np.repeat(g["y"].to_numpy(), g["w"].to_numpy())
+        pr_ = np.repeat(g["pred"].to_numpy(), g["w"].to_numpy())
+        if y_.min() == y_.max():
+            assert b not in it
+            continue
+        pos, neg = p_[y_ == 1], p_[y_ == 0]
+        auc = ((pos[:, None] > neg[None]).sum() + 0.5 * (pos[:, None] == neg[None]).sum()) / (len(pos) * len(neg))
+        order = np.argsort(-p_, kind="stable")
+        ap = 0.0
+        for t in np.unique(p_)[::-1]:
+            sel = p_ >= t
+            ap += ((y_ == 1) & (p_ == t)).sum() / len(pos) * (y_[sel].sum() / sel.sum())
+        assert it[b]["recall"] == pytest.approx(((pr_ == 1) & (y_ == 1)).sum() / len(pos))
+        assert it[b]["roc_auc"] == pytest.approx(auc)
+        assert it[b]["pr_auc"] == pytest.approx(ap)
+        del order
+
+
+def test_poisson_draws_are_deterministic_and_unbiased():
+    import numpy as np
+    from riskframe.operators.bootstrap import cell_weights
+    a = cell_weights(np.array([3.0, 250.0]), np.array([11, -5]), 20000)
+    b = cell_weights(np.array([3.0, 250.0]), np.array([11, -5]), 20000)
+    assert all((x == y).all() for x, y in zip(a, b))
+    assert a[0].mean() == pytest.approx(3.0, rel=0.03) and a[0].var() == pytest.approx(3.0, rel=0.06)
+    assert a[1].mean() == pytest.approx(250.0, rel=0.01)
