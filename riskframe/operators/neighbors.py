@@ -102,7 +102,6 @@ def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Seque
     pending = q_grid.withColumn("_lvl", F.lit(0))
     for _ in range(max_rounds):
         levels = sorted(r_[0] for r_ in pending.select("_lvl").distinct().collect())
-        width = {lv: w * (2.0 ** lv) for lv in levels}
         wq = F.lit(w) * F.pow(F.lit(2.0), F.col("_lvl"))
         qx = pending.withColumns({f"_c{i}": F.floor((F.col(f"q_{c}") - F.lit(lo[i])) / wq).cast("long")
                                   for i, c in enumerate(grid)})
@@ -144,7 +143,6 @@ def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Seque
             results.append(top)
             break
         results.append(top.join(pending, [*match, "q_id"], "left_anti"))
-        del width
     out = results[0]
     for part in results[1:]:
         out = out.unionByName(part)
