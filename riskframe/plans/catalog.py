@@ -539,11 +539,17 @@ def q_pca_2d(spark, sf_dir):
 
 @register("silhouette")
 def q_silhouette(spark, sf_dir):
+    """DBSCAN and GMM silhouettes: exact squared-Euclidean on all rows (linear),
+    exact Euclidean on the bounded evaluation sample (≤ 20 000 rows)."""
     p = _scaled_points(spark, sf_dir)
-    labels = cluster.dbscan(p, "vec_id", PTS, eps=2.0, min_samples=5)
-    j = p.join(labels, "vec_id")
-    return spark.createDataFrame([("dbscan", cluster.silhouette_sq(j, PTS, "cluster"))],
-                                 "method string, silhouette_sq double")
+    out = []
+    for method, labels in (("dbscan", cluster.dbscan(p, "vec_id", PTS, eps=2.0, min_samples=5)),
+                           ("gmm", cluster.gmm(p, "vec_id", PTS, k=2, seed=42).select("vec_id", "cluster"))):
+        j = materialize(p.join(labels, "vec_id"), "sil")
+        sample = cluster.downsample(j, "vec_id", 20000, seed=42)
+        out.append((method, cluster.silhouette_sq(j, PTS, "cluster"),
+                    cluster.silhouette_exact(sample, "vec_id", PTS, "cluster")))
+    return spark.createDataFrame(out, "method string, silhouette_sq double, silhouette double")
 
 
 def _classifiers(n_features: int, n_train: int):
