@@ -141,3 +141,37 @@ def test_eps_pairs_symmetric_and_complete(spark, pts):
     want = {(int(ids[i]), int(ids[j])) for i, j in zip(*np.where(d <= 0.1))}
     got = {(r["a"], r["b"]) for r in neighbors.eps_pairs(pts, "vec_id", cols, 0.1).collect()}
     assert got == want
+
+
+def test_dbscan_with_a_hot_group_of_copies(spark):
+    # a third of the rows are copies of one point: result must equal the point-level brute force
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2)) * 0.5
+    rows = [(i, float(x[i, 0]), float(x[i, 1])) for i in range(60)] + [(100 + i, 0.1, 0.2) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    eps, ms = 0.3, 4
+    ids = np.array([r[0] for r in rows])
+    xy = np.array([[r[1], r[2]] for r in rows])
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    adj = d <= eps
+    core = adj.sum(1) >= ms
+    lab = {}
+    for i in np.argsort(ids):
+        if core[i] and ids[i] not in lab:
+            stack, comp, seen = [i], [], {i}
+            while stack:
+                j = stack.pop()
+                comp.append(j)
+                for t in np.where(adj[j] & core)[0]:
+                    if t not in seen:
+                        seen.add(t)
+                        stack.append(t)
+            m = min(ids[j] for j in comp)
+            for j in comp:
+                lab[ids[j]] = m
+    for i in range(len(ids)):
+        if not core[i]:
+            c = [lab[ids[j]] for j in np.where(adj[i] & core)[0]]
+            lab[ids[i]] = min(c) if c else -1
+    got = {r["id"]: r["cluster"] for r in cluster.dbscan(df, "id", ["a", "b"], eps=eps, min_samples=ms).collect()}
+    assert got == lab
