@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from riskframe.functions.rng import u01
 from riskframe.operators.curves import cumulative_desc
+from riskframe.session import materialize
 
 CONTAMINATION = 0.05
 
@@ -230,11 +231,19 @@ def iforest_fit(df: DataFrame, key: str, cols: Sequence[str], trees: int = 100,
     Each tree is built from ≤ sample rows in ``applyInPandas`` — bounded groups."""
     from pyspark.sql import Window
     n = df.count()
+    need = min(sample, n)
     keep = min(1.0, 4.0 * sample / max(n, 1))
     tree_ids = F.array(*[F.lit(t) for t in range(trees)])
-    cand = (df.select(key, *cols, F.explode(tree_ids).alias("tree"))
-            .withColumn("_u", u01(seed, F.concat(F.col("tree").cast("string"), F.lit("|"), F.col(key).cast("string"))))
-            .where(F.col("_u") < F.lit(keep)))
+    scored = (df.select(key, *cols, F.explode(tree_ids).alias("tree"))
+              .withColumn("_u", u01(seed, F.concat(F.col("tree").cast("string"), F.lit("|"), F.col(key).cast("string")))))
+    while True:
+        # ~4·sample rows per tree: written once, read by the check and the rank
+        cand = materialize(scored.where(F.col("_u") < F.lit(keep)), "iforest-cand")
+        # every tree must see at least `need` candidates, else the bottom-k is not exact: widen and retry
+        short = cand.groupBy("tree").count().where(F.col("count") >= need).count() < trees
+        if not short or keep >= 1.0:
+            break
+        keep = min(1.0, keep * 4.0)
     ranked = cand.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_u", key)))
     sub = ranked.where(F.col("_r") <= sample).drop("_u", "_r")
     max_depth = int(np.ceil(np.log2(max(sample, 2))))
