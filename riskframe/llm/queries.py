@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import sharding
+from riskframe.llm import packing, sharding
 from riskframe.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,15 @@ def op1_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+@_query
+def op6_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of 1024."""
+    out = packing.pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer_file(), 1024, 0, keep_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
