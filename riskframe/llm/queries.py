@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import packing, sharding
+from riskframe.llm import packing, sharding, simhash
 from riskframe.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,9 @@ def op6_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of 1024."""
     out = packing.pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer_file(), 1024, 0, keep_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@_query
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at three differing bits or fewer."""
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=3)
