@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import packing, sharding, simhash
+from riskframe.llm import packing, sharding, simhash, warc
+from riskframe.llm.common import scratch_path
 from riskframe.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,20 @@ def op6_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at three differing bits or fewer."""
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+@_query
+def op10_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, then read back from the archive."""
+    folder = scratch_path(spark, "warc")
+    warc.write_warc(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op10_sharded_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM q"""
