@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import packing, sharding, simhash, warc
+from riskframe.llm import packing, secrets, sharding, simhash, warc
 from riskframe.llm.common import scratch_path
 from riskframe.sources.tables import read_table
 
@@ -61,3 +61,14 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
 FROM q"""
+
+
+@_query
+def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, each a path with one version, by a ledger that starts empty."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = secrets.scan_versions(docs, scratch_path(spark, "ledger"), path_col="doc_id", content_col="text")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["rule"] == kind)).cast("long")
+    listed = F.concat_ws(",", F.transform("found", lambda x: F.concat_ws(":", x["rule"], x["start"], x["end"])))
+    return found.select(F.col("path").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
