@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import packing, secrets, sharding, simhash, warc
+from riskframe.llm import decontaminate, packing, secrets, sharding, simhash, warc
 from riskframe.llm.common import scratch_path
 from riskframe.sources.tables import read_table
 
@@ -72,3 +72,31 @@ def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.concat_ws(",", F.transform("found", lambda x: F.concat_ws(":", x["rule"], x["start"], x["end"])))
     return found.select(F.col("path").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+@_query
+def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of the benchmark in all documents."""
+    out = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLE["op3_winnowing_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+b1 AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+b2 AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b1),
+item AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM b2),
+size AS (SELECT DISTINCT n FROM item),
+d1 AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, size WHERE len(w) >= n),
+seen AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM d1),
+hit AS (SELECT doc_id, i, n, item_id FROM seen JOIN item USING (n, win)),
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit),
+cover AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY 1),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN ids USING (doc_id)"""
