@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, packing, secrets, sharding, simhash, warc
+from riskframe.llm import decontaminate, line_dedup, packing, secrets, sharding, simhash, warc
 from riskframe.llm.common import scratch_path
 from riskframe.sources.tables import read_table
 
@@ -100,3 +100,25 @@ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS i
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+
+@_query
+def op2_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later occurrences of three-line windows."""
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed")
+
+
+ORACLE["op2_line_window_dedup"] = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l WHERE len(ls) >= 3),
+w AS (SELECT doc_id, i, array_to_string(list_slice(ls, i, i + 2), chr(10)) AS win FROM p
+      WHERE trim(array_to_string(list_slice(ls, i, i + 2), ''), ' ') <> ''),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM o WHERE nth > 1),
+g AS (SELECT doc_id, list(i) AS at, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT l.doc_id,
+       CASE WHEN g.n IS NULL THEN text
+            ELSE array_to_string([ls[k] FOR k IN range(1, len(ls) + 1) IF NOT list_contains(g.at, k)], chr(10)) END AS text,
+       coalesce(len(ls), 0) AS n_lines, coalesce(g.n, 0) AS n_removed
+FROM l LEFT JOIN g USING (doc_id)"""
