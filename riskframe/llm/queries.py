@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, line_dedup, packing, secrets, sharding, simhash, warc
+from riskframe.llm import decontaminate, line_dedup, packing, secrets, sharding, simhash, toxicity, warc
 from riskframe.llm.common import scratch_path
 from riskframe.sources.tables import read_table
 
@@ -122,3 +122,9 @@ SELECT l.doc_id,
             ELSE array_to_string([ls[k] FOR k IN range(1, len(ls) + 1) IF NOT list_contains(g.at, k)], chr(10)) END AS text,
        coalesce(len(ls), 0) AS n_lines, coalesce(g.n, 0) AS n_removed
 FROM l LEFT JOIN g USING (doc_id)"""
+
+
+@_query
+def op4_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that aren't held out."""
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
