@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, line_dedup, packing, secrets, sharding, simhash, toxicity, warc
+from riskframe.llm import decontaminate, embedding_dedup, line_dedup, packing, secrets, sharding, simhash, toxicity, warc
 from riskframe.llm.common import scratch_path
 from riskframe.sources.tables import read_table
 
@@ -128,3 +128,9 @@ FROM l LEFT JOIN g USING (doc_id)"""
 def op4_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels that aren't held out."""
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@_query
+def op8_pivot_permutation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal labels linked at a cosine of 0.93 or more."""
+    return embedding_dedup.embedding_components(read_table(spark, sf_dir, "embeddings"), least=0.93)
