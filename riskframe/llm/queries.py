@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, embedding_dedup, line_dedup, packing, secrets, sharding, simhash, toxicity, warc
+from riskframe.llm import decontaminate, embedding_dedup, line_dedup, packing, secrets, sharding, simhash, suffix_dedup, toxicity, warc
 from riskframe.llm.common import scratch_path
 from riskframe.sources.tables import read_table
 
@@ -134,3 +134,10 @@ def op4_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pivot_permutation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of equal labels linked at a cosine of 0.93 or more."""
     return embedding_dedup.embedding_components(read_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@_query
+def op9_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 200 bytes that also start elsewhere."""
+    out = suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
