@@ -25,7 +25,7 @@ from riskframe.llm.common import materialize
 #: Documented bound of the sample that is fitted; words in the lexicon at most.
 FIT_ROWS, LEXICON_WORDS = 20_000, 300
 #: A lexicon word is in this share of the toxic texts of the sample, and in this many.
-LEAST_SHARE, LEAST_TEXTS = 0.01, 4
+LEAST_SHARE, LEAST_TEXTS = 0.01, 3
 TREES, DEPTH, STEP = 30, 3, 0.2
 
 #: Second-person words of English, German, French and Spanish.
@@ -105,19 +105,14 @@ def text_features(text: str | None, weights: dict[str, float], hidden: dict[str,
             len(_LONG_RUN.findall(text)) / n]
 
 
-def features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """``keep`` columns (ids, labels) and ``features`` (array) of each row's ``text``."""
+def features(lexicon: Lexicon):
+    """A column function: the array of ``FEATURES`` of a text column."""
     weights, hidden = lexicon.weights, lexicon.hidden()
-    kept = docs.select(*keep, "text").schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[keep].copy()
-            out["features"] = [text_features(t, weights, hidden) for t in b["text"]]
-            yield out
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept if f.name != "text"), "features array<double>"])
-    return docs.select(*keep, "text").mapInPandas(run, schema)
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_features(t, weights, hidden) for t in texts])
+    return run
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
@@ -137,7 +132,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     odds = F.log((F.col("a") + 0.5) / (ones - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (zeros - F.col("b") + 0.5))
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     top = (counts.where(F.col("a") >= least).select("word", odds.alias("odds"), (odds / spread).alias("z"))
-           .where("z > 3 and odds > 2").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect())
+           .where("z > 2.5 and odds > 2").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect())
     return Lexicon({r["word"]: float(r["odds"]) for r in top})
 
 
@@ -150,17 +145,22 @@ class ToxicityModel:
     calibration: object | None
     prior: float
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep`` columns and ``score`` (0 to 1) for every row of ``docs``, from its ``text`` alone."""
-        if self.trees is None:
-            return docs.select(*keep, F.lit(self.prior).alias("score"))
+    def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
+        """``docs`` with the column ``out`` (0 to 1) for every row, from ``text_col`` alone; a column of that
+        name is replaced, all others stay as they are."""
         from pyspark.ml.functions import array_to_vector, vector_to_array
-        x = features(docs, self.lexicon, keep).withColumn("features", array_to_vector("features"))
-        x = self.trees.transform(x).withColumn("_raw", vector_to_array("probability")[1])
-        if self.calibration is None:
-            return x.select(*keep, F.col("_raw").alias("score"))
-        x = self.calibration.transform(x.select(*keep, "_raw"))
-        return x.select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_calibrated"))).alias("score"))
+        names = docs.columns
+        x = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no clash with the columns that the models add
+        text = F.col(f"c{names.index(text_col)}")
+        if self.trees is None:
+            x = x.withColumn("_score", F.lit(self.prior))
+        else:
+            x = self.trees.transform(x.withColumn("features", array_to_vector(features(self.lexicon)(text))))
+            x = x.withColumn("_score", vector_to_array("probability")[1])
+            if self.calibration is not None:
+                x = self.calibration.transform(x).withColumn("_score", F.col("_calibrated"))
+        return x.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n != out],
+                        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))).alias(out))
 
 
 def held_out(id_col):
@@ -188,34 +188,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     lexicon = learn_lexicon(sample)
     ones, total = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count(F.lit(1))).first()
     prior = float(ones / total) if total else 0.0
-    x = materialize(features(sample, lexicon, ["label", "part"]).orderBy("part", "features", "label"), "toxic-features")
+    x = sample.select("label", "part", features(lexicon)("text").alias("features"))
+    x = materialize(x.orderBy("part", "features", "label"), "toxic-features")
     x = x.withColumn("features", array_to_vector("features"))
     grow = x.where("part != 0").coalesce(2)
     if grow.select("label").distinct().count() < 2:
         return ToxicityModel(lexicon, None, None, prior)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, minInstancesPerNode=5).fit(grow)
-    rest = trees.transform(x.where("part = 0")).select("label", vector_to_array("probability")[1].alias("_raw"))
+    rest = trees.transform(x.where("part = 0")).select("label", vector_to_array("probability")[1].alias("_score"))
     rest = materialize(rest, "toxic-calibration")
     if rest.select("label").distinct().count() < 2:
         return ToxicityModel(lexicon, trees, None, prior)
-    iso = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_calibrated").fit(rest)
+    iso = IsotonicRegression(featuresCol="_score", labelCol="label", predictionCol="_calibrated").fit(rest)
     return ToxicityModel(lexicon, trees, iso, prior)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id",
+def score_documents(docs: DataFrame, labels: DataFrame, out: str = "score", id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``.
+    """``docs`` with a toxicity score in ``out``, by a model fitted on its labelled rows that aren't held out.
 
     Null and empty texts are scored as texts without words; repeated rows each get the same
-    score; a null doc_id is scored, never learned from and not held out. Only ``text`` enters a score. Without
-    labels of both kinds every score is the share of label 1 (0 without labels). An empty
-    table gives an empty result; other columns are not read.
+    score; a row with a null id is scored, never learned from and not held out. Only the text enters a
+    score. Without labels of both kinds every score is the share of label 1 (0 without labels). An empty
+    table gives an empty result; all columns stay, one called ``out`` is replaced.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit_toxicity(plain, labels.select("doc_id", "toxic"))
-    # ids travel as text, so that a null among them doesn't turn the others into floats
-    keyed = plain.select(F.col("doc_id").cast("string").alias("key"), "text")
-    out = model.score(keyed, ["key"])
-    doc_id = F.col("key").cast(plain.schema["doc_id"].dataType)
-    return out.select(doc_id.alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
-                      (F.col("score") >= cut).cast("int").alias("predicted"))
+    return fit_toxicity(plain, labels.select("doc_id", "toxic")).score(docs, text_col, out)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of ``docs``; see ``score_documents``."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return score_documents(plain, labels).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
