@@ -1,14 +1,66 @@
-"""Corpus preparation as a chain of stages over ``documents``."""
+"""Corpus preparation as a chain of stages over ``documents``.
+
+Each stage calls one operator of ``riskframe.llm`` with production parameters, works on
+all rows that its predecessor kept, and returns the columns of ``documents`` (``n_chars``
+follows the text), but for the last, which returns packed token pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskframe.llm.common import materialize
+from riskframe.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from riskframe.llm.common import materialize, row_identity
 from riskframe.sources.tables import read_table
 
-STAGES = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator scores at 0.7 or more go."""
+    scored = toxicity.score_documents(docs, read_table(spark, sf_dir, "labels"), out="_toxicity")
+    return scored.where(F.col("_toxicity") < 0.7).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the later occurrences of three-line windows."""
+    out = line_dedup.dedup_lines(docs, window=3)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by SimHash (three words, three bits) the row with the smallest
+    doc_id stays (nulls last; of repeated rows any one)."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # numbers as written
+    linked = simhash.simhash_components(numbered, shingle=3, radius=3, id_col="_row")
+    order = F.struct(F.col("own.doc_id").isNull(), F.col("own.doc_id"), F.col("own._row"))
+    stay = (linked.alias("l").join(numbered.select("doc_id", "_row").alias("own"), F.col("l.doc_id") == F.col("own._row"))
+            .groupBy("component_id").agg(F.min_by("own._row", order).alias("_row")))
+    return numbered.join(stay.select("_row"), "_row", "left_semi").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a ten-word window of the benchmark go."""
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"), span=10)
+    rejected = found.where("n_hit > 0").select("row_key").distinct()
+    keyed = docs.withColumn("row_key", row_identity("doc_id", "text"))
+    return keyed.join(rejected, "row_key", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of 1024."""
+    import public_tokenizers
+    return packing.pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), 1024, 0, keep_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("simhash near-dedup", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Scores, fingerprints and packing have no SQL form; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
