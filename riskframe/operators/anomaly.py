@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from riskframe.functions.rng import u01
 from riskframe.operators.curves import cumulative_desc
+from riskframe.operators.quantiles import column_quantiles, exact_quantiles
 from riskframe.session import materialize
 
 CONTAMINATION = 0.05
@@ -77,20 +78,20 @@ def contamination_cut(scores: DataFrame, score: str, fit_scores: DataFrame | Non
     """scores + ``flag``: −1 when score > the (1−frac) linear percentile of the
     fit rows' scores, else +1. The cut-off is a one-row (per group) aggregate."""
     fit = fit_scores if fit_scores is not None else scores
-    cut = fit.groupBy(*by).agg(F.percentile(F.col(score), F.lit(1.0 - frac)).alias("_cut"))
+    cut = exact_quantiles(fit, score, [1.0 - frac], by).withColumn("_cut", F.col("q")[0]).drop("q")
     if by:
-        s = scores.join(F.broadcast(cut), list(by))
+        s = scores.join(cut, list(by))
     else:
-        s = scores.withColumn("_cut", F.lit(cut.first()["_cut"]))
+        s = scores.withColumn("_cut", F.lit((cut.first() or {"_cut": None})["_cut"]).cast("double"))
     return s.withColumn("flag", F.when(F.col(score) > F.col("_cut"), F.lit(-1)).otherwise(F.lit(1))).drop("_cut")
 
 
 def column_votes(df: DataFrame, key: str, cols: Sequence[str], frac: float = CONTAMINATION) -> DataFrame:
     """(key, detector, flag): each column acts as a detector flagging values above
     its own (1−frac) percentile (NULL ⇒ normal)."""
-    cuts = df.agg(*[F.percentile(F.col(c), F.lit(1.0 - frac)).alias(c) for c in cols]).first()
+    cuts = {c: q[0] for c, q in column_quantiles(df, cols, [1.0 - frac]).items()}
     rows = F.array(*[F.struct(F.lit(c).alias("detector"),
-                              F.when(F.col(c) > F.lit(cuts[c]), F.lit(-1)).otherwise(F.lit(1)).alias("flag"))
+                              F.when(F.col(c) > F.lit(cuts[c]).cast("double"), F.lit(-1)).otherwise(F.lit(1)).alias("flag"))
                      for c in cols])
     return df.select(key, F.inline(rows))
 
@@ -164,7 +165,7 @@ def elliptic_envelope(df: DataFrame, key: str, cols: Sequence[str], support_frac
     prev = None
     for _ in range(max_steps):
         scored = df.select(key, *cols, mahalanobis_expr(cols, mu, cov).alias("_d"))
-        cut = scored.agg(F.percentile("_d", F.lit(frac)).alias("c")).first()["c"]
+        cut = column_quantiles(scored, ["_d"], [frac])["_d"][0]
         support = scored.where(F.col("_d") <= F.lit(cut))
         mu_new, cov_new = mean_cov(support, cols)
         if prev is not None and np.allclose(mu_new, mu) and np.allclose(cov_new, cov):

@@ -8,35 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.components import component_labels
 from riskframe.operators.neighbors import eps_pairs
 from riskframe.session import materialize
 
 
 # ------------------------------------------------------------------ connected components
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, label = min id of its component) by min-label propagation with
-    pointer jumping (label ← label of label). Rounds ≈ log of the diameter;
-    each round's labels are written to the shared checkpoint folder."""
-    labels = materialize(vertices.select("id", F.col("id").alias("label")), "cc")
-    und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    und = materialize(und.where(F.col("a") != F.col("b")).distinct(), "cc-edges")
-    for _ in range(max_rounds):
-        # propagate: smallest label among self and neighbours
-        nbr = (und.join(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "nl"), "b")
-               .groupBy("a").agg(F.min("nl").alias("nl")))
-        prop = labels.join(nbr.withColumnRenamed("a", "id"), "id", "left").select(
-            "id", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        # pointer jumping: adopt the label of your label
-        jump = (prop.alias("p").join(prop.alias("q"), F.col("p.label") == F.col("q.id"), "left")
-                .select(F.col("p.id").alias("id"),
-                        F.least(F.col("p.label"), F.coalesce(F.col("q.label"), F.col("p.label"))).alias("label")))
-        new = materialize(jump, "cc")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old"))
-        labels = new
-        if changed.isEmpty():
-            break
-    return labels
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label = min id of its component) of every vertex; see ``component_labels``."""
+    found = component_labels(edges, "a", "b")
+    alone = vertices.select("id").join(found, "id", "left_anti").select("id", F.col("id").alias("label"))
+    return found.unionByName(alone)
 
 
 # ------------------------------------------------------------------ DBSCAN

@@ -47,6 +47,7 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
     empty table gives an empty result.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    e = materialize(e.distinct(), "cc")  # whatever made the edges runs once
     loops = e.where("a = b").select(F.col("a").alias("id")).distinct()
     e = e.where("a != b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
     e = materialize(e, "cc")

@@ -5,12 +5,12 @@ number of rows and positives scoring at least that threshold. Plan:
 
 1. ``groupBy(by, p)`` — map-side partial aggregation, so row skew (a third of
    all rows on one score) collapses into one row before the shuffle.
-2. Two-phase prefix sum over the distinct scores: when a group holds more
-   than ROWS_PER_WINDOW distinct scores, range buckets from a quantile sketch
-   split it; a cumulative window runs inside each ``(by, bucket)`` and
-   per-bucket offsets come from a bucket-level table of ``#groups × buckets``
-   rows (tiny next to the data; broadcast). No window task ever holds more
-   than ~ROWS_PER_WINDOW rows of one group.
+2. Two-phase prefix sum over the distinct scores: when the table holds more
+   than ROWS_PER_WINDOW rows, it is range-partitioned into buckets; a
+   cumulative window runs inside each ``(by, bucket)`` and per-bucket offsets
+   come from a bucket-level table of at most ``#groups + #buckets`` rows
+   (broadcast where its checked size allows). No window task holds more than
+   about ROWS_PER_WINDOW rows, however uneven the groups are.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from riskframe.session import materialize
 
-DEFAULT_BUCKETS = None  # automatic: bucket only groups larger than ROWS_PER_WINDOW
+DEFAULT_BUCKETS = None  # automatic: as many as the rows need
 
 
 def score_groups(scored: DataFrame, y: str, p: str, by: Sequence[str] = (),
@@ -36,55 +36,49 @@ def score_groups(scored: DataFrame, y: str, p: str, by: Sequence[str] = (),
 ROWS_PER_WINDOW = 200_000
 
 
-def _score_bounds(g: DataFrame, p: str, by: Sequence[str], n_buckets: int | None) -> list[float]:
-    """Bucket boundaries for the two-phase prefix sum.
+def _range_buckets(g: DataFrame, p: str, by: Sequence[str], n_buckets: int) -> DataFrame:
+    """``g`` with ``_bucket``: range partitions of (by…, p), numbered in order and written, so that both
+    phases see the same numbers. Rows are distinct in (by…, p), so a group of any share of them is cut
+    into as many buckets as its rows need."""
+    ranged = g.repartitionByRange(n_buckets, *[F.col(c) for c in by], F.col(p))
+    return materialize(ranged.withColumn("_bucket", F.spark_partition_id()), "curve-buckets")
 
-    A cheap aggregate gives the size of the distinct-score table and the number
-    of groups; only when a group would hold more than ROWS_PER_WINDOW rows in
-    one window task does a second pass take a quantile sketch for buckets."""
-    groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
-    r = g.agg(F.count(F.lit(1)).alias("n"), groups.alias("k")).first()
-    n, k = r["n"] or 0, max(r["k"] or 1, 1)
-    want = n_buckets if n_buckets is not None else -(-n // (k * ROWS_PER_WINDOW))
-    if want <= 1:
-        return []
-    # second pass only for big groups: a quantile sketch of the distinct scores
-    probs = [i / want for i in range(1, want)]
-    q = g.agg(F.percentile_approx(F.col(p), F.array(*[F.lit(x) for x in probs]),
-                                  max(10000, 20 * want)).alias("q")).first()["q"] or []
-    return sorted(set(float(b) for b in q if b is not None))
+
+#: Rows (groups × buckets) of an offset table up to which it is broadcast.
+OFFSET_ROWS = 500_000
 
 
 def cumulative_desc(g: DataFrame, p: str, cols: Sequence[str], by: Sequence[str] = (),
                     n_buckets: int | None = DEFAULT_BUCKETS, totals: bool = True) -> DataFrame:
     """Adds ``cum_<c>`` = Σ c over rows with score >= this score (per ``by``),
-    and ``tot_<c>`` = Σ c over the whole group, by a two-phase prefix sum."""
+    and ``tot_<c>`` = Σ c over the whole group, by a two-phase prefix sum.
+
+    ``g`` holds one row per (by…, p). Up to ROWS_PER_WINDOW rows in all, no group can be too large
+    for one window; beyond, range buckets over all rows keep every window task near that size."""
     by = list(by)
-    bounds = _score_bounds(g, p, by, n_buckets)
-    if not bounds:
-        # every group fits one window task: single-phase cumulative sums
+    want = n_buckets if n_buckets is not None else -(-g.count() // ROWS_PER_WINDOW)
+    if want <= 1:
         run = (Window.partitionBy(*by).orderBy(F.col(p).desc())
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         whole = Window.partitionBy(*by)
         return g.select("*", *[F.sum(c).over(run).alias(f"cum_{c}") for c in cols],
                         *([F.sum(c).over(whole).alias(f"tot_{c}") for c in cols] if totals else []))
-    # plain comparisons (stays in codegen): number of bounds ≤ score
-    bucket = sum(((F.col(p) >= F.lit(b)).cast("int") for b in bounds[1:]),
-                 (F.col(p) >= F.lit(bounds[0])).cast("int"))
-    g = g.withColumn("_bucket", bucket)
+    g = _range_buckets(g, p, by, want)
     inner = (Window.partitionBy(*by, "_bucket").orderBy(F.col(p).desc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    g = g.select("*", *[F.sum(c).over(inner).alias(f"_in_{c}") for c in cols])
-
-    per_bucket = g.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in cols])
+    per_bucket = materialize(g.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in cols]), "curve-offsets")
     before = (Window.partitionBy(*by).orderBy(F.col("_bucket").desc())
               .rowsBetween(Window.unboundedPreceding, -1))
     whole = Window.partitionBy(*by)
     offs = per_bucket.select(
-        *by, "_bucket",
+        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_bucket").alias("_k_bucket"),
         *[F.coalesce(F.sum(f"_b_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in cols],
         *([F.sum(f"_b_{c}").over(whole).alias(f"tot_{c}") for c in cols] if totals else []))
-    out = g.join(F.broadcast(offs), [*by, "_bucket"])
+    g = g.select("*", *[F.sum(c).over(inner).alias(f"_in_{c}") for c in cols])
+    same = F.col("_bucket") == F.col("_k_bucket")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    out = g.join(F.broadcast(offs) if per_bucket.count() <= OFFSET_ROWS else offs, same)
     return out.select(
         *[c for c in g.columns if c != "_bucket" and not c.startswith("_in_")],
         *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols],

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.scalar import fixed
 from riskframe.operators.curves import curve_table, summarize_curve, cost_optimal_threshold
+from riskframe.operators.quantiles import exact_quantiles
 
 # Published fixed values of the reference's operational tables.
 SIMULATION_THRESHOLDS = [0.1, 0.2, 0.3, 0.5, 0.7, 0.9]
@@ -160,17 +161,13 @@ def brier_verdict(raw: Column, calibrated: Column) -> Column:
 
 
 def calibration_curve(scored: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
-                      bins: int = 10, exact: bool = True) -> DataFrame:
+                      bins: int = 10) -> DataFrame:
     """Quantile-binned reliability table: (by…, bin, mean_pred, frac_pos, n).
 
-    Edges are linear-interpolated percentiles of p; a row goes to bin
-    ``#interior edges < p`` (right-closed interior bins); empty bins vanish.
-    ``exact=False`` swaps the exact percentile (value→count map per group) for
-    the bounded-memory sketch."""
+    Edges are linear-interpolated quantiles of p; a row goes to bin
+    ``#interior edges < p`` (right-closed interior bins); empty bins vanish."""
     qs = [i / bins for i in range(bins + 1)]
-    pct = (F.percentile(_c(p), F.array(*[F.lit(q) for q in qs])) if exact
-           else F.percentile_approx(_c(p), F.array(*[F.lit(q) for q in qs]), 100000))
-    edges = scored.groupBy(*by).agg(pct.alias("_edges"))
+    edges = exact_quantiles(scored.select(*by, _c(p).alias("_p")), "_p", qs, by).withColumnRenamed("q", "_edges")
     s = attach_group_stats(scored.select(*by, y, p), edges, by)
     interior = F.slice(F.col("_edges"), 2, bins - 1)
     binned = s.withColumn("bin", F.size(F.filter(interior, lambda e: e < _c(p))))

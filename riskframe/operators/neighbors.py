@@ -11,7 +11,10 @@ Grid join with certification (rounds of growing cells):
   column, and every supported metric is ≥ that coordinate difference. So when
   a query's k-th candidate distance is < margin, its k nearest are exact; the
   query is *certified* and its answer final.
-* Uncertified queries go to the next round with ``w`` doubled. Each round's
+* Uncertified queries go to the next round with larger cells: wide enough for
+  their k-th candidate, or geometrically wider where they lack candidates; at
+  the latest the block holds every reference. The loop ends when no query is
+  pending (it raises rather than drop one). Each round's
   candidates and uncertified set are written as tables into the shared
   checkpoint folder, so lineage stays one round deep and a lost executor
   recomputes only that round.
@@ -33,6 +36,10 @@ from pyspark.sql import functions as F
 from riskframe.session import ensure_checkpoint_dir, materialize
 
 
+#: A safety bell: levels grow geometrically and end at the one that holds all references.
+MAX_ROUNDS = 200
+
+
 def distance_expr(cols: Sequence[str], metric: str = "euclidean", q: str = "q_", r: str = "r_") -> Column:
     """Distance between the ``q_<c>`` and ``r_<c>`` columns.
 
@@ -60,7 +67,7 @@ def _grid_stats(ref: DataFrame, grid: Sequence[str]) -> tuple[int, list[float],
 
 def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Sequence[str], k: int = 5,
              metric: str = "euclidean", grid: Sequence[str] | None = None, match: Sequence[str] = (),
-             exclude_self: bool = False, per_cell: int = 64, max_rounds: int = 40) -> DataFrame:
+             exclude_self: bool = False, per_cell: int = 64) -> DataFrame:
     """(match…, q_id, r_id, dist, rank) — the k nearest reference rows of every
     query row (fewer when fewer references exist), exact.
 
@@ -100,7 +107,7 @@ def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Seque
 
     results = []
     pending = q_grid.withColumn("_lvl", F.lit(0))
-    for _ in range(max_rounds):
+    for _ in range(MAX_ROUNDS):
         levels = sorted(r_[0] for r_ in pending.select("_lvl").distinct().collect())
         wq = F.lit(w) * F.pow(F.lit(2.0), F.col("_lvl"))
         qx = pending.withColumns({f"_c{i}": F.floor((F.col(f"q_{c}") - F.lit(lo[i])) / wq).cast("long")
@@ -136,13 +143,22 @@ def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Seque
         # an uncertified query with k candidates knows an upper bound on its k-th
         # distance; any cell width ≥ that bound certifies it, so jump there
         jump = F.ceil(F.log2(F.greatest(F.col("_kth") / F.lit(w), F.lit(1.0)))).cast("int")
-        nxt = F.when(got >= k, F.greatest(F.col("_lvl") + 1, jump)).otherwise(F.col("_lvl") + 1)
+        # without k candidates the level grows geometrically, up to the one whose block holds all references
+        reach = None
+        for i, c in enumerate(grid):
+            far = F.greatest(F.abs(F.col(f"q_{c}") - F.lit(lo[i])), F.abs(F.lit(hi[i]) - F.col(f"q_{c}")))
+            reach = far if reach is None else F.greatest(reach, far)
+        all_in = F.ceil(F.log2(F.greatest(reach / F.lit(w), F.lit(1.0)))).cast("int") + 1
+        grown = F.greatest(F.col("_lvl") + 1, F.least(2 * F.col("_lvl") + 1, all_in))
+        nxt = F.when(got >= k, F.greatest(F.col("_lvl") + 1, F.least(jump, all_in))).otherwise(grown)
         pending = materialize(qx.join(kth, [*match, "q_id"], "left").where(~certified)
                               .select(*match, "q_id", *[f"q_{c}" for c in cols], nxt.alias("_lvl")), "knn-pending")
         if pending.isEmpty():
             results.append(top)
             break
         results.append(top.join(pending, [*match, "q_id"], "left_anti"))
+    else:
+        raise RuntimeError("kNN rounds did not certify every query")
     out = results[0]
     for part in results[1:]:
         out = out.unionByName(part)

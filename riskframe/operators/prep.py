@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.quantiles import exact_quantiles
+
 
 def _unpivot_strings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
@@ -39,12 +41,12 @@ def apply_mode(df: DataFrame, stats: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ robust scale
 
 def fit_robust(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, median, iqr) with linear-interpolated exact percentiles."""
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    wide = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c)[1].alias("median"),
-                              (F.col(c)[2] - F.col(c)[0]).alias("iqr")) for c in cols])
-    return wide.select(F.inline(rows))
+    """(column_name, median, iqr) with linear-interpolated exact quantiles (NULL for a column without values)."""
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in cols])
+    q = exact_quantiles(df.select(F.inline(rows)), "_x", [0.25, 0.5, 0.75], ["column_name"])
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return names.join(q, "column_name", "left").select(
+        "column_name", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
 def apply_robust(df: DataFrame, stats: DataFrame) -> DataFrame:

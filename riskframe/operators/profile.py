@@ -7,27 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.quantiles import column_quantiles
+
 
 def value_counts_with_null(df: DataFrame, col: str) -> DataFrame:
     """(value, n) including the NULL group."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Transposed describe: (feature, count, mean, std, min, p25, p50, p75, max).
 
     std is the sample std (ddof=1); quartiles are linear-interpolated exact
-    percentiles. One wide aggregate (partial aggregation per column) and a
-    generator to unpivot — no join. ``exact=False`` swaps in the bounded-memory
-    quantile sketch for columns with very many distinct values."""
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quantiles by two-phase counts. One wide aggregate (partial aggregation per
+    column) gives the rest."""
+    quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, qs) if exact else F.percentile_approx(x, qs, 100000).cast("array<double>")
+        q = F.array(*[F.lit(v).cast("double") for v in quartiles[c]])
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+                 F.first(q).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__count").alias("count"),
                               F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),

@@ -635,6 +635,7 @@ from riskframe.session import materialize  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from riskframe.sources import patients, sinks  # noqa: E402
+from riskframe.operators.quantiles import column_quantiles  # noqa: E402
 from riskframe.streaming import score_stream as stream  # noqa: E402
 
 HEART_CSV_SCHEMA = T.StructType(
@@ -678,7 +679,7 @@ def q_score_cascade_stream(spark, sf_dir):
     p, m = _nb_points(spark, sf_dir)
     mu, cov = anomaly.mean_cov(p, PTS)
     d2 = anomaly.mahalanobis_expr(PTS, mu, cov)
-    cut = p.select(d2.alias("d")).agg(F.percentile("d", F.lit(0.95))).first()[0]
+    cut = column_quantiles(p.select(d2.alias("d")), ["d"], [0.95])["d"][0]
     src, out = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
     p.select("vec_id", *PTS).write.json(src)
     schema = T.StructType([T.StructField("vec_id", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in PTS])

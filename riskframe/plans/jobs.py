@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.scalar import bool_to_label
 from riskframe.operators import anomaly, bootstrap, curves, features, metrics, neighbors, prep, split
 from riskframe.operators.models import boosted_trees
+from riskframe.operators.quantiles import exact_quantiles
 from riskframe.operators.search import assemble, fold_tables, score_model
 from riskframe.plans import cascade
 from riskframe.profiles import PROFILES, Profile
@@ -128,7 +129,7 @@ def train(spark: SparkSession, csv: str, prof: Profile, model_dir: str, n_estima
         nodes = anomaly.iforest_fit(z, prof.key, num, trees=100, sample=256, seed=42)
         nodes.write.mode("overwrite").parquet(_p(model_dir, "gate_nodes"))
         sc = anomaly.iforest_score(z, prof.key, num, spark.read.parquet(_p(model_dir, "gate_nodes")))
-        sc.agg(F.percentile("score", F.lit(0.95)).alias("cut")).write.mode("overwrite").parquet(_p(model_dir, "gate_cut"))
+        exact_quantiles(sc, "score", [0.95]).select(F.col("q")[0].alias("cut")).write.mode("overwrite").parquet(_p(model_dir, "gate_cut"))
 
 
 def evaluate(spark: SparkSession, csv: str, prof: Profile, model_dir: str, out_json: str) -> dict:

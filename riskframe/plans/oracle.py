@@ -366,7 +366,8 @@ from hsp h"""
 
 PTS = [f"x{i}" for i in range(1, 9)]
 POINTS = "points as (select vec_id, " + ", ".join(
-    f"cast(embedding[{i}] as double) as x{i}" for i in range(1, 9)) + ", label from embeddings)"
+    "(" + " + ".join(f"cast(embedding[{8 * (j - 1) + i}] as double)" for i in range(1, 9)) + f") as x{j}"
+    for j in range(1, 9)) + ", label from embeddings)"
 SPOINTS = "sp_pts as (select vec_id, " + ", ".join(
     f"(x{i} - avg(x{i}) over ()) / coalesce(nullif(stddev_pop(x{i}) over (), 0), 1) as x{i}" for i in range(1, 9)) + \
     " from points)"

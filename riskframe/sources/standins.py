@@ -73,9 +73,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight features per vector: the sums of eight components each, so all 64 are read."""
     e = read_table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(8)],
-                    "label")
+    part = lambda i: F.col("embedding")[i].cast("double")
+    sums = [sum((part(8 * j + i) for i in range(1, 8)), part(8 * j)).alias(f"x{j + 1}") for j in range(8)]
+    return e.select("vec_id", *sums, "label")
 
 
 # Category vocabularies of the hashed heart stand-in (fixed values).
