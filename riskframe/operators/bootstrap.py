@@ -15,6 +15,7 @@ reference; intervals are linear-interpolated 2.5 % / 97.5 % percentiles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,56 +29,30 @@ from riskframe.session import materialize
 from riskframe.operators.curves import cumulative_desc
 
 N_ITERATIONS = 1000
-EXACT_BELOW = 100.0
-
-
-def _norm_ppf(p: np.ndarray) -> np.ndarray:
-    """Inverse standard normal CDF (Acklam's rational approximation, |rel err| < 1.2e-9)."""
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
-         -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
-         -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
-         4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
-    p = np.clip(p, 1e-300, 1 - 1e-16)
-    q = np.where(p < 0.5, p, 1 - p)
-    t = np.sqrt(-2 * np.log(q))
-    tail = (((((c[0] * t + c[1]) * t + c[2]) * t + c[3]) * t + c[4]) * t + c[5]) / \
-           ((((d[0] * t + d[1]) * t + d[2]) * t + d[3]) * t + 1)
-    r = p - 0.5
-    s = r * r
-    mid = (((((a[0] * s + a[1]) * s + a[2]) * s + a[3]) * s + a[4]) * s + a[5]) * r / \
-          (((((b[0] * s + b[1]) * s + b[2]) * s + b[3]) * s + b[4]) * s + 1)
-    low = q < 0.02425
-    out = np.where(low, np.where(p < 0.5, tail, -tail), mid)
-    return out
+
+
+def _poisson_table(rate: float) -> tuple[int, np.ndarray]:
+    """(first k, P(X ≤ k) from there on) of a Poisson law; what lies outside is below 1e-30."""
+    if rate <= 0:
+        return 0, np.ones(1)
+    spread = 12.0 * np.sqrt(rate) + 25
+    low = max(0, int(rate - spread))
+    ks = np.arange(low, int(rate + spread) + 1)
+    first = -rate + low * math.log(rate) - math.lgamma(low + 1)
+    steps = np.log(rate) - np.log(np.maximum(ks[1:], 1))
+    return low, np.cumsum(np.exp(first + np.concatenate([[0.0], np.cumsum(steps)])))
 
 
 def poisson_quantile(lam: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Smallest k with P(X ≤ k) ≥ u for X ~ Poisson(lam): exact inversion below
-    EXACT_BELOW, normal approximation with continuity correction above."""
-    lam = np.asarray(lam, dtype=float)
-    u = np.asarray(u, dtype=float)
+    """Smallest k with P(X ≤ k) ≥ u for X ~ Poisson(lam), by inversion at every rate."""
+    lam, u = np.asarray(lam, dtype=float), np.asarray(u, dtype=float)
     out = np.zeros(len(lam), dtype=np.int64)
-    small = lam < EXACT_BELOW
-    if small.any():
-        # one CDF table per distinct rate (cell counts repeat a lot), then a
-        # binary search per draw
-        idx = np.where(small)[0]
-        rates, inv = np.unique(lam[idx], return_inverse=True)
-        for j, rate in enumerate(rates):
-            kmax = int(rate + 12.0 * np.sqrt(rate) + 25)
-            ks = np.arange(kmax + 1)
-            logpmf = -rate + ks * np.log(rate) - np.cumsum(np.log(np.maximum(ks, 1))) if rate > 0 else \
-                np.where(ks == 0, 0.0, -np.inf)
-            cdf = np.cumsum(np.exp(logpmf))
-            sel = idx[inv == j]
-            out[sel] = np.minimum(np.searchsorted(cdf, u[sel], side="left"), kmax)
-    big = ~small
-    if big.any():
-        lb = lam[big]
-        out[big] = np.maximum(0, np.floor(lb + np.sqrt(lb) * _norm_ppf(u[big]) + 0.5)).astype(np.int64)
+    # one table per distinct rate (cell counts repeat a lot), then a binary search per draw
+    rates, inv = np.unique(lam, return_inverse=True)
+    for j, rate in enumerate(rates):
+        low, cdf = _poisson_table(float(rate))
+        sel = inv == j
+        out[sel] = low + np.minimum(np.searchsorted(cdf, u[sel], side="left"), len(cdf) - 1)
     return out
 
 

@@ -161,7 +161,8 @@ def silhouette_sq(df: DataFrame, cols: Sequence[str], cluster: str) -> float:
         own = F.when(is_own, a) if own is None else own.when(is_own, a)
         cand = F.when(~is_own, e)
         other = cand if other is None else F.least(other, cand)
-    s = F.when(own.isNull(), F.lit(0.0)).otherwise((other - own) / F.greatest(own, other))
+    s = F.when(own.isNull() | (F.greatest(own, other) == 0), F.lit(0.0)).otherwise(
+        F.try_divide(other - own, F.greatest(own, other)))
     return float(df.select(s.alias("s")).agg(F.avg("s")).first()[0])
 
 
@@ -178,25 +179,27 @@ def silhouette_exact(df: DataFrame, key: str, cols: Sequence[str], cluster: str)
     uniq = np.unique(lab)
     if len(uniq) < 2:
         return float("nan")
-    counts = {u: int((lab == u).sum()) for u in uniq}
     bx = df.sparkSession.sparkContext.broadcast((x, lab))
     cols = list(cols)
 
     def run(batches):
         xa, la = bx.value
         for b in batches:
-            xb = b[cols].to_numpy(dtype=float)
-            lb = b[cluster].to_numpy()
-            dist = np.sqrt(np.maximum(((xb[:, None, :] - xa[None, :, :]) ** 2).sum(-1), 0.0))
-            out = np.zeros(len(xb))
-            for i in range(len(xb)):
-                own = lb[i]
-                if counts[own] <= 1:
-                    out[i] = 0.0
-                    continue
-                a = dist[i, la == own].sum() / (counts[own] - 1)
-                bmin = min(dist[i, la == u].mean() for u in uniq if u != own)
-                out[i] = (bmin - a) / max(a, bmin) if max(a, bmin) > 0 else 0.0
+            own = np.searchsorted(uniq, b[cluster].to_numpy())
+            xb, out = b[cols].to_numpy(dtype=float), np.zeros(len(b))
+            member = (la[:, None] == uniq[None, :]).astype(float)
+            size = member.sum(axis=0)
+            for at in range(0, len(xb), 64):
+                rows = np.arange(len(xb[at:at + 64]))
+                mine = own[at:at + 64]
+                sums = np.sqrt(((xb[at:at + 64, None, :] - xa[None, :, :]) ** 2).sum(-1)) @ member
+                a = sums[rows, mine] / np.maximum(size[mine] - 1, 1)
+                means = sums / size
+                means[rows, mine] = np.inf
+                nearest = means.min(axis=1)
+                top = np.maximum(a, nearest)
+                fine = (size[mine] > 1) & (top > 0)
+                out[at:at + 64][fine] = ((nearest - a)[fine] / top[fine])
             yield pd.DataFrame({"s": out})
 
     res = df.select(cluster, *cols).repartition(max(1, min(64, len(pts) // 500 + 1))) \

@@ -202,66 +202,54 @@ def tree_tables(model) -> tuple[list[dict], list[float], str]:
     return trees, [float(w) for w in weights], kind
 
 
-def _tree_shap_one(x, t, phi, scale):
-    """Path-dependent TreeSHAP (Lundberg, Erion & Lee 2018, Algorithm 2) for one row."""
-    def extend(path, pz, po, pi):
-        depth = len(path)
-        path = [list(e) for e in path] + [[pi, pz, po, 1.0 if depth == 0 else 0.0]]
-        for i in range(depth - 1, -1, -1):
-            path[i + 1][3] += po * path[i][3] * (i + 1) / (depth + 1)
-            path[i][3] = pz * path[i][3] * (depth - i) / (depth + 1)
-        return path
-
-    def unwind(path, idx):
-        depth = len(path) - 1
-        po, pz = path[idx][2], path[idx][1]
-        nxt = path[depth][3]
-        out = [list(e) for e in path]
-        for i in range(depth - 1, -1, -1):
-            if po != 0:
-                tmp = out[i][3]
-                out[i][3] = nxt * (depth + 1) / ((i + 1) * po)
-                nxt = tmp - out[i][3] * pz * (depth - i) / (depth + 1)
-            else:
-                out[i][3] = out[i][3] * (depth + 1) / (pz * (depth - i))
-        for i in range(idx, depth):
-            out[i][0], out[i][1], out[i][2] = out[i + 1][0], out[i + 1][1], out[i + 1][2]
-        return out[:depth]
-
-    def unwound_sum(path, idx):
-        depth = len(path) - 1
-        po, pz = path[idx][2], path[idx][1]
-        nxt = path[depth][3]
-        total = 0.0
-        for i in range(depth - 1, -1, -1):
-            if po != 0:
-                tmp = nxt * (depth + 1) / ((i + 1) * po)
-                total += tmp
-                nxt = path[i][3] - tmp * pz * (depth - i) / (depth + 1)
-            else:
-                total += (path[i][3] / pz) / ((depth - i) / (depth + 1))
-        return total
+def _leaf_paths(t) -> list[tuple[float, dict[int, tuple[float, list[tuple[float, bool]]]]]]:
+    """(value, {feature: (share of the training cover kept by its splits, its splits)}) per leaf; a split
+    is (threshold, whether the path goes left)."""
+    out = []
 
-    def recurse(node, path, pz, po, pi):
-        path = extend(path, pz, po, pi)
-        f = t["feature"][node]
+    def walk(node, path):
+        f = int(t["feature"][node])
         if f < 0:
-            for i in range(1, len(path)):
-                w = unwound_sum(path, i)
-                phi[int(path[i][0])] += scale * w * (path[i][2] - path[i][1]) * t["value"][node]
+            out.append((float(t["value"][node]), path))
             return
-        hot, cold = (t["left"][node], t["right"][node]) if x[f] <= t["threshold"][node] else \
-            (t["right"][node], t["left"][node])
-        c = t["cover"][node]
-        iz, io = 1.0, 1.0
-        k = next((i for i in range(1, len(path)) if path[i][0] == f), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = unwind(path, k)
-        recurse(hot, path, iz * t["cover"][hot] / c, io, f)
-        recurse(cold, path, iz * t["cover"][cold] / c, 0.0, f)
+        for child, goes_left in ((int(t["left"][node]), True), (int(t["right"][node]), False)):
+            share, splits = path.get(f, (1.0, []))
+            kept = share * float(t["cover"][child]) / float(t["cover"][node])
+            walk(child, {**path, f: (kept, [*splits, (float(t["threshold"][node]), goes_left)])})
+
+    walk(0, {})
+    return out
+
 
-    recurse(0, [], 1.0, 1.0, -1)
+def _leaf_shap(x, leaves, phi, scale) -> None:
+    """Add the path-dependent Shapley values of one tree (Lundberg et al. 2018) for all rows of ``x``.
+
+    A leaf with m features on its path is a game whose value is the product, over the features, of
+    "the row follows the path" (o) for features in the coalition and of the cover share (z) for others. A
+    feature's Shapley value is (o − z) times the coefficients of Π(z + o·t) over the other features,
+    weighted by k!(m − k − 1)!/m!."""
+    import math
+
+    import numpy as np
+    for value, path in leaves:
+        feats, m = list(path), len(path)
+        if not m:
+            continue
+        z = [path[f][0] for f in feats]
+        o = []
+        for f in feats:
+            follows = np.ones(len(x), bool)
+            for threshold, goes_left in path[f][1]:
+                follows &= (x[:, f] <= threshold) == goes_left
+            o.append(follows.astype(float))
+        weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+        for i, f in enumerate(feats):
+            coef = [np.ones(len(x))]
+            for j in range(m):
+                if j != i:
+                    coef = [(coef[k] * z[j] if k < len(coef) else 0.0) + (coef[k - 1] * o[j] if k else 0.0)
+                            for k in range(len(coef) + 1)]
+            phi[:, f] += scale * value * (o[i] - z[i]) * sum(w * c for w, c in zip(weight, coef))
 
 
 def _expected(t) -> float:
@@ -279,19 +267,16 @@ def tree_shap(model, df: DataFrame, key: str, cols: Sequence[str]) -> tuple[Data
     trees, weights, _ = tree_tables(model)
     base = float(sum(w * _expected(t) for t, w in zip(trees, weights)))
     cols = list(cols)
+    paths = [_leaf_paths(t) for t in trees]
 
     def run(batches):
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
-            out_k, out_f, out_v = [], [], []
-            for r in range(len(x)):
-                phi = np.zeros(len(cols))
-                for t, w in zip(trees, weights):
-                    _tree_shap_one(x[r], t, phi, w)
-                out_k += [pdf[key].iloc[r]] * len(cols)
-                out_f += cols
-                out_v += phi.tolist()
-            yield pd.DataFrame({key: out_k, "feature": out_f, "phi": out_v})
+            phi = np.zeros(x.shape)
+            for leaves, w in zip(paths, weights):
+                _leaf_shap(x, leaves, phi, w)
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(cols)), "feature": cols * len(x),
+                                "phi": phi.ravel()})
 
     ktype = df.schema[key].dataType.simpleString()
     return df.select(key, *cols).mapInPandas(run, f"{key} {ktype}, feature string, phi double"), base

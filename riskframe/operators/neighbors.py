@@ -79,8 +79,9 @@ def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Seque
     grid = list(grid or cols[: min(2, len(cols))])
     match = list(match)
     spark = query.sparkSession
-    q = query.select(F.col(qkey).alias("q_id"), *match, *[F.col(c).cast("double").alias(f"q_{c}") for c in cols])
-    r = ref.select(F.col(rkey).alias("r_id"), *match, *[F.col(c).cast("double").alias(f"r_{c}") for c in cols])
+    held = cols + [c for c in grid if c not in cols]  # a grid column need not enter the distance
+    q = query.select(F.col(qkey).alias("q_id"), *match, *[F.col(c).cast("double").alias(f"q_{c}") for c in held])
+    r = ref.select(F.col(rkey).alias("r_id"), *match, *[F.col(c).cast("double").alias(f"r_{c}") for c in held])
     nulls = F.lit(False)
     for c in grid:
         nulls = nulls | F.col(f"q_{c}").isNull()
@@ -152,7 +153,7 @@ def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Seque
         grown = F.greatest(F.col("_lvl") + 1, F.least(2 * F.col("_lvl") + 1, all_in))
         nxt = F.when(got >= k, F.greatest(F.col("_lvl") + 1, F.least(jump, all_in))).otherwise(grown)
         pending = materialize(qx.join(kth, [*match, "q_id"], "left").where(~certified)
-                              .select(*match, "q_id", *[f"q_{c}" for c in cols], nxt.alias("_lvl")), "knn-pending")
+                              .select(*match, "q_id", *[f"q_{c}" for c in held], nxt.alias("_lvl")), "knn-pending")
         if pending.isEmpty():
             results.append(top)
             break
@@ -196,20 +197,29 @@ def knn_impute(df: DataFrame, train: DataFrame, key: str, cols: Sequence[str], k
 
     Each (row, missing feature) is a query; each (training row, present
     feature) a reference; the feature is an extra equi-join key of the grid
-    join, so donors are only ever compared within one feature."""
+    join, so donors are only ever compared within one feature. A row's grid is
+    made of the first two columns that it has and that every donor has, so
+    rows that lack different columns don't change each other's plan. A row
+    without any such column is compared with all donors of its feature."""
     cols = list(cols)
     if grid is None:
         nn = train.agg(*[F.count(F.col(c)).alias(c) for c in cols] + [F.count(F.lit(1)).alias("_n")]).first()
-        nq = df.agg(*[F.count(F.col(c)).alias(c) for c in cols] + [F.count(F.lit(1)).alias("_n")]).first()
-        grid = [c for c in cols if nn[c] == nn["_n"] and nq[c] == nq["_n"]][:2]
-        if not grid:
-            raise ValueError("knn_impute needs at least one always-present column as grid column")
+        whole = [c for c in cols if nn[c] == nn["_n"]]
+        grid = whole
+    own = F.slice(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in grid] or [F.lit(None).cast("string")]),
+                           lambda x: x.isNotNull()), 1, 2)
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
     present = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
-    queries = df.select(key, *cols, F.explode(missing).alias("_f"))
-    refs = train.select(key, *cols, F.explode(present).alias("_f"))
-    nbrs = knn_join(queries, refs, key, key, cols, k=k, metric="nan_euclidean", grid=grid, match=["_f"],
-                    per_cell=per_cell)
+    queries = df.select(key, *cols, own.alias("_grid"), F.lit(0.0).alias("_one"), F.explode(missing).alias("_f"))
+    refs = train.select(key, *cols, F.lit(0.0).alias("_one"), F.explode(present).alias("_f"))
+    nbrs = None
+    for (some,) in sorted(queries.select("_grid").distinct().collect()):  # at most (columns² + columns) / 2 + 1
+        part = knn_join(queries.where(F.col("_grid") == F.array(*[F.lit(c) for c in some]).cast("array<string>")), refs,
+                        key, key, cols, k=k, metric="nan_euclidean", grid=list(some) or ["_one"], match=["_f"],
+                        per_cell=per_cell)
+        nbrs = part if nbrs is None else nbrs.unionByName(part)
+    if nbrs is None:  # nothing is missing
+        return df
     long_train = train.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("_v"))
                                                       for c in cols])))
     donated = (nbrs.join(long_train.withColumnRenamed(key, "r_id"), ["r_id", "_f"])

@@ -25,15 +25,34 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
-def score_model(model, df: DataFrame, key: str, y: str | None = None) -> DataFrame:
+def fit_sigmoid(folds: list[tuple[DataFrame, DataFrame]], make: Callable[[], object], y: str) -> tuple[float, float]:
+    """(slope, shift) of the sigmoid that maps margins to probabilities, fitted on the margins of
+    held-out folds."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    held = None
+    for tr, va in folds:
+        m = make().setLabelCol(y).setFeaturesCol("features").fit(tr)
+        one = m.transform(va).select(F.col(y).cast("double").alias("y"), array_to_vector(
+            F.array(vector_to_array("rawPrediction")[1])).alias("margin"))
+        held = one if held is None else held.unionByName(one)
+    fit = LogisticRegression(featuresCol="margin", labelCol="y", maxIter=100).fit(materialize(held, "margins"))
+    return float(fit.coefficients[0]), float(fit.intercept)
+
+
+def score_model(model, df: DataFrame, key: str, y: str | None = None,
+                sigmoid: tuple[float, float] | None = None) -> DataFrame:
     """(key, y?, pred, p): hard label and class-1 probability."""
     from pyspark.ml.functions import vector_to_array
     t = model.transform(df)
     cols = [key] + ([y] if y else [])
     if "probability" in t.columns:
         p = vector_to_array("probability")[1]
-    else:  # margin-only models (LinearSVC): logistic squash of the raw margin
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array("rawPrediction")[1]))
+    else:  # margin-only models (LinearSVC): the sigmoid fitted with fit_sigmoid
+        if sigmoid is None:
+            raise ValueError("a model without probabilities needs a fitted sigmoid")
+        slope, shift = sigmoid
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(slope) * vector_to_array("rawPrediction")[1] + F.lit(shift))))
     return t.select(*cols, F.col("prediction").cast("int").alias("pred"), p.alias("p"))
 
 
@@ -88,7 +107,7 @@ def calibrate_isotonic(df: DataFrame, key: str, y: str, cols: Sequence[str], mak
     """Isotonic calibration with ``cv`` stratified folds: per fold the model is
     refit on the other folds and an isotonic map is fit on the held-out scores;
     the calibrated probability is the mean of the ``cv`` calibrated outputs.
-    Returns (key, p_raw, p) on ``score_on`` (p_raw from the first fold's model)."""
+    Returns (key, p_raw, p) on ``score_on``; p_raw is from the model fitted on all rows of ``df``."""
     from pyspark.ml.regression import IsotonicRegression
     folds = fold_tables(df, key, y, cols, cv, seed)
     target = assemble(score_on, cols)
@@ -98,10 +117,12 @@ def calibrate_isotonic(df: DataFrame, key: str, y: str, cols: Sequence[str], mak
         held = score_model(model, va, key, y)
         iso = IsotonicRegression(featuresCol="p", labelCol="_y").fit(held.withColumn("_y", F.col(y).cast("double")))
         s = score_model(model, target, key)
-        cal = iso.transform(s).select(key, F.col("p").alias(f"raw{i}"), F.col("prediction").alias(f"cal{i}"))
+        cal = iso.transform(s).select(key, F.col("prediction").alias(f"cal{i}"))
         outs.append(cal)
-    j = outs[0]
-    for o in outs[1:]:
+    whole = assemble(df.withColumn(y, F.col(y).cast("double")), cols).select(key, y, "features")
+    raw = make().setLabelCol(y).setFeaturesCol("features").fit(whole)
+    j = score_model(raw, target, key).select(key, F.col("p").alias("p_raw"))
+    for o in outs:
         j = j.join(o, key)
     mean = sum((F.col(f"cal{i}") for i in range(1, cv)), F.col("cal0")) / F.lit(float(cv))
-    return j.select(key, F.col("raw0").alias("p_raw"), mean.alias("p"))
+    return j.select(key, "p_raw", mean.alias("p"))

@@ -592,8 +592,11 @@ def q_clf_svm_rbf(spark, sf_dir):
     z = models.random_fourier_features(s, PTS, gamma, n_components=64, seed=42)
     zc = [f"rff{i}" for i in range(64)]
     v = search.assemble(z, zc)
-    m = LinearSVC(regParam=0.01, maxIter=100).setLabelCol("y").fit(v.where(F.col("split") == "train"))
-    return search.score_model(m, v.where(F.col("split") == "test"), "vec_id", "y")
+    make = lambda: LinearSVC(regParam=0.01, maxIter=100)
+    m = make().setLabelCol("y").fit(v.where(F.col("split") == "train"))
+    folds = search.fold_tables(z.where(F.col("split") == "train"), "vec_id", "y", zc, k=3, seed=42)
+    sigmoid = search.fit_sigmoid(folds, make, "y")
+    return search.score_model(m, v.where(F.col("split") == "test"), "vec_id", "y", sigmoid)
 
 
 @register("grid_search_recall")
@@ -807,9 +810,8 @@ def q_one_class_svm(spark, sf_dir):
 def q_shap_sampling(spark, sf_dir):
     from riskframe.functions.rng import h
     p, m = _nb_points(spark, sf_dir)
-    sample = p.orderBy(h(42, "vec_id"), "vec_id").limit(200)
     background = p.orderBy(h(7, "vec_id"), "vec_id").limit(50)
-    return explain.sampling_shap(sample, "vec_id", PTS, lambda x: models.gaussian_nb_proba(m, x), background,
+    return explain.sampling_shap(p, "vec_id", PTS, lambda x: models.gaussian_nb_proba(m, x), background,
                                  n_permutations=20)
 
 
@@ -836,12 +838,10 @@ def q_detector_ensemble(spark, sf_dir):
 
 @register("shap_tree")
 def q_shap_tree(spark, sf_dir):
-    """TreeSHAP of a boosted-tree model (catboost role) on the 200-row explanation
-    sample of the test split; (vec_id, feature, phi) in margin units."""
-    from riskframe.functions.rng import h
+    """TreeSHAP of a boosted-tree model (catboost role) for every row of the test
+    split; (vec_id, feature, phi) in margin units."""
     s = _points_split(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
     train = search.assemble(s.where(F.col("split") == "train"), PTS)
     m = models.boosted_trees("catboost", n_estimators=20).setLabelCol("y").fit(train)
-    sample = s.where(F.col("split") == "test").orderBy(h(42, "vec_id"), "vec_id").limit(200)
-    phi, _ = explain.tree_shap(m, sample, "vec_id", PTS)
+    phi, _ = explain.tree_shap(m, s.where(F.col("split") == "test"), "vec_id", PTS)
     return phi

@@ -26,8 +26,10 @@ from riskframe.operators import anomaly, bootstrap, curves, features, metrics, n
 from riskframe.operators.models import boosted_trees
 from riskframe.operators.quantiles import exact_quantiles
 from riskframe.operators.search import assemble, fold_tables, score_model
+from riskframe.operators.smote import smote
 from riskframe.plans import cascade
 from riskframe.profiles import PROFILES, Profile
+from riskframe.session import materialize
 from riskframe.sources import patients, sinks
 
 
@@ -77,7 +79,7 @@ def prep_apply(df: DataFrame, prof: Profile, model_dir: str) -> tuple[DataFrame,
 
 
 def calibrated_probability(vec: DataFrame, key: str, model_dir: str, cv: int = 3) -> DataFrame:
-    """(key, p_raw, p): mean of the cv isotonic-calibrated fold models."""
+    """(key, p_raw, p): the model of all training rows, and the mean of the cv isotonic-calibrated fold models."""
     from pyspark.ml.classification import GBTClassificationModel
     from pyspark.ml.regression import IsotonicRegressionModel
     parts = []
@@ -85,12 +87,13 @@ def calibrated_probability(vec: DataFrame, key: str, model_dir: str, cv: int = 3
         m = GBTClassificationModel.load(_p(model_dir, f"fold{i}"))
         iso = IsotonicRegressionModel.load(_p(model_dir, f"iso{i}"))
         s = score_model(m, vec, key)
-        parts.append(iso.transform(s).select(key, F.col("p").alias(f"raw{i}"), F.col("prediction").alias(f"cal{i}")))
+        parts.append(iso.transform(s).select(key, F.col("prediction").alias(f"cal{i}")))
     j = parts[0]
     for o in parts[1:]:
         j = j.join(o, key)
     mean = sum((F.col(f"cal{i}") for i in range(1, cv)), F.col("cal0")) / F.lit(float(cv))
-    return j.select(key, F.col("raw0").alias("p_raw"), mean.alias("p"))
+    raw = score_model(GBTClassificationModel.load(_p(model_dir, "raw")), vec, key)
+    return raw.select(key, F.col("p").alias("p_raw")).join(j.select(key, mean.alias("p")), key)
 
 
 def gate_flags(df: DataFrame, prof: Profile, model_dir: str) -> DataFrame:
@@ -112,7 +115,16 @@ def train(spark: SparkSession, csv: str, prof: Profile, model_dir: str, n_estima
     prep_fit(tr, prof, model_dir)
     x, names = prep_apply(tr, prof, model_dir)
     from pyspark.ml.regression import IsotonicRegression
-    folds = fold_tables(x.select(prof.key, "y", *names), prof.key, "y", names, k=3, seed=42)
+    x = materialize(x.select(prof.key, "y", *names), "train-encoded")
+
+    def balanced(rows: DataFrame) -> DataFrame:
+        """Training rows with synthetic minority rows between neighbours; validation rows are never resampled."""
+        return smote(rows.select(prof.key, "y", *names), prof.key, "y", names, k=5, seed=42) if prof.resample else rows
+
+    folds = fold_tables(x, prof.key, "y", names, k=3, seed=42, resample=balanced)
+    whole = assemble(balanced(x).withColumn("y", F.col("y").cast("double")), names).select("y", "features")
+    boosted_trees(prof.booster_role, n_estimators=n_estimators).setLabelCol("y").fit(
+        materialize(whole, "train-whole")).write().overwrite().save(_p(model_dir, "raw"))
     for i, (ftr, fva) in enumerate(folds):
         m = boosted_trees(prof.booster_role, n_estimators=n_estimators).setLabelCol("y").fit(
             ftr.withColumn("y", F.col("y").cast("double")))
@@ -145,15 +157,21 @@ def evaluate(spark: SparkSession, csv: str, prof: Profile, model_dir: str, out_j
                                  metrics.brier_score(scored, "y", "p"),
                                  bootstrap.bootstrap_ci(scored, "y", "pred", "p", n_iterations=1000))
     sinks.sink_metrics_json(spark, doc, out_json)
-    with open(_p(model_dir, "metadata.json"), "w") as f:
-        json.dump({"optimal_threshold": t}, f)
+    sinks.save_threshold(spark, _p(model_dir, "metadata.json"), t)
     return doc
 
 
 def score(spark: SparkSession, json_path: str, prof: Profile, model_dir: str, out: str | None = None) -> DataFrame:
+    """Scores of JSON patients: one row each, with their id where they have one."""
+    held = patients.json_columns(spark, json_path)
+    missing = [c for c in prof.required if c not in held]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
     raw = patients.scan_patients_json(spark, json_path, prof.schema())
-    features.validate_required_columns(raw, prof.required)
-    df = prof.engineer(raw)
+    # patients are joined by a number of their own, as ids may be absent or repeat; written, so that it stays
+    raw = materialize(raw.withColumn("_id", F.col(prof.key)).withColumn(prof.key, F.monotonically_increasing_id()), "patients")
+    ids = raw.select(prof.key, "_id")
+    df = prof.engineer(raw.drop("_id"))
     x, names = prep_apply(df, prof, model_dir)
     p = calibrated_probability(assemble(x, names), prof.key, model_dir)
     t = sinks.load_threshold(spark, _p(model_dir, "metadata.json"))
@@ -166,6 +184,7 @@ def score(spark: SparkSession, json_path: str, prof: Profile, model_dir: str, ou
     res = cascade.score_cascade(j, prof.key, [], F.col("p"), gate=gate, threshold=t, prob_name=prob_name)
     if not prof.gate:
         res = res.drop("anomaly_flagged")
+    res = ids.join(res, prof.key).drop(prof.key).withColumnRenamed("_id", prof.key)
     if out:
         res.write.mode("overwrite").parquet(out)
     return res

@@ -25,6 +25,7 @@ class Profile:
     booster_role: str = "xgboost"
     gate: bool = False
     boolean: list[str] = field(default_factory=list)  # categorical columns stored as booleans
+    resample: bool = True              # training folds get synthetic minority rows
 
     @property
     def features_numeric(self) -> list[str]:

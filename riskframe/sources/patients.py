@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Tokens a CSV reader treats as missing.
-NA_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A", "n/a", "-NaN", "-nan"]
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+             "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            out[f.name] = F.when(F.trim(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
+            out[f.name] = F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out[f.name] = F.nanvl(c, F.lit(None).cast(f.dataType))
     return df.withColumns(out) if out else df
@@ -41,6 +42,11 @@ def scan_patients_csv(spark: SparkSession, path: str, schema: T.StructType, targ
     return df.drop(*[c for c in drop if c in df.columns])
 
 
+def json_columns(spark: SparkSession, path: str) -> list[str]:
+    """The columns that the JSON files themselves hold."""
+    return spark.read.option("multiLine", True).json(path).columns
+
+
 def scan_patients_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON object or a list of objects per file (multi-line), typed by schema."""
     return normalize_missing(spark.read.schema(schema).option("multiLine", True).json(path))

@@ -39,15 +39,23 @@ def sink_results_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def save_threshold(spark: SparkSession, path: str, threshold: float) -> None:
+    """One JSON row, written by Spark to wherever ``path`` lies."""
+    row = spark.createDataFrame([(float(threshold),)], "optimal_threshold double")
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def load_threshold(spark: SparkSession, path: str | None, default: float = DEFAULT_THRESHOLD) -> float:
-    """``optimal_threshold`` from a metadata JSON; the default when the file or
-    the key is missing."""
-    if not path:
-        return default
-    try:
-        df = spark.read.schema(T.StructType([T.StructField("optimal_threshold", T.DoubleType())])) \
-                  .option("multiLine", True).json(path)
-        row = df.agg(F.coalesce(F.first("optimal_threshold", ignorenulls=True), F.lit(default)).alias("t")).first()
-        return float(row["t"]) if row is not None else default
-    except Exception:  # noqa: BLE001 - absent path ⇒ default, as documented
+    """``optimal_threshold`` from a metadata JSON; the default where there is no path, no such
+    file or no such key. Anything else that goes wrong raises."""
+    if not path or not path_exists(spark, path):
         return default
+    df = spark.read.schema(T.StructType([T.StructField("optimal_threshold", T.DoubleType())])) \
+              .option("multiLine", True).json(path)
+    row = df.agg(F.coalesce(F.first("optimal_threshold", ignorenulls=True), F.lit(default)).alias("t")).first()
+    return float(row["t"])

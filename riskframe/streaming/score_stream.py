@@ -8,6 +8,7 @@ gives exactly-once output across restarts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,8 @@ def score_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
                  available_now: bool = True, multiline: bool = False):
     """Start the stream; returns the StreamingQuery (already finished when available_now)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    ckpt = checkpoint or f"{base}/stream-{abs(hash(sink_dir))}"
+    # the same sink has the same checkpoint in every process: a restart goes on where the last run ended
+    ckpt = checkpoint or f"{base}/stream-{hashlib.sha256(sink_dir.encode()).hexdigest()[:32]}"
     src = spark.readStream.schema(schema).option("multiLine", multiline).json(source_dir)
     out = score(src)
     w = out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", ckpt) \

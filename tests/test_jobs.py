@@ -3,15 +3,16 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from riskframe.plans import jobs
 from riskframe.profiles import HEART
-from riskframe.sources import standins
+from riskframe.sources import sinks, standins
 
 from conftest import SF001
 from test_sources import PATIENT_A, PATIENT_B
 
-PATIENT_C = dict(PATIENT_A, age=150, trestbps=250, chol=600, thalch=40, oldpeak=6.0, ca=3, thal="normal",
-                 slope="downsloping", restecg="normal")
+PATIENT_C = dict(PATIENT_B, age=91, trestbps=96, chol=512, thalch=77, oldpeak=4.8, ca=2, cp="asymptomatic")
 
 
 def test_train_evaluate_score(spark):
@@ -24,16 +25,23 @@ def test_train_evaluate_score(spark):
     doc = jobs.evaluate(spark, csv, HEART, model_dir, os.path.join(d, "metrics"))
     assert 0.0 <= doc["brier_score"] <= 1.0
     assert set(doc["bootstrap_confidence_intervals"]) == {"recall", "roc_auc", "pr_auc"}
-    with open(os.path.join(model_dir, "metadata.json")) as f:
-        assert "optimal_threshold" in json.load(f)
+    assert sinks.load_threshold(spark, os.path.join(model_dir, "metadata.json"), default=-1.0) == doc["optimal_threshold"]
     pj = os.path.join(d, "patients")
     os.makedirs(pj)
+    # a patient without an id, one that lacks both columns that every donor has
+    nameless, bare = dict(PATIENT_C), dict(PATIENT_B, id=4, age=None, oldpeak=None)
     with open(os.path.join(pj, "p.json"), "w") as f:
-        json.dump([dict(PATIENT_A, id=1), dict(PATIENT_B, id=2), dict(PATIENT_C, id=3)], f)
-    out = {r["id"]: r for r in jobs.score(spark, pj, HEART, model_dir).collect()}
-    assert set(out) == {1, 2, 3}
-    for r in out.values():
+        json.dump([dict(PATIENT_A, id=1), dict(PATIENT_B, id=2), nameless, bare], f)
+    rows = jobs.score(spark, pj, HEART, model_dir).collect()
+    assert sorted((r["id"] is None, r["id"]) for r in rows) == [(False, 1), (False, 2), (False, 4), (True, None)]
+    for r in rows:
         if r["anomaly_flagged"]:
             assert r["risk_level"] == "Anomaly - Manual Review" and r["heart_disease_probability"] is None
         else:
             assert 0.0 <= r["heart_disease_probability"] <= 1.0
+    short = os.path.join(d, "short")
+    os.makedirs(short)
+    with open(os.path.join(short, "p.json"), "w") as f:
+        json.dump({k: v for k, v in PATIENT_A.items() if k != "chol"}, f)
+    with pytest.raises(ValueError, match="chol"):
+        jobs.score(spark, short, HEART, model_dir)

@@ -175,3 +175,26 @@ def test_dbscan_with_a_hot_group_of_copies(spark):
             lab[ids[i]] = min(c) if c else -1
     got = {r["id"]: r["cluster"] for r in cluster.dbscan(df, "id", ["a", "b"], eps=eps, min_samples=ms).collect()}
     assert got == lab
+
+
+def test_components_of_a_path_whose_smallest_ids_are_its_ends(spark):
+    n = 260
+    ids = [0, *range(2, n), 1]
+    verts = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    e = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    lab = {r["id"]: r["label"] for r in cluster.connected_components(verts, e).collect()}
+    assert lab == {i: 0 for i in range(n)}
+
+
+def test_knn_with_a_constant_grid_column_and_a_far_query_loses_no_query(spark):
+    ref = spark.createDataFrame([(i, 1.0, float(i)) for i in range(100)], "id long, c double, v double")
+    q = spark.createDataFrame([(1000, 1.0, 50.2), (1001, 1e6, -1e9)], "id long, c double, v double")
+    got = neighbors.knn_join(q, ref, "id", "id", ["c", "v"], k=5).collect()
+    by = {i: [r["r_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["q_id"] == i] for i in (1000, 1001)}
+    assert by == {1000: [50, 51, 49, 52, 48], 1001: [0, 1, 2, 3, 4]}
+
+
+def test_knn_impute_without_a_complete_column(spark):
+    t = spark.createDataFrame([(1, 1.0, 10.0), (2, 2.0, None), (3, None, 30.0), (4, 4.0, 40.0)], "id long, a double, b double")
+    out = {r["id"]: r for r in neighbors.knn_impute(t, t, "id", ["a", "b"], k=1).collect()}
+    assert out[2]["b"] == 10.0 and out[3]["a"] == 4.0
