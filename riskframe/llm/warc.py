@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from riskframe.llm.common import materialize, utf8
 
@@ -36,7 +35,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 NAMESPACE = uuid.NAMESPACE_URL
 EMPTY_DATE = "1970-01-01T00:00:00Z"
 
-#: Id ranges whose bytes are counted, at least (8 for each shard if that is more).
+#: Id ranges whose bytes are summed at first, at least (8 for each shard if that is more).
 RANGES = 4096
 
 
@@ -115,18 +114,74 @@ MANIFEST = "file string, shard int, part int, records long, bytes long, sha256 s
 
 # ------------------------------------------------------------------ writer
 
-def _dealt(pages: DataFrame, shard_bytes: int) -> DataFrame:
-    """Add ``_shard``: ranges of page_id of about ``shard_bytes`` payload bytes (null ids with the first)."""
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
+def _range(node_base, node_width):
+    """Number of the range of a node that holds page_id (decimals: ids may be far apart)."""
+    return F.expr(f"cast((cast(page_id as decimal(20,0)) - {node_base}) div {node_width} as long)")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= 200_000 else df
+
+
+def _dealer(sizes: DataFrame, shard_bytes: int):
+    """A function that adds ``_shard`` to rows with a page_id: consecutive ids of about ``shard_bytes`` (null ids with the first).
+
+    ``sizes`` (page_id, n) gives the bytes. Ids are cut into ranges of equal width whose bytes are summed;
+    a range that holds too much is cut again, down to single ids, so uneven ids make shards as even as
+    others. The sums, at most RANGES + 64 for each shard, come to the driver, which numbers the shards in order.
+    """
+    spark = sizes.sparkSession
+    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
     if low is None:
-        return pages.withColumn("_shard", F.lit(0))
-    ranges = max(RANGES, 8 * int(total // shard_bytes))
-    width = -(-(high - low + 1) // ranges)
-    pages = pages.withColumn("_range", F.coalesce(F.expr(f"(page_id - ({low})) div {width}"), F.lit(0).cast("long")))
-    sums = pages.groupBy("_range").agg(F.sum(F.col("payload_bytes") + 400).alias("n"))  # at most ``ranges`` rows
-    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    cuts = sums.withColumn("_before", before).select("_range", F.expr(f"cast(_before div {shard_bytes} as int) as _shard"))
-    return pages.join(F.broadcast(cuts) if ranges <= 200_000 else cuts, "_range").drop("_range")
+        return lambda pages: pages.withColumn("_shard", F.lit(0))
+    first = max(RANGES, 8 * int(total // shard_bytes))
+    level, number, levels, sums = {0: (low, -(-(high - low + 1) // first))}, 1, [], {}
+    left = sizes.withColumn("page_id", F.coalesce("page_id", F.lit(low))).withColumn("_node", F.lit(0))
+    while level:
+        nodes = spark.createDataFrame([(k, str(b), str(w)) for k, (b, w) in level.items()], "_node int, _base string, _width string")
+        nodes = nodes.select("_node", F.col("_base").cast("decimal(20,0)"), F.col("_width").cast("decimal(20,0)"))
+        left = left.join(_small(nodes, len(level)), "_node").withColumn("_r", _range("_base", "_width")).drop("_base", "_width")
+        rows = left.groupBy("_node", "_r").agg(F.sum("n").alias("n")).collect()
+        below = {}
+        for node, r, n in sorted(rows):
+            base, width = level[node]
+            child = None
+            if n > shard_bytes and width > 1:
+                child, number = number, number + 1
+                below[child] = (base + r * width, -(-width // 64))
+            sums[node, r] = (n, child)
+        levels.append((nodes, len(level), [(k, r, sums[k, r][1]) for k, r, _ in rows]))
+        if below:
+            cut = spark.createDataFrame([(k, r, c) for k, r, c in levels[-1][2] if c is not None], "_node int, _r long, _child int")
+            left = left.join(_small(cut, len(below)), ["_node", "_r"]).drop("_node", "_r").withColumnRenamed("_child", "_node")
+        level = below
+
+    shard_of, before = {}, 0
+    children: dict[int, list[int]] = {}
+    for node, r in sorted(sums):
+        children.setdefault(node, []).append(r)
+    todo = [(0, r) for r in reversed(children[0])]
+    while todo:  # ranges in the order of ids
+        node, r = todo.pop()
+        n, child = sums[node, r]
+        if child is None:
+            shard_of[node, r] = before // shard_bytes
+            before += n
+        else:
+            todo += [(child, x) for x in reversed(children[child])]
+
+    def deal(pages: DataFrame) -> DataFrame:
+        pages = pages.withColumns({"_id": F.coalesce("page_id", F.lit(low)), "_node": F.lit(0), "_shard": F.lit(None).cast("int")})
+        for nodes, n, rows in levels:
+            table = spark.createDataFrame([(k, r, shard_of.get((k, r)), c) for k, r, c in rows],
+                                          "_node int, _r long, _own int, _child int")
+            pages = pages.join(_small(nodes, n), "_node", "left")
+            pages = pages.withColumn("_r", F.expr("cast((cast(_id as decimal(20,0)) - _base) div _width as long)")).drop("_base", "_width")
+            pages = pages.join(_small(table, len(rows)), ["_node", "_r"], "left").withColumn(
+                "_shard", F.coalesce("_shard", "_own")).drop("_node", "_r", "_own").withColumnRenamed("_child", "_node")
+        return pages.drop("_node", "_id")
+
+    return deal
 
 
 def _writer(folder: str, file_bytes: int, date: str):
@@ -175,8 +230,10 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
                         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("digest"),
                         payload.alias("payload"))
-    rows = _dealt(rows, shard_bytes)
-    slim = materialize(rows.select("_shard", "page_id", "url", "payload_bytes", "digest"), "warc-rows")
+    slim = materialize(rows.select("page_id", "url", "payload_bytes", "digest"), "warc-rows")
+    sizes = materialize(slim.groupBy("page_id").agg(F.sum(F.col("payload_bytes") + 400).alias("n")), "warc-sizes")
+    deal = _dealer(sizes, shard_bytes)
+    rows, slim = deal(rows), deal(slim)
     kept = (slim.where(F.col("payload_bytes") >= smallest_revisit).groupBy("digest", "payload_bytes")
             .agg(F.max(F.struct("page_id", "url")).alias("_kept"), F.count(F.lit(1)).alias("_n"))
             .where("_n > 1 and _kept.page_id is not null"))
@@ -241,6 +298,12 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
+        number = ("page_id", "payload_bytes", "refers_to")
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:  # whole numbers, also beside nulls
+            return pd.DataFrame({n: pd.array(list(c), dtype="Int64" if n in number else object)
+                                 for n, c in zip(names, zip(*rows))})
+
         fs, base = _store(data)
         for b in batches:
             for name in b["file"]:
@@ -250,10 +313,10 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                         rows.append(parse_record(member))
                         size += len(member)
                         if size > 8 << 20:
-                            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield frame(rows)
                             rows, size = [], 0
                     if rows:
-                        yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield frame(rows)
 
     manifest = spark.read.parquet(f"{folder.rstrip('/')}/manifest").select("file")
     tasks = max(1, min(manifest.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
