@@ -510,10 +510,9 @@ def q_kmeans(spark, sf_dir):
 
 @register("cluster_profile")
 def q_cluster_profile(spark, sf_dir):
-    p = _scaled_points(spark, sf_dir)
-    _, assign = cluster.kmeans(p, "vec_id", PTS, k=2, n_init=10, seed=42)
+    """Means of the raw features per cluster, clusters around the labels' centres."""
     raw = standins.points(spark, sf_dir)
-    return cluster.cluster_profile(raw.join(assign, "vec_id"), "cluster", PTS)
+    return cluster.cluster_profile(raw.join(q_kmeans_assign(spark, sf_dir), "vec_id"), "cluster", PTS)
 
 
 @register("kmeans_k_sweep")
@@ -552,6 +551,16 @@ def q_silhouette(spark, sf_dir):
     return spark.createDataFrame(out, "method string, silhouette_sq double, silhouette double")
 
 
+@register("silhouette_labels")
+def q_silhouette_labels(spark, sf_dir):
+    """Silhouettes of the given labels as clusters: squared distances on all rows, Euclidean on the sample."""
+    p = materialize(_scaled_points(spark, sf_dir), "sil")
+    sample = cluster.downsample(p, "vec_id", 20000, seed=42)
+    return spark.createDataFrame([(cluster.silhouette_sq(p, PTS, "label"),
+                                   cluster.silhouette_exact(sample, "vec_id", PTS, "label"))],
+                                 "silhouette_sq double, silhouette double")
+
+
 def _classifiers(n_features: int, n_train: int):
     return {
         "logistic_regression": lambda: models.logistic(c=1.0, n=n_train),
@@ -678,10 +687,11 @@ def q_metrics_document(spark, sf_dir):
 @register("score_cascade_stream")
 def q_score_cascade_stream(spark, sf_dir):
     """Points land as JSON files; a file stream scores them with the fitted
-    Naive Bayes model behind a Mahalanobis gate (both per-row expressions)."""
+    Naive Bayes model behind a Mahalanobis gate on the first two features (both
+    per-row expressions)."""
     p, m = _nb_points(spark, sf_dir)
-    mu, cov = anomaly.mean_cov(p, PTS)
-    d2 = anomaly.mahalanobis_expr(PTS, mu, cov)
+    mu, cov = anomaly.mean_cov(p, PTS[:2])
+    d2 = anomaly.mahalanobis_expr(PTS[:2], mu, cov)
     cut = column_quantiles(p.select(d2.alias("d")), ["d"], [0.95])["d"][0]
     src, out = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
     p.select("vec_id", *PTS).write.json(src)

@@ -612,13 +612,16 @@ _KSPEC = [("age", 18, 63, 1, 0), ("bmi", 160, 300, 10, 30), ("bp_systolic", 90,
           ("calcium", 80, 30, 10, 35), ("phosphorus", 20, 40, 10, 35), ("egfr", 10, 120, 1, 0)]
 
 
+_CENTS = "cast(round(o_totalprice * 100) as bigint)"
+
+
 def _kcol(name, off, mod, div, na):
-    v = f"cast(({off} + {H(repr('k' + name), 'o_orderkey')} % {mod}) / {float(div)} as double)"
+    v = f"cast(({off} + ({H(repr('k' + name), 'o_orderkey')} + {_CENTS}) % {mod}) / {float(div)} as double)"
     return (f"case when {H(repr('na' + name), 'o_orderkey')} % {na} = 0 then null else {v} end" if na else v) + f" as {name}"
 
 
 KIDNEY_OBS = "kidney_obs as (select o_orderkey as participant_id, " + ", ".join(_kcol(*s) for s in _KSPEC) + \
-    f", cast({H(repr('kckd'), 'o_orderkey')} % 7 = 0 as double) as ckd_present from orders)"
+    f", cast(({H(repr('kckd'), 'o_orderkey')} + {_CENTS}) % 7 = 0 as double) as ckd_present from orders)"
 
 ORACLE["kidney_features"] = _with(KIDNEY_OBS) + f"""
 select {B('participant_id')} as participant_id, {R('bp_systolic - bp_diastolic')} as pulse_pressure,
@@ -705,14 +708,48 @@ ss as (select {', '.join(f'avg(i_{c}) as m_{c}, stddev_pop(i_{c}) as s_{c}' for
 select {B('id')} as id, {', '.join(R(f'(i_{c} - m_{c}) / coalesce(nullif(s_{c}, 0), 1)') + f' as {c}' for c in OBS_NUM)}
 from im, ss"""
 
-ORACLE["kmeans_assign"] = _with(POINTS, SPOINTS) + f""",
+_KASSIGN = f"""
 lab_pts as (select s.*, p.label from sp_pts s join points p on p.vec_id = s.vec_id),
 ctr as (select label, {', '.join(f'avg({c}) as c_{c}' for c in PTS)} from lab_pts group by label),
 ctr_i as (select *, row_number() over (order by label) - 1 as j from ctr),
 d as (select l.vec_id, c.j, {' + '.join(f'(l.{c} - c.c_{c})*(l.{c} - c.c_{c})' for c in PTS)} as d2
-      from lab_pts l, ctr_i c)
-select {B('vec_id')} as vec_id, {B('j')} as cluster from (
-  select *, row_number() over (partition by vec_id order by d2, j) as rk from d) z where rk = 1"""
+      from lab_pts l, ctr_i c),
+assign as (select vec_id, j as cluster from (
+  select *, row_number() over (partition by vec_id order by d2, j) as rk from d) z where rk = 1)"""
+
+ORACLE["kmeans_assign"] = _with(POINTS, SPOINTS, _KASSIGN) + f"""
+select {B('vec_id')} as vec_id, {B('cluster')} as cluster from assign"""
+
+ORACLE["cluster_profile"] = _with(POINTS, SPOINTS, _KASSIGN) + f""",
+mean as (select a.cluster, {', '.join(f'avg(p.{c}) as {c}' for c in PTS)}
+         from points p join assign a on a.vec_id = p.vec_id group by a.cluster)
+select {B('cluster')} as cluster, feature, {R('mean')} as mean from mean unpivot (mean for feature in ({', '.join(PTS)})) u"""
+
+_SQ = " + ".join(f"(a.{c} - b.{c})*(a.{c} - b.{c})" for c in PTS)
+ORACLE["silhouette_labels"] = _with(POINTS, SPOINTS) + f""",
+l as (select s.*, p.label from sp_pts s join points p on p.vec_id = s.vec_id),
+n as (select label, count(*) as n from l group by label),
+d as (select a.vec_id, a.label as own, b.label as other, sum(sqrt({_SQ})) as e, sum({_SQ}) as q
+      from l a, l b group by a.vec_id, a.label, b.label),
+s as (select vec_id, max(case when own = other then e / greatest(n - 1, 1) end) as ea,
+             min(case when own <> other then e / n end) as eb,
+             max(case when own = other then q / greatest(n - 1, 1) end) as qa,
+             min(case when own <> other then q / n end) as qb, max(case when own = other then n end) as size
+      from d join n on n.label = d.other group by vec_id)
+select {R('avg(case when size > 1 and greatest(qa, qb) > 0 then (qb - qa) / greatest(qa, qb) else 0 end)')} as silhouette_sq,
+       {R('avg(case when size > 1 and greatest(ea, eb) > 0 then (eb - ea) / greatest(ea, eb) else 0 end)')} as silhouette
+from s"""
+
+ORACLE["score_cascade_stream"] = _with(POINTS, LPTS, _NB, _NBSCORE) + f""",
+m as (select avg(x1) as m1, avg(x2) as m2, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12 from lpts),
+g as (select vec_id, (s22*(x1-m1)*(x1-m1) - 2*s12*(x1-m1)*(x2-m2) + s11*(x2-m2)*(x2-m2)) / (s11*s22 - s12*s12) as d2
+      from lpts, m),
+f as (select nbs.vec_id, prob, d2 > (select quantile_cont(d2, 0.95) from g) as flagged from nbs join g on g.vec_id = nbs.vec_id)
+select {B('vec_id')} as vec_id, flagged as anomaly_flagged, {R('case when not flagged then prob end')} as probability,
+       {B('case when not flagged then cast(prob >= 0.5 as int) end')} as prediction,
+       case when flagged then 'Anomaly - Manual Review' when prob < 0.2 then 'Low Risk'
+            when prob < 0.5 then 'Medium Risk' else 'High Risk' end as risk_level
+from f"""
 
 ORACLE["score_direct"] = _with(POINTS, LPTS, _NB, _NBSCORE) + f"""
 select {B('vec_id')} as vec_id, {R('prob')} as probability, {B('prob >= 0.5')} as prediction,

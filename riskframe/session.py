@@ -34,6 +34,10 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+#: Intermediate tables of this process that are still there.
+_WRITTEN: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -66,4 +70,17 @@ def materialize(df, tag: str = "t"):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/riskframe-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written so far; returns how many.
+
+    To be called once the results that read them are written: a DataFrame that still
+    depends on one of them fails afterwards."""
+    n = 0
+    while _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n

@@ -132,15 +132,15 @@ KIDNEY_ETHNICITY = ["Mexican American", "Non-Hispanic Asian", "Non-Hispanic Blac
 
 
 def kidney_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hashed kidney participant per order."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
-    k = F.col("o_orderkey")
+    """One kidney participant per order; the measures turn the order's price by a hashed step."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    k, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
     cols = []
     for name, off, mod, div, na in KIDNEY_SPEC:
-        v = ((F.lit(off) + h(f"k{name}", k) % mod) / F.lit(float(div))).cast("double")
+        v = ((F.lit(off) + (h(f"k{name}", k) + cents) % mod) / F.lit(float(div))).cast("double")
         if na:
             v = F.when(h(f"na{name}", k) % na == 0, F.lit(None).cast("double")).otherwise(v)
         cols.append(v.alias(name))
     return o.select(k.alias("participant_id"), *cols,
                     _pick(KIDNEY_GENDER, "kg", k).alias("gender"), _pick(KIDNEY_ETHNICITY, "ke", k).alias("ethnicity"),
-                    (h("kckd", k) % 7 == 0).cast("double").alias("ckd_present"))
+                    ((h("kckd", k) + cents) % 7 == 0).cast("double").alias("ckd_present"))

@@ -21,3 +21,13 @@ def test_prefix_sums_in_many_buckets_and_one_dominant_group(spark):
     one = {(r["m"], r["p"]): (r["cum_n"], r["tot_n"]) for r in curves.cumulative_desc(df, "p", ["n"], ["m"], 1).collect()}
     many = curves.cumulative_desc(df, "p", ["n"], ["m"], 4000)
     assert one == {(r["m"], r["p"]): (r["cum_n"], r["tot_n"]) for r in many.collect()}
+
+
+def test_scratch_tables_are_deleted_on_request(spark, monkeypatch):
+    from riskframe import session
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    t = session.materialize(spark.range(3).toDF("id"), "t")
+    path = session._WRITTEN[0]
+    assert t.count() == 3 and session.release_scratch(spark) == 1
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
