@@ -3,7 +3,8 @@
 Features of a whole text are densities of a lexicon, second-person words near its hits,
 capitals, punctuation, and obfuscation (lexicon words that show only after leet
 letters, inner symbols, repeats or spacing are undone). The lexicon itself is learned:
-words much more frequent in texts labelled toxic. Lexicon, trees and calibration are
+words, and beginnings of longer words, that stand almost only in texts labelled toxic, near
+copies counted once. Lexicon, trees and calibration are
 fitted on at most ``FIT_ROWS`` labelled rows, those with the smallest hashes of their
 ids; every text is scored.
 """
@@ -24,8 +25,9 @@ from riskframe.llm.common import materialize
 
 #: Documented bound of the sample that is fitted; words in the lexicon at most.
 FIT_ROWS, LEXICON_WORDS = 20_000, 300
-#: A lexicon word is in this share of the toxic texts of the sample, and in this many.
-LEAST_SHARE, LEAST_TEXTS = 0.01, 3
+#: Least number of toxic texts that hold an entry of the lexicon, least share of toxic ones among the texts
+#: that hold it, least log-likelihood ratio; lengths of the beginnings.
+LEAST_TEXTS, LEAST_PRECISION, LEAST_EVIDENCE, STEMS = 3, 0.85, 12.0, (4, 5, 6)
 TREES, DEPTH, STEP = 30, 3, 0.2
 
 #: Second-person words of English, German, French and Spanish.
@@ -57,20 +59,31 @@ def _plain(word: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
+    """Weights of words, and of beginnings of longer words (``abcd*``)."""
+
     weights: dict[str, float]
 
-    def hidden(self) -> dict[str, float]:
-        return {_plain(w): x for w, x in self.weights.items() if len(_plain(w)) >= 4}
+    def __post_init__(self) -> None:
+        stems = {w[:-1]: x for w, x in self.weights.items() if w.endswith("*")}
+        words = {w: x for w, x in self.weights.items() if not w.endswith("*")}
+        hidden = {_plain(w): x for w, x in words.items() if len(_plain(w)) >= 4}
+        for name, value in (("words", words), ("stems", stems), ("heads", {w[:STEMS[0]] for w in stems}), ("hidden", hidden)):
+            object.__setattr__(self, name, value)
+
+    def stem_weight(self, word: str) -> float:
+        return max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0)
 
 
-def text_features(text: str | None, weights: dict[str, float], hidden: dict[str, float]) -> list[float]:
+def text_features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The values of ``FEATURES`` for a text; a null or blank text gives zeros."""
     text = text or ""
     raw = text.split()
     if not raw:
         return [0.0] * len(FEATURES)
     words, n = tokens(text), len(raw)
-    hits = [i for i, w in enumerate(words) if w in weights]
+    known, heads, hidden, head = lexicon.words, lexicon.heads, lexicon.hidden, STEMS[0]
+    weight = {i: x for i, w in enumerate(words)
+              if (x := known.get(w, 0.0) or (w[:head] in heads and lexicon.stem_weight(w)))}
     masked, digits, symbols, single = [], 0, 0, []
     for i, w in enumerate(words):
         if len(w) < 2:
@@ -80,9 +93,9 @@ def text_features(text: str | None, weights: dict[str, float], hidden: dict[str,
             inner = any(c.isdigit() for c in w) and any(c.isalpha() for c in w)
             digits += inner
             symbols += not w.isalnum()
-            if w not in weights and _plain(w) in hidden:
+            if i not in weight and _plain(w) in hidden:
                 masked.append(i)
-        elif w not in weights and _LONG_RUN.search(w) and _plain(w) in hidden:
+        elif i not in weight and _LONG_RUN.search(w) and _plain(w) in hidden:
             masked.append(i)
     run: list[int] = []
     for i in [*single, -9]:  # letters written apart
@@ -93,13 +106,12 @@ def text_features(text: str | None, weights: dict[str, float], hidden: dict[str,
             run = []
         run.append(i)
     you = {i for i, w in enumerate(words) if w in SECOND_PERSON}
-    found = hits + masked
+    found = [*weight, *masked]
     near = sum(1 for i in found if not you.isdisjoint(range(i - NEAR, i + NEAR + 1)))
-    weight = sum(weights[words[i]] for i in hits)
     data = text.encode(errors="replace")
     rate = lambda some: (len(data) - len(data.translate(None, some))) / len(data)
-    return [math.log1p(n), math.log1p(len(hits)), 100 * len(hits) / n, 100 * weight / n,
-            max((weights[words[i]] for i in hits), default=0.0), 100 * len(masked) / n,
+    return [math.log1p(n), math.log1p(len(weight)), 100 * len(weight) / n, 100 * sum(weight.values()) / n,
+            max(weight.values(), default=0.0), 100 * len(masked) / n,
             near / len(found) if found else 0.0, 100 * len(you) / n, rate(_UPPER),
             sum(1 for w in raw if len(w) > 1 and w.isupper()) / n, rate(b"!"), rate(_MARKS), digits / n, symbols / n,
             len(_LONG_RUN.findall(text)) / n]
@@ -107,32 +119,51 @@ def text_features(text: str | None, weights: dict[str, float], hidden: dict[str,
 
 def features(lexicon: Lexicon):
     """A column function: the array of ``FEATURES`` of a text column."""
-    weights, hidden = lexicon.weights, lexicon.hidden()
-
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_features(t, weights, hidden) for t in texts])
+        return pd.Series([text_features(t, lexicon) for t in texts])
     return run
 
 
+def copy_mark(text: str | None) -> int:
+    """The smallest hash of a text's three-word shingles: near copies mostly share it."""
+    from xxhash import xxh64_intdigest
+    words = tokens(text or "")
+    return min(xxh64_intdigest(" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))) >> 1
+
+
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words of (text, label) rows that mark label 1, weighted by log odds; at most ``LEXICON_WORDS``."""
+    """Words, and beginnings of longer words, of (text, label) rows that mark label 1, weighted by
+    log odds; at most ``LEXICON_WORDS``. Texts with one ``copy_mark`` and label count once."""
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
-                rows = [(w, y) for t, y in zip(b["text"].iloc[at:at + 500], b["label"].iloc[at:at + 500])
-                        for w in {w for w in tokens(t or "") if len(w) > 2}]
+                rows = []
+                for t, y in zip(b["text"].iloc[at:at + 500], b["label"].iloc[at:at + 500]):
+                    said = {w for w in tokens(t or "") if len(w) > 2 and not w.endswith("*")}
+                    said |= {w[:k] + "*" for w in said for k in STEMS if len(w) > k}
+                    rows += [(w, y) for w in said]
                 yield pd.DataFrame(rows, columns=["word", "label"])
 
-    ones, total = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
-    zeros, least = total - ones, max(LEAST_TEXTS, math.ceil(LEAST_SHARE * ones))
-    counts = (sample.select("text", F.col("label").cast("int").alias("label")).mapInPandas(distinct, "word string, label int")
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        return pd.Series([copy_mark(t) for t in texts])
+
+    once = materialize(sample.select("text", F.col("label").cast("int").alias("label")).withColumn("_mark", mark("text"))
+                       .dropDuplicates(["_mark", "label"]), "toxic-once")
+    ones, total = once.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    zeros = total - ones
+    if not ones or not zeros:
+        return Lexicon({})
+    counts = (once.select("text", "label").mapInPandas(distinct, "word string, label int")
               .groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")))
-    odds = F.log((F.col("a") + 0.5) / (ones - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (zeros - F.col("b") + 0.5))
-    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = (counts.where(F.col("a") >= least).select("word", odds.alias("odds"), (odds / spread).alias("z"))
-           .where("z > 2.5 and odds > 2").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect())
+    a, b = F.col("a"), F.col("b")
+    odds = F.log((a + 0.5) / (ones - a + 0.5)) - F.log((b + 0.5) / (zeros - b + 0.5))
+    expected = (a + b) * (ones / total)
+    evidence = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0.0))
+    top = (counts.where((a >= LEAST_TEXTS) & (a / (a + b) >= LEAST_PRECISION)).select("word", odds.alias("odds"), evidence.alias("g"))
+           .where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").limit(LEXICON_WORDS).collect())
     return Lexicon({r["word"]: float(r["odds"]) for r in top})
 
 

@@ -47,8 +47,9 @@ def test_scores(spark):
 
 
 def test_features_see_through_obfuscation():
-    lex = toxicity.Lexicon({"cretin": 5.0})
-    f = lambda t: dict(zip(toxicity.FEATURES, toxicity.text_features(t, lex.weights, lex.hidden())))
+    lex = toxicity.Lexicon({"cretin": 5.0, "blub*": 3.0})
+    assert toxicity.text_features("blubber blub", lex)[4] == 3.0 and toxicity.text_features("blub", lex)[4] == 0.0
+    f = lambda t: dict(zip(toxicity.FEATURES, toxicity.text_features(t, lex)))
     assert f("such a CRETIN, you")["hits"] > 0 and f("such a cretin, you")["near_you"] == 1
     for t in ("a cr3tin here", "a c.r.e.t.i.n here", "a creeetin here", "c r e t i n there"):
         assert f(t)["hidden_density"] > 0, t
