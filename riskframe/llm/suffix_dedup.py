@@ -249,15 +249,25 @@ def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bytes(z))
 
 
+#: Runs or strings handed on at a time.
+ROWS = 20_000
+
+
 def _read_contexts(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, rows = ["k1", "k2", "h", "c", "n", "place", "many", "context"], []
         for b in batches:
             for k1, k2, z, runs in zip(b["k1"], b["k2"], b["z"], b["runs"]):
-                data, rows = _unpack(z), []
+                data = _unpack(z)
                 for r in runs:
-                    start, n = r["place"] >> 20, (r["place"] >> 10) & 1023
-                    rows.append((k1, k2, r["h"], r["c"], r["n"], r["place"], r["many"], data[start:start + n + length - 1]))
-                yield pd.DataFrame(rows, columns=["k1", "k2", "h", "c", "n", "place", "many", "context"])
+                    place = r["place"]
+                    start, n = place >> 20, (place >> 10) & 1023
+                    rows.append((k1, k2, r["h"], r["c"], r["n"], place, r["many"], data[start:start + n + length - 1]))
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -268,11 +278,16 @@ def _string_hashes(length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                start, n, anchor, data = row.place >> 20, (row.place >> 10) & 1023, row.place & 1023, bytes(row.context)
-                s = np.frombuffer(b"".join(xxh3_128_digest(data[i:i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pd.DataFrame({"h": row.h, "at": anchor - np.arange(n), "s1": s[:, 0], "s2": s[:, 1], "k1": row.k1,
-                                    "k2": row.k2, "start": start + np.arange(n), "n": row.n})
+            for at in range(0, len(b), ROWS // 100):  # a run has length strings at most
+                p = b.iloc[at:at + ROWS // 100]
+                place = p["place"].to_numpy()
+                n = (place >> 10) & 1023
+                i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                s = np.frombuffer(b"".join(xxh3_128_digest(data[j:j + length]) for data, m in zip(map(bytes, p["context"]), n.tolist())
+                                           for j in range(m)), "<i8").reshape(-1, 2)
+                every = {c: np.repeat(p[c].to_numpy(), n) for c in ("h", "k1", "k2", "n")}
+                yield pd.DataFrame({"h": every["h"], "at": np.repeat(place & 1023, n) - i, "s1": s[:, 0], "s2": s[:, 1],
+                                    "k1": every["k1"], "k2": every["k2"], "start": np.repeat(place >> 20, n) + i, "n": every["n"]})
 
     return run
 
@@ -304,6 +319,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
            .mapInPandas(_sort_columns(length), "k1 long, k2 long, low long, high long"))
     single = contexts.where("many").dropDuplicates(["h", "c"]).mapInPandas(
         _string_hashes(length), "h long, at long, s1 long, s2 long, k1 long, k2 long, start long, n long")
+    single = materialize(single, "single-strings")
     again = single.groupBy("h", "at", "s1", "s2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     many = (single.where("n = 1").join(again, ["h", "at", "s1", "s2"])
             .select("k1", "k2", F.col("start").alias("low"), F.col("start").alias("high")))
