@@ -119,11 +119,11 @@ def threshold_simulation(scored: DataFrame, y: str = "y", p: str = "p", by: Sequ
 
 
 def attach_group_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach one stats row per group. ``stats`` has one row per value of the
-    low-cardinality ``by`` key (a model id), so it is broadcast; with no
+    """Attach one stats row per group: an equi-join that Spark broadcasts where
+    the measured size of ``stats`` (one row per ``by`` key) allows; with no
     grouping the single row is read back as literals."""
     if by:
-        return df.join(F.broadcast(stats), list(by))
+        return df.join(stats, list(by))
     row = stats.first()
     return df.select("*", *[F.lit(row[c]).alias(c) for c in stats.columns])
 

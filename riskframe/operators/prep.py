@@ -104,9 +104,10 @@ def apply_one_hot(df: DataFrame, stats: DataFrame, keep_source: bool = False) ->
 
 def unseen_category_report(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column_name, n_unseen): rows whose non-NULL category was not seen in training.
-    A left-anti join of the unpivoted values against the small category table."""
+    A left-anti join of the unpivoted values against the category table, broadcast
+    by Spark where its measured size allows."""
     vals = _unpivot_strings(df, cols).where(F.col("value").isNotNull())
-    unseen = vals.join(F.broadcast(stats.select("column_name", "value")), ["column_name", "value"], "left_anti")
+    unseen = vals.join(stats.select("column_name", "value"), ["column_name", "value"], "left_anti")
     present = F.array(*[F.lit(c) for c in cols])
     base = df.sparkSession.range(1).select(F.explode(present).alias("column_name"))
     counts = unseen.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unseen"))

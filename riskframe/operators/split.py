@@ -29,7 +29,8 @@ def stratified_rank(df: DataFrame, key: str, y: str, seed=42, n_buckets: int = D
     before = Window.partitionBy(y).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(y, "_hb", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
                          F.sum("_cnt").over(Window.partitionBy(y)).alias("_class_n"))
-    d = d.join(F.broadcast(offs), [y, "_hb"])
+    # one row per (class, bucket); Spark broadcasts it where its measured size allows
+    d = d.join(offs, [y, "_hb"])
     return d.withColumn("_rank", F.col("_r_in") + F.col("_off")).drop("_h", "_hb", "_r_in", "_off")
 
 
