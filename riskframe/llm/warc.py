@@ -114,9 +114,18 @@ MANIFEST = "file string, shard int, part int, records long, bytes long, sha256 s
 
 # ------------------------------------------------------------------ writer
 
-def _range(node_base, node_width):
-    """Number of the range of a node that holds page_id (decimals: ids may be far apart)."""
-    return F.expr(f"cast((cast(page_id as decimal(20,0)) - {node_base}) div {node_width} as long)")
+def _in_ranges(df: DataFrame, id_col: str, level: dict[int, tuple[int, int]]) -> DataFrame:
+    """Add ``_r``: the number of the range of the row's ``_node`` that holds its id (null for rows
+    without a node). The only node of the first level is a pair of literals."""
+    place = f"cast((cast({id_col} as decimal(20,0)) - _base) div _width as long)"
+    if list(level) == [0]:
+        base, width = level[0]
+        return df.withColumn("_r", F.expr(place.replace("_base", f"cast('{base}' as decimal(20,0))")
+                                          .replace("_width", f"cast('{width}' as decimal(20,0))")))
+    nodes = df.sparkSession.createDataFrame([(k, str(b), str(w)) for k, (b, w) in level.items()],
+                                            "_node int, _base string, _width string")
+    nodes = nodes.select("_node", F.col("_base").cast("decimal(20,0)"), F.col("_width").cast("decimal(20,0)"))
+    return df.join(_small(nodes, len(level)), "_node", "left").withColumn("_r", F.expr(place)).drop("_base", "_width")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -138,9 +147,7 @@ def _dealer(sizes: DataFrame, shard_bytes: int):
     level, number, levels, sums = {0: (low, -(-(high - low + 1) // first))}, 1, [], {}
     left = sizes.withColumn("page_id", F.coalesce("page_id", F.lit(low))).withColumn("_node", F.lit(0))
     while level:
-        nodes = spark.createDataFrame([(k, str(b), str(w)) for k, (b, w) in level.items()], "_node int, _base string, _width string")
-        nodes = nodes.select("_node", F.col("_base").cast("decimal(20,0)"), F.col("_width").cast("decimal(20,0)"))
-        left = left.join(_small(nodes, len(level)), "_node").withColumn("_r", _range("_base", "_width")).drop("_base", "_width")
+        left = _in_ranges(left, "page_id", level)
         rows = left.groupBy("_node", "_r").agg(F.sum("n").alias("n")).collect()
         below = {}
         for node, r, n in sorted(rows):
@@ -150,9 +157,9 @@ def _dealer(sizes: DataFrame, shard_bytes: int):
                 child, number = number, number + 1
                 below[child] = (base + r * width, -(-width // 64))
             sums[node, r] = (n, child)
-        levels.append((nodes, len(level), [(k, r, sums[k, r][1]) for k, r, _ in rows]))
+        levels.append((level, [(k, r, sums[k, r][1]) for k, r, _ in rows]))
         if below:
-            cut = spark.createDataFrame([(k, r, c) for k, r, c in levels[-1][2] if c is not None], "_node int, _r long, _child int")
+            cut = spark.createDataFrame([(k, r, c) for k, r, c in levels[-1][1] if c is not None], "_node int, _r long, _child int")
             left = left.join(_small(cut, len(below)), ["_node", "_r"]).drop("_node", "_r").withColumnRenamed("_child", "_node")
         level = below
 
@@ -171,14 +178,13 @@ def _dealer(sizes: DataFrame, shard_bytes: int):
             todo += [(child, x) for x in reversed(children[child])]
 
     def deal(pages: DataFrame) -> DataFrame:
-        pages = pages.withColumns({"_id": F.coalesce("page_id", F.lit(low)), "_node": F.lit(0), "_shard": F.lit(None).cast("int")})
-        for nodes, n, rows in levels:
-            table = spark.createDataFrame([(k, r, shard_of.get((k, r)), c) for k, r, c in rows],
-                                          "_node int, _r long, _own int, _child int")
-            pages = pages.join(_small(nodes, n), "_node", "left")
-            pages = pages.withColumn("_r", F.expr("cast((cast(_id as decimal(20,0)) - _base) div _width as long)")).drop("_base", "_width")
-            pages = pages.join(_small(table, len(rows)), ["_node", "_r"], "left").withColumn(
-                "_shard", F.coalesce("_shard", "_own")).drop("_node", "_r", "_own").withColumnRenamed("_child", "_node")
+        pages = pages.withColumns({"_id": F.coalesce("page_id", F.lit(low)), "_shard": F.lit(None).cast("int")})
+        for k, (level, rows) in enumerate(levels):
+            on = ["_node", "_r"] if k else ["_r"]  # the first level has one node
+            table = spark.createDataFrame([(n, r, shard_of.get((n, r)), c) for n, r, c in rows],
+                                          "_node int, _r long, _own int, _child int").select(*on, "_own", "_child")
+            pages = _in_ranges(pages, "_id", level).join(_small(table, len(rows)), on, "left")
+            pages = pages.withColumn("_shard", F.coalesce("_shard", "_own")).drop(*on, "_own").withColumnRenamed("_child", "_node")
         return pages.drop("_node", "_id")
 
     return deal
