@@ -1,10 +1,12 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A bounded sample of the vectors serves as pivots. Every vector is described by its
+Pivots are chosen from a bounded sample of the vectors so that none is close to another:
+a group of near copies, however large, owns few of them, and its members order the other
+pivots alike. Every vector is described by its
 ``prefix`` nearest pivots in order, and posted, within its label, to the inverted list
 of each of them. Two vectors meet in a list; they are candidates when they share at
 least ``shared`` pivots of their prefixes, and each such pair is handled once, in the list of the
-lowest pivot they share. Candidates are verified by their cosine in double precision.
+lowest pivot they share. Links are verified by their cosine in double precision.
 Lists are compared block by block with numpy inside tasks, which give back only the
 number of links per vector and a spanning forest, never the pairs; lists above ``LIST``
 rows are cut into slices, each pair of slices a task's group of its own.
@@ -24,8 +26,13 @@ from riskframe.llm.common import materialize
 from riskframe.llm.simhash import _roots
 from riskframe.operators.components import component_labels
 
-#: Pivots (a bounded sample of the distinct vectors), length of the prefixes, pivots a candidate shares.
+#: Pivots (from a bounded sample of the distinct vectors), length of the prefixes, pivots a candidate shares.
 PIVOTS, PREFIX, SHARED = 128, 8, 3
+#: Distinct vectors the pivots are chosen from, and numbers they may hold in all; cosines that two pivots stay below:
+#: the first with which there are enough pivots, else that with most.
+SAMPLE, SAMPLE_NUMBERS, SPREAD = 4096, 1 << 20, (0.5, 0.65, 0.8, 0.9)
+#: Rounding of a block's cosines; pairs closer to the threshold are computed one by one.
+EDGE = 1e-9
 #: Rows of an inverted list before it is cut into slices; rows of a block.
 LIST, BLOCK = 8_000, 1024
 
@@ -35,6 +42,22 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def spread_pivots(units: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` rows, taken in order, none too close to one taken before."""
+    best = units[:0]
+    for limit in SPREAD:
+        taken, closest = [], np.full(len(units), -2.0)
+        while len(taken) < most and (closest < limit).any():
+            taken.append(int(np.argmax(closest < limit)))
+            closest = np.maximum(closest, units @ units[taken[-1]])
+            closest[taken[-1]] = 2.0
+        if len(taken) > len(best):
+            best = units[taken]
+        if len(best) == most:
+            break
+    return best
+
+
 def pivot_prefix(units: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the nearest ``length`` pivots of each row, nearest first (ties: lower number)."""
     return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :length]
@@ -66,20 +89,20 @@ def list_links(units: np.ndarray, bits: np.ndarray, copies: np.ndarray, pivot: i
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
             ra, rb = slice(a, min(a + BLOCK, n)), slice(b, min(b + BLOCK, n))
-            both = sum(np.bitwise_count(bits[ra, None, k] & bits[None, rb, k]).astype(np.int16)
-                       for k in range(bits.shape[1]))
-            mask = both >= shared
+            cosine = units[ra] @ units[rb].T
+            mask = cosine >= least - EDGE
             if a == b:
                 mask = np.triu(mask, 1)
             if slices is not None:
                 mask &= slices[ra, None] != slices[None, rb]
             i, j = np.nonzero(mask)
+            near = cosine[i, j] >= least + EDGE
             i, j = i + a, j + b
-            own = _lowest_shared(bits[i] & bits[j]) == pivot
-            i, j = i[own], j[own]
-            near = np.empty(len(i), bool)
-            for c in range(0, len(i), 65_536):
-                near[c:c + 65_536] = np.einsum("ij,ij->i", units[i[c:c + 65_536]], units[j[c:c + 65_536]]) >= least
+            both = bits[i] & bits[j]
+            own = (np.bitwise_count(both).sum(axis=1) >= shared) & (_lowest_shared(both) == pivot)
+            i, j, near = i[own], j[own], near[own]
+            edge = np.flatnonzero(~near)
+            near[edge] = np.einsum("ij,ij->i", units[i[edge]], units[j[edge]]) >= least
             i, j = i[near], j[near]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -165,8 +188,12 @@ def embedding_components(vectors: DataFrame, least: float = 0.93, pivots: int =
     found = spark.createDataFrame([], "node long, root long, links long")
     for (dim,) in nodes.select("dim").distinct().collect():  # as many as there are vector lengths
         own = nodes.where(F.col("dim") == dim)
-        sample = own.orderBy(F.xxhash64("k1", F.lit("pivot")), "k2", "label").limit(pivots).select("vector").collect()
-        units = _unit([r[0] for r in sample])
+        size = max(pivots, min(SAMPLE, SAMPLE_NUMBERS // dim))
+        draw = F.xxhash64("k1", F.lit("pivot"))
+        share = 2 * size / own.count()  # some more than needed, so that partitions pass on few rows
+        drawn = own.where(draw < F.lit(int(share * 2**64) - 2**63)) if share < 1 else own
+        sample = drawn.orderBy(draw, "k2", "label").limit(size).select("vector").collect()
+        units = spread_pivots(_unit([r[0] for r in sample]), pivots)
         k = min(prefix, len(units))
         described = materialize(_described(own, units, k), "vector-index")
         posted = described.withColumn("pivot", F.explode("prefix")).drop("prefix")

@@ -61,3 +61,25 @@ def test_against_all_pairs(spark, monkeypatch):
 def test_lowest_shared_bit():
     both = np.array([[0, 0], [8, 0], [0, 1], [1 << 63, 5]], np.uint64)
     assert embedding_dedup._lowest_shared(both).tolist() == [-1, 3, 64, 63]
+
+
+def test_near_copies_of_a_third_of_all_rows(spark):
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, centre = 1500, unit(r.normal(size=(1, 64)))
+    off = r.normal(size=(n // 3, 64))
+    off = unit(off - off @ centre.T * centre)
+    x = np.vstack([0.97 * centre + np.sqrt(1 - 0.97**2) * off, unit(r.normal(size=(n - n // 3, 64)))])
+    cosine = unit(x) @ unit(x).T
+    exist = int((cosine >= 0.93).sum()) - n
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.embedding_components(df, 0.93).collect()
+    assert exist > 100_000 and 0.99 <= sum(g["n_links"] for g in got) / exist <= 1
+
+
+def test_pivots_keep_apart():
+    r = np.random.default_rng(3)
+    x = embedding_dedup._unit(np.vstack([r.normal(size=(1, 16)) + r.normal(size=(300, 16)) * 0.01, r.normal(size=(300, 16))]))
+    p = embedding_dedup.spread_pivots(x, 20)
+    assert len(p) == 20 and (np.triu(p @ p.T, 1) < 0.65).all()
+    assert len(embedding_dedup.spread_pivots(x[:300], 20)) == 1
