@@ -538,26 +538,23 @@ def q_pca_2d(spark, sf_dir):
 
 @register("silhouette")
 def q_silhouette(spark, sf_dir):
-    """DBSCAN and GMM silhouettes: exact squared-Euclidean on all rows (linear),
-    exact Euclidean on the bounded evaluation sample (≤ 20 000 rows)."""
+    """DBSCAN and GMM silhouettes of all rows: squared-Euclidean (linear) and Euclidean (all pairs)."""
     p = _scaled_points(spark, sf_dir)
     out = []
     for method, labels in (("dbscan", cluster.dbscan(p, "vec_id", PTS, eps=2.0, min_samples=5)),
                            ("gmm", cluster.gmm(p, "vec_id", PTS, k=2, seed=42).select("vec_id", "cluster"))):
         j = materialize(p.join(labels, "vec_id"), "sil")
-        sample = cluster.downsample(j, "vec_id", 20000, seed=42)
         out.append((method, cluster.silhouette_sq(j, PTS, "cluster"),
-                    cluster.silhouette_exact(sample, "vec_id", PTS, "cluster")))
+                    cluster.silhouette_exact(j, "vec_id", PTS, "cluster")))
     return spark.createDataFrame(out, "method string, silhouette_sq double, silhouette double")
 
 
 @register("silhouette_labels")
 def q_silhouette_labels(spark, sf_dir):
-    """Silhouettes of the given labels as clusters: squared distances on all rows, Euclidean on the sample."""
+    """Silhouettes of the given labels as clusters: squared and Euclidean distances, on all rows."""
     p = materialize(_scaled_points(spark, sf_dir), "sil")
-    sample = cluster.downsample(p, "vec_id", 20000, seed=42)
     return spark.createDataFrame([(cluster.silhouette_sq(p, PTS, "label"),
-                                   cluster.silhouette_exact(sample, "vec_id", PTS, "label"))],
+                                   cluster.silhouette_exact(p, "vec_id", PTS, "label"))],
                                  "silhouette_sq double, silhouette double")
 
 

@@ -198,3 +198,31 @@ def test_knn_impute_without_a_complete_column(spark):
     t = spark.createDataFrame([(1, 1.0, 10.0), (2, 2.0, None), (3, None, 30.0), (4, 4.0, 40.0)], "id long, a double, b double")
     out = {r["id"]: r for r in neighbors.knn_impute(t, t, "id", ["a", "b"], k=1).collect()}
     assert out[2]["b"] == 10.0 and out[3]["a"] == 4.0
+
+
+def test_silhouette_of_more_rows_than_a_block(spark, monkeypatch):
+    import numpy as np
+    from riskframe.operators import cluster
+    r = np.random.default_rng(4)
+    lab = np.r_[np.full(700, -1), np.arange(260) // 13, [99]]
+    x = r.normal(size=(len(lab), 3)) + lab[:, None] % 7
+    x[5:9] = x[5]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = []
+    for i in range(len(x)):
+        mean = {c: d[i, lab == c].sum() / max((lab == c).sum() - (c == lab[i]), 1) for c in set(lab.tolist())}
+        a, b = mean.pop(lab[i]), min(v for c, v in mean.items() if c != lab[i])
+        want.append((b - a) / max(a, b) if (lab == lab[i]).sum() > 1 and max(a, b) > 0 else 0.0)
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, lab))],
+                               "id long, x double, y double, z double, c int").repartition(5)
+    for block in (8192, 100):
+        monkeypatch.setattr(cluster, "BLOCK", block)
+        assert abs(cluster.silhouette_exact(df, "id", ["x", "y", "z"], "c") - np.mean(want)) < 1e-9
+    assert np.isnan(cluster.silhouette_exact(df.where("c = 99"), "id", ["x", "y", "z"], "c"))
+
+
+def test_silhouette_queries_take_all_rows(spark, monkeypatch):
+    from riskframe.operators import cluster
+    from riskframe.plans import catalog
+    monkeypatch.setattr(cluster, "downsample", lambda *a, **b: 1 / 0)
+    assert len(catalog.q_silhouette_labels(spark, "/root/testdata/sf0.001").collect()) == 1
