@@ -152,26 +152,28 @@ def mahalanobis(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 
 def elliptic_envelope(df: DataFrame, key: str, cols: Sequence[str], support_fraction: float | None = None,
-                      max_steps: int = 30) -> DataFrame:
+                      max_steps: int = 1000) -> DataFrame:
     """(key, score): robust Mahalanobis distance after concentration steps
     (Rousseeuw & Van Driessen): keep the h closest rows, re-estimate, repeat
-    until the support stops changing. Each step is one aggregate + one
-    percentile; the d×d inverse is on the driver."""
+    until mean and covariance stay the same (relative 1e-5, absolute 1e-8; each
+    step lowers the determinant, so the steps end). Each step is one aggregate + one
+    percentile; the d×d inverse is on the driver. Raises if ``max_steps`` are too few."""
     n = df.count()
     d = len(cols)
     h = int(np.ceil(support_fraction * n)) if support_fraction else (n + d + 1) // 2
     frac = min(1.0, h / max(n, 1))
     mu, cov = mean_cov(df, cols)
-    prev = None
     for _ in range(max_steps):
         scored = df.select(key, *cols, mahalanobis_expr(cols, mu, cov).alias("_d"))
         cut = column_quantiles(scored, ["_d"], [frac])["_d"][0]
         support = scored.where(F.col("_d") <= F.lit(cut))
         mu_new, cov_new = mean_cov(support, cols)
-        if prev is not None and np.allclose(mu_new, mu) and np.allclose(cov_new, cov):
-            break
-        prev = (mu, cov)
+        done = np.allclose(mu_new, mu) and np.allclose(cov_new, cov)
         mu, cov = mu_new, cov_new
+        if done:
+            break
+    else:
+        raise RuntimeError(f"elliptic envelope: support still changes after {max_steps} steps")
     return df.select(key, mahalanobis_expr(cols, mu, cov).alias("score"))
 
 
@@ -312,14 +314,44 @@ def autoencoder_recon(df: DataFrame, key: str, cols: Sequence[str], k: int = 2,
     return df.select(key, total.alias("score"))
 
 
+def min_norm_weights(points: np.ndarray) -> np.ndarray:
+    """Weights (not negative, sum 1) of the point of least norm in the hull of the rows: non-negative
+    least squares (Lawson & Hanson 1974) of the rows, each with a 1 appended, against (0, …, 0, 1)."""
+    a = np.c_[points, np.ones(len(points))].T
+    x, held = np.zeros(len(points)), np.zeros(len(points), bool)
+    target = np.r_[np.zeros(points.shape[1]), 1.0]
+    for _ in range(30 * len(points) + 30):
+        slope = np.where(held, -np.inf, a.T @ (target - a @ x))
+        if slope.max() <= 1e-13:
+            break
+        held[np.argmax(slope)] = True
+        while True:
+            z = np.zeros(len(x))
+            z[held] = np.linalg.lstsq(a[:, held], target, rcond=None)[0]
+            if (z[held] > 0).all():
+                break
+            down = np.flatnonzero(held & (z <= 0))
+            x = x + (x[down] / (x[down] - z[down])).min() * (z - x)
+            held &= x > 1e-15
+            x[~held] = 0.0
+        x = z
+    return x / x.sum()
+
+
+#: Relative duality gap at which the one-class SVM is solved, and bins of a step's margins.
+SVM_TOLERANCE, SVM_BINS = 1e-3, 8192
+
+
 def one_class_svm(df: DataFrame, key: str, cols: Sequence[str], nu: float = 0.05, n_components: int = 64,
-                  gamma: float | None = None, iterations: int = 200, lr: float = 0.5, seed: int = 42,
+                  gamma: float | None = None, tolerance: float = SVM_TOLERANCE, max_steps: int = 1000, seed: int = 42,
                   fit: DataFrame | None = None) -> DataFrame:
     """(key, score): RBF one-class SVM approximated in a random Fourier feature
-    space (Rahimi & Recht 2007), trained on the primal objective
-    ½‖w‖² + 1/(νn)·Σ max(0, ρ − w·z) − ρ by full-batch subgradient steps. Each
-    step is one distributed aggregate (violator count and feature sums); w has
-    n_components numbers. score = ρ − w·z (> 0 ⇒ outside the support)."""
+    space (Rahimi & Recht 2007): the optimum of ½‖w‖² + 1/(νn)·Σ max(0, ρ − w·z) − ρ,
+    whose w is the point of least norm among the means of z with weights of at most 1/(νn).
+    Each step finds the mean of the νn rows of smallest w·z (a count by margin, then two sums) and
+    moves w to the point of least norm in the hull of the means found so far. It ends when the duality gap
+    ‖w‖² − w·mean is at most ``tolerance``·‖w‖² and raises if ``max_steps`` are too few.
+    score = ρ − w·z (> 0 ⇒ outside the support)."""
     import pandas as pd
 
     from riskframe.operators.models import gamma_scale, random_fourier_features
@@ -329,31 +361,54 @@ def one_class_svm(df: DataFrame, key: str, cols: Sequence[str], nu: float = 0.05
     zfit = random_fourier_features(base.select(*cols), cols, g, n_components, seed, "_z") \
         .select(F.array(*zc).alias("z")).cache()
     n = zfit.count()
-    w = np.full(n_components, 1.0 / np.sqrt(n_components))
-    rho = 0.0
-    out_schema = "k long, s array<double>"
-    for t in range(iterations):
-        w_now, rho_now = w.copy(), rho
-
-        def partial(batches, w_now=w_now, rho_now=rho_now):
-            k, acc = 0, np.zeros(len(w_now))
+
+    def lowest(w):
+        """(mean z of the νn rows of smallest margin, rows of the last bin by equal shares; what an exact cut could lower it by)."""
+        reach = np.sqrt(2.0) * np.linalg.norm(w) + 1e-12  # no margin is larger
+        width = 2 * reach / SVM_BINS
+
+        def bins(z):
+            return np.clip(((z @ w + reach) / width).astype(int), 0, SVM_BINS - 1)
+
+        def count(batches):
+            for pdf in batches:
+                if len(pdf):
+                    b, k = np.unique(bins(np.stack(pdf["z"].to_numpy())), return_counts=True)
+                    yield pd.DataFrame({"b": b, "k": k})
+
+        found = zfit.mapInPandas(count, "b long, k long").groupBy("b").agg(F.sum("k").alias("k")).collect()
+        counts = np.zeros(SVM_BINS)
+        for r in found:
+            counts[r["b"]] = r["k"]
+        last = int(np.searchsorted(np.cumsum(counts), nu * n))
+        share = (nu * n - counts[:last].sum()) / counts[last]
+
+        def total(batches):
+            acc = np.zeros(len(w))
             for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                z = np.stack(pdf["z"].to_numpy())
-                viol = z @ w_now < rho_now
-                k += int(viol.sum())
-                acc += z[viol].sum(axis=0)
-            yield pd.DataFrame({"k": [k], "s": [acc.tolist()]})
-
-        # one vectorised partial sum per partition, then a tiny final sum
-        parts = zfit.mapInPandas(partial, out_schema).collect()
-        kv = sum(r["k"] for r in parts)
-        sz = np.sum([np.array(r["s"]) for r in parts], axis=0)
-        step = lr / np.sqrt(t + 1.0)
-        w = w - step * (w - sz / (nu * n))
-        rho = rho - step * (-1.0 + kv / (nu * n))
+                if len(pdf):
+                    z = np.stack(pdf["z"].to_numpy())
+                    b = bins(z)
+                    acc += z[b < last].sum(axis=0) + share * z[b == last].sum(axis=0)
+            yield pd.DataFrame({"s": [acc.tolist()]})
+
+        sums = zfit.mapInPandas(total, "s array<double>").collect()
+        return np.sum([r["s"] for r in sums], axis=0) / (nu * n), width * share * counts[last] / (nu * n)
+
+    hull = lowest(np.full(n_components, 1.0 / np.sqrt(n_components)))[0][None]
+    for _ in range(max_steps):
+        weights = min_norm_weights(hull)
+        hull, w = hull[weights > 0], weights @ hull
+        mean, slack = lowest(w)
+        if w @ w - w @ mean + slack <= tolerance * (w @ w) or w @ w <= 1e-12:
+            break
+        hull = np.vstack([hull, mean])
+    else:
+        raise RuntimeError(f"one-class SVM: duality gap above {tolerance} after {max_steps} steps")
     zfit.unpersist()
-    z = random_fourier_features(df.select(key, *cols), cols, g, n_components, seed, "_z")
+
     margin = sum((F.col(c) * F.lit(float(w[i])) for i, c in enumerate(zc[1:], 1)), F.col(zc[0]) * F.lit(float(w[0])))
+    z = random_fourier_features(base.select(*cols), cols, g, n_components, seed, "_z")
+    rho = column_quantiles(z.select(margin.alias("m")), ["m"], [nu])["m"][0]
+    z = random_fourier_features(df.select(key, *cols), cols, g, n_components, seed, "_z")
     return z.select(key, (F.lit(rho) - margin).alias("score"))

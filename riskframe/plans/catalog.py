@@ -809,7 +809,7 @@ def q_autoencoder_recon(spark, sf_dir):
 
 @register("one_class_svm")
 def q_one_class_svm(spark, sf_dir):
-    s = anomaly.one_class_svm(_scaled_points(spark, sf_dir), "vec_id", PTS, nu=0.05, iterations=100)
+    s = anomaly.one_class_svm(_scaled_points(spark, sf_dir), "vec_id", PTS)
     return anomaly.contamination_cut(s, "score")
 
 
@@ -831,7 +831,7 @@ def q_detector_ensemble(spark, sf_dir):
     dets = {
         "isolation_forest": anomaly.iforest_score(p, "vec_id", PTS, nodes),
         "elliptic_envelope": anomaly.elliptic_envelope(p, "vec_id", PTS),
-        "one_class_svm": anomaly.one_class_svm(p, "vec_id", PTS, iterations=60),
+        "one_class_svm": anomaly.one_class_svm(p, "vec_id", PTS),
         "ecod": tails.select("vec_id", F.col("ecod").alias("score")),
         "copod": tails.select("vec_id", F.col("copod").alias("score")),
         "autoencoder": anomaly.autoencoder_recon(p, "vec_id", PTS, k=2),
