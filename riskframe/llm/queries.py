@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, embedding_dedup, hard_negatives, line_dedup, packing, secrets, sharding, simhash, suffix_dedup, toxicity, warc
+from riskframe.llm import decontaminate, embedding_dedup, hard_negatives, importance, line_dedup, packing, secrets, sharding, simhash, suffix_dedup, token_index, toxicity, warc
 from riskframe.llm.common import scratch_path
 from riskframe.sources.tables import read_table
 
@@ -165,3 +165,48 @@ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positi
 FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY rank <= 10"""
+
+
+@_query
+def op12_head_tail_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's words."""
+    out = importance.importance_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The CRC-32 of each distinct word is worked out from its bytes; the table of 256 remainders from the polynomial.
+ORACLE["op12_head_tail_importance"] = r"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+                 lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS rem),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS MATERIALIZED (SELECT unnest(w) AS word FROM b),
+v AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+hexed AS (SELECT word, hex(encode(word)) AS x FROM v),
+bytes AS (SELECT word, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bs FROM hexed),
+crc AS MATERIALIZED (SELECT word, xor(list_reduce(list_concat([4294967295], bs), lambda c, y: xor(c >> 8, rem[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+        FROM bytes, tab),
+sums AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s_all, (SELECT count(*) FROM bw)::DOUBLE AS t_all),
+sc AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (word) GROUP BY 1),
+tc AS (SELECT bucket, count(*) AS t FROM bw JOIN crc USING (word) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS g
+         FROM sc LEFT JOIN tc USING (bucket), sums),
+per AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS total FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY 1),
+w AS (SELECT doc_id, len(w) AS n_features, coalesce((total - (((total % n) + n) % n)) // n, 0)::BIGINT AS weight,
+             ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h
+      FROM d LEFT JOIN per USING (doc_id)),
+sco AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM sco WHERE n_features >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+       CASE WHEN k <= 10 * (SELECT count(*) FROM r) // 100 THEN k END AS rank
+FROM sco LEFT JOIN r USING (doc_id)"""
+
+
+@_query
+def op13_minimal_hash_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids written as binary shards, then read back by key."""
+    folder = token_index.write_archive(read_table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), _tokenizer_file(), end_id=2)
+    keys = spark.read.parquet(folder + "/docs").select("id", "nth")
+    out = token_index.read_documents(spark, folder, keys)
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
