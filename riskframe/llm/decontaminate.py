@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import materialize, row_identity
 
 #: Hashes up to which the benchmark's side of a join is broadcast (16 bytes each); beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words(col: Column) -> Column:
@@ -52,8 +52,8 @@ def winnowed(text_words: Column, k: int, span: int) -> Column:
     return _bind(gram_hashes(text_words, k), kept)
 
 
-def _checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _checked_broadcast(df: DataFrame, rows: int, text_bytes: int = 0) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and text_bytes <= BROADCAST_BYTES else df
 
 
 def _item_windows(items: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
@@ -89,8 +89,9 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     """
     w = words(F.col(text_col))
     keyed = docs.select(F.col(id_col).alias("doc_id"), row_identity(id_col, text_col).alias("row_key"), w.alias("w"))
-    wins = materialize(_item_windows(items, span, item_id_col, item_text_col), "item-windows")
-    n_wins = wins.count()
+    wins = _item_windows(items, span, item_id_col, item_text_col).withColumn("number", F.monotonically_increasing_id())
+    wins = materialize(wins, "item-windows")  # numbers as written
+    n_wins, n_bytes = wins.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
     shorts = sorted(r[0] for r in wins.where(F.col("len") < span).select("len").distinct().collect())  # below span
 
     # hashes kept of the items' long windows: those of a window of exactly ``span`` words
@@ -106,29 +107,32 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
             F.coalesce(*[F.when(F.col("len") == n, gram_hashes(F.split("words", " "), n)[0]) for n in shorts]).alias("h"))
         found = keyed.select("row_key", F.explode(whole).alias("h")).join(_checked_broadcast(own.distinct(), n_wins), "h")
         hits = hits.unionByName(found.select("row_key", "h"))
-    hits = materialize(hits.groupBy("row_key").agg(F.collect_set("h").alias("hits")), "doc-hits")
-
-    # extend: windows around the hits, compared word by word
-    near = keyed.select("row_key", "w").join(hits, "row_key")
-
-    def starts(n: int, grams_in: int, size: int) -> Column:
-        """(start, len, words) of the windows of ``size`` words of which one of ``n`` grams is hit."""
-        def from_grams(h):
-            hit = F.transform(h, lambda x: F.array_contains("hits", x))
-            at = _bind(hit, lambda f: F.filter(
-                F.when(F.size(f) >= n, F.sequence(F.lit(1), F.size(f) - (n - 1))).otherwise(F.array().cast("array<int>")),
-                lambda i: F.exists(F.slice(f, i, n), lambda y: y)))
-            return F.transform(at, lambda i: F.struct(
-                (i - 1).cast("long").alias("start"), F.lit(size).cast("long").alias("len"),
-                F.array_join(F.slice("w", i, size), " ").alias("words")))
-        return _bind(gram_hashes(F.col("w"), grams_in), from_grams)
-
-    windows = [starts(span - k + 1, k, span), *[starts(1, n, n) for n in shorts]]
-    cand = near.select("row_key", F.inline(F.flatten(F.array(*windows))))
-    sure = cand.join(_checked_broadcast(wins.withColumn("len", F.col("len").cast("long")), n_wins), ["len", "words"])
-    per_doc = sure.groupBy("row_key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    hits = materialize(hits.distinct(), "doc-hits")
+
+    # extend: windows around the places of the hits, compared word by word
+    found_in = hits.select("row_key").distinct()
+    near = keyed.select("row_key", "w").join(found_in, "row_key").dropDuplicates(["row_key"])
+    near = materialize(near, "doc-near")  # texts with hits alone
+
+    def starts(n: int, grams_in: int, size: int) -> DataFrame:
+        """(row_key, size, starts): where windows of ``size`` words begin of which one of ``n`` grams is hit."""
+        grams = near.select("row_key", F.size("w").alias("words"), F.posexplode(gram_hashes(F.col("w"), grams_in)).alias("at", "h"))
+        at = grams.join(hits, ["row_key", "h"])  # places, from 0
+        first, last = F.greatest(F.lit(0), F.col("at") - (n - 1)), F.least(F.col("at"), F.col("words") - size)
+        at = at.where(first <= last).select("row_key", F.explode(F.sequence(first, last)).alias("start"))
+        return at.groupBy("row_key").agg(F.collect_set("start").alias("starts")).withColumn("size", F.lit(size))
+
+    begun = starts(span - k + 1, k, span)
+    for n in shorts:
+        begun = begun.unionByName(starts(1, n, n))
+    window = F.transform("starts", lambda i: F.struct(i.cast("long").alias("start"), F.col("size").cast("long").alias("len"),
+                                                      F.array_join(F.slice("w", i + 1, F.col("size")), " ").alias("words")))
+    cand = near.join(begun, "row_key").select("row_key", F.inline(window))
+    known = wins.select(F.col("len").cast("long").alias("len"), "words", "number")
+    sure = materialize(cand.join(_checked_broadcast(known, n_wins, n_bytes), ["len", "words"]).drop("words"), "doc-windows")
+    ids = sure.select("row_key", "number").distinct().join(wins.select("number", F.explode("items").alias("item")), "number")
+    ids = ids.select("row_key", "item").distinct().groupBy("row_key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    per_doc = sure.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans")).join(ids, "row_key")
     per_doc = per_doc.withColumn("n_hit", _covered(F.col("spans")))
     none = F.array().cast("array<string>")
     return base.drop("kept").join(per_doc, "row_key", "left").select(

@@ -59,6 +59,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if _exists(spark, path) else spark.createDataFrame([], LEDGER)
 
 
+def _of(ledger: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The ledger's rows of these blobs, so that a scan costs what its blobs do."""
+    return ledger.join(blobs.select("blob"), "blob", "left_semi")
+
+
 def _scanner(rules: tuple[Rule, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -89,8 +94,8 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
                                   "number int, rule string, version int")  # the list of rules
     every = F.array(*[F.struct(F.lit(k).alias("number"), F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"))
                       for k, r in enumerate(rules)])
-    known = read_ledger(spark, ledger).select("blob", "rule", "version")
-    first = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    first = materialize(paths.groupBy("blob").agg(F.min("path").alias("path")), "blob-first")
+    known = _of(read_ledger(spark, ledger), first).select("blob", "rule", "version")
     missing = (first.select("blob", "path", F.inline(every)).join(known, ["blob", "rule", "version"], "left_anti")
                .groupBy("blob", "path").agg(F.sort_array(F.collect_set("number")).alias("missing")))
     same = (held["blob"] == missing["blob"]) & held["path"].eqNullSafe(missing["path"])
@@ -99,8 +104,9 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     found = unseen.mapInPandas(_scanner(rules), LEDGER).dropDuplicates(["blob", "rule", "version"])
     found.write.mode("append").parquet(ledger)
     # put together per blob first, so that a text held by a third of all paths is put together once
-    spans = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), F.col("number").alias("number"),
-                                                    F.col("rule").alias("rule"), x["end"].alias("end")))
-    blobs = (read_ledger(spark, ledger).join(F.broadcast(table), ["rule", "version"])
-             .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("found")))
+    # (two scans at a time may both have written a pair: the set holds it once)
+    spans = F.flatten(F.transform(F.collect_set(F.struct("number", "rule", "spans")), lambda r: F.transform(r["spans"], lambda x: F.struct(
+        x["start"].alias("start"), r["number"].alias("number"), r["rule"].alias("rule"), x["end"].alias("end")))))
+    blobs = (_of(read_ledger(spark, ledger), first).join(F.broadcast(table), ["rule", "version"])
+             .groupBy("blob").agg(F.array_sort(spans).alias("found")))
     return paths.join(blobs, "blob").select("path", "blob", "found")

@@ -46,6 +46,9 @@ class CapacityTree:
             self._leaves[k:k + 1] = [leaf[:half], leaf[half:]]
             self._high[k:k + 1] = [leaf[half - 1], leaf[-1]]
 
+    def all(self) -> list[tuple[int, int]]:
+        return [item for leaf in self._leaves for item in leaf]
+
     def take_tightest(self, size: int) -> tuple[int, int] | None:
         """Remove and return the bin with the least remaining room that holds ``size``."""
         k = bisect_left(self._high, (size, -1))
@@ -60,11 +63,10 @@ class CapacityTree:
         return found
 
 
-def pack_classes(classes: list[tuple[int, int]], capacity: int, most: int | None = None):
+def pack_classes(classes: list[tuple[int, int]], capacity: int):
     """Best-fit-decreasing over (size, count) classes, largest size first.
 
-    Returns runs (size, first rank, rank after the last, bin), or None if ``most``
-    bins don't suffice. A size above ``capacity`` gets bins of its own.
+    Returns runs (size, first rank, rank after the last, bin). A size above ``capacity`` gets bins of its own.
     """
     tree, bins, runs = CapacityTree(), 0, []
     for size, count in classes:
@@ -72,8 +74,6 @@ def pack_classes(classes: list[tuple[int, int]], capacity: int, most: int | None
         while rank < count:
             found = tree.take_tightest(size)
             if found is None:
-                if bins == most:
-                    return None
                 found = (max(capacity, size), bins)
                 bins += 1
             room, bin_id = found
@@ -84,28 +84,58 @@ def pack_classes(classes: list[tuple[int, int]], capacity: int, most: int | None
     return runs
 
 
+def _level(rooms: list[tuple[int, int]], size: int, count: int) -> list[int]:
+    """How many of ``count`` equal groups each bin (room, bin) gets if each goes to the bin with the most room."""
+    def given(level: int) -> list[int]:
+        return [max(0, -(-(room - level) // size)) for room, _ in rooms]
+
+    low, high = min(r for r, _ in rooms) - size * count - 1, max(r for r, _ in rooms)
+    while high - low > 1:  # given(low) is enough, given(high) isn't
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(given(middle)) >= count else (low, middle)
+    out = given(high)
+    for _ in range(count - sum(out)):
+        k = max(range(len(rooms)), key=lambda i: (rooms[i][0] - out[i] * size, -rooms[i][1]))
+        out[k] += 1
+    return out
+
+
 def balance_classes(classes: list[tuple[int, int]], shards: int):
-    """Runs that fill ``shards`` bins as evenly as best-fit-decreasing can: a group
-    larger than its fair share gets a bin to itself, the others go into the
-    smallest capacity that suffices."""
+    """Runs (size, first rank, rank after the last, bin) that fill ``shards`` bins as evenly as best-fit-decreasing
+    can: a group larger than its fair share gets a bin to itself; the other bins are all open from the start with
+    the fair share of the rest as their room, a group goes to the bin with the least room that holds
+    it, and where none does, to the bin with the most room."""
     classes, own, runs = [list(c) for c in classes], 0, []
-    total = sum(s * n for s, n in classes)
-    taken: dict[int, int] = {}
+    total, ranks = sum(s * n for s, n in classes), {}
     for c in classes:
         while c[1] and own < shards - 1 and c[0] * (shards - own) > total:
-            rank = taken.get(c[0], 0)
+            rank = ranks.get(c[0], 0)
             runs.append((c[0], rank, rank + 1, own))
-            taken[c[0]], total, own = rank + 1, total - c[0], own + 1
+            ranks[c[0]], total, own = rank + 1, total - c[0], own + 1
             c[1] -= 1
-    rest = [(s, n) for s, n in classes if n]
-    if not rest:
-        return runs
-    left = shards - own
-    fair = -(-total // left)
-    low, more = max(fair, rest[0][0]), 0
-    while (packed := pack_classes(rest, low + more, left)) is None:
-        more = 2 * more + 1
-    return runs + [(s, a + taken.get(s, 0), b + taken.get(s, 0), k + own) for s, a, b, k in packed]
+    tree, fair = CapacityTree(), -(-total // (shards - own))
+    for k in range(own, shards):
+        tree.add(fair, k)
+    for size, count in classes:
+        rank = ranks.get(size, 0)
+        end = rank + count
+        while rank < end:
+            found = tree.take_tightest(size)
+            if found is None:
+                rooms = tree.all()
+                given, tree = _level(rooms, size, end - rank), CapacityTree()
+                for (room, bin_id), n in zip(rooms, given):
+                    if n:
+                        runs.append((size, rank, rank + n, bin_id))
+                    rank += n
+                    tree.add(room - n * size, bin_id)
+                break
+            room, bin_id = found
+            n = min(end - rank, room // size)
+            runs.append((size, rank, rank + n, bin_id))
+            rank += n
+            tree.add(room - n * size, bin_id)
+    return runs
 
 
 def _class_of(size: str):
@@ -145,7 +175,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 
     ``size`` is the text's UTF-8 bytes plus 1; null texts have no bytes, form one
     group of their own and have a null CRC. An empty text has CRC 0. Repeated rows
-    each keep their place. A group larger than a fair share fills a shard alone.
+    each keep their place. A group larger than a fair share fills a shard alone; no
+    shard stays empty while there are as many groups as shards.
     An empty table gives an empty result; other columns are not read.
     """
     text = F.col(text_col)

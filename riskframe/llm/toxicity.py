@@ -216,7 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     # at most fit_rows rows of 16 bytes; texts of repeated rows count once
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
     sample = materialize(sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))), "toxic-sample")
-    lexicon = learn_lexicon(sample)
+    lexicon = learn_lexicon(sample.where("part != 0"))  # the quarter that calibrates has to be new to all that is fitted
     ones, total = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count(F.lit(1))).first()
     prior = float(ones / total) if total else 0.0
     x = sample.select("label", "part", features(lexicon)("text").alias("features"))

@@ -29,3 +29,14 @@ def test_against_a_plain_version(spark):
     assert decontaminate.contamination(df.where("false"), bench).count() == 0
     none = decontaminate.contamination(df, bench.where("false")).collect()
     assert len(none) == len(docs) + 2 and all(x["n_hit"] == 0 and x["item_ids"] == [] for x in none)
+
+
+def test_a_long_text_that_is_hit_throughout(spark):
+    # the work has to grow with the text, not with its square
+    r = np.random.default_rng(8)
+    text = " ".join(f"w{k}" for k in r.integers(0, 50_000, 60_000))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "w1 w2")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text), (8, "w1 w2")], "item_id long, text string")
+    out = decontaminate.contamination(docs, items).collect()
+    got = sorted((x["doc_id"], x["n_words"], x["n_hit"], x["item_ids"][0]) for x in out)
+    assert got[:2] == [(1, 60_000, 60_000, "7")] * 2 and got[2] == (2, 2, 2, "8")

@@ -45,3 +45,16 @@ def test_each_stage_equals_a_plain_version(spark):
             assert {x["doc_id"] for x in after} == {i for i, _ in before}
             used = np.bincount([x["sequence_id"] for x in after], [x["length"] for x in after])
             assert used.max() <= 1024 and len(used) == len({x["sequence_id"] for x in after})
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    from pyspark.sql import functions as F
+    names = ["_toxicity", "score", "line_dedup", "_row", "row", "row_key", "w", "component_id", "c0"]
+    docs = read_table(spark, SF01, "documents").limit(60)
+    docs = corpus_pipeline.materialize(docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names]), "extra")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF01)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(x[n] == f"{n}{x['doc_id']}" for x in rows for n in names)
+        assert stage(spark, docs.where("false"), SF01).count() == 0

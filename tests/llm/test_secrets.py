@@ -35,3 +35,12 @@ def test_findings_and_ledger(spark):
     assert got == sorted(((i, [s for s in f if s[2] != "access"]) for i, f in want), key=str)
     assert secrets.read_ledger(spark, ledger).count() == 3 * (blobs + 1) + blobs
     assert secrets.scan_versions(df.where("false"), ledger + "-none").count() == 0
+
+
+def test_two_writers_at_once_count_once(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "path long, content string")
+    ledger = os.path.join(tempfile.mkdtemp(prefix="ledger-"), "l")
+    first = _rows(secrets.scan_versions(df, ledger))
+    secrets.read_ledger(spark, ledger).write.mode("append").parquet(ledger + "-other")
+    spark.read.parquet(ledger + "-other").write.mode("append").parquet(ledger)  # what a scan at the same time would add
+    assert _rows(secrets.scan_versions(df, ledger)) == first

@@ -73,3 +73,32 @@ def test_fixed_capacity(spark):
         loads[s] = loads.get(s, 0) + 2 * (1 + k % 9)
     assert len(got) == 300 and max(loads.values()) <= 50
     assert len(loads) == len(naive_best_fit([2 * (1 + k % 9) for k in range(300)], 50))
+
+
+def _loads(classes, shards):
+    loads, seen = [0] * shards, {}
+    for size, a, b, k in sharding.balance_classes(classes, shards):
+        loads[k] += size * (b - a)
+        assert a == seen.get(size, 0) and b > a
+        seen[size] = b
+    assert seen == dict(classes)
+    return loads
+
+
+def test_few_large_equal_groups_leave_no_shard_empty():
+    assert sorted(_loads([(1000, 17)], 8)) == [2000] * 7 + [3000]
+    assert sorted(_loads([(1000, 12)], 8)) == [1000] * 4 + [2000] * 4
+    assert sorted(_loads([(5000, 20), (10, 50)], 8))[0] >= 10_000
+    assert sorted(_loads([(7, 3)], 8)) == [0] * 5 + [7] * 3 and _loads([], 8) == [0] * 8
+    assert sorted(_loads([(1 << 40, 1), (3, 70)], 8)) == [30] * 7 + [1 << 40]
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        sizes = r.integers(1, 5000, 60).tolist()
+        loads = _loads(sorted(((s, sizes.count(s)) for s in set(sizes)), reverse=True), 8)
+        assert max(loads) - min(loads) <= max(sizes) and min(loads) > 0
+
+
+def test_large_equal_groups_through_the_operator(spark):
+    rows = [(k, chr(97 + k % 17) * 999) for k in range(17)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    assert sorted(sum(x["size"] for x in out if x["shard"] == s) for s in range(8)) == [2000] * 7 + [3000]
