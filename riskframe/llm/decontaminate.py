@@ -110,8 +110,10 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     hits = materialize(hits.distinct(), "doc-hits")
 
     # extend: windows around the places of the hits, compared word by word
-    found_in = hits.select("row_key").distinct()
-    near = keyed.select("row_key", "w").join(found_in, "row_key").dropDuplicates(["row_key"])
+    found_in = materialize(hits.select("row_key").distinct(), "docs-hit")
+    found_in = _checked_broadcast(found_in, found_in.count())  # else texts are shuffled, not their words
+    near = docs.select(row_identity(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(found_in, "row_key")
+    near = near.dropDuplicates(["row_key"]).select("row_key", words(F.col("text")).alias("w"))
     near = materialize(near, "doc-near")  # texts with hits alone
 
     def starts(n: int, grams_in: int, size: int) -> DataFrame:
