@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.rng import u01
+from riskframe.functions.rng import KeyedBijection
 from riskframe.operators.curves import cumulative_desc
-from riskframe.operators.quantiles import column_quantiles, exact_quantiles
+from riskframe.operators.quantiles import column_quantiles, exact_quantiles, select_quantiles
+from riskframe.operators.split import stratified_rank
 from riskframe.session import materialize
 
 CONTAMINATION = 0.05
@@ -131,50 +133,138 @@ def mean_cov(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> t
 
 
 def mahalanobis_expr(cols: Sequence[str], mu: np.ndarray, cov: np.ndarray) -> F.Column:
-    """Squared Mahalanobis distance as a literal-coefficient expression."""
+    """Squared Mahalanobis distance as a literal-coefficient expression; NULL where there is no mean, 0 where nothing varies."""
+    if not (np.isfinite(mu).all() and np.isfinite(cov).all()):
+        return F.lit(None).cast("double")
     prec = np.linalg.pinv(cov)
     diffs = [F.col(c) - F.lit(float(mu[i])) for i, c in enumerate(cols)]
-    terms = []
+    out = F.lit(0.0)
     for i in range(len(cols)):
         for j in range(len(cols)):
             if prec[i, j] != 0.0:
-                terms.append(F.lit(float(prec[i, j])) * diffs[i] * diffs[j])
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
+                out = out + F.lit(float(prec[i, j])) * diffs[i] * diffs[j]
     return out
 
 
 def mahalanobis(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """(key, mahalanobis): squared distance to the mean under the sample covariance."""
+    """(key, mahalanobis): squared distance to the mean under the sample covariance. No rows give no rows."""
     mu, cov = mean_cov(df, cols)
     return df.select(key, mahalanobis_expr(cols, mu, cov).alias("mahalanobis"))
 
 
+#: Rows of a starting subset, how many subsets, random starts in each, starts kept for the merged subset and for all rows.
+MCD_SUBSET, MCD_SUBSETS, MCD_STARTS, MCD_KEPT, MCD_LAST = 300, 5, 100, 10, 2
+
+
+def chi_square_quantile(q: float, d: int) -> float:
+    """Wilson and Hilferty's approximation."""
+    from statistics import NormalDist
+    return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(q) * np.sqrt(2 / (9 * d))) ** 3
+
+
+def _distances(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    diff = x - mu
+    return np.einsum("ij,jk,ik->i", diff, np.linalg.pinv(cov), diff)
+
+
+def _concentrate(x: np.ndarray, mu: np.ndarray, cov: np.ndarray, share: float, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log determinant, mean, covariance) after so many concentration steps on the rows of ``x``."""
+    h = max(x.shape[1] + 1, int(np.ceil(share * len(x))))
+    for _ in range(steps):
+        own = x[np.argsort(_distances(x, mu, cov), kind="stable")[:h]]
+        mu, cov = own.mean(axis=0), np.cov(own.T, bias=True).reshape(x.shape[1], x.shape[1])
+    sign, size = np.linalg.slogdet(cov)
+    return (size if sign > 0 else -np.inf), mu, cov
+
+
+def nested_starts(x: np.ndarray, share: float, seed: int = 42) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The best (mean, covariance) starts found on small subsets of ``x`` and carried to all of it (Rousseeuw & Van
+    Driessen 1999): in each subset many starts from d + 1 random rows, two steps each; the best of them all, two steps on ``x``."""
+    r, d = np.random.default_rng(seed), x.shape[1]
+    x = x[r.permutation(len(x))]
+    best = []
+    for part in np.array_split(x, max(1, min(MCD_SUBSETS, len(x) // MCD_SUBSET))):
+        found = []
+        for _ in range(MCD_STARTS):
+            few = part[r.choice(len(part), min(d + 1, len(part)), replace=False)]
+            found.append(_concentrate(part, few.mean(axis=0), np.cov(few.T, bias=True).reshape(d, d), share, 2))
+        best += sorted(found, key=lambda f: f[0])[:MCD_KEPT]
+    merged = sorted((_concentrate(x, mu, cov, share, 2) for _, mu, cov in best), key=lambda f: f[0])
+    return [(mu, cov) for _, mu, cov in merged[:MCD_LAST]]
+
+
 def elliptic_envelope(df: DataFrame, key: str, cols: Sequence[str], support_fraction: float | None = None,
-                      max_steps: int = 1000) -> DataFrame:
-    """(key, score): robust Mahalanobis distance after concentration steps
-    (Rousseeuw & Van Driessen): keep the h closest rows, re-estimate, repeat
-    until mean and covariance stay the same (relative 1e-5, absolute 1e-8; each
-    step lowers the determinant, so the steps end). Each step is one aggregate + one
-    percentile; the d×d inverse is on the driver. Raises if ``max_steps`` are too few."""
-    n = df.count()
-    d = len(cols)
+                      max_steps: int = 1000, seed: int = 42) -> DataFrame:
+    """(key, score): robust squared Mahalanobis distance by the covariance of least determinant (Rousseeuw & Van Driessen).
+
+    Starts come from a bounded hash sample (``MCD_SUBSETS`` × ``MCD_SUBSET`` rows) and are carried to all rows: keep the h
+    closest rows, re-estimate, repeat until mean and covariance stay the same (relative 1e-5, absolute 1e-8; each step lowers the
+    determinant, so the steps end). Of the last starts the one with the least determinant stays; its covariance is scaled
+    so that the median distance is that of normal data, and mean and covariance are taken once more from all rows
+    within the 97.5 % quantile. Each step is one aggregate + one quantile; the d×d inverse is on the driver. Rows with a
+    NULL or NaN have no score; constant columns add nothing; no rows give no rows. Raises if ``max_steps`` are too few."""
+    cols, d = list(cols), len(cols)
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = materialize(df.where(whole).select(key, *[F.col(c).cast("double").alias(c) for c in cols]), "envelope")
+    n = rows.count()
+    if n == 0:
+        return df.select(key, F.lit(None).cast("double").alias("score"))
     h = int(np.ceil(support_fraction * n)) if support_fraction else (n + d + 1) // 2
-    frac = min(1.0, h / max(n, 1))
-    mu, cov = mean_cov(df, cols)
-    for _ in range(max_steps):
-        scored = df.select(key, *cols, mahalanobis_expr(cols, mu, cov).alias("_d"))
-        cut = column_quantiles(scored, ["_d"], [frac])["_d"][0]
-        support = scored.where(F.col("_d") <= F.lit(cut))
-        mu_new, cov_new = mean_cov(support, cols)
-        done = np.allclose(mu_new, mu) and np.allclose(cov_new, cov)
-        mu, cov = mu_new, cov_new
-        if done:
-            break
-    else:
-        raise RuntimeError(f"elliptic envelope: support still changes after {max_steps} steps")
-    return df.select(key, mahalanobis_expr(cols, mu, cov).alias("score"))
+    frac = min(1.0, h / n)
+    size = MCD_SUBSETS * MCD_SUBSET
+    draw = F.xxhash64(F.col(key), F.lit(seed))
+    some = rows.where(draw < F.lit(int((2 * size + 64) / n * 2**64) - 2**63)) if 2 * size + 64 < n else rows
+    sample = np.array([list(r)[1:] for r in some.orderBy(draw, key).limit(size).collect()], float)
+    ends = []
+    for mu, cov in nested_starts(sample, frac, seed):
+        for _ in range(max_steps):
+            scored = _scored(rows, cols, mu, cov)
+            cut = select_quantiles(scored, [frac]).first()["q"][0]
+            mu_new, cov_new = _moments_within(scored, mu, cut)
+            done = np.allclose(mu_new, mu) and np.allclose(cov_new, cov)
+            mu, cov = mu_new, cov_new
+            if done:
+                break
+        else:
+            raise RuntimeError(f"elliptic envelope: support still changes after {max_steps} steps")
+        sign, logdet = np.linalg.slogdet(cov)
+        ends.append((logdet if sign > 0 else -np.inf, len(ends), mu, cov))
+    _, _, mu, cov = min(ends, key=lambda e: e[:2])
+    middle = select_quantiles(_scored(rows, cols, mu, cov), [0.5]).first()["q"][0]
+    cov = cov * (middle / chi_square_quantile(0.5, d)) if middle else cov
+    mu, cov = _moments_within(_scored(rows, cols, mu, cov), mu, chi_square_quantile(0.975, d))
+    return df.select(key, F.when(whole, mahalanobis_expr(cols, mu, cov)).alias("score"))
+
+
+def _scored(rows: DataFrame, cols: list[str], mu: np.ndarray, cov: np.ndarray) -> DataFrame:
+    """(x, _v, _n): the rows with their squared distance, written. Numpy batches, so that a step's new mean and
+    covariance don't make Spark compile new code."""
+
+    @F.pandas_udf("double")
+    def distance(x: pd.Series) -> pd.Series:
+        return pd.Series(_distances(np.array(x.tolist(), float).reshape(len(x), len(mu)), mu, cov))
+
+    x = F.array(*cols)
+    return materialize(rows.select(x.alias("x"), distance(x).alias("_v"), F.lit(1).cast("long").alias("_n")), "envelope-scored")
+
+
+def _moments_within(scored: DataFrame, around: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population covariance of the rows at a distance of at most ``cut``, from sums around a point."""
+    d = len(around)
+
+    def sums(batches):
+        total = np.zeros(1 + d + d * d)
+        for b in batches:
+            x = np.array(b["x"][b["_v"] <= cut].tolist(), float).reshape(-1, d) - around
+            total += np.r_[len(x), x.sum(axis=0), (x.T @ x).ravel()]
+        yield pd.DataFrame({"s": [total.tolist()]})
+
+    each = scored.select("x", "_v").mapInPandas(sums, "s array<double>").select(F.posexplode("s").alias("i", "s"))
+    got = np.array([r["s"] for r in each.groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()])
+    mean = got[1:1 + d] / got[0]
+    return around + mean, got[1 + d:].reshape(d, d) / got[0] - np.outer(mean, mean)
 
 
 # ------------------------------------------------------------------ isolation forest
@@ -194,7 +284,6 @@ NODE_SCHEMA = T.StructType([
 
 def _build_tree(pdf, cols, seed, max_depth):
     """One isolation tree from ≤ sample rows (hashed RNG seeded by tree id)."""
-    import pandas as pd
     tree = int(pdf["tree"].iloc[0])
     x = pdf[list(cols)].to_numpy(dtype=float)
     rng = np.random.default_rng([int(seed), tree])
@@ -224,31 +313,26 @@ def _build_tree(pdf, cols, seed, max_depth):
     return pd.DataFrame(nodes, columns=[f.name for f in NODE_SCHEMA.fields])
 
 
+def iforest_draws(n: int, trees: int, sample: int, seed: int = 42) -> list[tuple[int, int]]:
+    """(tree, rank from 1): the ranks of each tree's subsample of n rows."""
+    few = np.arange(min(sample, n))
+    return [(t, int(r) + 1) for t in range(trees) for r in (KeyedBijection(n, seed, t)(few) if n else ())]
+
+
 def iforest_fit(df: DataFrame, key: str, cols: Sequence[str], trees: int = 100, sample: int = 256,
                 seed: int = 42) -> DataFrame:
     """Node table of an isolation forest (Liu, Ting & Zhou 2008).
 
-    Tree t's subsample = the ``sample`` rows with the smallest u(seed, t|key):
-    a pre-filter u < 4·sample/n keeps ~4·sample candidates per tree without
-    replicating the table, then a per-tree rank picks the exact bottom-k.
-    Each tree is built from ≤ sample rows in ``applyInPandas`` — bounded groups."""
-    from pyspark.sql import Window
-    n = df.count()
-    need = min(sample, n)
-    keep = min(1.0, 4.0 * sample / max(n, 1))
-    tree_ids = F.array(*[F.lit(t) for t in range(trees)])
-    scored = (df.select(key, *cols, F.explode(tree_ids).alias("tree"))
-              .withColumn("_u", u01(seed, F.concat(F.col("tree").cast("string"), F.lit("|"), F.col(key).cast("string")))))
-    while True:
-        # ~4·sample rows per tree: written once, read by the check and the rank
-        cand = materialize(scored.where(F.col("_u") < F.lit(keep)), "iforest-cand")
-        # every tree must see at least `need` candidates, else the bottom-k is not exact: widen and retry
-        short = cand.groupBy("tree").count().where(F.col("count") >= need).count() < trees
-        if not short or keep >= 1.0:
-            break
-        keep = min(1.0, keep * 4.0)
-    ranked = cand.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_u", key)))
-    sub = ranked.where(F.col("_r") <= sample).drop("_u", "_r")
+    The rows get dense ranks by hash of their key, in two phases. Tree t's subsample is the rows whose ranks are the
+    images of 0 … sample − 1 under a bijection keyed by (seed, t): exactly ``sample`` different rows (all, if there
+    are fewer), drawn on the driver as trees × sample numbers, whatever the input. Rows meet them in one
+    join by rank. Each tree is built from ≤ sample rows in ``applyInPandas`` — bounded groups. No rows give no nodes."""
+    ranked = stratified_rank(df.select(key, *cols, F.lit(0).alias("_all")), key, "_all", seed)
+    ranked = materialize(ranked.drop("_all"), "iforest-ranks")
+    n = ranked.count()
+    draws = iforest_draws(n, trees, sample, seed)
+    picks = df.sparkSession.createDataFrame(draws, "tree int, _rank long")
+    sub = ranked.join(F.broadcast(picks), "_rank").drop("_rank", "_class_n")  # trees × sample rows of 12 bytes
     max_depth = int(np.ceil(np.log2(max(sample, 2))))
     cols = list(cols)
     return sub.groupBy("tree").applyInPandas(lambda pdf: _build_tree(pdf, cols, seed, max_depth), NODE_SCHEMA)
@@ -258,7 +342,6 @@ def iforest_score(df: DataFrame, key: str, cols: Sequence[str], nodes: DataFrame
     """(key, score) with score = 2^(−E[h(x)]/c(sample)). The node table
     (trees × ≤ 2·sample rows) is collected once and shipped in the closure —
     bounded by the forest parameters, not the data."""
-    import pandas as pd
     nd = nodes.toPandas().sort_values(["tree", "node"])
     forest = []
     for _, g in nd.groupby("tree"):
@@ -352,15 +435,17 @@ def one_class_svm(df: DataFrame, key: str, cols: Sequence[str], nu: float = 0.05
     moves w to the point of least norm in the hull of the means found so far. It ends when the duality gap
     ‖w‖² − w·mean is at most ``tolerance``·‖w‖² and raises if ``max_steps`` are too few.
     score = ρ − w·z (> 0 ⇒ outside the support)."""
-    import pandas as pd
 
     from riskframe.operators.models import gamma_scale, random_fourier_features
     base = fit if fit is not None else df
     g = gamma if gamma is not None else gamma_scale(base, cols)
     zc = [f"_z{i}" for i in range(n_components)]
     zfit = random_fourier_features(base.select(*cols), cols, g, n_components, seed, "_z") \
-        .select(F.array(*zc).alias("z")).cache()
+        .select(F.array(*zc).alias("z"))
+    zfit = materialize(zfit, "svm-features")
     n = zfit.count()
+    if n == 0:
+        return df.select(key, F.lit(None).cast("double").alias("score"))
 
     def lowest(w):
         """(mean z of the νn rows of smallest margin, rows of the last bin by equal shares; what an exact cut could lower it by)."""
@@ -392,8 +477,9 @@ def one_class_svm(df: DataFrame, key: str, cols: Sequence[str], nu: float = 0.05
                     acc += z[b < last].sum(axis=0) + share * z[b == last].sum(axis=0)
             yield pd.DataFrame({"s": [acc.tolist()]})
 
-        sums = zfit.mapInPandas(total, "s array<double>").collect()
-        return np.sum([r["s"] for r in sums], axis=0) / (nu * n), width * share * counts[last] / (nu * n)
+        sums = zfit.mapInPandas(total, "s array<double>").select(F.posexplode("s").alias("i", "s"))
+        sums = sums.groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()  # one row per component
+        return np.array([r["s"] for r in sums]) / (nu * n), width * share * counts[last] / (nu * n)
 
     hull = lowest(np.full(n_components, 1.0 / np.sqrt(n_components)))[0][None]
     for _ in range(max_steps):
@@ -405,7 +491,6 @@ def one_class_svm(df: DataFrame, key: str, cols: Sequence[str], nu: float = 0.05
         hull = np.vstack([hull, mean])
     else:
         raise RuntimeError(f"one-class SVM: duality gap above {tolerance} after {max_steps} steps")
-    zfit.unpersist()
 
     margin = sum((F.col(c) * F.lit(float(w[i])) for i, c in enumerate(zc[1:], 1)), F.col(zc[0]) * F.lit(float(w[0])))
     z = random_fourier_features(base.select(*cols), cols, g, n_components, seed, "_z")

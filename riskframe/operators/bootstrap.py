@@ -8,7 +8,14 @@ Poisson(c). Since the metrics depend on a row only through its cell
 exactly the row-level Poisson bootstrap while the work is
 B × #cells — independent of the number of rows. Draws are inverse-CDF
 samples of uniforms from a SplitMix64 stream seeded by a 64-bit hash of
-(seed, cell), so the answer does not depend on partitioning.
+(seed, cell), so the answer does not depend on partitioning, and they can be drawn again
+rather than kept: a cell is one row, never B.
+
+The cells are cut into ranges of the score, ``RANGE`` cells each. A first pass turns every
+range into three vectors of B sums (weight, positives, predicted positives). Their running totals
+over the ranges, from the top, are the offsets with which a second pass turns each range into its share of
+every iteration's AUC and average precision. What is shuffled is the cells and, per range, a few
+vectors of B numbers: B × cells / RANGE, not B × cells.
 Iterations where the resample has a single class are skipped, as in the
 reference; intervals are linear-interpolated 2.5 % / 97.5 % percentiles.
 """
@@ -20,15 +27,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from riskframe.session import materialize
-from riskframe.operators.curves import cumulative_desc
 
 N_ITERATIONS = 1000
+#: Cells of a range; cells whose weights are held at a time.
+RANGE, CHUNK = 1 << 15, 512
 
 
 def _poisson_table(rate: float) -> tuple[int, np.ndarray]:
@@ -80,46 +86,100 @@ def cell_weights(lam: np.ndarray, cell_hash: np.ndarray, n_iterations: int) -> l
     return out
 
 
-def _weights_udf(n_iterations: int):
-    @pandas_udf(T.ArrayType(T.LongType()))
-    def draw(lam: pd.Series, cell_hash: pd.Series) -> pd.Series:
-        return pd.Series(cell_weights(lam.to_numpy(), cell_hash.to_numpy(), n_iterations))
-    return draw
+def score_cells(scored: DataFrame, y: str, pred: str, p: str, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """(by…, p, y, pred, c, h): rows that are alike in all that the metrics see, how many, and the hash their draws come from."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, p, y, pred]])
+    cells = scored.where(F.col(p).isNotNull()).groupBy(*by, p, y, pred).agg(F.count(F.lit(1)).alias("c"))
+    return cells.withColumn("h", F.xxhash64(F.lit(int(seed)), key))
 
 
 def bootstrap_weights(scored: DataFrame, y: str, pred: str, p: str, by: Sequence[str] = (),
                       n_iterations: int = N_ITERATIONS, seed: int = 42) -> DataFrame:
-    """(by…, b, p, y, pred, w): Poisson resample weight of every cell in every
-    iteration. One Python row per cell returns all B draws (vectorised), the
-    JVM explodes them."""
-    cells = scored.groupBy(*by, p, y, pred).agg(F.count(F.lit(1)).alias("_c"))
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, p, y, pred]])
-    draws = cells.select(*by, p, y, pred, _weights_udf(n_iterations)(F.col("_c").cast("double"),
-                                                                      F.xxhash64(F.lit(int(seed)), key)).alias("_w"))
-    w = draws.select(*by, p, y, pred, F.posexplode("_w").alias("b", "w")).where(F.col("w") > 0)
-    # written once: every later job reads the weights instead of re-running the UDF
-    return materialize(w, "boot-weights")
+    """(by…, p, y, pred, w array): the weights that ``bootstrap_iterations`` draws for every cell; a row per cell."""
+    cells = score_cells(scored, y, pred, p, by, seed)
+
+    @F.pandas_udf("array<long>")
+    def draw(c: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(cell_weights(c.to_numpy(float), h.to_numpy(), n_iterations))
+
+    return cells.select(*by, p, y, pred, draw("c", "h").alias("w"))
+
+
+def _weights(cells: pd.DataFrame, n_iterations: int) -> np.ndarray:
+    """(cells, B) weights, given or drawn."""
+    if "w" in cells:
+        return np.array(cells["w"].tolist(), np.float64).reshape(len(cells), n_iterations)
+    return np.array(cell_weights(cells["c"].to_numpy(float), cells["h"].to_numpy(), n_iterations), np.float64).reshape(len(cells), n_iterations)
+
+
+def _range_sums(n_iterations: int, keys: list[str]):
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros((3, n_iterations))
+        for k in range(0, len(cells), CHUNK):
+            part = cells.iloc[k:k + CHUNK]
+            w, y, pred = _weights(part, n_iterations), part["y"].to_numpy(float), part["pred"].to_numpy(float)
+            sums += np.stack([w.sum(axis=0), y @ w, (y * pred) @ w])
+        return cells[[*keys, "r"]].iloc[:1].assign(cnt=[sums[0]], pos=[sums[1]], hit=[sums[2]])
+    return run
+
+
+def _range_areas(n_iterations: int, keys: list[str]):
+    def run(cells: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("p", ascending=False, kind="stable").reset_index(drop=True)
+        cnt, pos = np.array(above["cnt"].iloc[0], float), np.array(above["pos"].iloc[0], float)
+        starts = np.flatnonzero(np.r_[True, np.diff(cells["p"].to_numpy()) != 0])
+        auc, ap, at = np.zeros(n_iterations), np.zeros(n_iterations), 0
+        while at < len(starts):  # whole scores, about CHUNK cells at a time
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
+            low, high = starts[at], starts[to] if to < len(starts) else len(cells)
+            part = cells.iloc[low:high]
+            w = _weights(part, n_iterations)
+            per = np.add.reduceat(w, starts[at:to] - low, axis=0)
+            own = np.add.reduceat(w * part["y"].to_numpy(float)[:, None], starts[at:to] - low, axis=0)
+            total, hits = cnt + np.cumsum(per, axis=0), pos + np.cumsum(own, axis=0)
+            auc += ((per - own) * (hits - own / 2)).sum(axis=0)
+            ap += np.divide(own * hits, total, out=np.zeros_like(own), where=total > 0).sum(axis=0)
+            cnt, pos, at = total[-1], hits[-1], to
+        return cells[keys].iloc[:1].assign(b=[np.arange(n_iterations)], auc=[auc], ap=[ap])
+    return run
+
+
+def iteration_metrics(cells: DataFrame, n_iterations: int, y: str = "y", pred: str = "pred", p: str = "p", by: Sequence[str] = (),
+                      cells_per_range: int = RANGE) -> DataFrame:
+    """(by…, b, recall, roc_auc, pr_auc) for every iteration with both classes, from one row per cell: with ``w``, the
+    weights of all iterations, or with ``c`` and ``h``, from which they are drawn."""
+    by, given = list(by), "w" in cells.columns
+    keys = [f"k{i}" for i in range(len(by))]
+    rows = cells.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y"),
+                        F.col(pred).cast("int").alias("pred"), *(["w"] if given else ["c", "h"]))
+    rows = materialize(rows, "boot-cells")
+    ranges = max(1, -(-rows.count() // cells_per_range))
+    rows = materialize(rows.repartitionByRange(ranges, *keys, "p").withColumn("r", F.spark_partition_id()), "boot-ranges")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " * bool(keys)
+    vectors = "cnt array<double>, pos array<double>, hit array<double>"
+    sums = materialize(rows.groupBy(*keys, "r").applyInPandas(_range_sums(n_iterations, keys), f"{kinds}r int, {vectors}"), "boot-sums")
+    long = sums.select(*keys, "r", F.posexplode(F.arrays_zip("cnt", "pos", "hit")).alias("b", "v")).select(*keys, "r", "b", "v.*")
+    above = Window.partitionBy(*keys, "b").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = long.select(*keys, "r", "b", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(c) for c in ("cnt", "pos")])
+    offsets = offsets.groupBy(*keys, "r").agg(F.array_sort(F.collect_list(F.struct("b", "cnt", "pos"))).alias("v"))
+    offsets = offsets.select(*keys, "r", F.col("v.cnt").alias("cnt"), F.col("v.pos").alias("pos"))
+    areas = rows.groupBy(*keys, "r").cogroup(offsets.groupBy(*keys, "r")).applyInPandas(
+        _range_areas(n_iterations, keys), f"{kinds}b array<long>, auc array<double>, ap array<double>")
+    areas = areas.select(*keys, F.inline(F.arrays_zip("b", "auc", "ap"))).groupBy(*keys, "b").agg(F.sum("auc").alias("auc"), F.sum("ap").alias("ap"))
+    totals = long.groupBy(*keys, "b").agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"), F.sum("hit").alias("hit"))
+    on = F.col("_b") == F.col("b")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = areas.join(totals.select(F.col("b").cast("long").alias("_b"), *[F.col(k).alias(f"_{k}") for k in keys], "cnt", "pos", "hit"), on)
+    joined = joined.where((F.col("pos") > 0) & (F.col("cnt") > F.col("pos")))
+    return joined.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], F.col("b").cast("int").alias("b"), (F.col("hit") / F.col("pos")).alias("recall"),
+                         (F.col("auc") / (F.col("pos") * (F.col("cnt") - F.col("pos")))).alias("roc_auc"), (F.col("ap") / F.col("pos")).alias("pr_auc"))
 
 
 def bootstrap_iterations(scored: DataFrame, y: str = "y", pred: str = "pred", p: str = "p",
-                         by: Sequence[str] = (), n_iterations: int = N_ITERATIONS, seed: int = 42,
-                         weights: DataFrame | None = None) -> DataFrame:
-    """(by…, b, recall, roc_auc, pr_auc) for every iteration with both classes."""
-    wts = weights if weights is not None else bootstrap_weights(scored, y, pred, p, by, n_iterations, seed)
-    grp = [*by, "b"]
-    yw = F.col(y).cast("double") * F.col("w")
-    g = wts.groupBy(*grp, p).agg(F.sum(yw).alias("pos"), F.sum("w").cast("double").alias("cnt"),
-                                  F.sum(yw * F.col(pred).cast("double")).alias("tp_pred"))
-    c = cumulative_desc(g, p, ["pos", "cnt"], by=grp)
-    nn = F.col("tot_cnt") - F.col("tot_pos")
-    per = c.groupBy(*grp).agg(
-        F.sum((F.col("cnt") - F.col("pos")) * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("_auc"),
-        F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_cnt")).alias("_ap"),
-        F.sum("tp_pred").alias("_tp"), F.max("tot_pos").alias("_tt"), F.max(nn).alias("_nn"))
-    ok = per.where((F.col("_tt") > 0) & (F.col("_nn") > 0))
-    return ok.select(*grp, (F.col("_tp") / F.col("_tt")).alias("recall"),
-                     (F.col("_auc") / (F.col("_tt") * F.col("_nn"))).alias("roc_auc"),
-                     (F.col("_ap") / F.col("_tt")).alias("pr_auc"))
+                         by: Sequence[str] = (), n_iterations: int = N_ITERATIONS, seed: int = 42) -> DataFrame:
+    """(by…, b, recall, roc_auc, pr_auc) for every iteration with both classes. Rows without a score are left out."""
+    return iteration_metrics(score_cells(scored, y, pred, p, by, seed), n_iterations, y, pred, p, by)
 
 
 def bootstrap_ci(scored: DataFrame, y: str = "y", pred: str = "pred", p: str = "p", by: Sequence[str] = (),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.components import component_labels
-from riskframe.operators.neighbors import eps_pairs
+from riskframe.operators.density import density_clusters
 from riskframe.session import materialize
 
 
@@ -24,40 +24,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ DBSCAN
 
-def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 2.0, min_samples: int = 5,
-           grid: Sequence[str] | None = None) -> DataFrame:
-    """(key, cluster): density clusters, −1 = noise. A point is core when at least
-    ``min_samples`` points (itself included) lie within ``eps``. Core points
-    linked by ε-edges form a cluster labelled by its smallest core key; a border
-    point joins the smallest-labelled cluster among its core neighbours.
-
-    Identical points are collapsed first into one weighted representative (its
-    smallest key): a group of copies holding a third of all rows becomes one
-    row, degrees are weighted sums, and no pair inside the group is ever
-    emitted. Labels go back to every row through an equi-join on the
-    coordinates (one row per key on the small side, so AQE can split a hot key)."""
-    cols = list(cols)
-    groups = materialize(df.groupBy(*cols).agg(F.min(key).alias("_rep"), F.count(F.lit(1)).alias("_w")),
-                         "dbscan-groups")
-    pairs = materialize(eps_pairs(groups, "_rep", cols, eps, grid), "dbscan-pairs")
-    weights = groups.select(F.col("_rep").alias("b"), "_w")
-    deg = pairs.join(weights, "b").groupBy("a").agg(F.sum("_w").alias("deg"))
-    core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("id"))
-    core_edges = (pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
-                  .join(core.withColumnRenamed("id", "b"), "b", "left_semi"))
-    comp = connected_components(core, core_edges)
-    border = (pairs.join(core.withColumnRenamed("id", "a"), "a", "left_anti")
-              .join(comp.withColumnRenamed("id", "b"), "b")
-              .groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "id"))
-    labelled = comp.unionByName(border)
-    rep_label = groups.join(labelled.withColumnRenamed("id", "_rep"), "_rep", "left").select(
-        *[F.col(c).alias(f"_g_{c}") for c in cols], F.coalesce(F.col("label"), F.lit(-1)).alias("_label"))
-    cond = None
-    for c in cols:
-        e = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-        cond = e if cond is None else cond & e
-    return (df.select(key, *cols).join(rep_label, cond, "left")
-            .select(F.col(key), F.coalesce(F.col("_label"), F.lit(-1)).cast("long").alias("cluster")))
+def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 2.0, min_samples: int = 5) -> DataFrame:
+    """(key, cluster): density clusters, −1 = noise; see ``density_clusters``."""
+    return density_clusters(df, key, cols, eps, min_samples)
 
 
 # ------------------------------------------------------------------ k-means, GMM, PCA
@@ -74,7 +43,7 @@ def kmeans(df: DataFrame, key: str, cols: Sequence[str], k: int = 2, n_init: int
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.clustering import KMeans
-    vec = _vectors(df.select(key, *cols), cols).cache()
+    vec = materialize(_vectors(df.select(key, *cols), cols).select(key, "features"), "kmeans")
 
     def fit(i):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(vec)

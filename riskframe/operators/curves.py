@@ -161,7 +161,11 @@ def cost_optimal_threshold(scored: DataFrame, y: str = "y", p: str = "p", by: Se
     """(by…, threshold, cost): argmin of fn_cost·(1−recall) + fp_cost·(1−precision)
     over distinct scores; ties resolve to the lowest threshold. The argmin is a
     distributive ``min(struct(cost, threshold))`` aggregate, not a sort."""
-    c = curve_table(scored, y, p, by)
+    return cheapest_threshold(curve_table(scored, y, p, by), by, fn_cost, fp_cost)
+
+
+def cheapest_threshold(c: DataFrame, by: Sequence[str] = (), fn_cost: float = 5.0, fp_cost: float = 1.0) -> DataFrame:
+    """``cost_optimal_threshold`` of a curve table."""
     cost = (F.lit(float(fn_cost)) * (1 - _recall(c)) + F.lit(float(fp_cost)) * (1 - F.col("tp") / F.col("n")))
     best = (c.select(*by, F.struct(F.round(cost, 12).alias("cost"), F.col("threshold")).alias("b"))
             .groupBy(*by).agg(F.min("b").alias("b")))

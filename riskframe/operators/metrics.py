@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.scalar import fixed
-from riskframe.operators.curves import curve_table, summarize_curve, cost_optimal_threshold
-from riskframe.operators.quantiles import exact_quantiles
+from riskframe.operators.curves import cheapest_threshold, curve_table, score_groups, summarize_curve
+from riskframe.operators.quantiles import select_quantiles
+from riskframe.session import materialize
 
 # Published fixed values of the reference's operational tables.
 SIMULATION_THRESHOLDS = [0.1, 0.2, 0.3, 0.5, 0.7, 0.9]
@@ -133,20 +134,18 @@ def threshold_confusions(scored: DataFrame, y: str = "y", p: str = "p", by: Sequ
                          fp_cost: float = 1.0) -> DataFrame:
     """Confusion cells at a low fixed cut, the cost-optimal cut and a high
     fixed cut: (by…, cut, threshold, tn, fp, fn, tp)."""
-    opt = cost_optimal_threshold(scored, y, p, by, fn_cost, fp_cost).select(
-        *by, F.col("threshold").alias("_opt"))
-    s = attach_group_stats(scored.select(*by, y, p), opt, by)
-    yc, pc = _c(y), _c(p)
+    c = materialize(curve_table(scored, y, p, by), "confusions")  # the scored rows are read once
+    opt = cheapest_threshold(c, by, fn_cost, fp_cost).select(*by, F.col("threshold").alias("_opt"))
+    s = attach_group_stats(c, opt, by)
     named = [("low", F.lit(float(cuts[0]))), ("optimal", F.col("_opt")), ("high", F.lit(float(cuts[1])))]
-    aggs = [F.first("_opt").alias("_opt")]
+    # a curve row counts all scores from its own on, so a cut's counts are the greatest at or above it
+    aggs = [F.first("_opt").alias("_opt"), F.first("tt").alias("_tt"), F.first("nn").alias("_nn")]
     for i, (_, t) in enumerate(named):
-        hit = pc >= t
-        aggs += [F.count_if(~hit & (yc == 0)).alias(f"tn{i}"), F.count_if(hit & (yc == 0)).alias(f"fp{i}"),
-                 F.count_if(~hit & (yc == 1)).alias(f"fn{i}"), F.count_if(hit & (yc == 1)).alias(f"tp{i}")]
+        aggs += [F.coalesce(F.max(F.when(F.col("threshold") >= t, F.col(k))), F.lit(0)).cast("long").alias(f"{k}{i}") for k in ("tp", "fp")]
     wide = s.groupBy(*by).agg(*aggs)
     thr = [F.lit(float(cuts[0])), F.col("_opt"), F.lit(float(cuts[1]))]
-    rows = F.array(*[F.struct(F.lit(name).alias("cut"), thr[i].alias("threshold"),
-                              *[F.col(f"{k}{i}").alias(k) for k in ("tn", "fp", "fn", "tp")])
+    rows = F.array(*[F.struct(F.lit(name).alias("cut"), thr[i].alias("threshold"), (F.col("_nn") - F.col(f"fp{i}")).alias("tn"),
+                              F.col(f"fp{i}").alias("fp"), (F.col("_tt") - F.col(f"tp{i}")).alias("fn"), F.col(f"tp{i}").alias("tp"))
                      for i, (name, _) in enumerate(named)])
     return wide.select(*by, F.inline(rows))
 
@@ -165,15 +164,18 @@ def calibration_curve(scored: DataFrame, y: str = "y", p: str = "p", by: Sequenc
     """Quantile-binned reliability table: (by…, bin, mean_pred, frac_pos, n).
 
     Edges are linear-interpolated quantiles of p; a row goes to bin
-    ``#interior edges < p`` (right-closed interior bins); empty bins vanish."""
-    qs = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(scored.select(*by, _c(p).alias("_p")), "_p", qs, by).withColumnRenamed("q", "_edges")
-    s = attach_group_stats(scored.select(*by, y, p), edges, by)
-    interior = F.slice(F.col("_edges"), 2, bins - 1)
-    binned = s.withColumn("bin", F.size(F.filter(interior, lambda e: e < _c(p))))
-    return binned.groupBy(*by, "bin").agg(F.avg(_c(p)).alias("mean_pred"),
-                                          F.avg(_c(y).cast("double")).alias("frac_pos"),
-                                          F.count(F.lit(1)).alias("n"))
+    ``#interior edges < p`` (right-closed interior bins); empty bins vanish.
+    The scored rows are read once: edges and bins come from one written table
+    of (by…, p, positives, rows)."""
+    g = score_groups(scored, y, p, by).select(*by, F.col(p).cast("double").alias("_v"), F.col("cnt").alias("_n"), F.col("pos").alias("_pos"))
+    g = materialize(g, "calibration")
+    edges = select_quantiles(g, [i / bins for i in range(bins + 1)], by).withColumnRenamed("q", "_edges")
+    s = attach_group_stats(g, edges, by)
+    v = F.col("_v")
+    number = sum((F.when(F.col("_edges")[i] < v, 1).otherwise(0) for i in range(2, bins)), F.when(F.col("_edges")[1] < v, 1).otherwise(0)) \
+        if bins > 1 else F.lit(0)
+    return s.groupBy(*by, number.alias("bin")).agg((F.sum(v * F.col("_n")) / F.sum("_n")).alias("mean_pred"),
+                                                   (F.sum("_pos") / F.sum("_n")).alias("frac_pos"), F.sum("_n").alias("n"))
 
 
 METRIC_COLUMNS = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "pr_auc",

@@ -67,12 +67,12 @@ def gaussian_nb_logodds_terms(model: dict) -> dict[str, Column]:
 # ------------------------------------------------------------------ kNN classifier
 
 def knn_classifier(train: DataFrame, test: DataFrame, key: str, y: str, cols: Sequence[str], k: int = 5,
-                   weights: str = "uniform", p: int = 2, per_cell: int = 64) -> DataFrame:
+                   weights: str = "uniform", p: int = 2, cell_rows: int = 256) -> DataFrame:
     """(key, proba, pred): share of class 1 among the k nearest training rows
     (``weights='distance'`` weighs by 1/d; exact matches then vote alone)."""
     from riskframe.operators.neighbors import knn_join
     metric = "euclidean" if p == 2 else "manhattan"
-    nb = knn_join(test, train, key, key, cols, k=k, metric=metric, per_cell=per_cell)
+    nb = knn_join(test, train, key, key, cols, k=k, metric=metric, cell_rows=cell_rows)
     lab = train.select(F.col(key).alias("r_id"), F.col(y).alias("_y"))
     j = nb.join(lab, "r_id")
     if weights == "distance":
@@ -85,34 +85,6 @@ def knn_classifier(train: DataFrame, test: DataFrame, key: str, y: str, cols: Se
     return out.select(F.col("q_id").alias(key), "proba", (F.col("proba") > 0.5).cast("int").alias("pred"))
 
 
-# ------------------------------------------------------------------ isotonic
-
-def isotonic_fit(scored: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, p, fitted): increasing isotonic fit of y on p with tied scores
-    pooled. Scores are pre-aggregated to (p, mean y, count) so MLlib's parallel
-    PAV sees one weighted row per distinct score."""
-    from pyspark.ml.regression import IsotonicRegression
-    from riskframe.session import materialize
-    g = materialize(scored.groupBy(*by, p).agg(F.avg(F.col(y).cast("double")).alias("_y"),
-                                               F.count(F.lit(1)).cast("double").alias("_w")), "iso")
-    if not by:
-        m = IsotonicRegression(featuresCol=p, labelCol="_y", weightCol="_w").fit(g)
-        return m.transform(g).select(p, F.col("prediction").alias("fitted"))
-    outs = []
-    keys = [tuple(r) for r in g.select(*by).distinct().collect()]  # low-cardinality model ids
-    for kv in keys:
-        cond = F.lit(True)
-        for b, v in zip(by, kv):
-            cond = cond & (F.col(b) == F.lit(v))
-        part = g.where(cond)
-        m = IsotonicRegression(featuresCol=p, labelCol="_y", weightCol="_w").fit(part)
-        outs.append(m.transform(part).select(*by, p, F.col("prediction").alias("fitted")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
-
-
 # ------------------------------------------------------------------ MLlib presets
 
 def logistic(c: float = 1.0, penalty: str = "l2", n: int = 1, max_iter: int = 2000):

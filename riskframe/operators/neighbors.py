@@ -1,232 +1,76 @@
-"""Exact k-nearest-neighbour and ε-range joins without a cross join.
-
-Grid join with certification (rounds of growing cells):
-
-* The *grid columns* (a few of the feature columns) are cut into cells of
-  width ``w``. A query row is exploded into the 3^g cell keys around its own
-  cell and equi-joined with reference rows on ``(match…, cell)``; every
-  candidate's exact distance is computed over all feature columns.
-* Any reference row *outside* the 3^g block differs from the query by more
-  than ``margin`` = distance from the query to the block boundary in some grid
-  column, and every supported metric is ≥ that coordinate difference. So when
-  a query's k-th candidate distance is < margin, its k nearest are exact; the
-  query is *certified* and its answer final.
-* Uncertified queries go to the next round with larger cells: wide enough for
-  their k-th candidate, or geometrically wider where they lack candidates; at
-  the latest the block holds every reference. The loop ends when no query is
-  pending (it raises rather than drop one). Each round's
-  candidates and uncertified set are written as tables into the shared
-  checkpoint folder, so lineage stays one round deep and a lost executor
-  recomputes only that round.
-* The base width targets ``per_cell`` reference rows per occupied cell, so the
-  join's groups stay small; the cost grows with the intrinsic dimension of the
-  data, never with a cap on candidates (no candidate is ever dropped).
-
-Ties are broken by the reference key, so results are deterministic.
+"""k-nearest-neighbour and ε-range joins, and k-nearest imputation, on the metric partition index.
+
+All are exact, without a cross join and without a cap on candidates; ties are broken by
+the reference key. ``metric_index`` tells how cells are chosen, bounded and compared.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.session import ensure_checkpoint_dir, materialize
+from riskframe.operators.metric_index import CELL_ROWS, MetricIndex, _values
 
 
-#: A safety bell: levels grow geometrically and end at the one that holds all references.
-MAX_ROUNDS = 200
+def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Sequence[str], k: int = 5,
+             metric: str = "euclidean", exclude_self: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(q_id, r_id, dist, rank) — the k nearest reference rows of every query row (fewer when fewer
+    references exist), exact.
 
+    Rows with a null or NaN among ``cols`` have no Euclidean or Manhattan distance: such a reference is nobody's
+    neighbour, such a query has none. ``nan_euclidean`` = sqrt(columns / shared columns · Σ over shared columns (q−r)²)
+    leaves out only pairs that share no column. ``exclude_self`` leaves out references whose key is the query's.
+    Rows that repeat a query key count as one query each, so their keys should differ."""
+    index = MetricIndex(ref, rkey, cols, metric, cell_rows, copies=k + int(exclude_self))
+    found = index.nearest(_asked(query, qkey, cols, metric), k, exclude_self)
+    return found.select("q_id", "r_id", "dist", "rank")
 
-def distance_expr(cols: Sequence[str], metric: str = "euclidean", q: str = "q_", r: str = "r_") -> Column:
-    """Distance between the ``q_<c>`` and ``r_<c>`` columns.
 
-    ``nan_euclidean`` = sqrt(d / present · Σ over co-present (q−r)²), NULL when
-    no coordinate is co-present."""
-    diffs = [F.col(f"{q}{c}") - F.col(f"{r}{c}") for c in cols]
-    if metric == "euclidean":
-        return F.sqrt(sum((dd * dd for dd in diffs[1:]), diffs[0] * diffs[0]))
-    if metric == "manhattan":
-        return sum((F.abs(dd) for dd in diffs[1:]), F.abs(diffs[0]))
-    if metric == "nan_euclidean":
-        present = sum(((dd.isNotNull()).cast("int") for dd in diffs[1:]), diffs[0].isNotNull().cast("int"))
-        ss = sum((F.coalesce(dd * dd, F.lit(0.0)) for dd in diffs[1:]), F.coalesce(diffs[0] * diffs[0], F.lit(0.0)))
-        return F.when(present > 0, F.sqrt(F.lit(float(len(cols))) / present * ss))
-    raise ValueError(f"unknown metric {metric}")
+def _asked(query: DataFrame, key: str, cols: Sequence[str], metric: str) -> DataFrame:
+    rows = query.select(F.col(key).alias("q_id"), _values(cols).alias("q"), F.array(F.lit(-1)).alias("wants"))
+    return rows if metric == "nan_euclidean" else rows.where(~F.exists("q", lambda v: v.isNull()))
 
 
-def _grid_stats(ref: DataFrame, grid: Sequence[str]) -> tuple[int, list[float], list[float]]:
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in grid:
-        aggs += [F.min(f"r_{c}").alias(f"lo_{c}"), F.max(f"r_{c}").alias(f"hi_{c}")]
-    row = ref.agg(*aggs).first()
-    return row["n"], [row[f"lo_{c}"] or 0.0 for c in grid], [row[f"hi_{c}"] or 0.0 for c in grid]
+def knn_candidates(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Sequence[str], k: int = 5,
+                   metric: str = "euclidean", exclude_self: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(q_id, rows, cells) — how many references and cells ``knn_join`` has to look at for each query."""
+    index = MetricIndex(ref, rkey, cols, metric, cell_rows, copies=k + int(exclude_self))
+    asked = _asked(query, qkey, cols, metric)
+    return index.candidates(asked, index.nearest(asked, k, exclude_self), k, exclude_self)
 
 
-def knn_join(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, cols: Sequence[str], k: int = 5,
-             metric: str = "euclidean", grid: Sequence[str] | None = None, match: Sequence[str] = (),
-             exclude_self: bool = False, per_cell: int = 64) -> DataFrame:
-    """(match…, q_id, r_id, dist, rank) — the k nearest reference rows of every
-    query row (fewer when fewer references exist), exact.
-
-    ``query``/``ref`` carry ``qkey``/``rkey``, the ``match`` columns (an extra
-    equi-join condition, e.g. "imputing feature f") and the feature ``cols``.
-    Grid columns must be non-NULL on both sides (choose always-present
-    columns); the other feature columns may hold NULLs (``nan_euclidean``)."""
-    cols = list(cols)
-    grid = list(grid or cols[: min(2, len(cols))])
-    match = list(match)
-    spark = query.sparkSession
-    held = cols + [c for c in grid if c not in cols]  # a grid column need not enter the distance
-    q = query.select(F.col(qkey).alias("q_id"), *match, *[F.col(c).cast("double").alias(f"q_{c}") for c in held])
-    r = ref.select(F.col(rkey).alias("r_id"), *match, *[F.col(c).cast("double").alias(f"r_{c}") for c in held])
-    nulls = F.lit(False)
-    for c in grid:
-        nulls = nulls | F.col(f"q_{c}").isNull()
-    rnulls = F.lit(False)
-    for c in grid:
-        rnulls = rnulls | F.col(f"r_{c}").isNull()
-    if not q.where(nulls).isEmpty() or not r.where(rnulls).isEmpty():
-        raise ValueError(f"grid columns {grid} must be non-NULL on both sides; pick always-present columns")
-    q_grid, r_grid = q, r
-
-    n, lo, hi = _grid_stats(r_grid, grid)
-    span = [max(h - l_, 0.0) for l_, h in zip(lo, hi)]
-    g = len(grid)
-    extent = max(max(span), 1e-12)
-    w = extent * (min(1.0, per_cell / max(n, 1))) ** (1.0 / g)
-    w = max(w, extent * 1e-9)
-    offsets = list(itertools.product((-1, 0, 1), repeat=g))
-    dist = distance_expr(cols, metric)
-    ensure_checkpoint_dir(spark)
-
-    def rank_top(cands: DataFrame) -> DataFrame:
-        win = Window.partitionBy(*match, "q_id").orderBy("dist", "r_id")
-        return cands.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
-
-    results = []
-    pending = q_grid.withColumn("_lvl", F.lit(0))
-    for _ in range(MAX_ROUNDS):
-        levels = sorted(r_[0] for r_ in pending.select("_lvl").distinct().collect())
-        wq = F.lit(w) * F.pow(F.lit(2.0), F.col("_lvl"))
-        qx = pending.withColumns({f"_c{i}": F.floor((F.col(f"q_{c}") - F.lit(lo[i])) / wq).cast("long")
-                                  for i, c in enumerate(grid)})
-        # distance from the query to the boundary of its 3^g block, and whether
-        # the block covers every reference row (then the answer is complete)
-        margin = None
-        covers = F.lit(True)
-        for i, c in enumerate(grid):
-            lo_edge = F.lit(lo[i]) + (F.col(f"_c{i}") - 1) * wq
-            hi_edge = F.lit(lo[i]) + (F.col(f"_c{i}") + 2) * wq
-            m = F.least(F.col(f"q_{c}") - lo_edge, hi_edge - F.col(f"q_{c}"))
-            margin = m if margin is None else F.least(margin, m)
-            covers = covers & (lo_edge <= F.lit(lo[i])) & (hi_edge > F.lit(hi[i]))
-        qx = qx.withColumn("_margin", margin).withColumn("_covers", covers)
-        block = F.array(*[F.struct(*[F.lit(o[i]).alias(f"_o{i}") for i in range(g)]) for o in offsets])
-        qe = qx.select("*", F.explode(block).alias("_off")).select(
-            "*", *[(F.col(f"_c{i}") + F.col(f"_off._o{i}")).alias(f"_k{i}") for i in range(g)])
-        # references keyed at every level some pending query uses (few levels)
-        rx = r_grid.select("*", F.explode(F.array(*[F.lit(lv) for lv in levels])).alias("_lvl"))
-        wr = F.lit(w) * F.pow(F.lit(2.0), F.col("_lvl"))
-        rx = rx.withColumns({f"_k{i}": F.floor((F.col(f"r_{c}") - F.lit(lo[i])) / wr).cast("long")
-                             for i, c in enumerate(grid)})
-        keys = [*match, "_lvl", *[f"_k{i}" for i in range(g)]]
-        cands = qe.join(rx, keys).select(*match, "q_id", "r_id", dist.alias("dist"))
-        if exclude_self:
-            cands = cands.where(F.col("q_id") != F.col("r_id"))
-        cands = cands.where(F.col("dist").isNotNull())
-        top = materialize(rank_top(cands), "knn-top")
-        kth = top.groupBy(*match, "q_id").agg(F.max("dist").alias("_kth"), F.count(F.lit(1)).alias("_got"))
-        got = F.coalesce(F.col("_got"), F.lit(0))
-        certified = F.col("_covers") | ((got >= k) & (F.col("_kth") < F.col("_margin")))
-        # an uncertified query with k candidates knows an upper bound on its k-th
-        # distance; any cell width ≥ that bound certifies it, so jump there
-        jump = F.ceil(F.log2(F.greatest(F.col("_kth") / F.lit(w), F.lit(1.0)))).cast("int")
-        # without k candidates the level grows geometrically, up to the one whose block holds all references
-        reach = None
-        for i, c in enumerate(grid):
-            far = F.greatest(F.abs(F.col(f"q_{c}") - F.lit(lo[i])), F.abs(F.lit(hi[i]) - F.col(f"q_{c}")))
-            reach = far if reach is None else F.greatest(reach, far)
-        all_in = F.ceil(F.log2(F.greatest(reach / F.lit(w), F.lit(1.0)))).cast("int") + 1
-        grown = F.greatest(F.col("_lvl") + 1, F.least(2 * F.col("_lvl") + 1, all_in))
-        nxt = F.when(got >= k, F.greatest(F.col("_lvl") + 1, F.least(jump, all_in))).otherwise(grown)
-        pending = materialize(qx.join(kth, [*match, "q_id"], "left").where(~certified)
-                              .select(*match, "q_id", *[f"q_{c}" for c in held], nxt.alias("_lvl")), "knn-pending")
-        if pending.isEmpty():
-            results.append(top)
-            break
-        results.append(top.join(pending, [*match, "q_id"], "left_anti"))
-    else:
-        raise RuntimeError("kNN rounds did not certify every query")
-    out = results[0]
-    for part in results[1:]:
-        out = out.unionByName(part)
-    return out.select(*match, "q_id", "r_id", "dist", "rank")
-
-
-def eps_pairs(df: DataFrame, key: str, cols: Sequence[str], eps: float, grid: Sequence[str] | None = None,
-              metric: str = "euclidean") -> DataFrame:
-    """(a, b, dist) for every ordered pair (self included) within ``eps``.
-
-    Cells of width eps on the grid columns: a pair within eps differs by ≤ eps
-    in every grid column, so it lies in adjacent cells — the join is lossless
-    and each pair is verified with the exact distance."""
-    cols = list(cols)
-    grid = list(grid or cols[: min(3, len(cols))])
-    g = len(grid)
-    a = df.select(F.col(key).alias("q_id"), *[F.col(c).cast("double").alias(f"q_{c}") for c in cols])
-    b = df.select(F.col(key).alias("r_id"), *[F.col(c).cast("double").alias(f"r_{c}") for c in cols])
-    offsets = list(itertools.product((-1, 0, 1), repeat=g))
-    block = F.array(*[F.struct(*[F.lit(o[i]).alias(f"_o{i}") for i in range(g)]) for o in offsets])
-    ae = a.select("*", F.explode(block).alias("_off")).select(
-        "*", *[(F.floor(F.col(f"q_{c}") / F.lit(eps)).cast("long") + F.col(f"_off._o{i}")).alias(f"_k{i}")
-               for i, c in enumerate(grid)])
-    be = b.withColumns({f"_k{i}": F.floor(F.col(f"r_{c}") / F.lit(eps)).cast("long") for i, c in enumerate(grid)})
-    pairs = ae.join(be, [f"_k{i}" for i in range(g)]).select(
-        F.col("q_id").alias("a"), F.col("r_id").alias("b"), distance_expr(cols, metric).alias("dist"))
-    return pairs.where(F.col("dist") <= F.lit(eps))
-
-
-def knn_impute(df: DataFrame, train: DataFrame, key: str, cols: Sequence[str], k: int = 5,
-               grid: Sequence[str] | None = None, per_cell: int = 64) -> DataFrame:
+def eps_pairs(df: DataFrame, key: str, cols: Sequence[str], eps: float, metric: str = "euclidean",
+              cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b, dist) for every ordered pair (self included) within ``eps``: each row meets the cells whose
+    lower bound is at most ``eps``, and each pair is verified with the exact distance. Rows with a
+    null among ``cols`` are in no pair."""
+    index = MetricIndex(df, key, cols, metric, cell_rows)
+    pairs = index.within(_asked(df, key, cols, metric), eps)
+    return pairs.select(F.col("q_id").alias("a"), F.col("r_id").alias("b"), "dist")
+
+
+def knn_impute(df: DataFrame, train: DataFrame, key: str, cols: Sequence[str], k: int = 5, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Fill NULLs with the mean of the k nearest *training* rows that have the
     feature (nan-Euclidean distance over the co-present columns, ties by key).
     A row with no usable donor gets the training column mean.
 
-    Each (row, missing feature) is a query; each (training row, present
-    feature) a reference; the feature is an extra equi-join key of the grid
-    join, so donors are only ever compared within one feature. A row's grid is
-    made of the first two columns that it has and that every donor has, so
-    rows that lack different columns don't change each other's plan. A row
-    without any such column is compared with all donors of its feature."""
+    A row is one query, however many columns it lacks; only rows that lack some are compared at all. All
+    training rows are in one index, whatever they lack."""
     cols = list(cols)
-    if grid is None:
-        nn = train.agg(*[F.count(F.col(c)).alias(c) for c in cols] + [F.count(F.lit(1)).alias("_n")]).first()
-        whole = [c for c in cols if nn[c] == nn["_n"]]
-        grid = whole
-    own = F.slice(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in grid] or [F.lit(None).cast("string")]),
-                           lambda x: x.isNotNull()), 1, 2)
-    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
-    present = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
-    queries = df.select(key, *cols, own.alias("_grid"), F.lit(0.0).alias("_one"), F.explode(missing).alias("_f"))
-    refs = train.select(key, *cols, F.lit(0.0).alias("_one"), F.explode(present).alias("_f"))
-    nbrs = None
-    for (some,) in sorted(queries.select("_grid").distinct().collect()):  # at most (columns² + columns) / 2 + 1
-        part = knn_join(queries.where(F.col("_grid") == F.array(*[F.lit(c) for c in some]).cast("array<string>")), refs,
-                        key, key, cols, k=k, metric="nan_euclidean", grid=list(some) or ["_one"], match=["_f"],
-                        per_cell=per_cell)
-        nbrs = part if nbrs is None else nbrs.unionByName(part)
-    if nbrs is None:  # nothing is missing
-        return df
-    long_train = train.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("_v"))
-                                                      for c in cols])))
-    donated = (nbrs.join(long_train.withColumnRenamed(key, "r_id"), ["r_id", "_f"])
-               .groupBy("q_id", "_f").agg(F.avg("_v").alias("_v")))
-    wide = donated.groupBy("q_id").pivot("_f", cols).agg(F.first("_v"))
-    means = train.agg(*[F.avg(F.col(c)).alias(c) for c in cols]).first()
-    out = df.join(wide.withColumnRenamed("q_id", key).select(
-        key, *[F.col(c).alias(f"_imp_{c}") for c in cols]), key, "left")
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_imp_{c}"), F.lit(means[c])) for c in cols}) \
+    lacks = F.filter(F.array(*[F.when(F.isnull(c) | F.isnan(F.col(c).cast("double")), F.lit(i)) for i, c in enumerate(cols)]),
+                     lambda i: i.isNotNull())
+    queries = df.select(F.col(key).alias("q_id"), _values(cols).alias("q"), lacks.alias("wants")).where(F.size("wants") > 0)
+    index = MetricIndex(train, key, cols, "nan_euclidean", cell_rows, copies=k)
+    found = index.nearest(queries, k)
+    # the k values are added in order of rank, so the mean doesn't depend on partitions
+    inner = found.groupBy("q_id", "want").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("vs"))
+    inner = inner.select("q_id", "want", (F.aggregate("vs", F.lit(0.0), lambda s, v: s + v["value"]) / F.size("vs")).alias("v"))
+    wide = inner.groupBy(F.col("q_id").alias(key)).agg(*[F.max(F.when(F.col("want") == i, F.col("v"))).alias(f"_imp_{c}")
+                                                         for i, c in enumerate(cols)])
+    means = train.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in cols]).first()
+    out = df.join(wide, key, "left")
+    whole = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    return out.withColumns({c: F.coalesce(whole(c), F.col(f"_imp_{c}"), F.lit(means[c])) for c in cols}) \
               .drop(*[f"_imp_{c}" for c in cols])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.quantiles import column_quantiles
+from riskframe.operators.quantiles import long_columns, select_quantiles, written_values
 
 
 def value_counts_with_null(df: DataFrame, col: str) -> DataFrame:
@@ -19,23 +19,17 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Transposed describe: (feature, count, mean, std, min, p25, p50, p75, max).
 
     std is the sample std (ddof=1); quartiles are linear-interpolated exact
-    quantiles by two-phase counts. One wide aggregate (partial aggregation per
-    column) gives the rest."""
-    quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75])
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = F.array(*[F.lit(v).cast("double") for v in quartiles[c]])
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.first(q).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__count").alias("count"),
-                              F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                              F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-                              F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
-                              F.col(f"{c}__max").alias("max")) for c in cols])
-    return wide.select(F.inline(rows))
+    quantiles by selection. The columns are read once and written narrow; moments
+    and quartiles come from that table. A column without values has NULLs."""
+    values = written_values(long_columns(df, cols, "feature"), "_x", ["feature"])
+    quartiles = select_quantiles(values, [0.25, 0.5, 0.75], ["feature"])
+    v = F.col("_v")
+    moments = values.groupBy("feature").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                            F.min(v).alias("min"), F.max(v).alias("max"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    return names.join(moments, "feature", "left").join(quartiles, "feature", "left").select(
+        "feature", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", F.col("q")[0].alias("p25"),
+        F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def schema_profile(df: DataFrame) -> DataFrame:

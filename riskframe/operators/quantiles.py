@@ -1,54 +1,136 @@
-"""Exact linear-interpolated quantiles without gathering a column in one task.
+"""Exact linear-interpolated quantiles by selection: only counts are shuffled.
 
-Values are counted (map-side partial aggregation collapses ties), the counts are
-cumulated by the two-phase prefix sum of the score curves, and only the one or two
-values that a quantile lies between are kept.
+The values are written once, narrow. Then the buckets that hold a wanted rank are narrowed down:
+
+1. every group's least and greatest value;
+2. the count, least and greatest value of each of ``BUCKETS`` equal steps between them. Only the steps that
+   hold a wanted rank go on: at most two for each quantile;
+3. once those steps hold few values, these are counted one by one; else step 2 is repeated inside them.
+
+Steps follow the order of the values (−∞, finite values, +∞, NaN), and each round cuts them along the least
+and greatest value that really occur, so outliers cost a round, not a result. A round is a scan that
+shuffles at most (tasks × groups × ``BUCKETS``) counts; no task holds a column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.operators.curves import cumulative_desc
 from riskframe.session import materialize
 
+#: Steps of a round; rows that the open steps may hold when their values are counted one by one.
+BUCKETS, FEW = 4096, 1 << 18
+#: A safety bell: with BUCKETS steps a round, any doubles are parted after about eight.
+MAX_ROUNDS = 80
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    n_buckets: int | None = None) -> DataFrame:
-    """(by…, q array<double>): the ``probs`` quantiles of the non-NULL ``value`` per group (NaN sorts last).
 
-    A quantile p of n values is interpolated between the values of ranks floor and
-    ceiling of p·(n − 1). Groups without values give no row."""
+def _step(buckets: int) -> Column:
+    """Number of the step that holds ``_v`` between ``_lo`` and ``_hi``: −1 for −∞, then finite values, +∞ and NaN.
+
+    Equal steps of the value, or, where the range spans zero or many powers of two, of its signed
+    logarithm; so a few rounds part any doubles. Both never fall as the value rises."""
+    inf, lo, hi, v = F.lit(float("inf")), F.col("_lo"), F.col("_hi"), F.col("_v")
+    log = lambda x: F.when(x > 0, F.log2(x) + 1080).when(x < 0, -1080 - F.log2(-x)).otherwise(F.lit(0.0))
+    spread = ((lo <= 0) & (hi >= 0)) | (F.greatest(F.abs(lo), F.abs(hi)) / 1048576 > F.least(F.abs(lo), F.abs(hi)))
+    by_log = (log(v) - log(lo)) / F.nullif(log(hi) - log(lo), F.lit(0.0))
+    by_value = (v / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0))  # halves, as the range itself may overflow
+    finite = F.least(F.coalesce(F.floor(F.when(spread, by_log).otherwise(by_value) * buckets), F.lit(0)), F.lit(buckets - 1))
+    return (F.when(F.isnan(v), F.lit(buckets + 1)).when(v == inf, F.lit(buckets)).when(v == -inf, F.lit(-1))
+            .otherwise(F.greatest(finite, F.lit(0)))).cast("int")
+
+
+def written_values(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(by…, _v, _n): the non-NULL values with their weights (1 each without ``weight``), written."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"), n.cast("long").alias("_n"))
+    return materialize(rows.where(F.col("_v").isNotNull() & (F.col("_n") > 0)), "quantile-values")
+
+
+def select_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str] = (), buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
+    """(by…, q array<double>) from a written table (by…, _v, _n), which is read once per round."""
     by = list(by)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    c = cumulative_desc(materialize(counts, "quantile"), "_v", ["_n"], by, n_buckets)
-    # ranks from 0: a value takes those from tot - cum to tot - cum + n - 1
-    c = c.select(*by, "_v", "_n", F.col("tot__n").alias("_t"), (F.col("tot__n") - F.col("cum__n")).alias("_first"))
+    keys = [f"_k{i}" for i in range(len(by))]  # names that no column of the caller has
+    rows = values.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "_v", "_n").withColumn("_node", F.lit("0"))
+    finite = F.when(F.abs("_v") < F.lit(float("inf")), F.col("_v"))
+    nodes = rows.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.sum("_n").alias("_t"))
+    nodes = materialize(nodes.withColumn("_node", F.lit("0")).withColumn("_first", F.lit(0).cast("long")), "quantile-nodes")
+
+    def same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+        """Join where the names agree, nulls included; ``right`` has one row for each."""
+        named = right.select(*[F.col(c).alias(f"{c}_") for c in names], *[c for c in right.columns if c not in names])
+        on = F.lit(True)
+        for c in names:
+            on = on & F.col(c).eqNullSafe(F.col(f"{c}_"))
+        return left.join(named, on).drop(*[f"{c}_" for c in names])
 
-    def holds(rank):
+    def holds(rank: Column) -> Column:
         return (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n"))
 
-    picks, keep, values = [], F.lit(False), []
+    wanted, picks, out = F.lit(False), [], []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_t") - 1)
         low, high = F.floor(at), F.ceil(at)
-        keep = keep | holds(low) | holds(high)
-        picks += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_l{i}"),
-                  F.max(F.when(holds(high), F.col("_v"))).alias(f"_h{i}"), F.max(at - low).alias(f"_w{i}")]
-        values.append(F.when(F.col(f"_w{i}") == 0, F.col(f"_l{i}"))
-                      .otherwise((1 - F.col(f"_w{i}")) * F.col(f"_l{i}") + F.col(f"_w{i}") * F.col(f"_h{i}")))
-    return c.where(keep).groupBy(*by).agg(*picks).select(*by, F.array(*values).alias("q"))
+        wanted = wanted | holds(low) | holds(high)
+        picks += [F.max(F.when(holds(low), F.col("_lo"))).alias(f"_l{i}"), F.max(F.when(holds(high), F.col("_lo"))).alias(f"_h{i}"),
+                  F.max(at - low).alias(f"_w{i}")]
+        out.append(F.when(F.col(f"_w{i}") == 0, F.col(f"_l{i}"))
+                   .otherwise((1 - F.col(f"_w{i}")) * F.col(f"_l{i}") + F.col(f"_w{i}") * F.col(f"_h{i}")))
+
+    def placed(counts: DataFrame, order: str) -> DataFrame:
+        """Counts inside nodes with the rank of their first value; those with a wanted rank."""
+        before = Window.partitionBy(*keys, "_node").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        start = counts.withColumn("_first", F.col("_first") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        return start.where(wanted)
+
+    found = []
+    for _ in range(MAX_ROUNDS):
+        inside = same(rows, nodes.drop("_n") if "_n" in nodes.columns else nodes, [*keys, "_node"]).withColumn("_b", _step(buckets))
+        steps = inside.groupBy(*keys, "_node", "_b").agg(
+            F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            F.first("_t").alias("_t"), F.first("_first").alias("_first"))
+        steps = materialize(placed(steps, "_b"), "quantile-steps")
+        single = F.col("_lo") == F.col("_hi")  # NaN equals NaN here
+        found.append(steps.where(single).select(*keys, "_lo", "_n", "_t", "_first"))
+        left = steps.where(~single).agg(F.sum("_rows")).first()[0]
+        if not left:
+            break
+        nodes = steps.where(~single).select(*keys, F.concat_ws(".", "_node", "_b").alias("_node"), "_lo", "_hi", "_t", "_first")
+        rows = inside.select(*keys, F.concat_ws(".", "_node", "_b").alias("_node"), "_v", "_n")
+        if left <= few:
+            each = same(rows, nodes.select(*keys, "_node", "_t", "_first"), [*keys, "_node"])
+            each = each.groupBy(*keys, "_node", F.col("_v").alias("_lo")).agg(
+                F.sum("_n").alias("_n"), F.first("_t").alias("_t"), F.first("_first").alias("_first"))
+            found.append(placed(each, "_lo").select(*keys, "_lo", "_n", "_t", "_first"))
+            break
+        rows = materialize(same(rows, nodes.select(*keys, "_node"), [*keys, "_node"]), "quantile-rows")
+    else:
+        raise RuntimeError("quantile steps did not settle")
+    all_ = found[0]
+    for part in found[1:]:
+        all_ = all_.unionByName(part)
+    return all_.groupBy(*keys).agg(*picks).select(*[F.col(k).alias(c) for c, k in zip(by, keys)], F.array(*out).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), weight: str | None = None,
+                    buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
+    """(by…, q array<double>): the ``probs`` quantiles of the non-NULL ``value`` per group (NaN sorts last).
+
+    A quantile p of n values is interpolated between the values of ranks floor and
+    ceiling of p·(n − 1); with ``weight`` a row counts that many times. Groups without values give no row; without ``by``
+    a table without values gives NULLs."""
+    return select_quantiles(written_values(df, value, by, weight), probs, by, buckets, few)
+
+
+def long_columns(df: DataFrame, cols: Sequence[str], name: str = "_c", value: str = "_x") -> DataFrame:
+    """(name, value): a row for each of the columns of each row."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols])))
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     n_buckets: int | None = None) -> dict[str, list[float | None]]:
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **sizes: int) -> dict[str, list[float | None]]:
     """{column: quantiles} of several columns in one pass (one row per column comes to the driver)."""
     cols = list(cols)
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x"))
-                                        for c in cols])))
-    got = {r["_c"]: list(r["q"]) for r in exact_quantiles(long, "_x", probs, ["_c"], n_buckets).collect()}
+    got = {r["_c"]: list(r["q"]) for r in exact_quantiles(long_columns(df, cols), "_x", probs, ["_c"], **sizes).collect()}
     return {c: got.get(c, [None] * len(probs)) for c in cols}

@@ -16,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.isotonic import IsotonicFit
 from riskframe.operators.split import stratified_kfold
 from riskframe.session import materialize
 
@@ -108,16 +109,13 @@ def calibrate_isotonic(df: DataFrame, key: str, y: str, cols: Sequence[str], mak
     refit on the other folds and an isotonic map is fit on the held-out scores;
     the calibrated probability is the mean of the ``cv`` calibrated outputs.
     Returns (key, p_raw, p) on ``score_on``; p_raw is from the model fitted on all rows of ``df``."""
-    from pyspark.ml.regression import IsotonicRegression
     folds = fold_tables(df, key, y, cols, cv, seed)
     target = assemble(score_on, cols)
     outs = []
     for i, (tr, va) in enumerate(folds):
         model = make().setLabelCol(y).setFeaturesCol("features").fit(tr)
         held = score_model(model, va, key, y)
-        iso = IsotonicRegression(featuresCol="p", labelCol="_y").fit(held.withColumn("_y", F.col(y).cast("double")))
-        s = score_model(model, target, key)
-        cal = iso.transform(s).select(key, F.col("prediction").alias(f"cal{i}"))
+        cal = IsotonicFit(held, y, "p").apply(score_model(model, target, key), "p", f"cal{i}").select(key, f"cal{i}")
         outs.append(cal)
     whole = assemble(df.withColumn(y, F.col(y).cast("double")), cols).select(key, y, "features")
     raw = make().setLabelCol(y).setFeaturesCol("features").fit(whole)

@@ -21,7 +21,7 @@ from riskframe.operators.split import stratified_rank
 
 
 def smote(df: DataFrame, key: str, y: str, cols: Sequence[str], k: int = 5, seed: int = 42,
-          per_cell: int = 64) -> DataFrame:
+          cell_rows: int = 256) -> DataFrame:
     """df ∪ synthetic minority rows: (key string, y, cols…, synthetic boolean)."""
     cols = list(cols)
     counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -36,7 +36,7 @@ def smote(df: DataFrame, key: str, y: str, cols: Sequence[str], k: int = 5, seed
         return base
     mino = df.where(F.col(y) == F.lit(minority)).select(key, y, *cols)
     ranked = stratified_rank(mino, key, y, seed).select(key, *cols, (F.col("_rank") - 1).alias("_r"))
-    nbrs = knn_join(mino, mino, key, key, cols, k=k, exclude_self=True, per_cell=per_cell)
+    nbrs = knn_join(mino, mino, key, key, cols, k=k, exclude_self=True, cell_rows=cell_rows)
     k_eff = min(k, n_min - 1)
     q, rem = divmod(n_syn, n_min)
     quota = F.lit(q) + (F.col("_r") < F.lit(rem)).cast("int")

@@ -362,7 +362,7 @@ def q_eps_range_self_join(spark, sf_dir):
 
 # --------------------------------------------------------------------------- estimators
 
-from riskframe.operators import models, smote as smote_op  # noqa: E402
+from riskframe.operators import isotonic, models, smote as smote_op  # noqa: E402
 
 
 def _labelled_points(spark, sf_dir):
@@ -403,7 +403,7 @@ def q_smote(spark, sf_dir):
 
 @register("isotonic_fit")
 def q_isotonic_fit(spark, sf_dir):
-    return models.isotonic_fit(standins.scored(spark, sf_dir), "y", "p", by=["m"])
+    return isotonic.isotonic_fit(standins.scored(spark, sf_dir), "y", "p", by=["m"])
 
 
 # --------------------------------------------------------------------------- explanations and cascade

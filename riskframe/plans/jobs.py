@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.scalar import bool_to_label
 from riskframe.operators import anomaly, bootstrap, curves, features, metrics, neighbors, prep, split
+from riskframe.operators.isotonic import IsotonicFit, apply_steps
 from riskframe.operators.models import boosted_trees
 from riskframe.operators.quantiles import exact_quantiles
 from riskframe.operators.search import assemble, fold_tables, score_model
@@ -81,13 +82,11 @@ def prep_apply(df: DataFrame, prof: Profile, model_dir: str) -> tuple[DataFrame,
 def calibrated_probability(vec: DataFrame, key: str, model_dir: str, cv: int = 3) -> DataFrame:
     """(key, p_raw, p): the model of all training rows, and the mean of the cv isotonic-calibrated fold models."""
     from pyspark.ml.classification import GBTClassificationModel
-    from pyspark.ml.regression import IsotonicRegressionModel
     parts = []
     for i in range(cv):
         m = GBTClassificationModel.load(_p(model_dir, f"fold{i}"))
-        iso = IsotonicRegressionModel.load(_p(model_dir, f"iso{i}"))
-        s = score_model(m, vec, key)
-        parts.append(iso.transform(s).select(key, F.col("prediction").alias(f"cal{i}")))
+        steps = vec.sparkSession.read.parquet(_p(model_dir, f"iso{i}"))
+        parts.append(apply_steps(score_model(m, vec, key), "p", f"cal{i}", steps).select(key, f"cal{i}"))
     j = parts[0]
     for o in parts[1:]:
         j = j.join(o, key)
@@ -114,7 +113,6 @@ def train(spark: SparkSession, csv: str, prof: Profile, model_dir: str, n_estima
     tr = s.where(F.col("split") == "train")
     prep_fit(tr, prof, model_dir)
     x, names = prep_apply(tr, prof, model_dir)
-    from pyspark.ml.regression import IsotonicRegression
     x = materialize(x.select(prof.key, "y", *names), "train-encoded")
 
     def balanced(rows: DataFrame) -> DataFrame:
@@ -129,8 +127,7 @@ def train(spark: SparkSession, csv: str, prof: Profile, model_dir: str, n_estima
         m = boosted_trees(prof.booster_role, n_estimators=n_estimators).setLabelCol("y").fit(
             ftr.withColumn("y", F.col("y").cast("double")))
         m.write().overwrite().save(_p(model_dir, f"fold{i}"))
-        held = score_model(m, fva, prof.key, "y").withColumn("_y", F.col("y").cast("double"))
-        IsotonicRegression(featuresCol="p", labelCol="_y").fit(held).write().overwrite().save(_p(model_dir, f"iso{i}"))
+        IsotonicFit(score_model(m, fva, prof.key, "y"), "y", "p").steps.write.mode("overwrite").parquet(_p(model_dir, f"iso{i}"))
     if prof.gate:
         num = prof.features_numeric
         donors = spark.read.parquet(_p(model_dir, "donors"))

@@ -101,8 +101,11 @@ def test_bootstrap_iterations_match_weighted_brute_force(spark):
             for i in range(120)]
     df = spark.createDataFrame(rows, "id long, p double, y int").withColumn("pred", metrics.apply_threshold("p", 0.5))
     w = bootstrap.bootstrap_weights(df, "y", "pred", "p", n_iterations=25, seed=7)
-    it = {r["b"]: r for r in bootstrap.bootstrap_iterations(df, "y", "pred", "p", weights=w).collect()}
-    wt = w.toPandas()
+    it = {r["b"]: r for r in bootstrap.bootstrap_iterations(df, "y", "pred", "p", n_iterations=25, seed=7).collect()}
+    given = {r["b"]: r for r in bootstrap.iteration_metrics(w, 25, cells_per_range=30).collect()}  # weights given, several ranges
+    assert set(it) == set(given) and all(it[b][c] == pytest.approx(given[b][c]) for b in it for c in ("recall", "roc_auc", "pr_auc"))
+    from pyspark.sql import functions as F
+    wt = w.select("p", "y", "pred", F.posexplode("w").alias("b", "w")).toPandas()
     for b, g in wt.groupby("b"):
         p_ = np.repeat(g["p"].to_numpy(), g["w"].to_numpy())
         y_ = np.repeat(g["y"].to_numpy(), g["w"].to_numpy())

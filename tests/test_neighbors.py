@@ -28,7 +28,7 @@ def test_knn_join_matches_brute_force(spark, pts):
     cols = ["x1", "x2", "x3", "x4"]
     pdf = pts.select("vec_id", *cols).toPandas().sort_values("vec_id")
     x, ids = pdf[cols].to_numpy(), pdf["vec_id"].tolist()
-    got = neighbors.knn_join(pts, pts, "vec_id", "vec_id", cols, k=3, exclude_self=True, per_cell=4).collect()
+    got = neighbors.knn_join(pts, pts, "vec_id", "vec_id", cols, k=3, exclude_self=True, cell_rows=20).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r["q_id"], r["rank"])):
         res.setdefault(r["q_id"], []).append(r["r_id"])
