@@ -479,7 +479,18 @@ def q_explain_cascade(spark, sf_dir):
 
 # --------------------------------------------------------------------------- rows-only checks (no exact SQL form)
 
+from riskframe.functions.rng import h  # noqa: E402
 from riskframe.operators import bootstrap, search  # noqa: E402
+from riskframe.session import materialize  # noqa: E402
+
+
+@register("bootstrap_given_weights")
+def q_bootstrap_given_weights(spark, sf_dir):
+    """Metrics of 12 resamples whose weights are a hash of the cell, by the ranges and vectors of ``bootstrap_ci``."""
+    cells = _scored(spark, sf_dir).groupBy("m", "pi", "p", "y", "pred").agg(F.count(F.lit(1)).alias("c"))
+    key = F.concat_ws("|", "m", "pi", "y")
+    w = F.array(*[F.col("c") * (h(f"boot{b}", key) % 3) for b in range(12)])
+    return bootstrap.iteration_metrics(cells.select("m", "p", "y", "pred", w.alias("w")), 12, by=["m"], cells_per_range=500)
 
 
 @register("bootstrap_ci")
@@ -671,14 +682,20 @@ def q_scan_patients_csv(spark, sf_dir):
 
 @register("metrics_document")
 def q_metrics_document(spark, sf_dir):
-    s = _scored(spark, sf_dir).where(F.col("m") == 0)
-    opt = curves.cost_optimal_threshold(s, "y", "p")
-    t = opt.first()["threshold"]
-    at_opt = s.withColumn("pred", metrics.apply_threshold("p", t))
-    doc = sinks.metrics_document(metrics.core_metrics(s), metrics.core_metrics(at_opt), opt,
-                                 metrics.brier_score(s, "y", "p"),
-                                 bootstrap.bootstrap_ci(s, "y", "pred", "p", n_iterations=1000))
-    return sinks.sink_metrics_json(spark, doc, _scratch(spark, "metrics"))
+    """One metrics document per model, written as JSON and read back: every table is made once for all models."""
+    s = _scored(spark, sf_dir)
+    by = ["m"]
+    opt = materialize(curves.cost_optimal_threshold(s, "y", "p", by), "doc-cut")
+    at_opt = s.join(opt.select("m", F.col("threshold").alias("_cut")), "m").withColumn("pred", (F.col("p") >= F.col("_cut")).cast("int"))
+    parts = [materialize(t, "doc") for t in (
+        metrics.core_metrics(s, by=by), metrics.core_metrics(at_opt.drop("_cut"), by=by), opt, metrics.brier_score(s, "y", "p", by),
+        bootstrap.bootstrap_ci(s, "y", "pred", "p", by, n_iterations=1000))]
+    out = None
+    for (m,) in sorted(opt.select("m").collect()):  # one row per model
+        doc = sinks.metrics_document(*[t.where(F.col("m") == m).drop("m") for t in parts])
+        one = sinks.sink_metrics_json(spark, doc, _scratch(spark, f"metrics-{m}")).withColumn("m", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("score_cascade_stream")

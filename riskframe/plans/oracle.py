@@ -755,3 +755,15 @@ ORACLE["score_direct"] = _with(POINTS, LPTS, _NB, _NBSCORE) + f"""
 select {B('vec_id')} as vec_id, {R('prob')} as probability, {B('prob >= 0.5')} as prediction,
        case when prob < 0.2 then 'Low Risk' when prob < 0.5 then 'Medium Risk' else 'High Risk' end as risk_level
 from nbs"""
+
+ORACLE["bootstrap_given_weights"] = _with(SCORED) + f""",
+bw as (select m, b, p, y, case when p >= 0.5 then 1 else 0 end as pred,
+              count(*) * ({H("concat('boot', any_value(b))", "concat(any_value(m), '|', any_value(pi), '|', any_value(y))")} % 3) as w
+       from scored, (select unnest(range(12)) as b) bs group by m, pi, p, y, b),
+bg as (select m, b, p, sum(w) as cnt, sum(w * y) as pos, sum(w * y * pred) as hit from bw group by m, b, p),
+bc as (select *, sum(cnt) over up as cc, sum(pos) over up as cp from bg
+       window up as (partition by m, b order by p desc rows unbounded preceding))
+select {B('m')} as m, {B('b')} as b, {R('sum(hit) * 1.0E0 / sum(pos)')} as recall,
+       {R('sum((cnt - pos) * (cp - pos / 2.0E0)) / (sum(pos) * 1.0E0 * sum(cnt - pos))')} as roc_auc,
+       {R('sum(case when cc > 0 then pos * 1.0E0 * cp / cc else 0 end) / sum(pos)')} as pr_auc
+from bc group by m, b having sum(pos) > 0 and sum(cnt - pos) > 0"""
