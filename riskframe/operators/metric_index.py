@@ -270,7 +270,8 @@ class MetricIndex:
         thetas = F.transform("wants", lambda w: F.coalesce(F.col("found")[w], F.lit(float("inf"))))
         again = queries.join(kth, "q_id", "left").withColumn("thetas", F.coalesce(thetas, far)).drop("found")
         two = self._against(again, others, compare, out)
-        return one.drop("rank").unionByName(two).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        both = one.drop("rank").unionByName(two).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return materialize(both, "metric-nearest")  # so that what reads it doesn't search again
 
     def within(self, queries: DataFrame, eps: float) -> DataFrame:
         """(q_id, r_id, dist): for each query all reference rows at a distance of at most ``eps``."""
