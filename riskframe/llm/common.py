@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from riskframe.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["materialize", "scratch_path", "utf8", "row_identity", "dense_numbers", "wide"]
+__all__ = ["materialize", "scratch_path", "utf8", "row_identity", "dense_numbers", "join_counted", "wide"]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -54,3 +54,24 @@ def dense_numbers(df: DataFrame, keys: list[str], order: list[str], out: str) ->
     inside = F.row_number().over(Window.partitionBy(*on).orderBy(*order)) - 1
     return (df.withColumn("_i", inside).join(shift, on)
             .withColumn(out, F.col("_i").cast("long") + F.col("_shift")).drop("_b", "_i", "_shift"))
+
+
+#: Rows of one key that one task of a join may always take.
+TASK_ROWS = 10_000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], count: str, spread: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, a written table of one row per key whose ``count`` says how many
+    rows the key has.
+
+    A key above the fair share, the rows of all keys over ``wide()`` (or TASK_ROWS if that is more), is cut into
+    that many times the share: its rows by a hash of ``spread``, its row of ``keys`` once for each cut. Fewer than
+    ``wide()`` keys can be above the share, so their table is broadcast.
+    """
+    n = wide(rows.sparkSession)
+    share = max(TASK_ROWS, int(keys.agg(F.sum(count)).first()[0] or 0) // n)
+    hot = F.broadcast(keys.where(F.col(count) > share).select(*on, F.ceil(F.col(count) / share).cast("int").alias("_cuts")))
+    cuts = F.coalesce("_cuts", F.lit(1))
+    rows = rows.join(hot, on, "left").withColumn("_cut", F.pmod(F.xxhash64(*spread), cuts).cast("int")).drop("_cuts")
+    keys = keys.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")
+    return rows.join(keys, [*on, "_cut"]).drop("_cut")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import materialize, utf8
+from riskframe.llm.common import join_counted, materialize, utf8
 
 #: Bytes of an anchor's k-gram; bytes of text looked at in one go; runs sorted in one go; runs of a collection.
 GRAM, CHUNK, BLOCK, GROUP = 40, 1 << 19, 8192, 8192
@@ -296,18 +296,21 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, low, high): ranges of starts of repeated strings, of ``docs`` (k1, k2, data)."""
     row = "k1 long, k2 long, h long, c long, place long"
     runs = materialize(docs.select("k1", "k2", "data").mapInPandas(_find_runs(length, gram), row), "runs")
-    twice = runs.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    cand = materialize(runs.join(twice, "h"), "repeated-anchors")
+    one = ["k1", "k2", "place"]  # tells runs apart
+    # common anchors, runs and strings hold any share of the rows: these joins cut them by their counts
+    twice = materialize(runs.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "anchors-twice")
+    cand = materialize(join_counted(runs, twice, ["h"], "m", one).drop("m"), "repeated-anchors")
     alike = materialize(cand.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")),
                         "runs-alike")
-    whole = cand.join(alike.where("n > 1").select("h", "c"), ["h", "c"]).select(
+    whole = join_counted(cand, alike.where("n > 1").select("h", "c", "n"), ["h", "c"], "n", one).select(
         "k1", "k2", F.expr("shiftright(place, 20)").alias("low"),
         F.expr("shiftright(place, 20) + (shiftright(place, 10) & 1023) - 1").alias("high"))
 
     # collections with a run that has no equal
-    mixed = alike.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    wanted = (alike.join(mixed, "h").select("one.k1", "one.k2", "h", "c", "n", F.col("one.place").alias("place"),
-                                            (F.col("m") > GROUP).alias("many"))
+    mixed = materialize(alike.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+                        .where("m > 1 and least = 1").drop("least"), "anchors-mixed")
+    wanted = (join_counted(alike, mixed, ["h"], "m", ["c"])
+              .select("one.k1", "one.k2", "h", "c", "n", F.col("one.place").alias("place"), (F.col("m") > GROUP).alias("many"))
               .groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "n", "place", "many")).alias("runs")))
     row = "k1 long, k2 long, h long, c long, n long, place long, many boolean, context binary"
     contexts = (_packed(docs.select("k1", "k2", "data"), []).join(wanted.hint("shuffle_hash"), ["k1", "k2"])
@@ -320,8 +323,9 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     single = contexts.where("many").dropDuplicates(["h", "c"]).mapInPandas(
         _string_hashes(length), "h long, at long, s1 long, s2 long, k1 long, k2 long, start long, n long")
     single = materialize(single, "single-strings")
-    again = single.groupBy("h", "at", "s1", "s2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    many = (single.where("n = 1").join(again, ["h", "at", "s1", "s2"])
+    string = ["h", "at", "s1", "s2"]
+    again = materialize(single.groupBy(*string).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "strings-again")
+    many = (join_counted(single.where("n = 1"), again, string, "m", ["k1", "k2", "start"])
             .select("k1", "k2", F.col("start").alias("low"), F.col("start").alias("high")))
     return whole.unionByName(few).unionByName(many)
 

@@ -54,3 +54,26 @@ def test_columns_sort_like_suffixes():
         for s in range(30):
             same = any(group[j] == group[i] and j != i and ctx[j][s:s + 11] == ctx[i][s:s + 11] for j in range(33))
             assert flags[i, s] == same
+
+
+def test_hot_keys_are_cut_without_losing_a_pair(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from riskframe.llm import common
+    monkeypatch.setattr(common, "TASK_ROWS", 20)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("h"))
+    keys = common.materialize(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "keys")
+    out = common.join_counted(rows, keys, ["h"], "m", ["id"])
+    assert sorted(map(tuple, out.select("id", "h", "m").collect())) == sorted(map(tuple, rows.join(keys, "h").select("id", "h", "m").collect()))
+    cut = rows.join(keys.where("m > 1000"), "h").count()
+    assert cut > 1000 and common.join_counted(rows.where("false"), keys.where("false"), ["h"], "m", ["id"]).count() == 0
+
+
+def test_hot_anchor_equals_brute_force(spark, monkeypatch):
+    from riskframe.llm import common
+    monkeypatch.setattr(common, "TASK_ROWS", 5)
+    texts = [f"{i:03d}" + "common passage " * 6 + f"tail {i % 4}" * 9 for i in range(80)] + _texts()
+    want = plain.repeated_bytes(texts, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"]))
+                 for x in suffix_dedup.dedup_substrings(df, 60, 20).collect())
+    assert got == [(i, *w) for i, w in enumerate(want)]
