@@ -114,18 +114,33 @@ MANIFEST = "file string, shard int, part int, records long, bytes long, sha256 s
 
 # ------------------------------------------------------------------ writer
 
-def _in_ranges(df: DataFrame, id_col: str, level: dict[int, tuple[int, int]]) -> DataFrame:
-    """Add ``_r``: the number of the range of the row's ``_node`` that holds its id (null for rows
+#: Shards at most: a larger table gets larger shards, so that the driver's sums stay bounded.
+SHARDS = 16_384
+
+#: Bits of the payload's digest, and of a hash of the URL, that follow the id in a row's place.
+DIGEST_BITS, URL_BITS = 24, 24
+
+
+def _place(low: int):
+    """Where a row stands: its id (null: the least) before its digest before its URL, as one number below 2^112."""
+    digest = F.conv(F.substring("digest", 1, DIGEST_BITS // 4), 16, 10).cast("decimal(38,0)")
+    url = F.pmod(F.xxhash64("url"), F.lit(1 << URL_BITS)).cast("decimal(38,0)")
+    whole = F.coalesce("page_id", F.lit(low)).cast("decimal(20,0)") * F.lit(1 << (DIGEST_BITS + URL_BITS)).cast("decimal(17,0)")
+    return whole.cast("decimal(38,0)") + digest * F.lit(1 << URL_BITS) + url
+
+
+def _in_ranges(df: DataFrame, level: dict[int, tuple[int, int]]) -> DataFrame:
+    """Add ``_r``: the number of the range of the row's ``_node`` that holds its ``_place`` (null for rows
     without a node). The only node of the first level is a pair of literals."""
-    place = f"cast((cast({id_col} as decimal(20,0)) - _base) div _width as long)"
+    inside = "cast((_place - _base) div _width as long)"
     if list(level) == [0]:
         base, width = level[0]
-        return df.withColumn("_r", F.expr(place.replace("_base", f"cast('{base}' as decimal(20,0))")
-                                          .replace("_width", f"cast('{width}' as decimal(20,0))")))
+        return df.withColumn("_r", F.expr(inside.replace("_base", f"cast('{base}' as decimal(38,0))")
+                                          .replace("_width", f"cast('{width}' as decimal(38,0))")))
     nodes = df.sparkSession.createDataFrame([(k, str(b), str(w)) for k, (b, w) in level.items()],
                                             "_node int, _base string, _width string")
-    nodes = nodes.select("_node", F.col("_base").cast("decimal(20,0)"), F.col("_width").cast("decimal(20,0)"))
-    return df.join(_small(nodes, len(level)), "_node", "left").withColumn("_r", F.expr(place)).drop("_base", "_width")
+    nodes = nodes.select("_node", F.col("_base").cast("decimal(38,0)"), F.col("_width").cast("decimal(38,0)"))
+    return df.join(_small(nodes, len(level)), "_node", "left").withColumn("_r", F.expr(inside)).drop("_base", "_width")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -133,21 +148,26 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _dealer(sizes: DataFrame, shard_bytes: int):
-    """A function that adds ``_shard`` to rows with a page_id: consecutive ids of about ``shard_bytes`` (null ids with the first).
+    """(function that adds ``_shard`` to rows with a page_id, digest and url, number of shards): rows that follow one
+    another by id, digest and URL, of about ``shard_bytes`` (null ids with the first).
 
-    ``sizes`` (page_id, n) gives the bytes. Ids are cut into ranges of equal width whose bytes are summed;
-    a range that holds too much is cut again, down to single ids, so uneven ids make shards as even as
-    others. The sums, at most RANGES + 64 for each shard, come to the driver, which numbers the shards in order.
+    ``sizes`` (page_id, digest, url, n) gives the bytes. Places are cut into ranges of equal width whose bytes are
+    summed; a range that holds too much is cut again, down to single places, so uneven, repeated and missing ids make
+    shards as even as others; only rows that agree in id, payload and URL stay together. The sums, at most
+    RANGES + 64 for each of at most SHARDS shards, come to the driver, which numbers the shards in order.
     """
     spark = sizes.sparkSession
     low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if low is None:
-        return lambda pages: pages.withColumn("_shard", F.lit(0))
+    if total is None:
+        return lambda pages: pages.withColumn("_shard", F.lit(0)), 1
+    low, high = low or 0, high or 0
+    shard_bytes = max(shard_bytes, -(-int(total) // SHARDS))
     first = max(RANGES, 8 * int(total // shard_bytes))
-    level, number, levels, sums = {0: (low, -(-(high - low + 1) // first))}, 1, [], {}
-    left = sizes.withColumn("page_id", F.coalesce("page_id", F.lit(low))).withColumn("_node", F.lit(0))
+    unit = 1 << (DIGEST_BITS + URL_BITS)
+    level, number, levels, sums = {0: (low * unit, -(-(high - low + 1) * unit // first))}, 1, [], {}
+    left = sizes.select(_place(low).alias("_place"), "n", F.lit(0).alias("_node"))
     while level:
-        left = _in_ranges(left, "page_id", level)
+        left = _in_ranges(left, level)
         rows = left.groupBy("_node", "_r").agg(F.sum("n").alias("n")).collect()
         below = {}
         for node, r, n in sorted(rows):
@@ -168,7 +188,7 @@ def _dealer(sizes: DataFrame, shard_bytes: int):
     for node, r in sorted(sums):
         children.setdefault(node, []).append(r)
     todo = [(0, r) for r in reversed(children[0])]
-    while todo:  # ranges in the order of ids
+    while todo:  # ranges in the order of places
         node, r = todo.pop()
         n, child = sums[node, r]
         if child is None:
@@ -178,16 +198,16 @@ def _dealer(sizes: DataFrame, shard_bytes: int):
             todo += [(child, x) for x in reversed(children[child])]
 
     def deal(pages: DataFrame) -> DataFrame:
-        pages = pages.withColumns({"_id": F.coalesce("page_id", F.lit(low)), "_shard": F.lit(None).cast("int")})
+        pages = pages.withColumns({"_place": _place(low), "_shard": F.lit(None).cast("int")})
         for k, (level, rows) in enumerate(levels):
             on = ["_node", "_r"] if k else ["_r"]  # the first level has one node
             table = spark.createDataFrame([(n, r, shard_of.get((n, r)), c) for n, r, c in rows],
                                           "_node int, _r long, _own int, _child int").select(*on, "_own", "_child")
-            pages = _in_ranges(pages, "_id", level).join(_small(table, len(rows)), on, "left")
+            pages = _in_ranges(pages, level).join(_small(table, len(rows)), on, "left")
             pages = pages.withColumn("_shard", F.coalesce("_shard", "_own")).drop(*on, "_own").withColumnRenamed("_child", "_node")
-        return pages.drop("_node", "_id")
+        return pages.drop("_node", "_place")
 
-    return deal
+    return deal, 1 + max(shard_of.values())
 
 
 def _writer(folder: str, file_bytes: int, date: str):
@@ -227,7 +247,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_
 
     Of rows with equal payloads (SHA-1 and length) of ``smallest_revisit`` bytes or more, the
     one with the largest id is a response and the others are revisits of it; rows that
-    repeat that id and payload are all responses. Null payloads count as empty, null URLs
+    repeat that id and payload are all responses. Rows go to shards in the order of id, digest and URL, so ids
+    that are missing, or repeated by any share of the rows, fill as many shards as their bytes ask for. Null payloads count as empty, null URLs
     as an empty URI; a row with a null id is written without one, and is a revisit where an
     id has its payload. Payloads of any length are kept whole. An empty table gives an
     archive without files. Columns other than the three named are not read.
@@ -237,8 +258,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_
                         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("digest"),
                         payload.alias("payload"))
     slim = materialize(rows.select("page_id", "url", "payload_bytes", "digest"), "warc-rows")
-    sizes = materialize(slim.groupBy("page_id").agg(F.sum(F.col("payload_bytes") + 400).alias("n")), "warc-sizes")
-    deal = _dealer(sizes, shard_bytes)
+    deal, shards = _dealer(slim.select("page_id", "digest", "url", (F.col("payload_bytes") + 400).alias("n")), shard_bytes)
     rows, slim = deal(rows), deal(slim)
     kept = (slim.where(F.col("payload_bytes") >= smallest_revisit).groupBy("digest", "payload_bytes")
             .agg(F.max(F.struct("page_id", "url")).alias("_kept"), F.count(F.lit(1)).alias("_n"))
@@ -251,7 +271,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_
     # a revisit's note sorts right before its page: one shuffle of the payloads does for both
     noted = rows.select("_shard", "page_id", "digest", F.lit(True).alias("is_page"), "url", "payload",
                         F.lit(None).cast("string").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
-    noted = noted.unionByName(revisits).repartition("_shard").sortWithinPartitions(
+    noted = noted.unionByName(revisits).repartition(shards, "_shard").sortWithinPartitions(
         "_shard", "page_id", "digest", "is_page", "url").withColumn("page", F.col("page_id").cast("string"))
     manifest = f"{folder.rstrip('/')}/manifest"
     noted.mapInPandas(_writer(f"{folder.rstrip('/')}/data", file_bytes, date), MANIFEST).write.parquet(manifest)

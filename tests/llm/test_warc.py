@@ -45,6 +45,25 @@ def test_round_trip_rolls_files_and_is_repeatable(spark):
     assert kept[0] == kept[1]
 
 
+@pytest.mark.parametrize("id_", [None, 5])
+def test_one_id_fills_many_shards(spark, id_):
+    rows = [(i, f"http://h/{i}", f"page {i} " + "x" * 900) for i in range(200)]
+    rows += [(id_, f"http://n/{i}", f"other {i} " + "y" * 900) for i in range(100)]
+    rows += [(id_, f"http://m/{i}", "same " * 200) for i in range(100)]  # one payload, many URLs
+    folder = os.path.join(tempfile.mkdtemp(prefix="warc-"), "a")
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder,
+                               shard_bytes=20_000, file_bytes=1 << 20).collect()
+    assert max(m["records"] for m in manifest) < 40 and sum(m["records"] for m in manifest) == 400
+    got = [(x["page_id"], x["url"], bytes(x["payload"] or b"").decode()) for x in warc.read_warc(spark, folder).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+
+
+def test_only_missing_ids(spark):
+    folder = os.path.join(tempfile.mkdtemp(prefix="warc-"), "a")
+    warc.write_warc(spark.createDataFrame([(None, "u", "a" * 2000)] * 3, "page_id long, url string, html string"), folder)
+    assert [x["record_type"] for x in warc.read_warc(spark, folder).collect()] == ["response"] * 3
+
+
 def test_empty_table_and_damage(spark):
     _, df = _pages(spark)
     folder = os.path.join(tempfile.mkdtemp(prefix="warc-"), "e")
