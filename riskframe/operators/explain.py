@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from riskframe.functions.rng import h
 from riskframe.functions.scalar import fixed, humanize_feature
 from riskframe.operators.split import stratified_rank
 
@@ -73,40 +75,60 @@ def waterfall_table(phi: DataFrame, key: str, base: float, max_display: int = 10
     return folded.withColumn("cumulative", F.lit(float(base)) + F.sum("phi").over(run))
 
 
+#: Rows that are permuted among themselves.
+PERMUTED = 16_384
+
+
 def permutation_importance(df: DataFrame, key: str, y: str, cols: Sequence[str],
-                           predict: Callable[[dict[str, Column]], Column], repeats: int = 10, seed: int = 42
-                           ) -> DataFrame:
+                           predict: Callable[[dict[str, Column]], Column], repeats: int = 10, seed: int = 42,
+                           block: int = PERMUTED) -> DataFrame:
     """(feature, importance_mean): mean drop in accuracy when one feature column
     is permuted, over ``repeats`` hashed permutations per feature.
 
-    Permutation of column j in repeat r pairs the row at position i of one hash
-    order with the row at position i of a second hash order keyed by (j, r);
-    positions come from the two-phase rank (no global sort in one task). All
-    (feature × repeat) variants are scored in one batch."""
+    Rows in hash order are cut into blocks of ``block``, each a random sample of the table, and every permutation moves
+    values inside the blocks: in repeat r of column j the row at position i of its block gets the value of the row
+    at position i of the block's order by a hash keyed by (j, r). So the rows are shuffled once, into blocks, whatever
+    the number of features and repeats; the variants are made, scored and counted inside the block's task.
+    Null values move like others; rows whose prediction or label is null don't count; an empty table gives no rows."""
     cols = list(cols)
     base_acc = df.select((predict({c: F.col(c) for c in cols}) == F.col(y)).cast("double").alias("ok")) \
                  .agg(F.avg("ok")).first()[0]
-    t = df.select(key, y, *cols)
-    grid = F.array(*[F.struct(F.lit(c).alias("_j"), F.lit(r).alias("_r")) for c in cols for r in range(repeats)])
-    # receivers: position in a fixed hash order
-    recv = stratified_rank(t.withColumn("_g", F.lit(0)), key, "_g", f"{seed}|base").select(
-        key, y, *cols, (F.col("_rank")).alias("_pos")).select("*", F.inline(grid))
-    # donors: position in a hash order per (feature, repeat)
-    exploded = t.select(key, *cols, F.inline(grid))
-    val = F.lit(None).cast("double")
-    for c in cols:
-        val = F.when(F.col("_j") == F.lit(c), F.col(c)).otherwise(val)
-    exploded = exploded.select(
-        F.concat_ws("|", F.col("_j"), F.col("_r").cast("string"), F.col(key).cast("string")).alias("_pk"),
-        F.concat_ws("|", F.col("_j"), F.col("_r").cast("string")).alias("_g"), "_j", "_r", val.alias("_donor"))
-    donors = stratified_rank(exploded, "_pk", "_g", seed).select("_j", "_r", F.col("_rank").alias("_pos"), "_donor")
-    joined = recv.join(donors, ["_j", "_r", "_pos"])
+    variants = [(c, r) for c in cols for r in range(repeats)]
+    ranked = stratified_rank(df.select(key, y, *cols).withColumn("_g", F.lit(0)), key, "_g", f"{seed}|base")
+    placed = ranked.select(y, *[F.col(c).cast("double").alias(c) for c in cols], F.col(key).cast("string").alias("_key"),
+                           F.col("_rank").cast("long").alias("_rank"),
+                           F.floor((F.col("_rank") - 1) / F.lit(block)).alias("_block")).repartition("_block")
+    prefixes = F.array(*[F.lit(f"{c}|{r}|") for c, r in variants])
+    # after the exchange, so that the hashes aren't shuffled
+    placed = placed.withColumn("_order", F.transform(prefixes, lambda p: h(seed, F.concat(p, F.col("_key")))))
+    schema = T.StructType([placed.schema[y], *[placed.schema[c] for c in cols],
+                           *[T.StructField(f"_d{i}", T.DoubleType()) for i in range(len(variants))]])
+    donors = placed.groupBy("_block").applyInArrow(_permuted(y, cols, variants), schema)
+    grid = F.array(*[F.struct(F.lit(c).alias("_j"), F.lit(r).alias("_r"), F.col(f"_d{i}").alias("_donor"))
+                     for i, (c, r) in enumerate(variants)])
+    joined = donors.select(y, *cols, F.inline(grid))
     swapped = {c: F.when(F.col("_j") == F.lit(c), F.col("_donor")).otherwise(F.col(c)) for c in cols}
     acc = (joined.select("_j", "_r", (predict(swapped) == F.col(y)).cast("double").alias("ok"))
            .groupBy("_j", "_r").agg(F.avg("ok").alias("acc")))
     return acc.groupBy(F.col("_j").alias("feature")).agg((F.lit(base_acc) - F.avg("acc")).alias("importance_mean"))
 
 
+def _permuted(y: str, cols: list[str], variants: list[tuple[str, int]]):
+    """A block's rows in order of their rank, with a column of donated values for each variant."""
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+        rows = rows.combine_chunks().sort_by("_rank")
+        n = rows.num_rows
+        text = np.argsort(np.argsort(np.array(rows["_key"].to_pylist(), object), kind="stable"), kind="stable")
+        hashes = rows["_order"].combine_chunks().flatten().to_numpy().reshape(n, len(variants))
+        donated = [rows[c].take(pa.array(np.lexsort((text, hashes[:, i])))) for i, (c, _) in enumerate(variants)]
+        return pa.table([rows[y], *[rows[c] for c in cols], *donated], names=[y, *cols, *[f"_d{i}" for i in range(len(variants))]])
+
+    return run
+
+
 def sampling_shap(df: DataFrame, key: str, cols: Sequence[str], score: Callable[[dict[str, Column]], Column],
                   background: DataFrame, n_permutations: int = 20, seed: int = 42) -> DataFrame:
     """(key, feature, phi): model-agnostic Monte-Carlo Shapley values
@@ -116,7 +138,6 @@ def sampling_shap(df: DataFrame, key: str, cols: Sequence[str], score: Callable[
     each switch's score change is that feature's contribution. All synthetic
     rows (rows × permutations × (d+1)) are scored in one batch; Σφ equals
     f(x) − mean f(background row) per permutation, exactly."""
-    from riskframe.functions.rng import h
     cols = list(cols)
     d = len(cols)
     bg = background.select(*[F.col(c).alias(f"_b_{c}") for c in cols])

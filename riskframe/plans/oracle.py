@@ -8,6 +8,7 @@ fractional → double rounded to 6 decimals.
 from __future__ import annotations
 
 from riskframe.functions.rng import h_sql as H
+from riskframe.operators.explain import PERMUTED
 
 
 def R(x: str, d: int = 6) -> str:
@@ -557,15 +558,16 @@ from f"""
 _SWAP = {c: f"case when g.j = '{c}' then d.donor else rc.{c} end" for c in PTS}
 ORACLE["permutation_importance"] = _with(POINTS, LPTS, _NB) + f""",
 grid as (select j, r from (select unnest({PTS}) as j) a, (select unnest(range(10)) as r) b),
-rc as (select *, row_number() over (order by {H("'42|base'", 'vec_id')}, vec_id) as pos from lpts),
-d as (select g.j, g.r, case {' '.join(f"when g.j = '{c}' then l.{c}" for c in PTS)} end as donor,
-             row_number() over (partition by g.j, g.r order by {H('42', "g.j || '|' || g.r || '|' || l.vec_id")},
+rk as (select *, row_number() over (order by {H("'42|base'", 'vec_id')}, vec_id) - 1 as place from lpts),
+rc as (select *, place // {PERMUTED} as blk, place % {PERMUTED} + 1 as pos from rk),
+d as (select g.j, g.r, l.blk, case {' '.join(f"when g.j = '{c}' then l.{c}" for c in PTS)} end as donor,
+             row_number() over (partition by g.j, g.r, l.blk order by {H('42', "g.j || '|' || g.r || '|' || l.vec_id")},
                                 g.j || '|' || g.r || '|' || l.vec_id) as pos
-      from lpts l, grid g),
+      from rc l, grid g),
 base as (select avg(cast(({_nb_prob({c: f'p.{c}' for c in PTS})} > 0.5) = (p.y = 1) as double)) as acc
          from lpts p, e, s0, s1),
 acc as (select g.j, g.r, avg(cast(({_nb_prob(_SWAP)} > 0.5) = (rc.y = 1) as double)) as acc
-        from rc, grid g, e, s0, s1, d where d.j = g.j and d.r = g.r and d.pos = rc.pos group by g.j, g.r)
+        from rc, grid g, e, s0, s1, d where d.j = g.j and d.r = g.r and d.blk = rc.blk and d.pos = rc.pos group by g.j, g.r)
 select j as feature, {R('(select acc from base) - avg(acc)')} as importance_mean from acc group by j"""
 
 _NBSCORE = f"nbs as (select p.*, {_nb_prob({c: f'p.{c}' for c in PTS})} as prob from lpts p, e, s0, s1)"
