@@ -271,7 +271,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, file_
     # a revisit's note sorts right before its page: one shuffle of the payloads does for both
     noted = rows.select("_shard", "page_id", "digest", F.lit(True).alias("is_page"), "url", "payload",
                         F.lit(None).cast("string").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
-    noted = noted.unionByName(revisits).repartition(shards, "_shard").sortWithinPartitions(
+    noted = noted.unionByName(revisits).repartitionById(shards, "_shard").sortWithinPartitions(
         "_shard", "page_id", "digest", "is_page", "url").withColumn("page", F.col("page_id").cast("string"))
     manifest = f"{folder.rstrip('/')}/manifest"
     noted.mapInPandas(_writer(f"{folder.rstrip('/')}/data", file_bytes, date), MANIFEST).write.parquet(manifest)
