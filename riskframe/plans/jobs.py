@@ -4,12 +4,13 @@ train     CSV → engineer → stratified split → fit preprocessing on train (
           impute, robust scale, mode impute, one-hot) → boosted trees in the
           profile's role → 3-fold isotonic calibration → (heart) anomaly gate:
           kNN impute → standard scale → isolation forest → 5 % cut.
-          Everything fitted is persisted under the model folder (MLlib models,
-          parquet stat tables, the training donors for imputation).
+          Everything fitted is one version below the model folder (a saved preprocessing
+          pipeline, MLlib models, parquet tables), put into use by a manifest at the end.
 evaluate  Re-split identically (hash split), score the test rows, metrics at 0.5,
           cost-optimal threshold, metrics there, Brier, bootstrap intervals →
           metrics JSON + metadata.json with ``optimal_threshold``.
 score     JSON patients → cascade (gate if the profile has one) → parquet.
+stream    The same on files of JSON lines as they land, with a commit log and a quarantine.
 """
 
 from __future__ import annotations
@@ -18,20 +19,23 @@ import argparse
 import json
 import os
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskframe.functions.scalar import bool_to_label
-from riskframe.operators import anomaly, bootstrap, curves, features, metrics, neighbors, prep, split
+from riskframe.operators import anomaly, bootstrap, curves, metrics, prep, split
 from riskframe.operators.isotonic import IsotonicFit, apply_steps
 from riskframe.operators.models import boosted_trees
 from riskframe.operators.quantiles import exact_quantiles
 from riskframe.operators.search import assemble, fold_tables, score_model
 from riskframe.operators.smote import smote
-from riskframe.plans import cascade
+from riskframe.plans import cascade, model_store
+from riskframe.plans.preparation import preparation
 from riskframe.profiles import PROFILES, Profile
 from riskframe.session import materialize
 from riskframe.sources import patients, sinks
+from riskframe.streaming import model_stream
 
 
 def _p(model_dir: str, name: str) -> str:
@@ -41,42 +45,13 @@ def _p(model_dir: str, name: str) -> str:
 def load_labelled(spark: SparkSession, csv: str, prof: Profile) -> DataFrame:
     df = patients.scan_patients_csv(spark, csv, prof.schema(), target=prof.target, drop=prof.drop)
     df = df.withColumn("y", (F.col(prof.target) > 0).cast("int") if prof.binarize else F.col(prof.target).cast("int"))
-    return prof.engineer(df)
+    return df
 
 
-def _categorical_labels(df: DataFrame, prof: Profile) -> DataFrame:
-    """Boolean-looking categories become True / False labels."""
-    out = {}
-    for c in prof.boolean:
-        b = F.lower(F.col(c))
-        out[c] = F.when(b.isin("true", "1"), F.lit("True")).when(b.isin("false", "0"), F.lit("False")) \
-                  .otherwise(F.col(c))
-    return df.withColumns(out) if out else df
-
-
-def prep_fit(train: DataFrame, prof: Profile, model_dir: str) -> None:
-    num = prof.features_numeric
-    donors = train.select(prof.key, *num)
-    donors.write.mode("overwrite").parquet(_p(model_dir, "donors"))
-    donors = train.sparkSession.read.parquet(_p(model_dir, "donors"))
-    imputed = neighbors.knn_impute(donors, donors, prof.key, num, k=5)
-    prep.fit_robust(imputed, num).write.mode("overwrite").parquet(_p(model_dir, "robust"))
-    cat = _categorical_labels(train, prof)
-    prep.fit_mode(cat, prof.categorical).write.mode("overwrite").parquet(_p(model_dir, "mode"))
-    prep.fit_one_hot(cat, prof.categorical).write.mode("overwrite").parquet(_p(model_dir, "onehot"))
-
-
-def prep_apply(df: DataFrame, prof: Profile, model_dir: str) -> tuple[DataFrame, list[str]]:
-    spark = df.sparkSession
-    num = prof.features_numeric
-    donors = spark.read.parquet(_p(model_dir, "donors"))
-    x = neighbors.knn_impute(df, donors, prof.key, num, k=5)
-    x = prep.apply_robust(x, spark.read.parquet(_p(model_dir, "robust")))
-    x = prep.apply_mode(_categorical_labels(x, prof), spark.read.parquet(_p(model_dir, "mode")))
-    onehot = spark.read.parquet(_p(model_dir, "onehot"))
-    x = prep.apply_one_hot(x, onehot)
-    names = num + [n for _, _, n in prep.one_hot_names(onehot)]
-    return x, names
+def prep_apply(df: DataFrame, model: PipelineModel) -> tuple[DataFrame, list[str]]:
+    """(model inputs, their names) of raw patients."""
+    encoder = model.stages[-1]
+    return model.transform(df), [*model.stages[1].getInputCols(), *encoder.names()]
 
 
 def calibrated_probability(vec: DataFrame, key: str, model_dir: str, cv: int = 3) -> DataFrame:
@@ -99,7 +74,8 @@ def gate_flags(df: DataFrame, prof: Profile, model_dir: str) -> DataFrame:
     """(key, flag): −1 when the isolation-forest score exceeds the fitted 5 % cut."""
     spark = df.sparkSession
     num = prof.features_numeric
-    x = neighbors.knn_impute(df, spark.read.parquet(_p(model_dir, "donors")), prof.key, num, k=5)
+    derive, impute = PipelineModel.load(_p(model_dir, "prep")).stages[:2]
+    x = impute.transform(derive.transform(df))
     x = prep.apply_standard(x, spark.read.parquet(_p(model_dir, "gate_standard")))
     nodes = spark.read.parquet(_p(model_dir, "gate_nodes"))
     s = anomaly.iforest_score(x, prof.key, num, nodes)
@@ -111,8 +87,10 @@ def train(spark: SparkSession, csv: str, prof: Profile, model_dir: str, n_estima
     df = load_labelled(spark, csv, prof)
     s = split.stratified_split(df, prof.key, "y", test=0.2, seed=42)
     tr = s.where(F.col("split") == "train")
-    prep_fit(tr, prof, model_dir)
-    x, names = prep_apply(tr, prof, model_dir)
+    store, model_dir = model_dir, model_store.new_version(model_dir)
+    prepared = preparation(prof).fit(tr)
+    prepared.write().save(_p(model_dir, "prep"))
+    x, names = prep_apply(tr, prepared)
     x = materialize(x.select(prof.key, "y", *names), "train-encoded")
 
     def balanced(rows: DataFrame) -> DataFrame:
@@ -130,8 +108,8 @@ def train(spark: SparkSession, csv: str, prof: Profile, model_dir: str, n_estima
         IsotonicFit(score_model(m, fva, prof.key, "y"), "y", "p").steps.write.mode("overwrite").parquet(_p(model_dir, f"iso{i}"))
     if prof.gate:
         num = prof.features_numeric
-        donors = spark.read.parquet(_p(model_dir, "donors"))
-        imp = neighbors.knn_impute(donors, donors, prof.key, num, k=5)
+        derive, impute = prepared.stages[:2]
+        imp = impute.transform(derive.transform(tr))
         std = prep.fit_standard(imp, num)
         std.write.mode("overwrite").parquet(_p(model_dir, "gate_standard"))
         z = prep.apply_standard(imp, spark.read.parquet(_p(model_dir, "gate_standard")))
@@ -139,13 +117,15 @@ def train(spark: SparkSession, csv: str, prof: Profile, model_dir: str, n_estima
         nodes.write.mode("overwrite").parquet(_p(model_dir, "gate_nodes"))
         sc = anomaly.iforest_score(z, prof.key, num, spark.read.parquet(_p(model_dir, "gate_nodes")))
         exact_quantiles(sc, "score", [0.95]).select(F.col("q")[0].alias("cut")).write.mode("overwrite").parquet(_p(model_dir, "gate_cut"))
+    model_store.publish(spark, store, model_dir, profile=prof.name)
 
 
 def evaluate(spark: SparkSession, csv: str, prof: Profile, model_dir: str, out_json: str) -> dict:
     df = load_labelled(spark, csv, prof)
     te = split.stratified_split(df, prof.key, "y", test=0.2, seed=42).where(F.col("split") == "test")
-    x, names = prep_apply(te, prof, model_dir)
-    p = calibrated_probability(assemble(x, names), prof.key, model_dir)
+    version = model_store.current(spark, model_dir)
+    x, names = prep_apply(te, PipelineModel.load(_p(version, "prep")))
+    p = calibrated_probability(assemble(x, names), prof.key, version)
     scored = te.select(prof.key, "y").join(p, prof.key).withColumn("pred", metrics.apply_threshold("p", 0.5))
     opt = curves.cost_optimal_threshold(scored, "y", "p")
     t = opt.first()["threshold"]
@@ -154,6 +134,7 @@ def evaluate(spark: SparkSession, csv: str, prof: Profile, model_dir: str, out_j
                                  metrics.brier_score(scored, "y", "p"),
                                  bootstrap.bootstrap_ci(scored, "y", "pred", "p", n_iterations=1000))
     sinks.sink_metrics_json(spark, doc, out_json)
+    sinks.save_threshold(spark, _p(version, "metadata.json"), t)  # the one that scoring uses
     sinks.save_threshold(spark, _p(model_dir, "metadata.json"), t)
     return doc
 
@@ -164,34 +145,58 @@ def score(spark: SparkSession, json_path: str, prof: Profile, model_dir: str, ou
     missing = [c for c in prof.required if c not in held]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    raw = patients.scan_patients_json(spark, json_path, prof.schema())
+    res = score_rows(patients.scan_patients_json(spark, json_path, prof.schema()), prof, model_store.current(spark, model_dir))
+    if out:
+        res.write.mode("overwrite").parquet(out)
+    return res
+
+
+def score_rows(raw: DataFrame, prof: Profile, version: str) -> DataFrame:
+    """Scores of typed patients by the saved version of a model."""
+    spark = raw.sparkSession
     # patients are joined by a number of their own, as ids may be absent or repeat; written, so that it stays
     raw = materialize(raw.withColumn("_id", F.col(prof.key)).withColumn(prof.key, F.monotonically_increasing_id()), "patients")
-    ids = raw.select(prof.key, "_id")
-    df = prof.engineer(raw.drop("_id"))
-    x, names = prep_apply(df, prof, model_dir)
-    p = calibrated_probability(assemble(x, names), prof.key, model_dir)
-    t = sinks.load_threshold(spark, _p(model_dir, "metadata.json"))
+    ids, df = raw.select(prof.key, "_id"), raw.drop("_id")
+    x, names = prep_apply(df, PipelineModel.load(_p(version, "prep")))
+    p = calibrated_probability(assemble(x, names), prof.key, version)
+    t = sinks.load_threshold(spark, _p(version, "metadata.json"))
     j = df.select(prof.key).join(p, prof.key)
     gate = None
     if prof.gate:
-        j = j.join(gate_flags(df, prof, model_dir), prof.key)
+        j = j.join(gate_flags(df, prof, version), prof.key)
         gate = F.col("flag")
     prob_name = "heart_disease_probability" if prof.name == "heart" else "ckd_probability"
     res = cascade.score_cascade(j, prof.key, [], F.col("p"), gate=gate, threshold=t, prob_name=prob_name)
     if not prof.gate:
         res = res.drop("anomaly_flagged")
-    res = ids.join(res, prof.key).drop(prof.key).withColumnRenamed("_id", prof.key)
-    if out:
-        res.write.mode("overwrite").parquet(out)
-    return res
+    return ids.join(res, prof.key).drop(prof.key).withColumnRenamed("_id", prof.key)
+
+
+def predict_single(spark: SparkSession, patient: dict, prof: Profile, model_dir: str) -> dict:
+    """Score of one patient, given and returned as a dict; a lacking column raises."""
+    missing = [c for c in prof.required if c not in patient]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    kinds = {f.name: f.dataType for f in prof.schema().fields}
+    typed = {c: v if v is None else float(v) if isinstance(kinds[c], T.DoubleType) else str(v) if isinstance(kinds[c], T.StringType) else int(v)
+             for c, v in patient.items() if c in kinds}
+    rows = patients.rows_from_records(spark, typed, prof.schema())
+    return score_rows(rows, prof, model_store.current(spark, model_dir)).first().asDict()
+
+
+def score_stream(spark: SparkSession, source_dir: str, prof: Profile, model_dir: str, out: str, **options):
+    """The saved cascade on a stream of JSON lines, with a commit log and a quarantine (``streaming.model_stream``). The
+    version in use at the start scores the whole run."""
+    version = model_store.current(spark, model_dir)
+    return model_stream.score_stream_batches(spark, source_dir, prof.schema(), prof.required,
+                                             lambda rows: score_rows(rows, prof, version), out, **options)
 
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="riskframe-jobs")
-    ap.add_argument("job", choices=["train", "evaluate", "score"])
+    ap.add_argument("job", choices=["train", "evaluate", "score", "stream"])
     ap.add_argument("--profile", choices=sorted(PROFILES), default="heart")
-    ap.add_argument("--data", required=True, help="CSV (train/evaluate) or JSON (score)")
+    ap.add_argument("--data", required=True, help="CSV (train/evaluate), JSON (score) or a folder of JSON lines (stream)")
     ap.add_argument("--model-dir", required=True)
     ap.add_argument("--out", default=None)
     a = ap.parse_args(argv)
@@ -201,6 +206,8 @@ def main(argv=None) -> None:
         train(spark, a.data, prof, a.model_dir)
     elif a.job == "evaluate":
         print(json.dumps(evaluate(spark, a.data, prof, a.model_dir, a.out or _p(a.model_dir, "metrics"))))
+    elif a.job == "stream":
+        score_stream(spark, a.data, prof, a.model_dir, a.out or _p(a.model_dir, "stream"))
     else:
         score(spark, a.data, prof, a.model_dir, a.out).show(truncate=False)
 

@@ -5,9 +5,10 @@ import tempfile
 
 import pytest
 
-from riskframe.plans import jobs
+from riskframe.plans import jobs, model_store
 from riskframe.profiles import HEART
 from riskframe.sources import sinks, standins
+from riskframe.streaming import model_stream
 
 from conftest import SF001
 from test_sources import PATIENT_A, PATIENT_B
@@ -39,6 +40,25 @@ def test_train_evaluate_score(spark):
             assert r["risk_level"] == "Anomaly - Manual Review" and r["heart_disease_probability"] is None
         else:
             assert 0.0 <= r["heart_disease_probability"] <= 1.0
+    single = jobs.predict_single(spark, dict(PATIENT_A, id=1), HEART, model_dir)
+    assert single == next(r for r in rows if r["id"] == 1).asDict()
+    # the same patients as a stream
+    landing, out = os.path.join(d, "landing"), os.path.join(d, "scored")
+    os.makedirs(landing)
+    lines = [json.dumps(p) for p in (dict(PATIENT_A, id=1), dict(PATIENT_B, id=2), nameless, bare)]
+    with open(os.path.join(landing, "a.jsonl"), "w") as f:
+        f.write("\n".join([*lines, "{broken", ""]))
+    jobs.score_stream(spark, landing, HEART, model_dir, out)
+    got = model_stream.read_scored(spark, out).drop("batch").select(*rows[0].__fields__).collect()
+    assert sorted(map(str, got)) == sorted(map(str, rows))
+    assert [r["reason"] for r in model_stream.read_quarantine(spark, out).collect()] == ["not a JSON object"]
+    # a run that dies before its last part leaves the version in use
+    before = model_store.current(spark, model_dir)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jobs, "fold_tables", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.train(spark, csv, HEART, model_dir, n_estimators=10)
+    assert model_store.current(spark, model_dir) == before and len(os.listdir(os.path.join(model_dir, "versions"))) == 2
     short = os.path.join(d, "short")
     os.makedirs(short)
     with open(os.path.join(short, "p.json"), "w") as f:
