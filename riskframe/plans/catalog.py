@@ -627,6 +627,27 @@ def q_grid_search_recall(spark, sf_dir):
     return search.grid_results_rank(res)
 
 
+def _point_folds(spark, sf_dir):
+    """[(train, valid)] of the labelled points in five stratified folds."""
+    p = _labelled_points(spark, sf_dir).select("vec_id", "y", *PTS)
+    folds = materialize(split.stratified_kfold(p, "vec_id", "y", 5, 42), "folds")
+    return [(folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)) for f in range(5)]
+
+
+@register("grid_search_naive_bayes")
+def q_grid_search_naive_bayes(spark, sf_dir):
+    """Mean held-out recall at every point of the naive Bayes grid, from one fit a fold."""
+    res = shared_search.nb_search(_point_folds(spark, sf_dir), "y", PTS, grids.points("heart", "naive_bayes"))
+    return res.groupBy("grid_id").agg(F.avg("recall").alias("mean_recall"))
+
+
+@register("grid_search_knn")
+def q_grid_search_knn(spark, sf_dir):
+    """Mean held-out recall at every point of the kNN grid, from one join a fold and metric."""
+    res = shared_search.knn_search(_point_folds(spark, sf_dir), "vec_id", "y", PTS, grids.points("heart", "knn"))
+    return res.groupBy("grid_id").agg(F.avg("recall").alias("mean_recall"))
+
+
 @register("calibrate_isotonic")
 def q_calibrate_isotonic(spark, sf_dir):
     s = _points_split(spark, sf_dir)
@@ -656,6 +677,8 @@ from pyspark.sql import types as T  # noqa: E402
 
 from riskframe.sources import patients, sinks  # noqa: E402
 from riskframe.operators.quantiles import column_quantiles  # noqa: E402
+from riskframe.operators import shared_search  # noqa: E402
+from riskframe.plans import grids  # noqa: E402
 from riskframe.streaming import score_stream as stream  # noqa: E402
 
 HEART_CSV_SCHEMA = T.StructType(

@@ -769,3 +769,23 @@ select {B('m')} as m, {B('b')} as b, {R('sum(hit) * 1.0E0 / sum(pos)')} as recal
        {R('sum((cnt - pos) * (cp - pos / 2.0E0)) / (sum(pos) * 1.0E0 * sum(cnt - pos))')} as roc_auc,
        {R('sum(case when cc > 0 then pos * 1.0E0 * cp / cc else 0 end) / sum(pos)')} as pr_auc
 from bc group by m, b having sum(pos) > 0 and sum(cnt - pos) > 0"""
+
+def _grid_ll(cls: int) -> str:
+    terms = [f"ln(s{cls}.n * 1.0E0 / (s0.n + s1.n))"]
+    for c in PTS:
+        var = f"(s{cls}.v_{c} + g.vs * e.top)"
+        terms.append(f"(-0.5E0 * ln(2 * pi() * {var}) - (fo.{c} - s{cls}.m_{c}) * (fo.{c} - s{cls}.m_{c}) / (2 * {var}))")
+    return " + ".join(terms)
+
+
+ORACLE["grid_search_naive_bayes"] = _with(POINTS, LPTS) + f""",
+fo as (select *, (row_number() over (partition by y order by {H('42', 'vec_id')}, vec_id) - 1) % 5 as fold from lpts),
+tr as (select f.held, fo.* from fo, (select unnest(range(5)) as held) f where fo.fold <> f.held),
+st as (select held, y, count(*) as n, {", ".join(f"avg({c}) as m_{c}, var_pop({c}) as v_{c}" for c in PTS)} from tr group by held, y),
+e as (select held, greatest({", ".join(f"var_pop({c})" for c in PTS)}) as top from tr group by held),
+g as (select i as grid_id, power(10.0E0, -9.0E0 * i / 19) as vs from (select unnest(range(20)) as i) z),
+sc as (select g.grid_id, fo.fold, cast(({_grid_ll(1)}) > ({_grid_ll(0)}) as double) as hit
+       from fo, g, st s0, st s1, e
+       where fo.y = 1 and s0.held = fo.fold and s1.held = fo.fold and e.held = fo.fold and s0.y = 0 and s1.y = 1),
+rc as (select grid_id, fold, avg(hit) as recall from sc group by grid_id, fold)
+select {B('grid_id')} as grid_id, {R('avg(recall)')} as mean_recall from rc group by grid_id"""
