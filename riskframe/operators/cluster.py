@@ -36,25 +36,84 @@ def _vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
-def kmeans(df: DataFrame, key: str, cols: Sequence[str], k: int = 2, n_init: int = 10, seed: int = 42,
-           max_iter: int = 300):
-    """Best of ``n_init`` MLlib k-means runs (k-means|| init, seeds seed..seed+n_init−1)
-    by training cost; returns (model, assignments(key, cluster))."""
+#: Centres of all runs times rows whose distances a task holds at a time.
+KMEANS_STEP = 1 << 20
+
+
+def _lloyd_sums(runs: list[np.ndarray]):
+    """Per partition and run: each centre's sum and number of rows, and the run's cost, as arrays in one row."""
+    def run(batches):
+        import pandas as pd
+        stacked = np.concatenate(runs)
+        ends = np.cumsum([len(c) for c in runs])
+        half = (stacked * stacked).sum(axis=1) / 2
+        sums, sizes, costs = np.zeros(stacked.shape), np.zeros(len(stacked)), np.zeros(len(runs))
+        for b in batches:
+            x = np.array(b["x"].tolist(), np.float64).reshape(len(b), stacked.shape[1])
+            step = max(1, KMEANS_STEP // len(stacked))
+            for at in range(0, len(x), step):
+                part = x[at:at + step]
+                away = half - part @ stacked.T
+                for i, (end, c) in enumerate(zip(ends, runs)):
+                    own = slice(end - len(c), end)
+                    to = away[:, own].argmin(axis=1)
+                    sizes[own] += np.bincount(to, minlength=len(c))
+                    for d in range(x.shape[1]):
+                        sums[own, d] += np.bincount(to, weights=part[:, d], minlength=len(c))
+                    costs[i] += ((part - c[to]) ** 2).sum()
+        yield pd.DataFrame({"sums": [sums.ravel()], "sizes": [sizes], "costs": [costs]})
+    return run
+
+
+def kmeans_centres(df: DataFrame, key: str, cols: Sequence[str], ks: Sequence[int], n_init: int = 10, seed: int = 42, max_iter: int = 300,
+                   tol: float = 1e-4) -> dict[int, list[np.ndarray]]:
+    """{k: [(cost, centres) of each of ``n_init`` runs]}. MLlib draws the first centres of every run (k-means||, seeds
+    seed..seed+n_init−1); then one scan moves the centres of all runs that are not yet still, whatever k, by MLlib's rules."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.clustering import KMeans
-    vec = materialize(_vectors(df.select(key, *cols), cols).select(key, "features"), "kmeans")
+    from pyspark.ml.functions import vector_to_array
+    vec = materialize(_vectors(df.select(key, *cols), cols).select(key, "features"), "kmeans").persist()
+    try:
+        tasks = [(k, i) for k in ks for i in range(n_init)]
+        vec.count()
+
+        def first(task):
+            start = KMeans(k=task[0], seed=seed + task[1], maxIter=0, featuresCol="features")
+            return np.array(start.fit(vec).clusterCenters(), np.float64)
+
+        # independent draws are submitted concurrently from the driver
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            centres = dict(zip(tasks, pool.map(first, tasks)))
+        rows, cost, moving = vec.select(vector_to_array("features").alias("x")), dict.fromkeys(tasks, 0.0), tasks
+        for _ in range(max_iter):
+            if not moving:
+                break
+            parts = rows.mapInPandas(_lloyd_sums([centres[t] for t in moving]),
+                                     "sums array<double>, sizes array<double>, costs array<double>").collect()  # a row a partition
+            sums, sizes, costs = (sum(np.array(p[c]) for p in parts) for c in ("sums", "sizes", "costs"))
+            sums, at, still = sums.reshape(-1, len(cols)), 0, set()
+            for t, total in zip(moving, costs):
+                old = centres[t]
+                n, own = sizes[at:at + len(old)], sums[at:at + len(old)]
+                at += len(old)
+                centres[t] = np.where(n[:, None] > 0, own * (1.0 / np.maximum(n, 1))[:, None], old)
+                cost[t] = float(total)
+                if (((centres[t] - old) ** 2).sum(axis=1) <= tol * tol).all():
+                    still.add(t)
+            moving = [t for t in moving if t not in still]
+    finally:
+        vec.unpersist()
+    return {k: [(cost[k, i], centres[k, i]) for i in range(n_init)] for k in ks}
 
-    def fit(i):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(vec)
-        return m.summary.trainingCost, i, m
 
-    # independent restarts are submitted concurrently from the driver
-    with ThreadPoolExecutor(max_workers=min(8, n_init)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    model = min(fits, key=lambda t: (t[0], t[1]))[2]
-    out = model.transform(vec).select(key, F.col("prediction").cast("long").alias("cluster"))
-    return model, out
+def kmeans(df: DataFrame, key: str, cols: Sequence[str], k: int = 2, n_init: int = 10, seed: int = 42,
+           max_iter: int = 300, found: dict[int, list] | None = None):
+    """Best of ``n_init`` k-means runs (MLlib's k-means|| init, seeds seed..seed+n_init−1) by training cost, of those that
+    ``found`` (``kmeans_centres`` of several k) already has; returns (centres, assignments(key, cluster))."""
+    runs = (found or kmeans_centres(df, key, cols, [k], n_init, seed, max_iter))[k]
+    centres = min(runs, key=lambda r: r[0])[1]
+    return centres, kmeans_assign(df, key, cols, centres.tolist())
 
 
 def kmeans_assign(df: DataFrame, key: str, cols: Sequence[str], centers: Sequence[Sequence[float]]) -> DataFrame:
@@ -139,29 +198,61 @@ def silhouette_sq(df: DataFrame, cols: Sequence[str], cluster: str) -> float:
 BLOCK = 8192
 
 
-def _distance_sums(a, b, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(own, nearest) per row of ``a`` against the rows of ``b`` (sorted by cluster): sum of the distances to
-    its own cluster, smallest mean distance to another cluster that lies in ``b`` as a whole."""
-    x, y = a[cols].to_numpy(dtype=float), b[cols].to_numpy(dtype=float).T.copy()
-    lab = b["_c"].to_numpy()
-    first = np.flatnonzero(np.r_[True, lab[1:] != lab[:-1]])
-    uniq, size = lab[first], b["_n"].to_numpy()[first]
-    at = np.minimum(np.searchsorted(uniq, a["_c"].to_numpy()), len(uniq) - 1)
-    mine = uniq[at] == a["_c"].to_numpy()
+#: Rows whose distances to a block are held at a time.
+STRIPE = 64
+
+
+def _close_exact(d2: np.ndarray, x: np.ndarray, y: np.ndarray, limit: float) -> None:
+    """Squared distances below ``limit``, where a matrix product loses digits, are worked out from the differences."""
+    i, j = np.nonzero(d2 < limit)
+    for at in range(0, len(i), 1 << 18):
+        p, q = i[at:at + (1 << 18)], j[at:at + (1 << 18)]
+        d2[p, q] = ((x[p] - y[q]) ** 2).sum(axis=1)
+
+
+def _runs(lab: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, lab[1:] != lab[:-1]])
+
+
+def _distance_sums(a, b, cols: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(own, nearest) per row of ``a`` against the rows of ``b``, then the same of ``b`` against ``a`` (both sorted by cluster):
+    sum of the distances to its own cluster, smallest mean distance to another cluster that lies on the other side as a
+    whole. Each distance is worked out once for both sides."""
+    x, y = a[cols].to_numpy(dtype=float), b[cols].to_numpy(dtype=float)
+    mid = y.mean(axis=0)
+    x, y = x - mid, y - mid
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    left = np.column_stack([x, xx, np.ones(len(x))])
+    right = np.ascontiguousarray(np.column_stack([-2 * y, np.ones(len(y)), yy]).T)
+    limit = 1e-6 * (xx.max() + yy.max())
+    la, lb = a["_c"].to_numpy(), b["_c"].to_numpy()
+    fa, fb = _runs(la), _runs(lb)
+    size_a, size_b = a["_n"].to_numpy()[fa], b["_n"].to_numpy()[fb]
+    at = np.minimum(np.searchsorted(lb[fb], la), len(fb) - 1)
+    mine = lb[fb][at] == la
     own, nearest = np.zeros(len(x)), np.full(len(x), np.inf)
-    for lo in range(0, len(x), 64):
-        part = slice(lo, lo + 64)
-        d2 = np.zeros((len(x[part]), y.shape[1]))
-        for k in range(len(y)):
-            d = x[part, k, None] - y[None, k]
-            d2 += d * d
-        sums = np.add.reduceat(np.sqrt(d2), first, axis=1)
+    theirs, near_b, open_sum = np.zeros(len(y)), np.full(len(y), np.inf), np.zeros(len(y))
+    ends = np.r_[fa[1:], len(x)]
+    for lo in range(0, len(x), STRIPE):
+        part = slice(lo, min(lo + STRIPE, len(x)))
+        d = left[part] @ right
+        _close_exact(d, x[part], y, limit)
+        np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+        sums = np.add.reduceat(d, fb, axis=1)
         rows, m = np.arange(len(sums)), mine[part]
         own[part] = np.where(m, sums[rows, at[part]], 0.0)
-        means = sums / size
+        means = sums / size_b
         means[rows[m], at[part][m]] = np.inf
         nearest[part] = means.min(axis=1)
-    return own, nearest
+        for r in range(np.searchsorted(ends, part.start, side="right"), np.searchsorted(fa, part.stop)):
+            open_sum += d[max(fa[r], part.start) - lo:min(ends[r], part.stop) - lo].sum(axis=0)
+            if ends[r] <= part.stop:
+                same = lb == la[fa[r]]
+                theirs = np.where(same, open_sum, theirs)
+                near_b = np.where(same, near_b, np.minimum(near_b, open_sum / size_a[r]))
+                open_sum = np.zeros(len(y))
+    return [(own, nearest), (theirs, near_b)]
 
 
 def silhouette_exact(df: DataFrame, key: str, cols: Sequence[str], cluster: str) -> float:
@@ -202,11 +293,11 @@ def silhouette_exact(df: DataFrame, key: str, cols: Sequence[str], cluster: str)
         low, high = pdf["_low"].iloc[0], pdf["_high"].iloc[0]
         sides = {n: g for n, g in pdf.groupby("_b", sort=False)}
         out = []
-        for i, j in {(low, high), (high, low)}:
-            if i not in sides or j not in sides:
-                continue
+        if low not in sides or high not in sides:
+            return pd.DataFrame({x: [] for x in ("_r", "_own", "_c", "_n", "_sum", "_near")})
+        both = zip(((low, high), (high, low)), _distance_sums(sides[low], sides[high], cols))
+        for (i, j), (own, nearest) in both if low != high else [*both][:1]:
             a, b = sides[i], sides[j]
-            own, nearest = _distance_sums(a, b, cols)
             c, n = a["_c"].to_numpy(), a["_n"].to_numpy()
             if j < first_shared:  # a block of one cluster that has others: only its sum is known here
                 inside = c == b["_c"].iloc[0]
@@ -214,7 +305,7 @@ def silhouette_exact(df: DataFrame, key: str, cols: Sequence[str], cluster: str)
                 nearest, c, n = np.full(len(a), np.inf), b["_c"].iloc[0], b["_n"].iloc[0]
             out.append(pd.DataFrame({"_r": a["_r"].to_numpy(), "_own": a["_c"].to_numpy(), "_c": c, "_n": n,
                                      "_sum": own, "_near": nearest}))
-        return pd.concat(out) if out else pd.DataFrame({x: [] for x in ("_r", "_own", "_c", "_n", "_sum", "_near")})
+        return pd.concat(out)
 
     sums = (sent.groupBy("_low", "_high")
             .applyInPandas(compare, f"_r long, _own {kind}, _c {kind}, _n long, _sum double, _near double")
