@@ -134,3 +134,11 @@ def test_poisson_draws_are_deterministic_and_unbiased():
     assert all((x == y).all() for x, y in zip(a, b))
     assert a[0].mean() == pytest.approx(3.0, rel=0.03) and a[0].var() == pytest.approx(3.0, rel=0.06)
     assert a[1].mean() == pytest.approx(250.0, rel=0.01)
+
+
+def test_metrics_document_makes_the_scores_once(spark, monkeypatch):
+    from riskframe.plans import catalog
+    made = []
+    monkeypatch.setattr(catalog, "materialize", lambda df, tag="t", real=catalog.materialize: made.append(tag) or real(df, tag))
+    assert catalog.q_metrics_document(spark, "/root/testdata/sf0.001").count() == 3
+    assert made[0] == "doc-scored"

@@ -226,3 +226,21 @@ def test_silhouette_queries_take_all_rows(spark, monkeypatch):
     from riskframe.plans import catalog
     monkeypatch.setattr(cluster, "downsample", lambda *a, **b: 1 / 0)
     assert len(catalog.q_silhouette_labels(spark, "/root/testdata/sf0.001").collect()) == 1
+
+
+def test_cells_hold_rows_that_lack_the_same_columns(spark):
+    from riskframe.operators.metric_index import MetricIndex
+    r = np.random.default_rng(8)
+    x = r.integers(0, 40, size=(900, 3)).astype(float)
+    x[r.random(900) < 0.2, 1] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)],
+                               "id long, a double, b double, c double")
+    index = MetricIndex(df, "id", ["a", "b", "c"], "nan_euclidean", cell_rows=20)
+    whole = (index.cells.present == index.cells.rows[:, None]) | (index.cells.present == 0)
+    assert whole.all() and len(index.numbers) > 20  # so a box holds for all its rows
+    out = {q["id"]: q for q in neighbors.knn_impute(df, df, "id", ["a", "b", "c"], k=5, cell_rows=20).collect()}
+    for i in np.flatnonzero(np.isnan(x[:, 1])):
+        both = ~np.isnan(x) & ~np.isnan(x[i])
+        d = np.sqrt(3 / both.sum(1) * (np.where(both, x - x[i], 0) ** 2).sum(1))
+        donors = sorted((j for j in range(900) if not np.isnan(x[j, 1])), key=lambda j: (d[j], j))
+        assert abs(out[int(i)]["b"] - np.mean([x[j, 1] for j in donors[:5]])) < 1e-9
