@@ -244,3 +244,12 @@ def test_cells_hold_rows_that_lack_the_same_columns(spark):
         d = np.sqrt(3 / both.sum(1) * (np.where(both, x - x[i], 0) ** 2).sum(1))
         donors = sorted((j for j in range(900) if not np.isnan(x[j, 1])), key=lambda j: (d[j], j))
         assert abs(out[int(i)]["b"] - np.mean([x[j, 1] for j in donors[:5]])) < 1e-9
+
+
+def test_range_join_gives_back_bounded_groups(spark, monkeypatch):
+    from riskframe.operators import metric_index
+    real, most = metric_index.MetricIndex._against, []
+    monkeypatch.setattr(metric_index.MetricIndex, "_against", lambda self, *a: most.append(a[4]) or real(self, *a))
+    df = spark.range(3000).selectExpr("id", "double(id % 7) as a")
+    assert neighbors.eps_pairs(df, "id", ["a"], 0.5).count() == sum(n * n for n in (429, 429, 429, 429, 428, 428, 428))
+    assert most[0][0] * most[0][1] <= 1 << 21
