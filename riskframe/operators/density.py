@@ -1,22 +1,21 @@
-"""Density clusters (DBSCAN) over a graph of cells, without a table of point pairs.
-
-Equal points are one point with a weight. The points lie in the cells of a metric index, whose boxes
-say what holds for whole cells: two cells whose boxes are nowhere more than ε apart are *close* (every
-point of one is within ε of every point of the other), two whose boxes are more than ε apart have nothing to do with
-each other, and only the others are *open*: their points have to be compared.
-
-* A cell that is close to itself and weighs ``min_samples`` or more is *dense*: all its points are core,
-  and none of its pairs is ever looked at.
-* A point of another cell has as many neighbours as its close cells weigh, plus those found in open cells.
-* All core points of a dense cell are one node of the graph, as are the core points of a cell that is close to a cell
-  with a core point. Close dense cells are linked as wholes; a task gives back a spanning forest of
-  those links. Points of open pairs are compared block by block, and a block
-  gives back a spanning forest over its nodes, so one witness links two nodes, not all their pairs.
-* A point that isn't core joins the smallest label among the core points within ε; there are fewer than
-  ``min_samples`` of them.
-
-A group of near copies, however many, falls into close dense cells, so its links cost the number of its cells, not
-of its points. The table of cells is bounded as the index says; a task compares some of its rows with all.
+"""Density clusters (DBSCAN) over the cells of a metric index, without a table of point pairs.
+
+Equal points are one point with a weight. Most points are settled inside their own cell:
+
+* A cell whose box is at most ε across and that weighs ``min_samples`` or more is *dense*: all its points are core and
+  linked, and none of its pairs is ever looked at.
+* In another cell, points are compared with those of their slice. Those that have enough neighbours there are core;
+  linked core points get a common node.
+* One point of every node, and every point not yet core, is compared with the ``FIRST`` cells whose bounds are least:
+  that links the nodes and finds nearly all the other core points. Points still open are compared
+  with every cell whose lower bound is at most ε, so which points are core is exact.
+* Of the components so far, the one with most points needs no further look: any link that is missing has an
+  end outside of it. The core points outside and the points that aren't core are compared with every cell within ε that has
+  core points of another component. So the components are exact too.
+* A point that isn't core joins the smallest label among the core points within ε.
+
+What is sent is the points and, for the few that their own cell doesn't settle, a row per cell near by: not the
+points of all pairs of cells. A group of near copies, however many, falls into dense cells and costs the number of these.
 """
 
 from __future__ import annotations
@@ -29,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.components import component_labels
-from riskframe.operators.metric_index import CELL_ROWS, SLACK, STEP, MetricIndex, distances, matrix
+from riskframe.operators.metric_index import CELL_ROWS, SLACK, STEP, TOGETHER, MetricIndex, distances, matrix
 from riskframe.session import materialize
 
-#: Points of a slice of a cell.
-SLICE = 2048
+#: Points of a slice of a cell; queries of a slice; cells that a point looks into first.
+SLICE, ASKED, FIRST = 2048, 8192, 16
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,58 +51,17 @@ def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[root[hung]], nodes[hung]
 
 
-def box_gaps(low: np.ndarray, high: np.ndarray, at: slice) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest distance between points of the boxes ``at`` and of all boxes."""
-    least, most = np.zeros((len(low[at]), len(low))), np.zeros((len(low[at]), len(low)))
-    for c in range(low.shape[1]):
-        a, b = low[at, c][:, None], high[at, c][:, None]
-        gap = np.maximum(np.maximum(low[None, :, c] - b, a - high[None, :, c]), 0.0)
-        reach = np.maximum(np.abs(high[None, :, c] - a), np.abs(b - low[None, :, c]))
-        least += gap * gap
-        most += reach * reach
-    return np.sqrt(least) * (1 - SLACK), np.sqrt(most) * (1 + SLACK)
-
-
-def _decide(shared, eps: float, min_samples: int):
-    """Rows (kind, i, j, n) on cells: what is known of a cell, open pairs, close pairs, and links of dense cells."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, low, high, weight = shared.value
-        itself = np.sqrt(((high - low) ** 2).sum(axis=1)) * (1 + SLACK) <= eps
-        dense = itself & (weight >= min_samples)
-        step = max(1, STEP // len(numbers))
-        for batch in batches:
-            own = batch["id"].to_numpy()
-            for k in range(int(own.min()), int(own.max()) + 1, step) if len(own) else ():
-                at = np.arange(k, min(k + step, int(own.max()) + 1))
-                least, most = box_gaps(low, high, slice(at[0], at[-1] + 1))
-                close, later = most <= eps, np.arange(len(numbers))[None, :] >= at[:, None]
-                close[np.arange(len(at)), at] = itself[at]
-                opened = (least <= eps) & ~close & later
-                both = close & dense[at][:, None] & dense[None, :]
-                out = [("cell", at, np.where(dense[at], 2, np.where(itself[at], 1, 0)), close @ weight)]
-                i, j = np.nonzero(opened)
-                out.append(("open", at[i], j, dense[at[i]] & dense[j]))
-                i, j = np.nonzero(close & later & ~both)
-                out.append(("close", at[i], j, np.zeros(len(i))))
-                i, j = np.nonzero(both & later)
-                a, b = spanning_forest(at[i], j)
-                out.append(("link", a, b, np.zeros(len(a))))
-                for kind, i, j, n in out:
-                    j = numbers[j] if kind != "cell" else j
-                    yield pd.DataFrame({"kind": kind, "i": numbers[i], "j": j, "n": np.asarray(n, np.int64)})
-    return run
-
-
-def _sides(points: DataFrame, pairs: DataFrame, slices: DataFrame, cols: list[str]) -> tuple:
-    """The points of both cells of each pair, in slices, grouped by (i, j, a, b)."""
-    keys = ["i", "j", "a", "b"]
-    pairs = pairs.select("i", "j").join(slices.select(F.col("cell").alias("i"), F.col("s").alias("si")), "i") \
-        .join(slices.select(F.col("cell").alias("j"), F.col("s").alias("sj")), "j")
-    own = lambda side, n: F.expr(f"cast(pmod(xxhash64(r_id, 5), {n}) as int)").alias(side)
-    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    left = pairs.join(points.withColumnRenamed("cell", "i"), "i").select("i", "j", own("a", "si"), each("sj").alias("b"), *cols)
-    right = pairs.join(points.withColumnRenamed("cell", "j"), "j").select("i", "j", own("b", "sj"), each("si").alias("a"), *cols)
-    return left.groupBy(*keys), right.select(*[F.col(c).alias(c) for c in [*keys, *cols]]).groupBy(*keys)
+def _reached(near: np.ndarray) -> np.ndarray:
+    """Per line of a symmetric matrix of links, the smallest line that can be reached."""
+    label = np.full(len(near), -1)
+    for start in range(len(near)):
+        if label[start] >= 0:
+            continue
+        label[start], front = start, np.array([start])
+        while len(front):
+            new = near[front].any(axis=0) & (label < 0)
+            label[new], front = start, np.flatnonzero(new)
+    return label
 
 
 def _blocks(left: pd.DataFrame, right: pd.DataFrame, width: int, eps: float):
@@ -114,39 +72,85 @@ def _blocks(left: pd.DataFrame, right: pd.DataFrame, width: int, eps: float):
         yield k, distances(x[k:k + step], y, "euclidean") <= eps
 
 
-def _degrees(width: int, eps: float):
+def _inside(width: int, eps: float, min_samples: int):
+    """Points of a slice of a cell: which are core by their neighbours in it, and the least point they are linked to there."""
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("r_id").reset_index(drop=True)
+        near = np.concatenate([n for _, n in _blocks(own, own, width, eps)])
+        core = near @ own["w"].to_numpy() >= min_samples
+        node = own["r_id"].to_numpy().copy()
+        at = np.flatnonzero(core)
+        node[at] = node[at[_reached(near[np.ix_(at, at)])]]
+        return own[["cell", "r_id", "x", "w"]].assign(core=core, node=node)
+    return run
+
+
+def _near_cells(shared, width: int, eps: float, most: int | None):
+    """Gives every point (x, own) the cells that it has to be compared with: those whose lower bound is at most ε, at most
+    ``most`` of them; with ``own``, its label, only cells that have core points of another."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, numbers, span = shared.value
+        for b in batches:
+            for at in range(0, len(b), TOGETHER):
+                part = b.iloc[at:at + TOGETHER]
+                q, own = matrix(part["x"], width), part["own"].to_numpy(np.int64)
+                reached, lines, found, bound = cells.reach(q, eps), [], [], []
+                for k in range(0, len(reached), STEP // TOGETHER):
+                    some = reached[k:k + STEP // TOGETHER]
+                    far = cells.bounds(q, some)
+                    go = far <= eps
+                    if span is not None:
+                        has, low, high = (v[some] for v in span)
+                        go &= has & ((low != high) | (low != own[:, None]))
+                    i, j = np.nonzero(go)
+                    lines.append(i)
+                    found.append(some[j])
+                    bound.append(far[i, j])
+                i, j, d = (np.concatenate(v) if v else np.zeros(0, int) for v in (lines, found, bound))
+                order = np.lexsort((j, d, i))
+                i, j = i[order], j[order]
+                if most is not None:
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+                    i, j = i[keep], j[keep]
+                ends = np.searchsorted(i, np.arange(1, len(part)))
+                yield part.assign(cells=np.array([*np.split(numbers[j], ends), None], object)[:-1])
+    return run
+
+
+def _counts(width: int, eps: float):
+    """Per query the weight of its neighbours among the references (``n``), and a row with ``linked`` for each node of core
+    points near to it."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=["r_id", "n"])
-        twice = left["i"].iloc[0] != left["j"].iloc[0]
-        ours, theirs = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
-        w, v = left["w"].to_numpy(), right["w"].to_numpy()
+            return pd.DataFrame(columns=["q_id", "n", "node", "linked"])
+        ids, w, out = left["q_id"].to_numpy(), right["w"].to_numpy(), []
+        nodes, of = np.unique(right["node"].to_numpy(), return_inverse=True)
+        core = right["core"].to_numpy(bool)
         for k, near in _blocks(left, right, width, eps):
-            ours[k:k + len(near)] = near @ v
-            theirs += w[k:k + len(near)] @ near
-        out = [pd.DataFrame({"r_id": left["r_id"], "n": ours})]
-        if twice:
-            out.append(pd.DataFrame({"r_id": right["r_id"], "n": theirs}))
+            some = ids[k:k + len(near)]
+            out.append(pd.DataFrame({"q_id": some, "n": near @ w, "node": 0, "linked": False}))
+            i, j = np.nonzero(near[:, core])
+            pair = np.unique(i * len(nodes) + of[core][j])
+            out.append(pd.DataFrame({"q_id": some[pair // len(nodes)], "n": 0, "node": nodes[pair % len(nodes)], "linked": True}))
         out = pd.concat(out, ignore_index=True)
-        return out[out["n"] > 0]
+        return out[(out["n"] > 0) | out["linked"]]
     return run
 
 
 def _links(width: int, eps: float):
-    """(a, b, border) rows: a forest over the nodes of core points, and nodes next to points that aren't core."""
+    """(a, b, border) rows: a forest over the labels of core points, and labels next to points that aren't core."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right[right["core"].to_numpy(bool)]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=["a", "b", "border"])
-        a, b, here, there = (side[c].to_numpy() for c in ("node", "core") for side in (left, right))
+        a, b, here, ids = left["own"].to_numpy(), right["node"].to_numpy(), left["core"].to_numpy(bool), left["q_id"].to_numpy()
         edges, border = [], []
         for k, near in _blocks(left, right, width, eps):
-            core = here[k:k + len(near)]
-            i, j = np.nonzero(near & core[:, None] & there[None, :] & (a[k:k + len(near), None] != b[None, :]))
-            edges.append(spanning_forest(a[k + i], b[j]))
-            i, j = np.nonzero(near & ~core[:, None] & there[None, :])
-            border.append((left["r_id"].to_numpy()[k + i], b[j]))
-            i, j = np.nonzero(near & core[:, None] & ~there[None, :])
-            border.append((right["r_id"].to_numpy()[j], a[k + i]))
+            core, label = here[k:k + len(near)], a[k:k + len(near)]
+            i, j = np.nonzero(near & core[:, None] & (label[:, None] != b[None, :]))
+            edges.append(spanning_forest(label[i], b[j]))
+            i, j = np.nonzero(near & ~core[:, None])
+            border.append((ids[k + i], b[j]))
         out = []
         for pairs, kind in ((edges, False), (border, True)):
             p, q = (np.concatenate([np.asarray(e[s], np.int64) for e in pairs]) for s in (0, 1))
@@ -156,6 +160,23 @@ def _links(width: int, eps: float):
     return run
 
 
+def _meet(queries: DataFrame, refs: DataFrame, near, compare, out: str) -> DataFrame:
+    """``compare`` of the queries (cell, q_id, x, own, core) and the references (cell, r_id, x, w, core, node) of the cells
+    that ``near`` gives them, in slices."""
+    cols = "q_id long, x array<double>, own long, core boolean"
+    side = queries.repartitionByRange("cell", F.xxhash64("q_id")).sortWithinPartitions("cell").select("q_id", "x", "own", "core")
+    asked = materialize(side.mapInPandas(near, cols + ", cells array<long>"), "density-asked")
+    asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
+    per = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name))
+    counts = materialize(per(asked, ASKED, "qs").join(per(refs, SLICE, "rs"), "cell"), "density-slices")
+    slice_of = lambda key, n: F.expr(f"cast(pmod(xxhash64({key}, 5), {n}) as int)")
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    keys = ["cell", "a", "b"]
+    left = asked.join(counts, "cell").withColumn("a", slice_of("q_id", "qs")).withColumn("b", each("rs")).drop("qs", "rs")
+    right = refs.join(counts, "cell").withColumn("b", slice_of("r_id", "rs")).withColumn("a", each("qs")).drop("qs", "rs")
+    return materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, out), "density-met")
+
+
 def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float = 2.0, min_samples: int = 5,
                      cell_rows: int = CELL_ROWS) -> DataFrame:
     """(key, cluster): density clusters, −1 = noise. A point is core when at least ``min_samples`` points (itself
@@ -176,46 +197,55 @@ def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float =
     if index.empty:
         return df.select(F.col(key), noise.alias("cluster"))
     points = index.refs.join(groups.select("r_id", "w"), "r_id")
-    sizes = points.groupBy("cell").agg(F.sum("w").alias("w"), F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("s"))
-    sizes = materialize(sizes, "density-sizes")
-    weight = {r["cell"]: r["w"] for r in sizes.select("cell", "w").collect()}  # one row per cell
-    shared = spark.sparkContext.broadcast((index.numbers, index.cells.low, index.cells.high,
-                                           np.array([weight[c] for c in index.numbers], np.int64)))
-    tasks = min(len(index.numbers), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    decided = materialize(spark.range(0, len(index.numbers), 1, tasks).mapInPandas(
-        _decide(shared, eps, min_samples), "kind string, i long, j long, n long"), "density-cells")
-    known = decided.where("kind = 'cell'").select(F.col("i").alias("cell"), (F.col("j") == 2).alias("dense"), (F.col("j") >= 1).alias("one"),
-                                                  F.col("n").alias("close_weight"))
-    close, opened = decided.where("kind = 'close'"), decided.where("kind = 'open'")
-    # neighbours of the points outside dense cells
-    left, right = _sides(points, opened.where("n = 0"), sizes, ["r_id", "x", "w"])
-    degrees = left.cogroup(right).applyInPandas(_degrees(width, eps), "r_id long, n long").groupBy("r_id").agg(F.sum("n").alias("n"))
-    status = points.join(known, "cell").join(degrees, "r_id", "left")
-    core = F.col("dense") | (F.col("close_weight") + F.coalesce("n", F.lit(0)) >= min_samples)
-    status = materialize(status.select("cell", "r_id", "x", "one", core.alias("core")), "density-core")
-    lows = materialize(status.where("core").groupBy("cell").agg(F.min("r_id").alias("low"), F.first("one").alias("one")), "density-lows")
-    # cells whose core points are one node: close to themselves, or to a cell with a core point
-    both = close.where("i <> j").select("i", "j").unionByName(close.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j")))
-    joined = lows.where("one").select("cell").unionByName(
-        both.join(lows.select(F.col("cell").alias("j")), "j", "left_semi").select(F.col("i").alias("cell"))).distinct()
-    named = lows.join(joined, "cell").select("cell", "low")
-    nodes = status.join(named, "cell", "left").select(
-        "cell", "r_id", "x", "core", F.when(F.col("core"), F.coalesce("low", "r_id")).otherwise(F.col("r_id")).alias("node"))
-    nodes = materialize(nodes, "density-nodes")
-    left, right = _sides(nodes, opened, sizes, ["r_id", "x", "node", "core"])
-    found = materialize(left.cogroup(right).applyInPandas(_links(width, eps), "a long, b long, border boolean"), "density-links")
-    ends = named.select(F.col("cell").alias("i"), F.col("low").alias("a"))
-    whole_cells = decided.where("kind = 'link'").unionByName(close.where("i <> j")).join(ends, "i").join(
-        ends.select(F.col("i").alias("j"), F.col("a").alias("b")), "j").select("a", "b")
-    alone = nodes.where("core").select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
-    labels = component_labels(found.where("not border").select("a", "b").unionByName(whole_cells).unionByName(alone), "a", "b")
-    # points that aren't core: next to core points of open cells, or to the core points of close cells
-    beside = found.where("border").select(F.col("a").alias("r_id"), F.col("b").alias("node"))
-    mine = close.select("i", "j").unionByName(close.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j")))
-    there = nodes.where("core").select(F.col("cell").alias("j"), "node").distinct()
-    near = nodes.where("not core").select(F.col("cell").alias("i"), "r_id").join(mine, "i").join(there, "j").select("r_id", "node")
-    border = beside.unionByName(near).join(labels, F.col("node") == labels["id"]).groupBy("r_id").agg(F.min("label").alias("label"))
-    named_points = nodes.where("core").join(labels, F.col("node") == labels["id"]).select("r_id", "label").unionByName(border)
+    sizes = materialize(points.groupBy("cell").agg(F.sum("w").alias("total"), F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("s"),
+                                                   F.min("r_id").alias("least")), "density-sizes")
+    weight = {r["cell"]: r["total"] for r in sizes.select("cell", "total").collect()}  # one row per cell
+    cells, numbers = index.cells, index.numbers
+    narrow = np.sqrt(((cells.high - cells.low) ** 2).sum(axis=1)) * (1 + SLACK) <= eps
+    dense = [(int(c), bool(n and weight[c] >= min_samples)) for c, n in zip(numbers, narrow)]
+    placed = points.join(sizes.drop("total"), "cell").join(spark.createDataFrame(dense, "cell long, dense boolean"), "cell")
+    part = F.expr("cast(pmod(xxhash64(r_id, 5), s) as int)")
+    kinds = "cell long, r_id long, x array<double>, w long, core boolean, node long"
+    own = placed.where("not dense").withColumn("part", part).groupBy("cell", "part").applyInPandas(_inside(width, eps, min_samples), kinds)
+    state = materialize(placed.where("dense").select("cell", "r_id", "x", "w", F.lit(True).alias("core"), F.col("least").alias("node"))
+                        .unionByName(own), "density-own")
+    met = "q_id long, n long, node long, linked boolean"
+
+    def near(most=None, span=None):
+        return _near_cells(spark.sparkContext.broadcast((cells, numbers, span)), width, eps, most)
+
+    def grown(asked, found):
+        """The state with the asked points that have neighbours enough as core points, and the links of core points found."""
+        enough = found.groupBy("q_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select(F.col("q_id").alias("r_id"), F.lit(True).alias("more"))
+        now = materialize(state.join(enough, "r_id", "left").withColumn("core", F.col("core") | F.coalesce("more", F.lit(False))).drop("more"),
+                          "density-core")
+        ends = asked.select("q_id", "core").join(enough.withColumnRenamed("r_id", "q_id"), "q_id", "left").where(
+            F.col("core") | F.col("more")).select("q_id")
+        return now, found.where("linked").join(ends, "q_id").select(F.col("q_id").alias("a"), F.col("node").alias("b"))
+
+    # a node is named by one of its points; a point that isn't core is its own
+    ask = lambda which: which.select("cell", F.col("r_id").alias("q_id"), "x", F.col("node").alias("own"), "core")
+    first = ask(state.where("not core or r_id = node"))
+    state, links = grown(first, _meet(first, state, near(FIRST), _counts(width, eps), met))
+    rest = ask(state.where("not core"))
+    state, more = grown(rest, _meet(rest, state, near(), _counts(width, eps), met))
+    alone = state.where("core").select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    labels = materialize(component_labels(links.unionByName(more).unionByName(alone), "a", "b"), "density-labels")
+    state = materialize(state.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select(
+        "cell", "r_id", "x", "w", "core", F.when(F.col("core"), F.col("label")).otherwise(F.col("r_id")).alias("node")), "density-state")
+    largest = state.where("core").groupBy("node").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").first()
+    if largest is None:
+        return df.select(F.col(key), noise.alias("cluster"))
+    span = {r["cell"]: (r["low"], r["high"]) for r in state.where("core").groupBy("cell").agg(
+        F.min("node").alias("low"), F.max("node").alias("high")).collect()}  # one row per cell
+    span = np.array([int(c) in span for c in numbers]), *(np.array([span.get(int(c), (0, 0))[i] for c in numbers], np.int64) for i in (0, 1))
+    outside = ask(state.where(~F.col("core") | (F.col("node") != F.lit(largest["node"]))))
+    found = _meet(outside, state, near(None, span), _links(width, eps), "a long, b long, border boolean")
+    nodes = state.where("core").select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    labels = component_labels(found.where("not border").select("a", "b").unionByName(nodes), "a", "b")
+    border = found.where("border").select(F.col("a").alias("r_id"), F.col("b").alias("node"))
+    border = border.join(labels, F.col("node") == labels["id"]).groupBy("r_id").agg(F.min("label").alias("label"))
+    named_points = state.where("core").join(labels, F.col("node") == labels["id"]).select("r_id", "label").unionByName(border)
     by_group = groups.select("k1", "k2", "r_id").join(named_points, "r_id").select("k1", "k2", "label")
     out = rows.select("id", F.when(F.exists("x", lambda v: v.isNull()), F.lit(None)).otherwise(F.col("k1")).alias("k1"), "k2")
     out = out.join(by_group, ["k1", "k2"], "left").select("id", F.coalesce("label", noise).alias("cluster"))
