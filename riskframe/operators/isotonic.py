@@ -132,11 +132,12 @@ class IsotonicFit:
         kinds = "".join(f"{k} {g.schema[k].dataType.simpleString()}, " for k in keys)
         ranges = max(1, -(-g.count() // scores_per_range))
         g = materialize(g.repartitionByRange(ranges, *keys, "p").withColumn("r", F.spark_partition_id()), "iso-ranges")
-        totals = g.groupBy(*keys, "r").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+        inside = Window.partitionBy(*keys, "r").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+        g = materialize(g.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(f"{c}0") for c in ("s", "w")]), "iso-inside")
+        # a range's total is its running sum's end: added up in another order it would not meet the next range's begin
+        totals = g.groupBy(*keys, "r").agg(*[F.max_by(F.col(f"{c}0") + F.col(c), "p").alias(c) for c in ("s", "w")])
         before = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
         shift = totals.select(*keys, "r", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_") for c in ("s", "w")])
-        inside = Window.partitionBy(*keys, "r").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-        g = g.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(f"{c}0") for c in ("s", "w")])
         g = g.alias("a").join(shift.alias("b"), _same([*keys, "r"])).select(
             *[f"a.{k}" for k in keys], "a.r", "a.p", "a.s", "a.w", (F.col("s0") + F.col("s_")).alias("s0"), (F.col("w0") + F.col("w_")).alias("w0"))
         g = materialize(g, "iso-diagram")
