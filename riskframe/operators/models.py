@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.metric_index import NEAR_ROWS
+
 
 # ------------------------------------------------------------------ Gaussian naive Bayes
 
@@ -67,7 +69,7 @@ def gaussian_nb_logodds_terms(model: dict) -> dict[str, Column]:
 # ------------------------------------------------------------------ kNN classifier
 
 def knn_classifier(train: DataFrame, test: DataFrame, key: str, y: str, cols: Sequence[str], k: int = 5,
-                   weights: str = "uniform", p: int = 2, cell_rows: int = 256) -> DataFrame:
+                   weights: str = "uniform", p: int = 2, cell_rows: int = NEAR_ROWS) -> DataFrame:
     """(key, proba, pred): share of class 1 among the k nearest training rows
     (``weights='distance'`` weighs by 1/d; exact matches then vote alone)."""
     from riskframe.operators.neighbors import knn_join

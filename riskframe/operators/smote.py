@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.rng import h, u01
+from riskframe.operators.metric_index import NEAR_ROWS
 from riskframe.operators.neighbors import knn_join
 from riskframe.operators.split import stratified_rank
 
 
 def smote(df: DataFrame, key: str, y: str, cols: Sequence[str], k: int = 5, seed: int = 42,
-          cell_rows: int = 256) -> DataFrame:
+          cell_rows: int = NEAR_ROWS) -> DataFrame:
     """df ∪ synthetic minority rows: (key string, y, cols…, synthetic boolean)."""
     cols = list(cols)
     counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}

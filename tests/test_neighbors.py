@@ -253,3 +253,41 @@ def test_range_join_gives_back_bounded_groups(spark, monkeypatch):
     df = spark.range(3000).selectExpr("id", "double(id % 7) as a")
     assert neighbors.eps_pairs(df, "id", ["a"], 0.5).count() == sum(n * n for n in (429, 429, 429, 429, 428, 428, 428))
     assert most[0][0] * most[0][1] <= 1 << 21
+
+
+def test_a_query_travels_to_blocks_of_cells(spark, monkeypatch):
+    from riskframe.operators import metric_index
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(size=(1500, 8)), 2) + np.array([1e5, 0, 0, 0, 0, 0, 0, 0])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, " + ", ".join(f"x{c} double" for c in range(8)))
+    sent, write = [], metric_index.materialize
+
+    def counted(t, tag):
+        t = write(t, tag)
+        if tag == "metric-asked":
+            there = t.drop("q_id", "q", "wants", "thetas").columns[0]
+            sent.append(t.selectExpr(f"sum(size({there}))").first()[0])
+        return t
+
+    monkeypatch.setattr(metric_index, "materialize", counted)
+    got = neighbors.knn_join(df, df, "id", "id", [f"x{c}" for c in range(8)], k=4, exclude_self=True, cell_rows=5).collect()
+    d = metric_index.distances(x, x, "euclidean")
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), n + 1): d[i, j] for i in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:4])}
+    assert {(g["q_id"], g["r_id"], g["rank"]): g["dist"] for g in got} == want
+    # 300 cells, of which most are within reach of most queries
+    assert len(sent) == 2 and max(sent) <= 8 * len(x)
+
+
+@pytest.mark.parametrize("scale", [1e-20, 1e-3, 1.0, 1e12])
+def test_the_single_precision_sieve_loses_no_row(scale):
+    from riskframe.operators.metric_index import _Screen, distances
+    r = np.random.default_rng(4)
+    x, q = (r.normal(size=(400, 6)) + 50) * scale, (r.normal(size=(70, 6)) + 51) * scale
+    x[3, 2] = np.inf
+    d = distances(q, x, "euclidean")
+    limit = np.partition(d, 7, axis=1)[:, 7] ** 2
+    found = _Screen(x, "euclidean").near(q, limit)
+    if found is not None:
+        assert set(zip(*np.nonzero(d ** 2 <= limit[:, None]))) <= set(zip(*found)) and len(found[0]) < 12 * len(q)
+    assert (found is None) == (scale in (1e-20,))
