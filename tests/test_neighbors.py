@@ -291,3 +291,65 @@ def test_the_single_precision_sieve_loses_no_row(scale):
     if found is not None:
         assert set(zip(*np.nonzero(d ** 2 <= limit[:, None]))) <= set(zip(*found)) and len(found[0]) < 12 * len(q)
     assert (found is None) == (scale in (1e-20,))
+
+
+def _partial_case(x, q, wants, thetas, k, exclude_self=False):
+    """What ``_nearest_partial`` gives for these rows, and all distances with the rows' order in them."""
+    import pandas as pd
+    from riskframe.operators import metric_index
+    r_ids = np.random.default_rng(0).permutation(len(x)) * 3
+    refs = pd.DataFrame({"r_id": r_ids, "x": list(x), "bit": 0})
+    asked = pd.DataFrame({"q_id": np.arange(len(q)) * 3, "q": list(q), "wants": wants, "thetas": thetas, "mask": 1})
+    got = metric_index._nearest_partial(k, exclude_self, x.shape[1])(asked, refs)
+    d, want = metric_index.distances(q, x, "nan_euclidean"), {}
+    for i in range(len(q)):
+        for w, theta in zip(wants[i], thetas[i]):
+            ok = (d[i] <= theta) & (d[i] < np.inf) & (~np.isnan(x[:, w]) if w >= 0 else True) & (r_ids != 3 * i if exclude_self else True)
+            for j in sorted(np.flatnonzero(ok), key=lambda j: (d[i, j], r_ids[j]))[:k]:
+                want[3 * i, w, r_ids[j]] = (d[i, j], x[j, w] if w >= 0 else None)
+    out = {(g.q_id, g.want, g.r_id): (g.dist, g.value if g.want >= 0 else None) for g in got.itertuples()}
+    return out, want
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_nearest_rows_with_missing_values_match_brute_force(exclude_self):
+    r = np.random.default_rng(12)
+    x = np.round(r.normal(size=(2600, 5)) * [90, 30, 3, 1, 1], 1)
+    x[r.random(x.shape) < [0.1, 0.2, 0.02, 0.0, 0.3]] = np.nan
+    x[7, 0], x[8, 1], x[9, 0] = np.inf, -np.inf, np.inf
+    x[100:160] = x[100]
+    q = x[r.integers(0, len(x), 420)].copy()
+    q[r.random(q.shape) < [0.3, 0.1, 0.0, 0.02, 0.02]] = np.nan
+    q[3], q[4] = np.nan, [np.inf, 1, 1, 1, 1]
+    wants = [np.r_[np.flatnonzero(np.isnan(v)), -1][:2].astype(int) for v in q]
+    thetas = [np.where(r.random(len(w)) < 0.5, np.inf, r.choice([0.0, 2.0, 40.0])) for w in wants]
+    got, want = _partial_case(x, q, wants, thetas, 4, exclude_self)
+    assert got == want and len(want) > 1000
+
+
+def test_a_query_that_lacks_a_column_is_compared_with_few_rows(monkeypatch):
+    # the widest column is the one that a third of the queries lack
+    from riskframe.operators import halvings
+    r = np.random.default_rng(13)
+    x = r.integers(0, [400, 140, 110, 50], size=(20000, 4)).astype(float)
+    x[r.random(len(x)) < 0.04, 0] = np.nan
+    q = r.integers(0, [400, 140, 110, 50], size=(900, 4)).astype(float)
+    lack = np.arange(900) % 3
+    q[np.arange(900), lack] = np.nan
+    compared, real = [], halvings._Asked._squares
+    monkeypatch.setattr(halvings._Asked, "_squares", lambda self, i, leaf: compared.append(real(self, i, leaf)) or compared[-1])
+    got, want = _partial_case(x, q, [np.array([w]) for w in lack], [np.array([np.inf])] * 900, 5)
+    assert got == want
+    assert sum(c.size for c in compared) < 0.05 * q.shape[0] * x.shape[0]
+
+
+def test_rows_that_lack_rare_columns_do_not_widen_other_cells(spark):
+    from riskframe.operators.metric_index import MetricIndex
+    r = np.random.default_rng(14)
+    x = r.normal(size=(6000, 3))
+    x[::1500, 1:] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)],
+                               "id long, a double, b double, c double")
+    index = MetricIndex(df, "id", ["a", "b", "c"], "nan_euclidean", cell_rows=500)
+    whole = (index.cells.present == index.cells.rows[:, None]).all(axis=1)
+    assert index.cells.rows[~whole].sum() == 4 and len(whole) > 6
