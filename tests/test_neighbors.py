@@ -353,3 +353,40 @@ def test_rows_that_lack_rare_columns_do_not_widen_other_cells(spark):
     index = MetricIndex(df, "id", ["a", "b", "c"], "nan_euclidean", cell_rows=500)
     whole = (index.cells.present == index.cells.rows[:, None]).all(axis=1)
     assert index.cells.rows[~whole].sum() == 4 and len(whole) > 6
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("eps", [2.0, 0.0, 5.0, 0.1 + 0.2, 1e9, -1.0])
+def test_counts_within_a_distance_match_all_pairs(metric, eps):
+    from riskframe.operators import metric_index, range_counts
+    r = np.random.default_rng(15)
+    a, b = np.round(r.normal(size=(700, 4)) * 1.5), np.round(r.normal(size=(5000, 4)) * 1.5)  # many pairs exactly at the distance
+    a[:200] = np.round(r.normal(size=(200, 4)), 1)
+    b[100:2100], a[300:350] = b[100], b[100] + 40
+    for inf in (False, True):
+        if inf:
+            b[7, 1], a[9, 1] = np.inf, np.inf
+        close = metric_index.distances(a, b, metric) <= eps
+        ns, ms = range_counts.count_within(a, b, eps, metric)
+        assert (ns == close.sum(axis=1)).all() and (ms == close.sum(axis=0)).all()
+
+
+def test_a_range_join_that_counts_makes_no_row_for_a_pair(spark, monkeypatch):
+    from riskframe.operators import range_counts
+    monkeypatch.setattr(range_counts, "LEAST", 100)
+    df = spark.range(3000).selectExpr("id", "double(id % 7) as a", "double(if(id % 500 = 0, null, int(id % 11))) as b")
+    by = {}
+    for r in neighbors.eps_pairs(df, "id", ["a", "b"], 1.0).groupBy("a").count().collect():
+        by[r["a"]] = r["count"]
+    parts = neighbors.eps_pairs(df, "id", ["a", "b"], 1.0, counted=True)
+    got = parts.collect()
+    sums = {}
+    for r in got:
+        sums[r["a"]] = sums.get(r["a"], 0) + r["n"]
+    assert sums == by and len(by) == 2994
+    assert len(got) < sum(by.values()) / 4
+    assert neighbors.eps_pairs(df.where("id < 0"), "id", ["a", "b"], 1.0, counted=True).count() == 0
+    # a hot value is cut into several parts, keys that come twice count twice, no key is lost
+    hot = spark.range(5000).selectExpr("if(id % 2 = 0, null, 9007199254740993 + id div 2) as id", "1.0 as a")
+    got = {r["a"]: r["n"] for r in neighbors.eps_pairs(hot, "id", ["a"], 0.5, counted=True).groupBy("a").sum("n").toDF("a", "n").collect()}
+    assert got.pop(None) == 2500 * 5000 and len(got) == 2500 and set(got.values()) == {5000} and min(got) == 9007199254740993
